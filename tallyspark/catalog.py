@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import ledger, lists
+from .plans import decisions, ledger, lists, texts
 
 FLAGSHIP = "list_query_page"
-MODULES = (lists, ledger)
+MODULES = (lists, ledger, decisions, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,7 +71,7 @@ def account_key(raw: Column) -> Column:
 
 
 def is_card(digits: Column) -> Column:
-    return F.coalesce(F.luhn_check(digits) & (digits.rlike("^[2-6][0-9]{15}$") | digits.rlike("^3[47][0-9]{13}$")), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", digits) & (digits.rlike("^[2-6][0-9]{15}$") | digits.rlike("^3[47][0-9]{13}$")), F.lit(False))
 
 
 def content_id(*parts: Column) -> Column:

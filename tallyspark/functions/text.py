@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 #: Accented letters that are folded, and their base letters (fixed values).
@@ -18,7 +19,7 @@ def fold(x: Column) -> Column:
     return F.translate(F.lower(x.cast("string")), ACCENTED, PLAIN)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fold_any(x):
     """For search in any script: case-folded, decomposed, without combining marks."""
     import unicodedata
@@ -122,7 +123,7 @@ def guarded(x: Column) -> Column:
     return F.when(risky, F.concat(F.lit("'"), x)).otherwise(x)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def mask_cards(x):
     """Every full card number in a text as its first six and last four digits. Long hexadecimal digests stay."""
     import re
@@ -140,7 +141,7 @@ def mask_cards(x):
     return x.map(lambda s: None if s is None else run.sub(one, s))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def likeness(a, b):
     """Matching-blocks ratio of two texts."""
     from difflib import SequenceMatcher
