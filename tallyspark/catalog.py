@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decisions, ledger, lists, texts
+from .plans import decisions, flows, ledger, lists, texts
 
 FLAGSHIP = "list_query_page"
-MODULES = (lists, ledger, decisions, texts)
+MODULES = (lists, ledger, decisions, texts, flows)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

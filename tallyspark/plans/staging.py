@@ -53,3 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file through the file system of its path."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
