@@ -13,9 +13,12 @@ Very long texts are cut like all others. Empty table: no pieces. Null doc_id: pa
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +33,23 @@ END = 1
 #: A rest of fewer tokens than this is not cut further.
 SHORT = 32
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _POOL = 1 << 62
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, pool_part int, pool_at long"
 _TYPES = [pa.int64()] * 7 + [pa.binary(), pa.int32(), pa.int64()]
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "pool_part", "pool_at"]
 
 
+#: Marks behind a Latin letter and before a blank: a token boundary stands in front of them.
+_MARKS = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,;:!?%$&*#]+)(?=[ \n]|$)")
+
+
 class Encoder(dict):
     """Word to the bytes of its ids (little-endian, 32 bits). Words are what plain blanks and line ends separate.
 
-    The vocabulary drops white space and never joins across it, so the ids of a text are those of its words in a row.
+    The vocabulary lower-cases, drops white space, never joins across it, and keeps letters and marks apart. So the ids of a text
+    are those of its words, cut off from marks behind them, in a row. New words are encoded many at a time. Texts for which
+    lower-casing first might matter (not in composed form, special tokens, the Greek final sigma) are encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -48,16 +57,38 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
+    def _encode(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out = np.array(self._encode(word).ids, dtype="<u4").tobytes()
         if len(word) <= 64:
             self[word] = out
         return out
 
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+    def learn(self, words: set[str]) -> None:
+        """Encode the words of letters alone that are not known yet; each is one group of ids."""
+        if len(self) >= REMEMBERED:
+            self.clear()
+        new = [w for w in words if w not in self and len(w) <= 64 and w.isalpha()]
+        if new:
+            got = self._encode(" ".join(new))
+            ids, at = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
+            cuts = [*(4 * np.flatnonzero(np.r_[True, at[1:] != at[:-1]])).tolist(), 4 * len(ids)]
+            if len(cuts) == len(new) + 1:
+                data = ids.tobytes()
+                self.update(zip(new, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        words = [None if "<|" in t or "\u03a3" in t or not is_normalized("NFC", t) else _MARKS.sub(r" \1", t.lower()).replace("\n", " ").split(" ") for t in texts]
+        self.learn(set().union(*[w for w in words if w is not None]))
+        return [np.array(self._encode(t).ids, dtype="<u4").tobytes() if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder: it remembers words from one task to the next."""
+    return Encoder(path)
 
 
 def lengths(tokens: int, capacity: int = CAPACITY, short: int = SHORT) -> list[int]:
@@ -81,9 +112,24 @@ def tail_cuts(total: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
+def documents(batches, encode, most: int = 256, chars: int = 1 << 20):
+    """(doc_id, ids) of each row; texts are encoded some at a time, up to so many characters (one text at least)."""
+    docs, texts, held = [], [], 0
+    for batch in batches:
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
+            docs.append(doc)
+            texts.append(text)
+            held += len(text)
+            if len(docs) >= most or held >= chars:
+                yield from zip(docs, encode(texts), strict=True)
+                docs, texts, held = [], [], 0
+    yield from zip(docs, encode(texts), strict=True)
+
+
 def _pack(path: str, capacity: int, keep_ids: bool):
     def run(batches):
-        encode, part = Encoder(path).ids, TaskContext.get().partitionId()
+        encode, part = _encoder(path).ids, TaskContext.get().partitionId()
         open_bins, bins, pool_at = defaultdict(list), 0, 0
         end = np.array([END], dtype="<u4").tobytes()
         out = [[] for _ in _NAMES]
@@ -99,21 +145,20 @@ def _pack(path: str, capacity: int, keep_ids: bool):
                 column.clear()
             return batch
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                total, start = len(ids) // 4, 0
-                for n in lengths(total, capacity):
-                    held = open_bins[n]
-                    held.append((doc, start, n, total, ids[4 * start : 4 * (start + n)]))
-                    start += n
-                    if len(held) == capacity // n:
-                        for k, piece in enumerate(held):
-                            put(piece, (part << 36) + bins, k * n)
-                        bins += 1
-                        held.clear()
-                if len(out[0]) >= 4096:
-                    yield flush()
+        for doc, ids in documents(batches, encode):
+            ids += end
+            total, start = len(ids) // 4, 0
+            for n in lengths(total, capacity):
+                held = open_bins[n]
+                held.append((doc, start, n, total, ids[4 * start : 4 * (start + n)]))
+                start += n
+                if len(held) == capacity // n:
+                    for k, piece in enumerate(held):
+                        put(piece, (part << 36) + bins, k * n)
+                    bins += 1
+                    held.clear()
+            if len(out[0]) >= 4096:
+                yield flush()
         for held in open_bins.values():
             for piece in held:
                 put(piece, None, None, pool_at)
