@@ -3,8 +3,9 @@
 Vectors get one more component so that all have one length; the largest inner product is then the least distance. A random rotation
 spreads what tells vectors apart evenly over the dimensions, and rotated vectors are held in blocks of columns. Within each
 list that a query probes, distances are summed block by block, for all vectors of the list at once; after each block a hypothesis test
-abandons those whose distance so far makes it improbable (by EPSILON) that they come within the query's limit. The limit
-is the distance of the k-th nearest in a fixed sample of rows. What is left is scored exactly on the original vectors.
+abandons those whose distance so far makes it improbable (by EPSILON) that they come within the query's limit. What is left
+is scored exactly on the original vectors. In a query's FIRST nearest lists the limit is the distance of its k-th nearest in a fixed
+sample of rows; in its other lists that of the k-th nearest found in the first ones.
 
 The lists' centres are fitted on at most SAMPLE rows; every row is indexed. Lists are dealt in blocks of vectors and of queries,
 so that one with a third of all rows (copies of one vector) is many tasks' work. Recall is measured in the tests.
@@ -32,6 +33,7 @@ MAX_LISTS = 4096
 #: recall follows the share of lists; embeddings that cluster need far less.
 PROBES = 24
 SHARE = 0.65
+FIRST = 4
 LEAST = 400
 #: Columns of a block; how sure the test has to be.
 COLUMNS = 16
@@ -168,9 +170,9 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
                 limit = index.limits(b.column(0).to_numpy(), v, to, k)
                 at = np.repeat(np.arange(len(v)), [len(x) for x in to])
                 take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(limit[at].astype(np.float64))], names=["list", "query_id", "q", "bound"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), b.column(0).take(take), b.column(1).take(take), pa.array(limit[at].astype(np.float64)), pa.array(np.concatenate([np.arange(len(x)) for x in to]).astype(np.int32))], names=["list", "query_id", "q", "bound", "place"])
 
-    asked = some.where(is_query).mapInArrow(probe, "list int, query_id long, q array<double>, bound double")
+    asked = some.where(is_query).mapInArrow(probe, "list int, query_id long, q array<double>, bound double, place int")
     asked = written(asked, "queries")
     wanted = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     lists = range(len(sizes))
@@ -178,8 +180,7 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
     chunks = F.array(*[F.lit(int(-(-wanted.get(x, 0) // QUERIES_A_TASK) or 1)) for x in lists])
     block, chunk = F.element_at(blocks, F.col("list") + 1), F.element_at(chunks, F.col("list") + 1)
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = listed.select("list", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block).cast("int").alias("block"), spread(chunk).alias("chunk"), "vec_id", "v")
-    right = asked.select("list", spread(block).alias("block"), F.pmod(F.xxhash64("query_id"), chunk).cast("int").alias("chunk"), "query_id", "q", "bound")
+    left = written(listed.select("list", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), block).cast("int").alias("block"), spread(chunk).alias("chunk"), "vec_id", "v"), "dealt")
 
     def look(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(vectors) or not len(queries):
@@ -188,6 +189,20 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
     keys = ["list", "block", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(look, result)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def scanned(queries: DataFrame) -> DataFrame:
+        right = queries.select("list", spread(block).alias("block"), F.pmod(F.xxhash64("query_id"), chunk).cast("int").alias("chunk"), "query_id", "q", "bound")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(look, result)
+
+    def best(rows: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return rows.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+
+    first = written(best(scanned(asked.where(F.col("place") < FIRST))), "first")
+    kth = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
+    rest = asked.where(F.col("place") >= FIRST).join(kth, "query_id", "left")
+    # the distance that a score stands for, all vectors having one length
+    far = F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x) + F.lit(float(longest)) - 2 * F.col("kth")
+    rest = rest.withColumn("bound", F.least("bound", far)).drop("kth", "place")
+    found = first.drop("rank").unionByName(scanned(rest))
+    return best(found).select("query_id", "rank", "vec_id", "score")
