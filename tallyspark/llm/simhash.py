@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, text_of, written
+from .fingerprints import shingle_hashes
 
 SEED = 42
 RADIUS = 3
@@ -83,13 +84,17 @@ def _signed(x: int) -> int:
 
 
 def cells(nodes: DataFrame) -> DataFrame:
-    """(cell, fp, node): the grid cells of every row of nodes(fp, node). JVM-side only."""
+    """(cell, fp, node): the grid cells of every row of nodes(fp, node). JVM-side only.
+
+    With a column which, cells of rows that differ in it are apart: several families of fingerprints in one pass.
+    """
     even = F.lit(_signed(int(_EVEN)))
     fp = F.col("fp")
     high = F.shiftrightunsigned(fp, 1)
     code = fp.bitwiseOR(high).bitwiseAND(even).bitwiseOR(F.shiftleft(fp.bitwiseAND(high).bitwiseAND(even), 1))
-    coded = nodes.select("fp", "node", code.alias("code"))
-    keys = [F.xxhash64(F.lit(n), F.col("code").bitwiseAND(F.lit(_signed(mask)))) for n, mask in enumerate(_masks())]
+    coded = nodes.select("fp", "node", code.alias("code"), *[c for c in nodes.columns if c == "which"])
+    which = [F.col("which")] if "which" in nodes.columns else []
+    keys = [F.xxhash64(F.lit(n), F.col("code").bitwiseAND(F.lit(_signed(mask))), *which) for n, mask in enumerate(_masks())]
     return coded.select(F.explode(F.array(*keys)).alias("cell"), "fp", "node")
 
 
@@ -215,5 +220,68 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Fingerprints of each text for near_copies, and the letters of a word that counts there.
+FAMILY = 6
+LONG = 5
+
+
+def family(text: str | None, size: int = FAMILY) -> np.ndarray:
+    """Independent SimHash fingerprints of the set of a text's longer words (of all its words, if it has few of these).
+
+    A text with a few words changed keeps nearly all of this set, so its fingerprints differ in few bits; common short words,
+    which all texts share, would bring unrelated ones near.
+    """
+    words = set((text or "").lower().split())
+    some = [w for w in words if len(w) >= LONG]
+    some = some if len(some) >= 8 else list(words)
+    if not some:
+        return np.zeros(size, dtype=np.int64)
+    base = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), SEED) for w in some], dtype=np.uint64)
+    ones = np.zeros(size * 64, dtype=np.int64)
+    steps = np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(base), _CHUNK // 8):
+        mixed = base[at : at + _CHUNK // 8, None] + steps  # the usual finishing steps of 64-bit hashes
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(31)
+        ones += np.unpackbits(mixed.astype("<u8").view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(base), bitorder="little").view("<u8").view(np.int64)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size: int = FAMILY) -> DataFrame:
+    """(doc_id, component_id): classes of texts linked by a Jaccard likeness of their word shingles of at least `similarity`.
+
+    One fingerprint within 3 bits finds few texts of likeness 0.8. So each text has a family of independent ones; a link needs one
+    of them within the radius (found in the same grid), and every link is then verified exactly on the whole texts' shingles.
+    Equal texts are one node from the start. Texts with fewer than `words` words: one shingle of them all. Null text: as empty.
+    """
+    text = text_of(docs)
+
+    def run(batches):
+        for batch in batches:
+            made = [family(t, size) for t in batch.column(1).to_pylist()]
+            flat = np.concatenate(made) if made else np.zeros(0, dtype=np.int64)
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), fps], names=["doc_id", "copy", "length", "fps"])
+
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"), F.octet_length(text).cast("long").alias("length"))
+    made = written(plain.mapInArrow(run, "doc_id long, copy long, length long, fps array<bigint>"), "family")
+    nodes = written(made.groupBy("copy", "length").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")).where("node is not null"), "texts")
+    each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
+    shared = written(each.groupBy("which", "fp").agg(F.min("node").alias("node")), "fps")
+    named = each.select("which", "fp", F.col("node").alias("b")).join(shared.select("which", "fp", F.col("node").alias("a")), ["which", "fp"])
+    pairs = links(shared).unionByName(named.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    shingles = plain.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    shingles = written(shingles.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
+    left, right = (shingles.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    linked = both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("a", "b")
+    roots = components(linked)
+    classes = nodes.join(roots, "node", "left").select("copy", "length", F.coalesce("root", "node").alias("component_id"))
+    return made.select("doc_id", "copy", "length").join(classes, ["copy", "length"], "left").select("doc_id", "component_id")
+
+
 def hexadecimal(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

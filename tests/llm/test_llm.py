@@ -121,6 +121,55 @@ def test_manhattan_is_a_lower_bound():
     assert (np.abs(counts(a) - counts(b)).sum(axis=1) == np.bitwise_count(simhash.embed(a) ^ simhash.embed(b))).all()
 
 
+def shingle_set(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def likeness(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def check_near_copies(got, texts, least):
+    """got: {id: class}. No class without links of 0.8 or more that hold it together; nearly all such links within classes."""
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    ids, parent = sorted(texts), {i: i for i in texts}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    found = total = 0
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if (texts[a] or "") == (texts[b] or "") or likeness(sets[a], sets[b]) >= 0.8:
+                total += 1
+                found += got[a] == got[b]
+                if got[a] == got[b]:
+                    parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert {i: root(i) for i in ids} == got
+    assert found >= least * total
+
+
+def test_near_copies_like_brute_force(spark, docs, none):
+    rng, rows = random.Random(7), [(d, t) for d, t, *_ in awkward() if d is not None and d != 10]
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    at = 10_000
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(60, 300))]
+        for edits in (0, 0, 1, 2, 4, 30):
+            w = list(base)
+            for k in rng.sample(range(len(w)), edits):
+                w[k] = rng.choice(vocabulary)
+            rows.append((at := at + 1, " ".join(w)))
+    texts = dict(rows)
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    check_near_copies(got, texts, 0.93)
+    assert simhash.near_copies(docs).count() == len(awkward()) and simhash.near_copies(none).count() == 0
+
+
 # --- packing
 
 
@@ -532,8 +581,9 @@ def test_pipeline_stages(spark, sf):
     assert all(d in kept for d, q in labels.items() if q == 1) and sum(d in kept for d, q in labels.items() if q == 0) <= 2
     one = stages["near_duplicates"](spark, good, sf).cache()
     left = [r["doc_id"] for r in one.collect()]
-    classes = slow_classes({d: slow_simhash(texts[d]) for d in kept})
-    assert sorted(left) == sorted(set(classes.values()))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(good).collect()}
+    check_near_copies(got, {d: texts[d] for d in kept}, 0.9)
+    assert sorted(left) == sorted(set(got.values()))
     mixed = stages["mixture"](spark, one, sf).cache()
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} == set(left)
     rows = stages["packing"](spark, one, sf).collect()
