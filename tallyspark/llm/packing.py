@@ -13,6 +13,7 @@ Very long texts are cut like all others. Empty table: no pieces. Null doc_id: pa
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from bisect import bisect_right
@@ -33,7 +34,7 @@ END = 1
 #: A rest of fewer tokens than this is not cut further.
 SHORT = 32
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 _POOL = 1 << 62
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, pool_part int, pool_at long"
 _TYPES = [pa.int64()] * 7 + [pa.binary(), pa.int32(), pa.int64()]
@@ -44,45 +45,71 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 _MARKS = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,;:!?%$&*#]+)(?=[ \n]|$)")
 
 
+def _merging(path: str):
+    """Bytes of the ids of one run of composed lower-case letters, by the vocabulary's own merges; None if it isn't of that kind.
+
+    A word's end is part of its last symbol. Here it is a byte that UTF-8 never has, which joins the last byte before all else.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("continuing_subword_prefix"):
+        return None
+    # the usual printable stand-ins of bytes: printable ones stand for themselves, the others follow from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = model["vocab"]
+    raw = lambda t: bytes(byte[c] for c in t.removesuffix("</w>")) + (_END if t.endswith("</w>") else b"")
+    order = [c for c in byte if c in vocab] + [c + "</w>" for c in byte if c + "</w>" in vocab]
+    order += ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ranks: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+    ids = {byte[c]: vocab[c] for c in byte if c in vocab}
+    for token in order[len(ids) :]:
+        if raw(token) not in ranks:
+            ids[len(ranks)] = vocab[token]
+            ranks[raw(token)] = len(ranks)
+    engine = tiktoken.Encoding("merges", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    as_bytes = [ids.get(n, 0).to_bytes(4, "little") for n in range(len(ranks))]
+    return lambda word: b"".join([as_bytes[n] for n in engine.encode_single_piece(word.encode() + _END)])
+
+
+_END = b"\xff"
+
+
 class Encoder(dict):
     """Word to the bytes of its ids (little-endian, 32 bits). Words are what plain blanks and line ends separate.
 
     The vocabulary lower-cases, drops white space, never joins across it, and keeps letters and marks apart. So the ids of a text
-    are those of its words, cut off from marks behind them, in a row. New words are encoded many at a time. Texts for which
-    lower-casing first might matter (not in composed form, special tokens, the Greek final sigma) are encoded as they stand.
+    are those of its words, cut off from marks behind them, in a row. New words of letters go through the vocabulary's merges
+    directly. All else, and texts for which lower-casing first might matter (not in composed form, special tokens, the Greek
+    final sigma), is encoded by the tokenizer as it stands.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = _merging(path)
 
-    def _encode(self, text: str):
-        return self.tokenizer.encode(text, add_special_tokens=False)
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        out = np.array(self._encode(word).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = out
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Encode the words of letters alone that are not known yet; each is one group of ids."""
+        if len(word) > 64:
+            return self._encode(word)
         if len(self) >= REMEMBERED:
             self.clear()
-        new = [w for w in words if w not in self and len(w) <= 64 and w.isalpha()]
-        if new:
-            got = self._encode(" ".join(new))
-            ids, at = np.array(got.ids, dtype="<u4"), np.array(got.word_ids)
-            cuts = [*(4 * np.flatnonzero(np.r_[True, at[1:] != at[:-1]])).tolist(), 4 * len(ids)]
-            if len(cuts) == len(new) + 1:
-                data = ids.tobytes()
-                self.update(zip(new, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        out = self[word] = self.letters(word) if self.letters and word.isalpha() else self._encode(word)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        words = [None if "<|" in t or "\u03a3" in t or not is_normalized("NFC", t) else _MARKS.sub(r" \1", t.lower()).replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*[w for w in words if w is not None]))
-        return [np.array(self._encode(t).ids, dtype="<u4").tobytes() if w is None else b"".join(map(self.__getitem__, w)) for t, w in zip(texts, words, strict=True)]
+        get, out = self.__getitem__, []
+        for text in texts:
+            low = text.lower()
+            plain = "<|" not in text and "\u03a3" not in text and is_normalized("NFC", text) and is_normalized("NFC", low)
+            out.append(b"".join(map(get, _MARKS.sub(r" \1", low).replace("\n", " ").split(" "))) if plain else self._encode(text))
+        return out
 
 
 @lru_cache(maxsize=1)
