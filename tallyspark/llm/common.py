@@ -1,97 +1,16 @@
-"""What the operators of this subpackage share: written intermediate tables and graph components."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of our own.
-
-    The fallback is machine-local only in local mode (one machine, as in tests); on a cluster it is the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = "file://" + tempfile.mkdtemp(prefix="tally-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_tally"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver process ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_forget)
-    _made.append((spark, path))
-    return path
-
+from ..operators.graph import components
+from ..plans.staging import fresh_path, shared_dir, written
 
-def _forget() -> None:
-    for spark, path in _made:
-        try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session is gone already; the shared folder's owner clears it
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back. Survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "fresh_path", "shared_dir", "text_of", "written"]
 
 
 def text_of(df: DataFrame, name: str = "text") -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(df[name].cast("string"), F.lit(""))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges(a, b): rows (node, root), root being the smallest node reachable.
-
-    Every round hooks each node to its smallest smaller neighbour (an aggregate combined before the shuffle),
-    flattens these trees by pointer jumping, and contracts the edges to the roots. Each round at least halves the
-    nodes that still have edges, so rounds are logarithmic. Joins are on node ids only, so skewed hubs can be split
-    by the adaptive skew join; nothing is collected. Self-loops and null ends are ignored; no edges: no rows.
-    """
-    left = written(_canonical(edges), "edges")
-    steps: list[DataFrame] = []
-    while not left.isEmpty():
-        up = written(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "hook")
-        while True:  # pointer jumping: depths halve
-            over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            jumped = written(up.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.col("top").isNotNull().alias("moved")), "jump")
-            up = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
-        steps.append(up)
-        lo = up.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
-        hi = up.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
-        moved = left.join(lo, "lo", "left").join(hi, "hi", "left")
-        left = written(_canonical(moved.select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))), "edges")
-    out = None
-    for up in steps:
-        if out is None:
-            out = up
-            continue
-        over = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        out = out.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(up)
-    if out is None:
-        return left.select(F.col("lo").alias("node"), F.col("hi").alias("root"))
-    roots = out.select(F.col("root").alias("node"), "root").distinct()
-    return out.unionByName(roots)
-
-
-def _canonical(edges: DataFrame) -> DataFrame:
-    return edges.where("a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
