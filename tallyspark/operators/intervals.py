@@ -92,11 +92,18 @@ def by_month(df: DataFrame, start: str, end: str, amount: str) -> DataFrame:
 
 
 def month_status(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """(keys, month, status): missing, overlap, partial or ok, from how many periods hold each day between the first and the last."""
-    held = df.where(F.col(start) <= F.col(end)).select(*keys, F.explode(F.sequence(start, end)).alias("day")).groupBy(*keys, "day").agg(F.count("*").alias("n"))
-    spine = df.groupBy(*keys).agg(F.min(start).alias("_a"), F.max(end).alias("_b")).withColumn("day", F.explode(F.sequence("_a", "_b"))).drop("_a", "_b")
-    n = F.coalesce("n", F.lit(0))
-    cells = spine.join(held, [*keys, "day"], "left").groupBy(*keys, F.date_format("day", "yyyy-MM").alias("month")).agg(F.max(n).alias("hi"), F.min(n).alias("lo"))
+    """(keys, month, status): missing, overlap, partial or ok, from how many periods hold each day between the first and the last.
+
+    Days are never listed: stretches of equal cover lie between the days on which a period begins or has ended, and each stretch is
+    set against the months that it touches.
+    """
+    rows = df.where(F.col(start) <= F.col(end))
+    turns = rows.select(*keys, F.explode(F.array(F.struct(F.col(start).alias("day"), F.lit(1).alias("step")), F.struct(F.date_add(end, 1).alias("day"), F.lit(-1).alias("step")))).alias("t"))
+    turns = turns.groupBy(*keys, F.col("t.day").alias("day")).agg(F.sum("t.step").alias("step"))
+    order = Window.partitionBy(*keys).orderBy("day")
+    stretches = turns.withColumn("n", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.date_sub(F.lead("day").over(order), 1)).where("last is not null")
+    months = stretches.withColumn("m", F.explode(F.sequence(F.trunc("day", "MM"), F.trunc("last", "MM"), F.expr("interval 1 month"))))
+    cells = months.groupBy(*keys, F.date_format("m", "yyyy-MM").alias("month")).agg(F.max("n").alias("hi"), F.min("n").alias("lo"))
     return cells.select(*keys, "month", F.when(F.col("hi") == 0, "missing").when(F.col("hi") > 1, "overlap").when(F.col("lo") == 0, "partial").otherwise("ok").alias("status"))
 
 

@@ -193,6 +193,6 @@ def learned_names(confirmed: DataFrame, least: int = 2) -> DataFrame:
 def common_words(names: DataFrame, name: str, least: int = 3, share: float = 0.0) -> DataFrame:
     """(word, n): words in so many different names that they tie nothing."""
     keys = names.select(F.array_distinct(F.filter(F.split(text.normalize(F.col(name)), " "), lambda w: (F.length(w) >= 4) & ~w.rlike("[0-9]"))).alias("w")).distinct()
-    total = keys.agg(F.count("*").alias("total"))
     counts = keys.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(total)).where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("word", "n")
+    most = max(float(least), share * keys.count()) if share else float(least)
+    return counts.where(F.col("n") >= most)

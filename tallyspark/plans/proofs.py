@@ -127,6 +127,7 @@ ORACLES = {
     "whole_tokens": "SELECT o_orderkey, o_orderkey % 2 = 0 AS whole FROM orders",
     "field_equality": "SELECT kind, equal, count(*) AS n FROM (SELECT ['money', 'date', 'name', 'id', 'text'][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 5 < 4 THEN true ELSE lower(o_orderpriority) = o_orderpriority END AS equal FROM orders) GROUP BY 1, 2",
     "value_locations": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, list_filter(regexp_split_to_array(unnest(ls), '\\s+'), lambda w: w <> '') AS w FROM l), r AS (SELECT doc_id, line_no, i, n, lower(regexp_replace(array_to_string(w[i + 1 : i + n], ''), '[^\\pL\\pN]', '', 'g')) AS k FROM x, range(0, 30000) t(i), range(1, 3) u(n) WHERE i + n <= len(w)), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), v AS (SELECT DISTINCT doc_id, v AS value, lower(regexp_replace(v, '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, unnest([w[3], concat_ws(' ', w[6], w[7])]) AS v FROM d) WHERE v IS NOT NULL), h AS (SELECT r.*, value, min(n) OVER (PARTITION BY r.doc_id, value, line_no, i + n) AS m FROM r JOIN v ON r.doc_id = v.doc_id AND r.k = v.k AND v.k <> '') SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM h WHERE n = m GROUP BY 1",
+    "task_gate": "SELECT conv_id * 1000 + turn AS task_id, NOT (turn % 5 = 4 OR turn % 3 = 0) AS accepted, CASE WHEN turn % 5 = 4 THEN 'bad_pointer' WHEN turn % 3 = 0 THEN 'quote_absent' ELSE '' END AS reasons FROM conversations",
     "decision_replay": "WITH e AS (SELECT CASE WHEN value < 20 THEN 'no' WHEN value > 60 THEN 'yes' ELSE 'uncertain' END AS outcome, CASE WHEN value < 25 THEN 'no' WHEN value > 60 THEN 'yes' ELSE 'uncertain' END AS now FROM events) SELECT CASE WHEN outcome = now THEN 'same' ELSE 'changed' END AS change, outcome, now, count(*) AS n FROM e GROUP BY ALL",
     "decision_journal": "SELECT user_id, event_type, max(event_id) AS revision, CAST(arg_max(round(value), event_id) AS BIGINT) AS value FROM events GROUP BY 1, 2",
     "versions_active": "SELECT user_id, max(event_id) AS latest, max(event_id) FILTER (WHERE event_id % 4 = 1) AS active FROM events GROUP BY 1",
