@@ -106,7 +106,7 @@ def learned_names(spark, sf):
 
 
 def common_words(spark, sf):
-    return reconcile.common_words(table(spark, sf, "part"), "p_type", 3)
+    return reconcile.common_words(table(spark, sf, "part"), "p_name", 3)
 
 
 def line_match_nth(spark, sf):
@@ -263,7 +263,7 @@ ORACLES = {
     "overview_components": f"WITH RECURSIVE {_CAND}, e AS (SELECT 'i' || lpad(CAST(invoice_id AS VARCHAR), 12, '0') AS a, 'l' || lpad(CAST(line_id AS VARCHAR), 12, '0') AS b, line_id, invoice_id FROM nf WHERE proposed), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS n, a AS m FROM ed UNION SELECT reach.n, ed.b FROM reach JOIN ed ON reach.m = ed.a), root AS (SELECT n, min(m) AS root FROM reach GROUP BY n), z AS (SELECT root AS component, count(DISTINCT e.line_id) AS lines, count(DISTINCT e.invoice_id) AS invoices, bool_or(booking_date > due_date) AS late FROM e JOIN root ON e.a = root.n JOIN inv USING (invoice_id) JOIN pay USING (line_id) GROUP BY 1) SELECT component, lines, invoices, CASE WHEN lines = 1 AND invoices = 1 THEN 'single' WHEN lines = 1 THEN 'combined' WHEN invoices = 1 THEN 'split' ELSE 'mixed' END AS kind, late FROM z",
     "nearest_anchor": f"WITH inv AS ({_I}), pay AS ({_L}) SELECT line_id, arg_min(invoice_id, (abs(booking_date - due_date), invoice_id)) AS invoice_id FROM pay JOIN inv ON account = partner GROUP BY line_id",
     "learned_names": "WITH n AS (SELECT lower(p_type) AS name_key, p_brand AS partner FROM part) SELECT trim(regexp_replace(name_key, '[^a-z]+', ' ', 'g')) AS name_key, partner, count(*) AS n FROM n GROUP BY 1, 2 HAVING count(*) >= 3",
-    "common_words": "WITH k AS (SELECT DISTINCT trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS k FROM part), w AS (SELECT DISTINCT k, unnest(string_split(k, ' ')) AS word FROM k) SELECT word, count(*) AS n FROM w WHERE length(word) >= 4 AND NOT regexp_matches(word, '[0-9]') GROUP BY 1 HAVING count(*) >= 3",
+    "common_words": "WITH k AS (SELECT DISTINCT list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '[0-9]'))) AS k FROM part), w AS (SELECT unnest(k) AS word FROM k) SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3",
     "line_match_nth": "WITH a AS (SELECT l_orderkey, l_returnflag AS flag, l_linenumber AS pos, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem), b AS (SELECT l_orderkey, l_returnflag AS flag, l_linenumber - 1 AS new_pos, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber) AS n FROM lineitem WHERE l_linenumber > 1) SELECT l_orderkey, flag, pos, new_pos FROM a JOIN b USING (l_orderkey, flag, n)",
     "line_occurrence": "SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber) - 1 AS occurrence FROM lineitem",
     "fx_asof_rate": f"WITH {_DAYS}, inv AS ({_I}), x AS (SELECT invoice_id, issue_date, back, issue_date - back AS d FROM inv, (SELECT unnest([0, 1, 2, 3]) AS back) WHERE currency = 'EUR'), y AS (SELECT x.*, i, i % 7 NOT IN (5, 6) AND i % 100 NOT BETWEEN 40 AND 45 AS pub, coalesce(i % 100 NOT BETWEEN 40 AND 45, false) AS known FROM x LEFT JOIN days ON days.day = x.d), z AS (SELECT invoice_id, min(CASE WHEN pub THEN back END) AS hit, min(CASE WHEN NOT coalesce(pub, false) AND NOT known THEN back END) AS gap, any_value(issue_date) AS day FROM y GROUP BY 1), f AS (SELECT invoice_id, CASE WHEN hit IS NOT NULL AND (gap IS NULL OR hit < gap) THEN day - hit END AS rate_day FROM z) SELECT invoice_id, CAST(390 + i % 50 AS DOUBLE) AS rate, rate_day FROM f LEFT JOIN days ON days.day = rate_day",
