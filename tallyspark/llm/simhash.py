@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, text_of, written
+from .common import bounded, components, text_of, written
 from .fingerprints import shingle_hashes
 
 SEED = 42
@@ -272,8 +272,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
     named = each.select("which", "fp", F.col("node").alias("b")).join(shared.select("which", "fp", F.col("node").alias("a")), ["which", "fp"])
     pairs = links(shared).unionByName(named.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    shingles = plain.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    shingles = plain.join(bounded(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
     shingles = written(shingles.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
     left, right = (shingles.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
