@@ -43,12 +43,12 @@ NOTICES = {
 #: One error is allowed for so many characters of a notice, MOST at most.
 PER_ERROR = 12
 MOST = 4
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
+    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass"))
 
 
 def errors_allowed(notice: str) -> int:
