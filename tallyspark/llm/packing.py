@@ -34,7 +34,7 @@ END = 1
 #: A rest of fewer tokens than this is not cut further.
 SHORT = 32
 #: Words whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _POOL = 1 << 62
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, pool_part int, pool_at long"
 _TYPES = [pa.int64()] * 7 + [pa.binary(), pa.int32(), pa.int64()]

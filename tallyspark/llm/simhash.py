@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps = np.array([simhash(t, size) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fps = np.array([simhash(t.as_py(), size) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -259,7 +259,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
 
     def run(batches):
         for batch in batches:
-            made = [family(t, size) for t in batch.column(1).to_pylist()]
+            made = [family(t.as_py(), size) for t in batch.column(1)]
             flat = np.concatenate(made) if made else np.zeros(0, dtype=np.int64)
             fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), fps], names=["doc_id", "copy", "length", "fps"])
