@@ -38,6 +38,8 @@ LEAST = 400
 #: Columns of a block; how sure the test has to be.
 COLUMNS = 16
 EPSILON = 2.1
+#: What single precision may add to a squared distance, as a share of both squared lengths: near copies lie below it.
+SLACK = 8 * float(np.finfo(np.float32).eps)
 VECTORS_A_TASK = 1024
 QUERIES_A_TASK = 1024
 SEED = 5
@@ -95,8 +97,9 @@ class Index:
 
     def limits(self, ids, vectors, to, k):
         """A distance (squared) within which each query has at least k candidates in its lists; infinite if the sample has fewer."""
-        q = self.rotate(vectors, query=True)
-        d = (self.limit_points**2).sum(axis=1) - 2 * (q @ self.limit_points.T) + (q**2).sum(axis=1)[:, None]
+        q, points = self.rotate(vectors, query=True).astype(np.float64), self.limit_points.astype(np.float64)
+        # in double precision: in single, what is left of the distance of a copy is noise, often below zero
+        d = (points**2).sum(axis=1) - 2 * (q @ points.T) + (q**2).sum(axis=1)[:, None]
         d[ids[:, None] == self.limit_ids[None, :]] = np.inf
         looked = np.zeros((len(q), len(self.centres)), dtype=bool)
         for n, lists in enumerate(to):
@@ -113,12 +116,13 @@ def scan(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarr
     out = []
     for qid, q, r, limit in zip(query_ids.tolist(), queries, rotated, limits, strict=True):
         left, far = None, np.zeros(len(ids), dtype=np.float32)
+        slack = SLACK * (index.longest + float((q**2).sum()))
         for at in range(0, dims, COLUMNS):
             upto = min(dims, at + COLUMNS)
             block = columns[at:upto] if left is None else columns[at:upto, left]
             far = far + ((block - r[at:upto, None]) ** 2).sum(axis=0)
             sure = 1 + EPSILON / np.sqrt(upto) if upto < dims else 1.0
-            keep = far * (dims / upto) <= limit * sure**2 * (1 + 1e-4)
+            keep = far * (dims / upto) <= max(limit, 0.0) * sure**2 * (1 + 1e-4) + slack
             if not keep.all():
                 left = np.flatnonzero(keep) if left is None else left[keep]
                 far = far[keep]
@@ -204,5 +208,11 @@ def search(rows: DataFrame, is_query: Column, k: int = K, probes: int = PROBES,
     # the distance that a score stands for, all vectors having one length
     far = F.aggregate("q", F.lit(0.0), lambda a, x: a + x * x) + F.lit(float(longest)) - 2 * F.col("kth")
     rest = rest.withColumn("bound", F.least("bound", far)).drop("kth", "place")
-    found = first.drop("rank").unionByName(scanned(rest))
-    return best(found).select("query_id", "rank", "vec_id", "score")
+    found = written(best(first.drop("rank").unionByName(scanned(rest))), "found")
+    # a bound that leaves fewer than k was too close: those queries once more, without any
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+    short = written(asked.where(F.col("bound") < F.lit(float("inf"))).join(enough, "query_id", "left_anti"), "short")
+    if not short.isEmpty():
+        again = best(scanned(short.withColumn("bound", F.lit(float("inf"))).drop("place")))
+        found = found.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(again)
+    return found.select("query_id", "rank", "vec_id", "score")

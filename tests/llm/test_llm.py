@@ -284,6 +284,30 @@ def test_search_small_and_empty(spark):
     assert ann.search(few.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_fills_queries_among_copies_of_unit_length(spark):
+    x = np.random.default_rng(6).standard_normal((1500, 64))
+    x[::3] = x[0]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    rows = [(n, [float(v) for v in a]) for n, a in enumerate(x)]
+    got = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4), F.col("vec_id") % 20 == 0))
+    assert all(len(got.get(q, ())) == 20 for q in range(0, 1500, 20))
+    for q in range(0, 1500, 60):
+        assert [i for i, _ in got[q]] == [i for i in range(0, 90, 3) if i != q][:20]
+
+
+def test_search_rescans_queries_whose_limit_is_too_close(spark, monkeypatch):
+    class Close(ann.Index):  # local, so that workers get it as it is here
+        def limits(self, ids, vectors, to, k):
+            return np.zeros(len(ids))
+
+    monkeypatch.setattr(ann, "Index", Close)
+    x = np.random.default_rng(7).standard_normal((200, 12))
+    rows = [(n, [float(v) for v in a]) for n, a in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got, want = found(ann.search(df, F.col("vec_id") % 20 == 0, share=1.0)), exact(rows)
+    assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
+
+
 def test_recall_on_the_table(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got, want = found(queries.op3_ann(spark, sf)), exact(rows)
