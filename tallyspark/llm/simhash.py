@@ -248,11 +248,70 @@ def family(text: str | None, size: int = FAMILY) -> np.ndarray:
     return np.packbits(2 * ones > len(base), bitorder="little").view("<u8").view(np.int64)
 
 
+def _apart(fp: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[list, list]:
+    """All pairs of rows of one cell that are near and of different classes. Rows of the largest class only meet the others."""
+    roots, at, counts = np.unique(root, return_inverse=True, return_counts=True)
+    a, b = [], []
+    if len(roots) < 2:
+        return a, b
+    order = np.argsort(at == counts.argmax(), kind="stable")  # the largest class last: its rows begin no pair
+    fp, node, root = fp[order], node[order], root[order]
+    code = embed(fp)
+    for i in range(len(fp) - counts.max()):
+        hit = i + 1 + np.flatnonzero(_near(code, fp, i, slice(i + 1, None)) & (root[i + 1 :] != root[i]))
+        a.append(np.full(len(hit), node[i]))
+        b.append(node[hit])
+    return a, b
+
+
+def _apart_cells(batches):
+    """Over rows (cell, fp, node, root) sorted by cell: pairs as of _apart. One cell (or pair of blocks) is held at once."""
+
+    def settle(rows):
+        cell, fp, node, root = rows
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, dtype=np.int64)
+        several = np.zeros(len(first), dtype=bool)
+        if len(first):
+            several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
+        upto = np.r_[first[1:], len(cell)]
+        for s, e in zip(first[several].tolist(), upto[several].tolist(), strict=True):
+            a, b = _apart(fp[s:e].view(np.uint64), node[s:e], root[s:e])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    held = [np.zeros(0, dtype=np.int64) for _ in range(4)]
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        held = [x[last:] for x in rows]
+        yield from settle([x[:last] for x in rows])
+    yield from settle(held)
+
+
+def pairs_apart(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: all pairs of nodes(which, fp, node, root) of different root with fingerprints of one family at 3 bits or fewer.
+
+    Cells of a single class, nearly all, are left out before their rows move; those of more than `block` rows are split into
+    blocks, and each pair of blocks is a task's work of its own.
+    """
+    alone = nodes.select("which", "fp", F.struct("node", "root").alias("node"))
+    spread = cells(alone).select("cell", "fp", F.col("node.node").alias("node"), F.col("node.root").alias("root"))
+    several = spread.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
+    several = written(several.where("least <> most").select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts")), "several")
+    rows = spread.join(several, "cell").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    rows = rows.select("cell", "fp", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = rows.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "node", "root")
+    return rows.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(_apart_cells, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size: int = FAMILY) -> DataFrame:
     """(doc_id, component_id): classes of texts linked by a Jaccard likeness of their word shingles of at least `similarity`.
 
     One fingerprint within 3 bits finds few texts of likeness 0.8. So each text has a family of independent ones; a link needs one
     of them within the radius (found in the same grid), and every link is then verified exactly on the whole texts' shingles.
+    First links that span the classes of fingerprints are verified; then all near pairs between the classes that are left, so that
+    no refused link takes others with it.
     Equal texts are one node from the start. Texts with fewer than `words` words: one shingle of them all. Null text: as empty.
     """
     text = text_of(docs)
@@ -272,13 +331,23 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
     named = each.select("which", "fp", F.col("node").alias("b")).join(shared.select("which", "fp", F.col("node").alias("a")), ["which", "fp"])
     pairs = links(shared).unionByName(named.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    shingles = plain.join(bounded(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-    shingles = written(shingles.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
-    left, right = (shingles.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-    linked = both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("a", "b")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+        shingles = plain.join(bounded(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+        shingles = written(shingles.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
+        left, right = (shingles.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+        both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+        return written(both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("a", "b"), name)
+
+    linked = verified(pairs, "linked")
+    # pairs that only a refused link would have held together: all near pairs whose ends are still in different classes
     roots = components(linked)
+    rooted = written(nodes.select("node", "fps").join(roots, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root")), "rooted")
+    apart = pairs_apart(rooted.select("node", "root", F.posexplode("fps").alias("which", "fp")))
+    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
+    if not apart.isEmpty():
+        roots = components(linked.unionByName(verified(apart, "linked")))
     classes = nodes.join(roots, "node", "left").select("copy", "length", F.coalesce("root", "node").alias("component_id"))
     return made.select("doc_id", "copy", "length").join(classes, ["copy", "length"], "left").select("doc_id", "component_id")
 

@@ -173,6 +173,28 @@ def test_near_copies_like_brute_force(spark, docs, none):
 # --- packing
 
 
+def test_near_copies_do_not_hang_on_a_refused_link(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(5, 9))) for _ in range(900)]
+    lines = [" ".join(rng.choice(vocabulary) for _ in range(10)) + " of" for _ in range(12)]
+    base = "\n".join(lines)
+    rows = [(1, base.upper()), (2, base), (3, base[:-2] + "at")]
+    for k in range(4):  # one family of equal fingerprints: orders of the same lines, each with a near copy
+        mixed = "\n".join(rng.sample(lines, len(lines)))
+        rows += [(10 + k, mixed), (30 - k, mixed[:-2] + "at")]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[1] == 1 and got[3] == got[2] == 2
+    check_near_copies(got, dict(rows), 1.0)
+
+
+def test_pairs_apart_are_all(spark):
+    rng = random.Random(12)
+    rows = [(rng.randrange(2), 5 ^ (1 << rng.randrange(40)) ^ (1 << rng.randrange(40)), n, rng.choice([0, 0, 0, n])) for n in range(60)]
+    got = [tuple(r) for r in simhash.pairs_apart(spark.createDataFrame(rows, "which int, fp long, node long, root long"), block=16).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= 3}
+
+
 def check_pieces(rows, texts, capacity=2048):
     tk = packing._encoder(queries.tokenizer_path()).tokenizer
     ids = {n: np.array([*tk.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4") for n, t in texts.items()}
