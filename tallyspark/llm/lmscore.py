@@ -39,6 +39,11 @@ _REACH = 2
 
 def vocabulary(docs: DataFrame, words: int = WORDS) -> tuple[dict[str, int], np.ndarray]:
     """Token of each frequent word, and the counts of all tokens (over all documents; 0: beyond the text's ends)."""
+    return lexicon(docs, words)[:2]
+
+
+def lexicon(docs: DataFrame, words: int = WORDS) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """The vocabulary, and how many distinct words share each of the OTHERS hashed tokens."""
     tokens = F.filter(F.split(F.lower(text_of(docs)), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     counted = written(docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     top = counted.orderBy(F.desc("n"), "word").limit(words).collect()  # a constant number of rows
@@ -48,11 +53,16 @@ def vocabulary(docs: DataFrame, words: int = WORDS) -> tuple[dict[str, int], np.
     counts[1 : len(top) + 1] += [r["n"] for r in top]
     counts[1 + words :] += max(0, (total[0] or 0) - sum(r["n"] for r in top)) / OTHERS
     counts[PAD] = 0
-    return ids, counts
+    rare = np.zeros(OTHERS, dtype=np.int64)
+    for r in counted.groupBy((F.crc32(F.col("word").cast("binary")) % OTHERS).alias("token")).count().collect():  # OTHERS rows
+        rare[r["token"]] = r["count"]
+    for w in ids:
+        rare[zlib.crc32(w.encode()) % OTHERS] -= 1
+    return ids, counts, rare
 
 
 class Model:
-    def __init__(self, ids: dict[str, int], counts: np.ndarray, rare: int = 1):
+    def __init__(self, ids: dict[str, int], counts: np.ndarray, rare: np.ndarray | int = 1):
         self.ids, self.size = ids, len(counts)
         order = np.argsort(-counts[1:], kind="stable") + 1
         share = np.cumsum(counts[order]) / max(1.0, counts.sum())
@@ -62,7 +72,7 @@ class Model:
         self.closed = np.where(mass > 0, 0.0, -1e9).astype(np.float32)  # classes that hold no token
         self.within = np.zeros(self.size)
         self.within[1:] = np.log(counts[1:] / mass[self.kind[1:]])
-        self.within[self.size - OTHERS :] -= np.log(max(1.0, rare / OTHERS))  # a shared token's words, evenly
+        self.within[self.size - OTHERS :] -= np.log(np.maximum(1.0, rare))  # a shared token's words, evenly
         rng = np.random.default_rng(3)
         self.near = (rng.standard_normal((len(WINDOW), self.size, HIDDEN)) * 0.1).astype(np.float32)
         self.out = (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(np.float32)
@@ -117,11 +127,11 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, shards: int = SHARDS) -> Model:
-    ids, counts = vocabulary(docs)
-    start = Model(ids, counts)
+    ids, counts, rare = lexicon(docs)
+    start = Model(ids, counts, rare)
 
     def run(batches):
-        model, seen, phase = Model(ids, counts), 0, 0
+        model, seen, phase = Model(ids, counts, rare), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 parts = [model.tokens(t.as_py()) for t in batch.column(0).slice(at, 256)]

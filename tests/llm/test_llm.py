@@ -516,6 +516,15 @@ def test_pseudo_likelihood_is_normalised(docs):
     assert abs(total - 1) < 1e-4
 
 
+def test_probabilities_of_words_sum_to_one(spark):
+    words = [f"w{n}é" for n in range(6000)]
+    df = spark.createDataFrame([(n, " ".join(words[n * 100 : n * 100 + 100])) for n in range(60)], "doc_id long, text string")
+    m = lmscore.train(df)
+    padded, at = np.zeros(5 * len(words) + 4, dtype=np.int64), np.arange(len(words)) * 5 + 2
+    padded[at] = m.tokens(" ".join(words))  # each alone, with the same neighbours
+    assert abs(np.exp(m.log_likelihood(padded, at)).sum() - 1) < 1e-3
+
+
 def test_training_lowers_the_loss_and_order_counts(spark):
     rng = random.Random(1)
     cycle = ["a", "b", "c", "d", "e", "f"]
