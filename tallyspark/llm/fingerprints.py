@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded, text_of, written
 
 K = 128
 WORDS = 5
 #: Rows that one block of neighbours should hold; blocks are ranges of doc_id.
 BLOCK_ROWS = 2000
-MAX_BLOCKS = 4096
+#: Ranges that are cut at quantiles. Each of them is cut again, into as many parts of even width as its rows ask for.
+RANGES = 1024
 
 
 def let(value: Column, use) -> Column:
@@ -94,28 +95,51 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return made.withColumn("distinct_shingles", distinct_count(F.col("sketch"), k))
 
 
+def ranges(ids: DataFrame, block_rows: int, most: int = RANGES) -> Column:
+    """The block of a doc_id, a number that grows with it: a range between quantiles and a part of that range.
+
+    Quantiles are at most `most` numbers, each range's rows are counted, and its parts are of even width; so blocks grow in number
+    with the rows, while what a task is given stays of constant size.
+    """
+    rows = ids.count()
+    want = min(most, rows // block_rows)
+    if not want:
+        return F.lit(0).cast("long")
+    cuts = sorted({int(c) for c in ids.select(F.col("doc_id").cast("double").alias("_id")).approxQuantile("_id", [i / (want + 1) for i in range(1, want + 1)], 1 / (8 * (want + 1)))})
+    points = F.array(*[F.lit(c) for c in cuts])
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(points, lambda c: c <= F.col("doc_id"))))
+    found = {r["at"]: r for r in ids.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()}  # at most `most` + 1 rows
+    parts, lows, widths = [], [], []
+    for k in range(len(cuts) + 1):
+        r = found.get(k)
+        n = -(-r["n"] // block_rows) if r and r["lo"] is not None else 1
+        parts.append(n)
+        lows.append(r["lo"] if r and r["lo"] is not None else 0)
+        widths.append(max(1, -(-(r["hi"] - r["lo"] + 1) // n)) if r and r["lo"] is not None else 1)
+    number = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    first = [sum(parts[:k]) for k in range(len(parts))]
+    one = lambda k: F.get(number(first), k) + F.coalesce(F.floor((F.col("doc_id") - F.get(number(lows), k)) / F.get(number(widths), k)), F.lit(0)).cast("long")
+    return let(at, one)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(block, guest, doc_id, text, next_text): each document beside its successor by descending doc_id, cyclically.
 
-    Documents are dealt into ranges of doc_id (quantiles; at most MAX_BLOCKS + 1 of them), each sorted on its own. A range's
+    Documents are dealt into ranges of doc_id, each sorted on its own. A range's
     first document also goes, as a guest, to the range above, whose last document precedes it; the overall first goes to the
     lowest range. So texts are shuffled once and no task sees more than its range. Guests are returned too.
     Rows of one doc_id are ordered by text; a null doc_id counts as the smallest.
     """
-    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = docs.count()
-    want = min(MAX_BLOCKS, rows // BLOCK_ROWS)
-    cuts = sorted(set(docs.select(docs["doc_id"].cast("double").alias("_id")).approxQuantile("_id", [i / (want + 1) for i in range(1, want + 1)], 1 / (8 * (want + 1))))) if want else []
-    points = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else None
-    block = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(points, lambda c: c <= F.col("doc_id")))) if cuts else F.lit(0)
-    base = base.withColumn("block", block)
-    heads = base.groupBy("block").agg(F.max("doc_id").alias("head"))  # at most MAX_BLOCKS + 1 rows
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"))
+    base = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("block", ranges(ids, BLOCK_ROWS))
+    heads = base.groupBy("block").agg(F.max("doc_id").alias("head"))  # one row a block
     above = F.lead("block").over(Window.orderBy("block"))
     lowest = F.min("block").over(Window.partitionBy())
     heads = heads.select("block", "head", F.coalesce(above, lowest).alias("target")).withColumnRenamed("block", "of")
+    heads = bounded(written(heads, "heads"))
     on = (base["block"] == heads["of"]) & base["doc_id"].eqNullSafe(heads["head"])
-    place = lambda b, g: F.struct(b.cast("int").alias("block"), F.lit(g).alias("guest"))
-    placed = base.join(F.broadcast(heads), on, "left").select(
+    place = lambda b, g: F.struct(b.alias("block"), F.lit(g).alias("guest"))
+    placed = base.join(heads, on, "left").select(
         F.explode(F.when(F.col("target").isNull(), F.array(place(F.col("block"), 0))).otherwise(F.array(place(F.col("block"), 0), place(F.col("target"), 1)))).alias("at"), "doc_id", "text"
     )
     return placed.select("at.block", "at.guest", "doc_id", "text").withColumn("next_text", F.lead("text").over(neighbours()))

@@ -96,9 +96,10 @@ class Scanner:
         for end, (length, found) in self.automaton.iter(joined):
             for notice, at in found:
                 slack = errors_allowed(notice)
-                begin = max(0, end + 1 - length - at - slack)
-                if begin < tried.get(notice, -1):
+                done = tried.get(notice, 0)
+                if end < done:
                     continue  # lies in a span found already
+                begin = max(done, end + 1 - length - at - slack)
                 hit = self.fuzzy[notice].search(joined, begin, min(len(joined), begin + len(notice) + 2 * slack))
                 if hit:
                     tried[notice] = hit.end()

@@ -1,25 +1,27 @@
 """Masked pseudo-likelihood: a window network that predicts every token from both its sides.
 
-Vocabulary: counts of all words of all documents give the WORDS most frequent their own tokens; the other words share OTHERS
-hashed tokens. Tokens are put into classes of falling frequency. The network adds up one learned vector for each neighbour
-(two before, two behind; the token itself is masked), goes through a tanh layer and predicts the token's class; within the class,
-a token's probability is its share of the corpus counts, and a word's share of a shared token is even. So every
-conditional probability is normalised, and a document's score is the sum of their logarithms.
+Vocabulary: all words of all documents are counted in a table. The WORDS most frequent are tokens of their own; the other words share
+OTHERS hashed tokens. Tokens are put into classes of WIDE, by falling frequency. The network adds up one learned vector for
+each neighbour (two before, two behind; the token itself is masked), goes through a tanh layer and predicts the token's class,
+and within the class the token, each by a softmax over learned vectors. What a hashed token stands for has the share of it that
+the counts say, so that every conditional probability is normalised over words. A document's score is the sum of the logarithms.
 
-Training: every task goes over all its documents (every STRIDE-th position, another phase for each document) by minibatch steps from
-one start; the mean of the tasks' parameters, weighted by tokens seen, is the model. It is summed by Spark, parameter
-by parameter; only the finished model, of constant size, reaches the driver.
+The network is of constant size; the table of counts grows with the corpus, stays distributed and is joined with the words of
+the documents that have no token of their own.
+
+Training: every task goes once over every position of all its documents by minibatch steps (Adagrad) from one start; the mean of the
+tasks' parameters, weighted by tokens seen, is the model. Spark adds up one array a task, FAN arrays at a time, in as many levels
+as the number of tasks asks for; only the finished model reaches the driver. Tasks are those that the input is read by.
 
 Defined results. Null or empty text: no tokens, sum 0, null mean. Rows with equal ids: each by its own text. Very long texts
-are scored whole, in stretches. Empty table: no rows.
+are scored whole. A word that the counts don't hold is taken to occur once. Empty table: no rows.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,94 +31,160 @@ WORDS = 3840
 OTHERS = 255
 PAD = 0
 CLASSES = 64
+WIDE = 64
 HIDDEN = 32
 WINDOW = (-2, -1, 1, 2)
-STRIDE = 8
-BATCH = 2048
-SHARDS = 2048
+BATCH = 8192
+RATE = 0.15
+#: Tokens of several documents that are worked off at once.
+STRETCH = 1 << 16
+#: Arrays of parameters that one task adds up.
+FAN = 64
+SEED = 42
 _REACH = 2
 
 
-def vocabulary(docs: DataFrame, words: int = WORDS) -> tuple[dict[str, int], np.ndarray]:
-    """Token of each frequent word, and the counts of all tokens (over all documents; 0: beyond the text's ends)."""
-    return lexicon(docs, words)[:2]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, h, n): how often each lower-cased word occurs in all documents, and its hash."""
+    tokens = F.filter(F.split(F.lower(text_of(docs)), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    counted = docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return written(counted.select("word", F.xxhash64("word").alias("h"), "n"), "words")
 
 
-def lexicon(docs: DataFrame, words: int = WORDS) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """The vocabulary, and how many distinct words share each of the OTHERS hashed tokens."""
-    tokens = F.filter(F.split(F.lower(text_of(docs)), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-    counted = written(docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
+def lexicon(counted: DataFrame, words: int = WORDS) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Token of each frequent word; the counts of all tokens (0: beyond a text's ends); whether any word has the token."""
     top = counted.orderBy(F.desc("n"), "word").limit(words).collect()  # a constant number of rows
-    ids = {r["word"]: k + 1 for k, r in enumerate(top)}
-    total = counted.agg(F.sum("n"), F.count("*")).first()
-    counts = np.ones(1 + words + OTHERS)
-    counts[1 : len(top) + 1] += [r["n"] for r in top]
-    counts[1 + words :] += max(0, (total[0] or 0) - sum(r["n"] for r in top)) / OTHERS
-    counts[PAD] = 0
-    rare = np.zeros(OTHERS, dtype=np.int64)
-    for r in counted.groupBy((F.crc32(F.col("word").cast("binary")) % OTHERS).alias("token")).count().collect():  # OTHERS rows
-        rare[r["token"]] = r["count"]
-    for w in ids:
-        rare[zlib.crc32(w.encode()) % OTHERS] -= 1
-    return ids, counts, rare
+    ids = {r["word"].encode(): k + 1 for k, r in enumerate(top)}
+    counts, rare = np.zeros(1 + words + OTHERS), np.zeros(OTHERS)
+    counts[1 : len(top) + 1] = [r["n"] for r in top]
+    for r in counted.groupBy(F.pmod("h", F.lit(OTHERS)).alias("token")).agg(F.sum("n").alias("n")).collect():  # OTHERS rows
+        rare[r["token"]] = r["n"]
+    for r in top:
+        rare[r["h"] % OTHERS] -= r["n"]
+    counts[1 + words :] = rare
+    used = np.ones(len(counts), dtype=bool)
+    used[0], used[len(top) + 1 : 1 + words] = False, False
+    return ids, counts, used
 
 
 class Model:
-    def __init__(self, ids: dict[str, int], counts: np.ndarray, rare: np.ndarray | int = 1):
+    """The network. Its parameters are near, out, bias, word, word_bias."""
+
+    PARTS = ("near", "out", "bias", "word", "word_bias")
+
+    def __init__(self, ids: dict[bytes, int], counts: np.ndarray, used: np.ndarray):
         self.ids, self.size = ids, len(counts)
+        places = CLASSES * WIDE
         order = np.argsort(-counts[1:], kind="stable") + 1
-        share = np.cumsum(counts[order]) / max(1.0, counts.sum())
-        self.kind = np.zeros(self.size, dtype=np.int64)
-        self.kind[order] = np.minimum(CLASSES - 1, (share * CLASSES * (1 - 1e-12)).astype(np.int64))
-        mass = np.bincount(self.kind[1:], weights=counts[1:], minlength=CLASSES)
-        self.closed = np.where(mass > 0, 0.0, -1e9).astype(np.float32)  # classes that hold no token
-        self.within = np.zeros(self.size)
-        self.within[1:] = np.log(counts[1:] / mass[self.kind[1:]])
-        self.within[self.size - OTHERS :] -= np.log(np.maximum(1.0, rare))  # a shared token's words, evenly
+        self.place = np.zeros(self.size, dtype=np.int64)
+        self.place[order] = np.arange(len(order))
+        mass = np.zeros(places)
+        mass[self.place[1:]] = np.where(used[1:], counts[1:] + 1, 0)
+        mass = mass.reshape(CLASSES, WIDE)
+        # what a hashed token's words count together; their own counts are added where words are known
+        self.shared = np.zeros(self.size)
+        self.shared[self.size - OTHERS :] = np.log(np.maximum(1.0, counts[self.size - OTHERS :]))
         rng = np.random.default_rng(3)
-        self.near = (rng.standard_normal((len(WINDOW), self.size, HIDDEN)) * 0.1).astype(np.float32)
-        self.out = (rng.standard_normal((HIDDEN, CLASSES)) * 0.1).astype(np.float32)
-        self.bias = np.log((mass + 1) / (mass + 1).sum()).astype(np.float32)
-
-    def tokens(self, text: str) -> np.ndarray:
-        get, base = self.ids.get, self.size - OTHERS
-        return np.array([get(w) or base + zlib.crc32(w.encode()) % OTHERS for w in text.lower().split()], dtype=np.int64)
+        normal = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
+        self.near, self.out, self.word = normal(len(WINDOW), self.size, HIDDEN), normal(HIDDEN, CLASSES), normal(CLASSES, WIDE, HIDDEN)
+        log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-9)), -1e9).astype(np.float32)  # noqa: E731 - places without a token are closed
+        self.bias, self.word_bias = log(mass.sum(axis=1)), log(mass)
+        self.bias -= self.bias.max()
+        self.word_bias -= np.maximum(self.word_bias.max(axis=1, keepdims=True), -1e8)
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of a text, and the hashes of its words that have none of their own."""
+        words = text.lower().encode("utf-8", "replace").split()
+        get, digest = self.ids.get, xxhash.xxh64_intdigest
+        out = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+        rare = np.flatnonzero(out == 0)
+        hashes = np.fromiter((digest(words[k], SEED) for k in rare.tolist()), dtype=np.uint64, count=len(rare)).view(np.int64)
+        out[rare] = self.size - OTHERS + hashes % OTHERS
+        return out, hashes
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.near.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([getattr(self, name).ravel() for name in self.PARTS])
 
     def load(self, flat: np.ndarray) -> None:
-        a, b = self.near.size, self.near.size + self.out.size
-        flat = flat.astype(np.float32)
-        self.near, self.out, self.bias = flat[:a].reshape(self.near.shape), flat[a:b].reshape(self.out.shape), flat[b:]
+        at = 0
+        for name in self.PARTS:
+            part = getattr(self, name)
+            setattr(self, name, flat[at : at + part.size].astype(np.float32).reshape(part.shape))
+            at += part.size
 
     def _hidden(self, padded, at):
-        return np.tanh(sum(self.near[k][padded[at + step]] for k, step in enumerate(WINDOW)))
-
-    def _kinds(self, hidden):
-        scores = hidden @ self.out + (self.bias + self.closed)
+        total = self.near[0][padded[at + WINDOW[0]]]
+        for k, step in enumerate(WINDOW[1:], 1):
+            total += self.near[k][padded[at + step]]
+        return np.tanh(total, out=total)
+
+    @staticmethod
+    def _odds(scores):
+        """exp of scores less their greatest, which is left in scores, and its sums."""
         scores -= scores.max(axis=1, keepdims=True)
         odds = np.exp(scores)
-        return scores, odds, odds.sum(axis=1)
+        return odds, odds.sum(axis=1)
+
+    def _classes(self, place):
+        """(class, rows) of the rows whose token is in it."""
+        kind = place // WIDE
+        order = np.argsort(kind.astype(np.uint8), kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        return kind, [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
 
     def log_likelihood(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(token | both sides) at these places of the padded tokens."""
-        scores, _, total = self._kinds(self._hidden(padded, at))
-        target = padded[at]
-        kind = self.kind[target]
-        return scores[np.arange(len(at)), kind].astype(np.float64) - np.log(total) + self.within[target]
-
-    def step(self, padded: np.ndarray, at: np.ndarray, rate: float) -> None:
-        hidden = self._hidden(padded, at)
-        _, odds, total = self._kinds(hidden)
+        """log P(word | both sides) at these places of the padded tokens, less the log of the word's count if it shares a token."""
+        hidden, target = self._hidden(padded, at), padded[at]
+        place = self.place[target]
+        kind, groups = self._classes(place)
+        scores = hidden @ self.out + self.bias
+        _, total = self._odds(scores)
+        out = scores[np.arange(len(at)), kind].astype(np.float64) - np.log(total) - self.shared[target]
+        for c, rows in groups:
+            scores = hidden[rows] @ self.word[c].T + self.word_bias[c]
+            _, total = self._odds(scores)
+            out[rows] += scores[np.arange(len(rows)), place[rows] % WIDE] - np.log(total)
+        return out
+
+    def start(self) -> None:
+        """Sums of squares for Adagrad: one for each vector or bias."""
+        self.seen = {"near": np.full(self.near.shape[:2], 1e-6, dtype=np.float32), "word": np.full(self.word.shape[:2], 1e-6, dtype=np.float32)}
+        self.seen |= {name: np.full(getattr(self, name).shape, 1e-6, dtype=np.float32) for name in ("out", "bias", "word_bias")}
+
+    def step(self, padded: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
+        """One step by the summed gradient of these places' log-likelihood."""
+        hidden, place = self._hidden(padded, at), self.place[padded[at]]
+        kind, groups = self._classes(place)
+        odds, total = self._odds(hidden @ self.out + self.bias)
         error = odds / total[:, None]
-        error[np.arange(len(at)), self.kind[padded[at]]] -= 1
-        error *= rate / np.sqrt(len(at))
-        back = (error @ self.out.T) * (1 - hidden**2)
-        self.out -= hidden.T @ error / np.sqrt(len(at))
-        self.bias -= error.sum(axis=0) / np.sqrt(len(at))
-        for k, step in enumerate(WINDOW):
-            np.subtract.at(self.near[k], padded[at + step], back)
+        error[np.arange(len(at)), kind] -= 1
+        back = error @ self.out.T
+        for c, rows in groups:
+            mine = hidden[rows]
+            odds, total = self._odds(mine @ self.word[c].T + self.word_bias[c])
+            odds /= total[:, None]
+            odds[np.arange(len(rows)), place[rows] % WIDE] -= 1
+            back[rows] += odds @ self.word[c]
+            grad = odds.T @ mine
+            seen = self.seen["word"][c]
+            seen += np.einsum("wh,wh->w", grad, grad) / HIDDEN
+            self.word[c] -= grad * (rate / np.sqrt(seen))[:, None]
+            grad = odds.sum(axis=0)
+            self.seen["word_bias"][c] += grad**2
+            self.word_bias[c] -= rate * grad / np.sqrt(self.seen["word_bias"][c])
+        for name, grad in (("out", hidden.T @ error), ("bias", error.sum(axis=0))):
+            self.seen[name] += grad**2
+            getattr(self, name).__isub__(rate * grad / np.sqrt(self.seen[name]))
+        back *= 1 - hidden**2
+        for k, step in enumerate(WINDOW):  # the rows of one neighbour's vectors, summed by token
+            token = padded[at + step]
+            order = np.argsort(token.astype(np.int16), kind="stable")
+            token = token[order]
+            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            grad, rows = np.add.reduceat(back[order], first, axis=0), token[first]
+            seen = self.seen["near"][k][rows] + np.einsum("wh,wh->w", grad, grad) / HIDDEN
+            self.seen["near"][k][rows] = seen
+            self.near[k][rows] -= grad * (rate / np.sqrt(seen))[:, None]
 
 
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,62 +194,91 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([gap, *[x for p in parts for x in (p, gap)]]), starts
 
 
-def train(docs: DataFrame, shards: int = SHARDS) -> Model:
-    ids, counts, rare = lexicon(docs)
-    start = Model(ids, counts, rare)
+def _stretches(model: Model, column):
+    """(first row, tokens of each row, hashes of each row) of rows that come to some STRETCH tokens."""
+    first, parts, hashes, held = 0, [], [], 0
+    for k in range(len(column)):
+        tokens, rare = model.tokens(column[k].as_py())
+        parts.append(tokens)
+        hashes.append(rare)
+        held += len(tokens)
+        if held >= STRETCH:
+            yield first, parts, hashes
+            first, parts, hashes, held = k + 1, [], [], 0
+    if parts:
+        yield first, parts, hashes
+
+
+def _summed(arrays: DataFrame, width: int) -> DataFrame:
+    """One row (v, n): the sums of rows (v, n), v being binary arrays of `width` doubles. Every level is written."""
+    def add(batches):
+        total, n = np.zeros(width), 0
+        for batch in batches:
+            for v, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                total += np.frombuffer(v.as_buffer(), dtype=np.float64)
+                n += k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["v", "n"])
+
+    left = arrays.count()
+    while left > 1:
+        left = -(-left // FAN)
+        arrays = written(arrays.repartition(left).mapInArrow(add, "v binary, n long"), "sums")
+    return arrays
+
+
+def train(docs: DataFrame, counted: DataFrame) -> Model:
+    ids, counts, used = lexicon(counted)
+    model = Model(ids, counts, used)
 
     def run(batches):
-        model, seen, phase = Model(ids, counts, rare), 0, 0
+        mine, seen, rng = Model(ids, counts, used), 0, np.random.default_rng(7)
+        mine.start()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                parts = [model.tokens(t.as_py()) for t in batch.column(0).slice(at, 256)]
-                padded, starts = _padded(parts)
-                chosen = []
-                for s, p in zip(starts.tolist(), parts, strict=True):
-                    chosen.append(np.arange(s + phase % STRIDE, s + len(p), STRIDE))
-                    phase += 1
-                places = np.concatenate(chosen) if chosen else np.zeros(0, dtype=np.int64)
-                places = places[np.random.default_rng(phase).permutation(len(places))]
+            for _, parts, _ in _stretches(mine, batch.column(0)):
+                padded, _ = _padded(parts)
+                places = rng.permutation(np.flatnonzero(padded != PAD))
                 for k in range(0, len(places), BATCH):
-                    model.step(padded, places[k : k + BATCH], 2.0)
+                    mine.step(padded, places[k : k + BATCH])
                 seen += len(places)
         if seen:
-            flat = model.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, dtype=np.int64))], names=["k", "v", "n"])
-
-    text = docs.select(text_of(docs).alias("text"))
-    if text.rdd.getNumPartitions() > shards:
-        text = text.coalesce(shards)
-    mean = text.mapInArrow(run, "k int, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v"))
-    found = mean.toArrow()  # the model: a constant number of rows
-    if len(found):
-        flat = start.flat().astype(np.float64)
-        flat[found.column("k").to_numpy()] = found.column("v").to_numpy()
-        start.load(flat)
-    return start
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([pa.array([(mine.flat().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["v", "n"])
+
+    arrays = written(docs.select(text_of(docs).alias("text")).mapInArrow(run, "v binary, n long"), "arrays")
+    found = _summed(arrays, len(model.flat())).first()  # the model: of constant size
+    if found is not None:
+        model.load(np.frombuffer(found["v"], dtype=np.float64) / found["n"])
+    return model
+
+
+def score(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, sum_logprob, mean_logprob) of every document."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                parts = [model.tokens(t.as_py()) for t in part.column(1)]
+            for first, parts, hashes in _stretches(model, batch.column(2)):
                 padded, starts = _padded(parts)
                 logs = np.zeros(len(padded) + 1)
                 real = np.flatnonzero(padded != PAD)
-                for k in range(0, len(real), 8192):
-                    logs[real[k : k + 8192]] = model.log_likelihood(padded, real[k : k + 8192])
+                for k in range(0, len(real), BATCH):
+                    logs[real[k : k + BATCH]] = model.log_likelihood(padded, real[k : k + BATCH])
                 sums = np.array([logs[s : s + len(p)].sum() for s, p in zip(starts.tolist(), parts, strict=True)])
                 n = np.array([len(p) for p in parts], dtype=np.int64)
-                mean = pa.array(sums / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(sums), mean], names=["doc_id", "n_tokens", "sum_logprob", "mean_logprob"])
+                ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))
+                part = batch.slice(first, len(parts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums), rare], names=["row", "doc_id", "n_tokens", "net", "rare"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, sum_logprob double, mean_logprob double")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    rows = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, net double, rare array<bigint>"), "scored")
+    # what rare words' own counts add: nothing for those that occur once
+    known = counted.where("n > 1").select("h", F.ln("n").alias("log"))
+    added = rows.select("row", F.explode("rare").alias("h")).join(known, "h").groupBy("row").agg(F.sum("log").alias("added"))
+    total = F.col("net") + F.coalesce("added", F.lit(0.0))
+    return rows.drop("rare").join(added, "row", "left").select("doc_id", "n_tokens", total.alias("sum_logprob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on all documents, then score all documents."""
-    return score(docs, train(docs))
+    counted = word_counts(docs)
+    return score(docs, train(docs, counted), counted)

@@ -15,14 +15,15 @@ Empty table: no rows. Rows with equal ids are told apart by their texts' hashes;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of, written
-from .fingerprints import let
 
 LIMIT = 2.0
-STEPS = 50
+GRID, ROUNDS = 33, 10
 SEED = 17
 #: Documents that one block of a pass should hold.
 BLOCK_ROWS = 4096
@@ -34,49 +35,50 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("long")
 
 
-def _weights(shares: Column, exponent: Column) -> Column:
-    powers = F.transform(shares, lambda p: F.pow(p, exponent))
-    return let(powers, lambda q: let(F.aggregate(q, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(q, lambda x: x / total)))
-
-
-def repetition(shares: Column, exponent: Column) -> Column:
-    """The most passes of any source if the least passed one is passed once."""
-    passes = let(_weights(shares, exponent), lambda w: F.transform(shares, lambda p, i: F.get(w, i) / p))
-    return let(passes, lambda r: F.array_max(r) / F.array_min(r))
-
+def _moments(shares: DataFrame, exponents: list[float]) -> list[tuple[float, float]]:
+    """For each exponent a the sums of p ** a and of p ** a * ln p over the table of shares: one aggregate."""
+    p = F.col("share")
+    row = shares.agg(*[x for a in exponents for x in (F.sum(F.pow(p, F.lit(a))), F.sum(F.pow(p, F.lit(a)) * F.ln(p)))]).first()
+    return list(zip(row[::2], row[1::2], strict=True))
 
-def entropy(shares: Column, exponent: Column) -> Column:
-    return F.aggregate(_weights(shares, exponent), F.lit(0.0), lambda a, w: a - F.when(w > 0, w * F.ln(w)).otherwise(0.0))
 
+def _bisect(fits) -> float:
+    """The least exponent in [0, 1] that fits, where larger ones than a fitting one fit too. fits answers for several at once.
 
-def _bisect(fits) -> Column:
-    """The least exponent in [0, 1] that fits, where larger ones than a fitting one fit too; 0 if all do."""
-
-    def halve(s, _):
-        return let((s["lo"] + s["hi"]) / 2, lambda m: F.struct(F.when(fits(m), s["lo"]).otherwise(m).alias("lo"), F.when(fits(m), m).otherwise(s["hi"]).alias("hi")))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), halve)["hi"]
-    return F.when(fits(F.lit(0.0)), F.lit(0.0)).otherwise(found)
+    Every round cuts the interval into GRID parts.
+    """
+    if fits([0.0])[0]:
+        return 0.0
+    lo, hi = 0.0, 1.0
+    for _ in range(ROUNDS):
+        grid = [lo + (hi - lo) * k / GRID for k in range(1, GRID)]
+        first = next((k for k, ok in enumerate(fits(grid)) if ok), len(grid))
+        lo, hi = (grid[first - 1] if first else lo), (grid[first] if first < len(grid) else hi)
+    return hi
 
 
 def weights(counts: DataFrame, limit: float | None = LIMIT, target_entropy: float | None = None) -> DataFrame:
     """(source, tokens, share, exponent, weight, passes) from counts(source, tokens). Give a limit or a target entropy (nats).
 
-    The exponent is one number for all sources, found from one row that holds their shares (a number for each source).
+    What is found of the table of sources, however long, are sums, the least and the greatest share.
     """
-    total = F.sum("tokens").over(Window.partitionBy())
-    row = counts.where("tokens > 0").withColumn("share", F.col("tokens") / total).agg(F.sort_array(F.collect_list("share")).alias("shares"))
-    # a larger exponent repeats less and has less entropy
-    fits = (lambda a: repetition(F.col("shares"), a) <= limit) if target_entropy is None else (lambda a: entropy(F.col("shares"), a) <= target_entropy)
-    found = row.where(F.size("shares") > 0).select(_bisect(fits).alias("exponent")).first()
-    exponent = F.lit(float(found[0]) if found else 1.0)
-    share = F.coalesce(F.col("tokens") / F.nullif(total, F.lit(0)), F.lit(0.0))
-    power = F.when(F.col("share") > 0, F.pow("share", exponent)).otherwise(0.0)
-    everything = F.sum("power").over(Window.partitionBy())
-    out = counts.withColumn("share", share).withColumn("power", power).withColumn("weight", F.coalesce(F.col("power") / F.nullif(everything, F.lit(0.0)), F.lit(0.0)))
-    rate = F.when(F.col("share") > 0, F.col("weight") / F.col("share"))
-    least = F.min(rate).over(Window.partitionBy())
-    return out.select("source", "tokens", "share", exponent.alias("exponent"), "weight", F.coalesce(F.round(rate / least, 9), F.lit(1.0)).alias("passes"))
+    counts = written(counts.select("source", "tokens"), "counts")
+    total = counts.agg(F.sum("tokens")).first()[0] or 0
+    share = F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(total)) if total else F.lit(None).cast("double")
+    shares = counts.select(share.alias("share")).where("share > 0")
+    least, most = shares.agg(F.min("share"), F.max("share")).first()
+    if not total:
+        exponent = 1.0
+    elif target_entropy is None:
+        # the most passes of any source, the least passed one being passed once; it falls with the exponent
+        exponent = _bisect(lambda grid: [(most / least) ** (1 - a) <= limit for a in grid])
+    else:
+        exponent = _bisect(lambda grid: [math.log(z) - a * m / z <= target_entropy for a, (z, m) in zip(grid, _moments(shares, grid), strict=True)])
+    everything = _moments(shares, [exponent])[0][0] if total else 1.0
+    power = F.pow("share", F.lit(exponent))
+    rate = F.pow("share", F.lit(exponent - 1)) / F.lit(most ** (exponent - 1)) if total else F.lit(1.0)
+    out = counts.withColumn("share", share)
+    return out.select("source", "tokens", F.coalesce("share", F.lit(0.0)).alias("share"), F.lit(exponent).alias("exponent"), F.coalesce(power / F.lit(everything), F.lit(0.0)).alias("weight"), F.coalesce(F.round(rate, 9), F.lit(1.0)).alias("passes"))
 
 
 def mix(docs: DataFrame, limit: float | None = LIMIT, target_entropy: float | None = None, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, limit: float | None = LIMIT, target_entropy: float | No
     inner = Window.partitionBy("source", "block").orderBy(F.xxhash64("id", F.lit(seed), "epoch"), "id")
     cut = part.withColumn("upto", F.sum("tokens").over(inner)).where("upto <= room")
     cut = cut.groupBy(F.col("source").alias("_cs"), F.col("block").alias("_cb")).agg(F.max(F.struct(F.xxhash64("id", F.lit(seed), "epoch").alias("key"), "id")).alias("upto"))
-    cut = written(room.join(cut, F.col("_rs").eqNullSafe(F.col("_cs")) & (F.col("_rb") == F.col("_cb")), "left").select("_rs", "_rb", "place", (F.col("room") >= F.col("block_tokens")).alias("whole"), "upto"), "cut")
+    cut = written(room.join(cut, F.col("_rs").eqNullSafe(F.col("_cs")) & (F.col("_rb") == F.col("_cb")), "left").select("_rs", "_rb", "place", ((F.col("room") > 0) & (F.col("room") >= F.col("block_tokens"))).alias("whole"), "upto"), "cut")
     # back to the documents: one join to a table of sources, one to a table of blocks
     full = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("_row"), source.alias("_source"), tokens(text).alias("mix_tokens"), id_hash.alias("_id"))
     sources = table.select(F.col("source").alias("_ts"), F.col("weight").alias("mix_weight"), F.col("passes").alias("mix_passes"), "blocks", last.alias("_last"))

@@ -3,7 +3,8 @@
 Every line is labelled good or bad by a two-state CRF. A line's features are its own form (length, shares of letters, capitals,
 digits, symbols, repeated words, ...) and that of the lines before and after it. Forward-backward marginals of "good", weighted
 by line lengths, are the document's score. Lines are trained with their document's label, on a bounded sample of labelled
-documents (SAMPLE, those of the smallest hashed ids, whole texts); scoring covers all documents and whole texts.
+documents (whole texts in the order of hashed ids, at most SAMPLE of them and SAMPLE_LINES lines in all: what the driver fits on is
+bounded by both); scoring covers all documents and whole texts.
 
 Defined results. Null or empty text: one empty line, scored like any line. Rows with equal doc_id: each scored by its text.
 Null doc_id: scored, and not held out. No labelled rows, or labels of one kind only: a constant score (the share of
@@ -14,13 +15,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6000
+#: Lines of all of them together, at most.
+SAMPLE_LINES = 400_000
+#: Lines whose features are made at once.
+_CHUNK = 4096
 THRESHOLD = 0.3
 FOLDS = 5
 FORM = 24
@@ -53,7 +58,9 @@ def form(line: bytes) -> list[float]:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(lines x WIDTH) features with those of the neighbours, and the lines' weights."""
     lines = text.encode("utf-8", "replace").split(b"\n")
-    own = np.array([form(x) for x in lines], dtype=np.float32)
+    own = np.empty((len(lines), FORM), dtype=np.float32)
+    for at in range(0, len(lines), _CHUNK):  # numbers as Python objects only for so many lines at once
+        own[at : at + _CHUNK] = [form(x) for x in lines[at : at + _CHUNK]]
     out = np.zeros((len(lines), WIDTH), dtype=np.float32)
     out[:, :FORM] = own
     out[1:, FORM : 2 * FORM] = own[:-1]
@@ -163,20 +170,27 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents that are not held out. What reaches the driver is their lines' features."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model:
+    """Fit on a bounded sample of labelled documents that are not held out. What reaches the driver is their lines' features.
+
+    Of an id with several labels the greatest counts; of an id with several rows one text is taken.
+    """
     rows = labels.select(labels["doc_id"].cast("long").alias("_id"), labels["quality"].cast("int").alias("_label"))
     rows = rows.where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     chosen = rows.groupBy("_id").agg(F.max("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     plain = docs.select(docs["doc_id"].cast("long").alias("_id"), text_of(docs).alias("text"))
     joined = plain.join(F.broadcast(chosen), "_id").select("_id", "_label", "text")  # at most `sample` rows of two numbers
+    measured = joined.groupBy("_id").agg(F.min(F.struct(F.xxhash64("text").alias("copy"), F.regexp_count("text", F.lit("\n")).alias("breaks"))).alias("one"))
+    before = F.sum(F.col("one.breaks") + 1).over(Window.orderBy(F.xxhash64("_id"), "_id"))  # at most `sample` rows
+    fits = written(measured.withColumn("upto", before).where(F.col("upto") <= sample_lines).select("_id", F.col("one.copy").alias("copy")), "sample")
 
     def run(batches):
         for batch in batches:
             made = [features(t.as_py())[0] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.astype("<f4").tobytes() for x in made], pa.binary())], names=["id", "label", "x"])
 
-    found = sorted(joined.mapInArrow(run, "id long, label int, x binary").collect())
+    once = joined.withColumn("copy", F.xxhash64("text")).join(F.broadcast(fits), ["_id", "copy"]).dropDuplicates(["_id"]).select("_id", "_label", "text")
+    found = sorted(once.mapInArrow(run, "id long, label int, x binary").collect())
     x = [np.frombuffer(r["x"], dtype="<f4").reshape(-1, WIDTH) for r in found]
     return fit(np.concatenate(x) if x else np.zeros((0, WIDTH)), [len(a) for a in x], [r["label"] for r in found])
 

@@ -35,8 +35,8 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-def op4_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+def digest_of_sketches(docs: DataFrame) -> DataFrame:
+    made = fingerprints.edited_fingerprints(docs)
     mine = F.col("sketch")
     return made.select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_text(mine).alias("fingerprint"), fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
@@ -44,6 +44,10 @@ def op4_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_of_sketches(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -72,7 +76,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
+    return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -9,9 +9,12 @@ The grid: the 32 dimensions form 6 groups. Vectors within distance 3 differ in a
 3; a grid cell is the choice of 3 groups with the counts there, so every fingerprint lies in 20 cells and each link
 has a cell in common. Within a cell pairs are tested for Manhattan distance and then exactly.
 
+Cells of more than BLOCK rows are counted first and never meet in one task: their rows go by the exact bits of each quarter of the
+fingerprint (of 3 differing bits one quarter has none), and what is still too large by pairs of blocks.
+
 Defined results. Null text: as the empty text (fingerprint zero). Rows with equal doc_id: each gets its own fingerprint and
-the class of it. Null doc_id: the row stays; it never names a class, and a class without any doc_id has a null id. Empty
-table: no rows. Other columns are ignored, whatever their names.
+the class of it. Null doc_id: the row stays and links others like any row; it never names a class, and a class without any doc_id
+has a null id. Empty table: no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -155,68 +158,81 @@ def _rows(a=(), b=(), cell=(), fp=(), node=()):
     return pa.RecordBatch.from_arrays(left + right, names=["a", "b", "cell", "fp", "node"])
 
 
-def _join_cells(limit: int):
-    """Over rows (cell, fp, node) sorted by cell: edges; cells of more than `limit` rows are passed on as they are."""
+def _join_cells(batches):
+    """Over rows (cell, fp, node) sorted by cell: edges. One cell is held at once."""
 
-    def run(batches):
-        held, deferring = [np.zeros(0, dtype=np.int64) for _ in range(3)], None
-        for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            rows = [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if not len(rows[0]):
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-            done, held = [x[:last] for x in rows], [x[last:] for x in rows]
-            yield from settle(done, deferring)
-            if len(held[0]) > limit:  # hand on what there is of it, and the rest as it comes
-                deferring = int(held[0][0])
-                yield _rows(cell=held[0], fp=held[1], node=held[2])
-                held = [x[:0] for x in held]
-        yield from settle(held, deferring)
-
-    def settle(rows, deferring):
-        cell, fp, node = rows
-        if not len(cell):
-            return
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        count = np.diff(np.r_[first, len(cell)])
-        large = np.repeat((count > limit) | (cell[first] == deferring if deferring is not None else False), count)
-        a, b = _linked(cell[~large], fp[~large].view(np.uint64), node[~large])
-        yield _rows(a, b, cell[large], fp[large], node[large])
-
-    return run
+    def settle(rows):
+        a, b = _linked(rows[0], rows[1].view(np.uint64), rows[2])
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
+    for batch in batches:
+        rows = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        held = [x[last:] for x in rows]
+        yield from settle([x[:last] for x in rows])
+    yield from settle(held)
+
+
+def _heavy(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """(cell, parts) of the cells of more than `block` rows; counted with a combine before the shuffle."""
+    counted = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    return written(counted.select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts")), name)
+
+
+def _quarters(rows: DataFrame) -> DataFrame:
+    """rows(cell, fp, node) by the exact bits of each quarter of the fingerprint: of two rows within 3 bits one is equal."""
+    keys = [F.xxhash64(F.col("cell"), F.lit(k), F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
+    return rows.select(F.explode(F.array(*keys)).alias("cell"), *[c for c in rows.columns if c != "cell"])
+
+
+def _in_blocks(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """rows of heavy cells, once for each pair of blocks that a row's block is in."""
+    rest = [c for c in rows.columns if c != "cell"]
+    own = rows.join(bounded(heavy), "cell").withColumn("own", F.pmod(F.xxhash64("fp", "node"), "parts").cast("int"))
+    pairs = own.select("cell", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), *rest)
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(F.col("cell")).sortWithinPartitions("cell")
 
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): edges between rows of nodes(fp, node), fp distinct, that span every class of fingerprints linked at 3 bits or fewer.
 
-    Cells are worked off as sorted runs, in bounded memory. A cell of more than `block` rows (a large family of near copies) is
-    split into blocks, and each pair of blocks is a task's work of its own: nothing is dropped and no cell is one task's.
+    Cells are worked off as sorted runs, in bounded memory; cells of more than `block` rows (large families of near copies) are
+    split first, so that nothing is dropped and no cell is one task's.
     From each cell come at most as many edges as rows (3.5 times for cells of up to 8 rows), never all pairs.
     """
-    spread = cells(nodes).repartition(F.col("cell")).sortWithinPartitions("cell")
-    found = written(spread.mapInArrow(_join_cells(block), _EDGES), "cells")
-    small = found.where("a is not null").select("a", "b")
-    large = found.where("cell is not null").select("cell", "fp", "node")
-    if large.isEmpty():
-        return small
-    parts = large.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    own = large.join(parts, "cell").withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    pairs = own.select("cell", "fp", "node", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    pairs = pairs.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "node")
-    rest = pairs.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(_join_cells(1 << 30), _EDGES)
-    return small.unionByName(written(rest, "blocks").where("a is not null").select("a", "b"))
+    edges = "a long, b long"
+    spread = cells(nodes)
+    heavy = _heavy(spread, block, "heavy")
+    found = _by_cell(spread.join(bounded(heavy), "cell", "left_anti")).mapInArrow(_join_cells, edges)
+    if heavy.isEmpty():
+        return written(found, "links")
+    finer = written(_quarters(spread.join(bounded(heavy.select("cell")), "cell", "left_semi")), "quarters")
+    still = _heavy(finer, block, "heavy")
+    found = found.unionByName(_by_cell(finer.join(bounded(still), "cell", "left_anti")).mapInArrow(_join_cells, edges))
+    if not still.isEmpty():
+        found = found.unionByName(_by_cell(_in_blocks(finer, still)).mapInArrow(_join_cells, edges))
+    return written(found, "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row: its class under links of at most 3 differing bits.
 
-    Equal fingerprints are one node, named by its smallest doc_id, so that copies never make pairs.
+    Equal fingerprints are one node, so that copies never make pairs. Nodes are fingerprints; a class is named afterwards by the
+    smallest doc_id of its rows.
     """
     fps = written(fingerprints(docs, size), "fps")
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(links(nodes.where("node is not null")))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = written(components(links(nodes.select("fp", F.col("fp").alias("node")))), "roots")
+    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
+    names = linked.groupBy("root").agg(F.min("least").alias("name"))
+    named = linked.join(names, "root").select(F.col("fp").alias("_fp"), "name")
+    named = nodes.join(named, F.col("fp") == F.col("_fp"), "left").select("fp", F.when(F.col("_fp").isNull(), F.col("least")).otherwise(F.col("name")).alias("component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -292,27 +308,34 @@ def _apart_cells(batches):
 def pairs_apart(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: all pairs of nodes(which, fp, node, root) of different root with fingerprints of one family at 3 bits or fewer.
 
-    Cells of a single class, nearly all, are left out before their rows move; those of more than `block` rows are split into
-    blocks, and each pair of blocks is a task's work of its own.
+    Cells of a single class, nearly all, are left out before their rows move; those of more than `block` rows are split as for links.
     """
     alone = nodes.select("which", "fp", F.struct("node", "root").alias("node"))
     spread = cells(alone).select("cell", "fp", F.col("node.node").alias("node"), F.col("node.root").alias("root"))
     several = spread.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
-    several = written(several.where("least <> most").select("cell", F.ceil(F.col("n") / block).cast("int").alias("parts")), "several")
-    rows = spread.join(several, "cell").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    rows = rows.select("cell", "fp", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    rows = rows.select(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "fp", "node", "root")
-    return rows.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(_apart_cells, "a long, b long").distinct()
+    several = written(several.where("least <> most").select("cell", "n"), "several")
+    light, heavy = several.where(F.col("n") <= block).select("cell"), several.where(F.col("n") > block).select("cell")
+    found = _by_cell(spread.join(bounded(light), "cell", "left_semi")).mapInArrow(_apart_cells, "a long, b long")
+    if not heavy.isEmpty():
+        finer = written(_quarters(spread.join(bounded(heavy), "cell", "left_semi")), "quarters")
+        still = _heavy(finer, block, "heavy")
+        found = found.unionByName(_by_cell(finer.join(bounded(still), "cell", "left_anti")).mapInArrow(_apart_cells, "a long, b long"))
+        if not still.isEmpty():
+            found = found.unionByName(_by_cell(_in_blocks(finer, still)).mapInArrow(_apart_cells, "a long, b long"))
+    return found.distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size: int = FAMILY) -> DataFrame:
-    """(doc_id, component_id): classes of texts linked by a Jaccard likeness of their word shingles of at least `similarity`.
+    """(doc_id, copy, length, component_id, kept): classes of texts linked by a Jaccard likeness of their word shingles of at least `similarity`.
 
     One fingerprint within 3 bits finds few texts of likeness 0.8. So each text has a family of independent ones; a link needs one
     of them within the radius (found in the same grid), and every link is then verified exactly on the whole texts' shingles.
     First links that span the classes of fingerprints are verified; then all near pairs between the classes that are left, so that
     no refused link takes others with it.
-    Equal texts are one node from the start. Texts with fewer than `words` words: one shingle of them all. Null text: as empty.
+    Equal texts are one node from the start; nodes are texts, known by a 64-bit hash and their length in bytes (copy, length).
+    component_id is the smallest doc_id of the class, null if it has none. kept marks the rows of the smallest doc_id (nulls last) and,
+    among several texts of that id, of one text: repeats of that row are all marked.
+    Texts with fewer than `words` words: one shingle of them all. Null text: as empty. Rows with equal doc_id: each by its own text.
     """
     text = text_of(docs)
 
@@ -325,7 +348,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
 
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"), F.octet_length(text).cast("long").alias("length"))
     made = written(plain.mapInArrow(run, "doc_id long, copy long, length long, fps array<bigint>"), "family")
-    nodes = written(made.groupBy("copy", "length").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps")).where("node is not null"), "texts")
+    nodes = written(made.groupBy("copy", "length").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")).withColumnRenamed("copy", "node"), "texts")
     each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
     shared = written(each.groupBy("which", "fp").agg(F.min("node").alias("node")), "fps")
     named = each.select("which", "fp", F.col("node").alias("b")).join(shared.select("which", "fp", F.col("node").alias("a")), ["which", "fp"])
@@ -333,23 +356,27 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
     pairs = written(pairs, "pairs")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-        shingles = plain.join(bounded(ends), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
-        shingles = written(shingles.select("doc_id", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
-        left, right = (shingles.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct(), "ends")
+        shingles = plain.join(bounded(ends), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+        shingles = written(shingles.select("copy", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
+        left, right = (shingles.select(F.col("copy").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
         both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
         return written(both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("a", "b"), name)
 
     linked = verified(pairs, "linked")
     # pairs that only a refused link would have held together: all near pairs whose ends are still in different classes
-    roots = components(linked)
+    roots = written(components(linked), "roots")
     rooted = written(nodes.select("node", "fps").join(roots, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root")), "rooted")
     apart = pairs_apart(rooted.select("node", "root", F.posexplode("fps").alias("which", "fp")))
     apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
     if not apart.isEmpty():
-        roots = components(linked.unionByName(verified(apart, "linked")))
-    classes = nodes.join(roots, "node", "left").select("copy", "length", F.coalesce("root", "node").alias("component_id"))
-    return made.select("doc_id", "copy", "length").join(classes, ["copy", "length"], "left").select("doc_id", "component_id")
+        roots = written(components(linked.unionByName(verified(apart, "linked"))), "roots")
+    # of each class the name, and the row that stands for it
+    rows = written(made.select("doc_id", "copy", "length").join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("doc_id", "copy", "length", F.coalesce("root", "copy").alias("root")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "length"))
+    names = rows.groupBy("root").agg(first.alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("copy") == F.col("first.copy")) & (F.col("length") == F.col("first.length"))
+    return rows.join(names, "root").select("doc_id", "copy", "length", F.col("first.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def hexadecimal(fp):

@@ -10,9 +10,14 @@ where its successor begins. Within a block of the file a task follows candidates
 Chains of blocks are then joined by pointer jumping from the file's start. Only what this chain reaches is a record; a
 magic line inside a payload begins none, even if well-formed headers follow it, and its bytes go back to the payload.
 
+Headers may be of any length, and a magic line may stand among them (as in a url of a foreign archive): they are read up to their
+blank line, into the next block if need be. Headers that go on over a whole block of the file begin no record.
+
 Defined results. Null html: an empty payload. Null url: no target. Null page_id: a record without an id, never a
 revisit's target (one of null id is not deduplicated). Rows with equal page_id and payload: all of them response or revisit alike.
-Control characters in a url are percent-encoded. Empty table: no records.
+Blanks, control characters and line separators in a url are percent-encoded, and the last byte of one that ends in the magic.
+Empty table: no records. A file whose chain of records ends before the file does (cut off, or not an archive) is an error, so
+that nothing is lost in silence; with strict=False what the chain reaches is read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, written
@@ -32,7 +37,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are always stored.
 REVISIT_FROM = 1000
 _DATE = "2020-01-01T00:00:00Z"
-_HEAD_LIMIT = 1 << 16
+#: Characters that a header can't hold as they are.
+_ODD = r"[\x00-\x20\x7F\u0085\u2028\u2029]"
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
@@ -49,11 +55,17 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, F.col("target")).alias("refers_to"))
 
 
+def encoded(url: Column) -> Column:
+    """A url as a header can hold it."""
+    each = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(_ODD), F.regexp_replace(F.hex(c.cast("binary")), "(..)", "%$1")).otherwise(c))
+    return F.regexp_replace(F.when(url.rlike(_ODD), F.concat_ws("", each)).otherwise(url), r"WARC/1\.1$", "WARC/1.%31")
+
+
 def records(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     """(record): the text of each page's record, without its last byte."""
     rows = with_revisits(pages, least)
     is_revisit = F.col("refers_to").isNotNull()
-    url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
+    url = encoded(F.col("url"))
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     head = F.concat(
@@ -72,18 +84,22 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_FROM) -> None:
     records(pages, least).write.option("lineSep", END[-1]).text(path)
 
 
-_LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n")
+_LENGTH = re.compile(rb"(?i)(?:\A|\r\n)content-length:[ \t]*(\d+)[ \t]*\r\n")
 _M = len(MAGIC)
 
 
-def _step(piece: bytes) -> int | None:
-    """Bytes from where a candidate's headers begin to where its successor's would, as its headers tell; None if they don't.
+def _head(piece: bytes) -> tuple[int | None, int | None]:
+    """Where headers that run into this piece end in it (behind their blank line), and the first Content-Length before that."""
+    if piece[:2] == b"\r\n":
+        return 2, None
+    at = piece.find(b"\r\n\r\n")
+    found = _LENGTH.search(piece, 0, at + 2 if at >= 0 else len(piece))
+    return at + 4 if at >= 0 else None, int(found[1]) if found else None
 
-    Both have a magic line in front, which cancels out.
-    """
-    at = piece.find(b"\r\n\r\n", 0, _HEAD_LIMIT)
-    found = _LENGTH.search(b"\r\n" + piece[: at + 2]) if at >= 0 else None
-    return at + 4 + int(found[1]) + 4 + _M if found else None
+
+def _beyond(end: int, length: int) -> int:
+    """The place behind the magic line of the successor of a record whose headers end here."""
+    return end + length + len(END) + _M
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -105,48 +121,72 @@ def _runs(batches, keys: int):
             at = upto
 
 
+_SEEN = "file string, block long, start long, leave long, open boolean, length long, head_end long"
+
+
 def _survey(batches):
     """Of each block its size, and from each candidate in it the first successor's place that lies beyond the block.
 
-    Places count from the block's first piece and are those of the bytes behind magic lines. A pair of numbers is held for
-    each candidate of one block.
+    Places count from the block's first piece and are those of the bytes behind magic lines. A few numbers are held for each
+    candidate of one block. The row of the block itself (start null) also tells where headers that run into it would end.
     """
-    last, size, starts, leaves = None, 0, [], []
+    last, size, starts, leaves, bare, told, open_end, open_length = None, 0, [], [], [], [], None, None
 
-    def told():
+    def rows():
         inside = {s: k for k, s in enumerate(starts)}
         for k in range(len(starts) - 1, -1, -1):
             if leaves[k] in inside:
                 leaves[k] = leaves[inside[leaves[k]]]
-        n = len(starts) + 1
-        return pa.RecordBatch.from_arrays([pa.array([last[0]] * n, pa.string()), pa.array([last[1]] * n, pa.int64()), pa.array([*starts, None], pa.int64()), pa.array([*leaves, size], pa.int64())], names=["file", "block", "start", "leave"])
+        n, unended = len(starts), dict(told) | dict.fromkeys(bare)
+        columns = [[last[0]] * (n + 1), [last[1]] * (n + 1), [*starts, None], [*leaves, size], [*(k in unended for k in range(n)), False], [*map(unended.get, range(n)), open_length], [None] * n + [open_end]]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "block", "start", "leave", "open", "length", "head_end"])
 
     for key, pieces in _runs(batches, 2):
         if key != last:
             if last is not None:
-                yield told()
-            last, size, starts, leaves = key, 0, [], []
+                yield rows()
+            last, size, starts, leaves, bare, told, open_end, open_length = key, 0, [], [], [], [], None, None
         for piece in pieces:
             data = piece.as_buffer().to_pybytes() if piece.is_valid else b""
-            step = _step(data)
+            end, length = _head(data)
+            if open_end is None:
+                open_length = length if open_length is None else open_length
+                open_end = None if end is None else size + end
+            bare.append(len(starts))
             starts.append(size)
-            leaves.append(None if step is None else size + step)
+            leaves.append(None)
+            if length is not None:
+                told += [(k, length) for k in bare]
+                bare = []
+            if end is not None:
+                for k, n in told:
+                    leaves[k] = _beyond(size + end, n)
+                bare, told = [], []
             size += len(data) + _M
     if last is not None:
-        yield told()
+        yield rows()
 
 
-def chain(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, base, first, entry) of each block: its place in the file, where its first piece and its first record begin.
+def chain(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """(file, block, base, first, entry, owner) of each block: its place in the file, where its first piece and its first record begin.
 
-    entry is null if no record begins in the block. Pointer jumping doubles the reach of every candidate at each round, so
-    the rounds are logarithmic in the blocks of a file.
+    entry is null if no record begins in the block; owner is the block where the record begins that what stands before entry
+    belongs to. Pointer jumping doubles the reach of every candidate at each round, so the rounds are logarithmic in the blocks
+    of a file.
     """
-    seen = written(_pieces(spark, path).select("file", "block", "piece").mapInArrow(_survey, "file string, block long, start long, leave long"), "candidates")
-    before = F.sum("leave").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = written(seen.where("start is null").select("file", "block", F.coalesce(before, F.lit(0)).alias("base")), "blocks")
-    jumps = written(seen.where("start is not null and leave is not null").join(blocks, ["file", "block"]).select("file", (F.col("base") + F.col("start")).alias("at"), (F.col("base") + F.col("leave")).alias("to")), "jumps")
-    candidates = seen.where("start is not null").join(blocks, ["file", "block"]).select("file", "block", (F.col("base") + F.col("start")).alias("at"))
+    seen = written(_pieces(spark, path).select("file", "block", "piece").mapInArrow(_survey, _SEEN), "candidates")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("file").orderBy("block").rowsBetween(1, 1)
+    base = F.coalesce(F.sum("leave").over(earlier), F.lit(0))
+    sizes = seen.where("start is null").select("file", "block", base.alias("base"), "leave", "length", "head_end")
+    follows = F.first(F.struct((F.col("base") + F.col("head_end")).alias("end"), "length")).over(later)
+    blocks = written(sizes.select("file", "block", "base", (F.col("base") + F.col("leave")).alias("upto"), follows.alias("next")), "blocks")
+    placed = seen.where("start is not null").join(blocks, ["file", "block"])
+    run_on = F.col("next.end") + F.coalesce("length", "next.length") + len(END) + _M
+    leave = F.when(F.col("open"), run_on).otherwise(F.col("base") + F.col("leave"))
+    placed = written(placed.select("file", "block", (F.col("base") + F.col("start")).alias("at"), leave.alias("to")), "placed")
+    jumps = placed.where("to is not null").select("file", "at", "to")
     reached = written(blocks.where("block = 0").select("file", F.lit(_M).cast("long").alias("at")), "reached")
     count = reached.count()
     while True:
@@ -156,94 +196,123 @@ def chain(spark: SparkSession, path: str) -> DataFrame:
         reached, count = more, now
         over = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("beyond"))
         jumps = written(jumps.join(over, ["file", "to"], "left").select("file", "at", F.coalesce("beyond", "to").alias("to")), "jumps")
-    entries = candidates.join(reached, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
-    return written(blocks.join(entries, ["file", "block"], "left").select("file", "block", "base", F.when(F.col("block") == 0, _M).otherwise(F.col("base")).cast("long").alias("first"), "entry"), "chain")
+    if strict:
+        ends = blocks.groupBy("file").agg(F.max("upto").alias("at"))
+        broken = ends.join(reached, ["file", "at"], "left_anti").select("file").limit(3).collect()
+        if broken:
+            raise ValueError(f"the chain of records ends before the file does: {[r['file'] for r in broken]}")
+    entries = placed.join(reached, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
+    first = F.when(F.col("block") == 0, _M).otherwise(F.col("base")).cast("long")
+    owner = F.last(F.when(F.col("entry").isNotNull(), F.col("block")), ignorenulls=True).over(earlier)
+    return written(blocks.join(entries, ["file", "block"], "left").select("file", "block", "base", first.alias("first"), "entry", owner.alias("owner")), "chain")
 
 
-_FOUND = "file string, at long, upto long, head string, bytes binary, whole boolean"
+_WHOLE = "head string, bytes binary"
+_SPLIT = "file string, block long, place long, bytes binary"
 
 
-def _records(whole: bool):
-    """Follow the chain through each block, from its entry. Yields whole records, or else what is split between blocks."""
+def _cut(data: bytes) -> tuple[str, bytes]:
+    at = data.find(b"\r\n\r\n")
+    return data[:at].decode("utf-8", "replace"), data[at + 4 :]
 
-    def run(batches):
-        last, place, due, now = None, 0, None, None
-        out, held = [], 0
 
-        def emit(final=False):
-            nonlocal held
-            if out and (final or held > 1 << 24 or len(out) >= 4096):
-                held = 0
-                batch = pa.RecordBatch.from_pylist(out_rows(), schema=pa.schema([("file", pa.string()), ("at", pa.int64()), ("upto", pa.int64()), ("head", pa.string()), ("bytes", pa.binary()), ("whole", pa.bool_())]))
-                out.clear()
-                yield batch
+def _batches(rows, schema: pa.Schema):
+    """Record batches of rows, of bounded size."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += len(row[-1])
+        if held > 1 << 24 or len(out) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-        def out_rows():
-            return [dict(zip(("file", "at", "upto", "head", "bytes", "whole"), r, strict=True)) for r in out]
+
+def _records(whole: bool):
+    """Follow the chain through each block, from its entry. Yields whole records, or else the parts of those split between blocks."""
+    schema = pa.schema([("head", pa.string()), ("bytes", pa.binary())] if whole else [("file", pa.string()), ("block", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
+
+    def rows(batches):
+        last, place, due, now, rest, owner = None, 0, None, None, [], None
 
         def close():
-            nonlocal now, held
+            if rest and not whole and owner is not None:  # what stands before the block's first record
+                yield last[0], owner, last[2], b"".join(rest)
             if now is not None:
-                file, at, upto, parts = now
+                at, upto, _, parts = now
                 data = b"".join(parts)
-                cut = data.find(b"\r\n\r\n")
-                is_whole = upto is not None and len(data) == upto - at - _M
-                if is_whole == whole:
-                    held += len(data)
-                    out.append((file, at, upto, data[:cut].decode("utf-8", "replace"), data[cut + 4 :], is_whole))
-            now = None
-
-        for (file, block, base, entry), pieces in _runs(batches, 4):
-            if (file, block) != last:
-                close()
-                last, place, due = (file, block), base, entry
+                if upto is not None and len(data) == upto - at - _M:
+                    if whole:
+                        yield _cut(data)
+                elif not whole:
+                    yield last[0], last[1], at, data
+
+        for key, pieces in _runs(batches, 5):
+            if key != last:
+                yield from close()
+                last, place, due, owner, now, rest = key, key[2], key[3], key[4], None, []
             for piece in pieces:
                 data = piece.as_buffer().to_pybytes()
                 if place == due and due is not None:
-                    close()
-                    step = _step(data)
-                    due = None if step is None else place + step
-                    now = (file, place, due, [data])
-                elif now is not None:  # a magic line within the payload
+                    yield from close()
+                    now, rest, due = [place, None, None, [data]], [], None
+                elif now is not None:  # a magic line within the record
                     now[3].append(MAGIC.encode() + data)
-                elif not whole and place > _M and (entry is None or place < entry):
-                    held += len(data)
-                    out.append((file, place, None, None, MAGIC.encode() + data, False))
+                elif place > _M:
+                    rest.append(MAGIC.encode() + data)
+                if now is not None and now[1] is None:  # its headers haven't ended before
+                    end, length = _head(data)
+                    now[2] = length if now[2] is None else now[2]
+                    if end is not None and now[2] is not None:
+                        due = now[1] = _beyond(place + end, now[2])
                 place += len(data) + _M
-                yield from emit()
-        close()
-        yield from emit(True)
+        yield from close()
+
+    def run(batches):
+        yield from _batches(rows(batches), schema)
 
     return run
 
 
+def _joined(batches):
+    """Split records put together: their parts in order. One whose end is missing gives nothing."""
+
+    def rows():
+        for batch in batches:
+            for parts in batch.column(0):
+                data = b"".join(p["bytes"].as_buffer().to_pybytes() for p in parts)
+                head, body = _cut(data)
+                _, length = _head(data)
+                if length is not None and len(body) >= length:
+                    yield head, body
+
+    yield from _batches(rows(), pa.schema([("head", pa.string()), ("bytes", pa.binary())]))
+
+
 #: Blocks up to which their table is broadcast (some 100 bytes each); beyond, the pieces are joined with it by a shuffle.
 BROADCAST_BLOCKS = 100_000
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(page_id, url, record_type, refers_to, payload, payload_bytes, payload_digest) of every record of the archives under path.
 
     payload is null for revisits, whose payload_bytes and payload_digest are those of what they refer to.
     """
-    blocks = chain(spark, path)
-    table = blocks.select("file", "block", "base", "entry")
+    blocks = chain(spark, path, strict)
+    table = blocks.select("file", "block", "base", "entry", "owner")
     pieces = _pieces(spark, path)
     if blocks.count() <= BROADCAST_BLOCKS:
         rows = pieces.join(F.broadcast(table), ["file", "block"])
     else:
         rows = pieces.join(table, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "n")
-    rows = rows.select("file", "block", "base", "entry", "piece")
-    found = rows.mapInArrow(_records(True), _FOUND)
+    rows = rows.select("file", "block", "base", "entry", "owner", "piece")
+    found = rows.mapInArrow(_records(True), _WHOLE)
     if not blocks.where("entry is null or entry > first").isEmpty():
-        split = written(rows.mapInArrow(_records(False), _FOUND), "split")
-        begun = split.where("head is not null")
-        rest = split.where("head is null").select("file", F.col("at").alias("place"), "bytes")
-        own = begun.select("file", "at", "upto").join(rest, "file").where("place > at and place < upto")
-        tail = own.groupBy("file", "at").agg(F.expr("aggregate(transform(sort_array(collect_list(struct(place, bytes))), x -> x.bytes), cast('' as binary), (a, x) -> concat(a, x))").alias("tail"))
-        joined = begun.join(tail, ["file", "at"], "left").select("file", "at", "upto", "head", F.concat("bytes", F.coalesce("tail", F.lit(b""))).alias("bytes"), F.lit(True).alias("whole"))
-        found = found.unionByName(joined)
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1), F.lit(""))
+        split = written(rows.mapInArrow(_records(False), _SPLIT), "split")
+        parts = split.groupBy("file", "block").agg(F.sort_array(F.collect_list(F.struct("place", "bytes"))).alias("parts"))
+        found = found.unionByName(parts.select("parts").mapInArrow(_joined, _WHOLE))
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?imd)^{name}:[ \t]*([^\r\n]*?)[ \t]*\r?$", 1), F.lit(""))
     page = lambda name: F.regexp_extract(field(name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
     revisit = field("WARC-Type") == "revisit"
     payload = F.substring("bytes", F.lit(1), field("Content-Length").cast("int"))

@@ -80,12 +80,26 @@ def slow_classes(fps):
     return {k: root(k) for k in keys}
 
 
+def named_classes(rows):
+    """(doc_id, fp, smallest doc_id reachable or None) of rows (doc_id, fp), links going through rows of any id."""
+    root = slow_classes({n: fp for n, (_, fp) in enumerate(rows)})
+    names = {}
+    for n, (d, _) in enumerate(rows):
+        names[root[n]] = min((x for x in (names.get(root[n]), d) if x is not None), default=None)
+    return Counter((d, fp, names[root[n]]) for n, (d, fp) in enumerate(rows))
+
+
 def test_simhash_on_awkward_rows(docs):
-    got = {r["doc_id"]: r for r in simhash.near_duplicates(clashing(docs)).collect() if r["doc_id"] is not None}
-    fps = {d: slow_simhash(t) for d, t, *_ in awkward() if d is not None}
-    assert {k: r["fp"] % (1 << 64) for k, r in got.items()} == fps
-    assert {k: r["component_id"] for k, r in got.items()} == slow_classes(fps)
-    assert simhash.near_duplicates(docs).count() == len(awkward())
+    got = simhash.near_duplicates(clashing(docs)).collect()
+    assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == named_classes([(d, slow_simhash(t)) for d, t, *_ in awkward()])
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    rows = [(1, 0), (None, 7), (9, 63), (None, 1 << 40 | 0xFFF0000000), (20, 0xFF << 50), (20, 0x1FF << 50), (30, 0x7FF << 50)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, size: docs)
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, fp long").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["fp"], r["component_id"]) for r in got) == named_classes(rows)
+    assert {r["component_id"] for r in got if r["doc_id"] in (1, 9) or r["fp"] == 7} == {1}
 
 
 def test_simhash_empty(none):
@@ -165,9 +179,13 @@ def test_near_copies_like_brute_force(spark, docs, none):
             rows.append((at := at + 1, " ".join(w)))
     texts = dict(rows)
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    rows = simhash.near_copies(df).collect()
+    got = {r["doc_id"]: r["component_id"] for r in rows}
     check_near_copies(got, texts, 0.93)
-    assert simhash.near_copies(docs).count() == len(awkward()) and simhash.near_copies(none).count() == 0
+    assert {r["doc_id"] for r in rows if r["kept"]} == set(got.values())
+    awk = simhash.near_copies(docs).collect()
+    assert len(awk) == len(awkward()) and simhash.near_copies(none).count() == 0
+    assert {r["component_id"] for r in awk if r["doc_id"] is None} == {None}
 
 
 # --- packing
@@ -357,13 +375,48 @@ def test_edited_fingerprints(docs):
     assert all(len(v) == 1 for v in by_text.values())
 
 
-def test_next_across_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1024, 2])
+def test_next_across_blocks(spark, monkeypatch, most):
     monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(fingerprints.ranges, "__defaults__", (most,))
     rows = [(n * n, f"text {n} " + "w " * (n % 5), None, None, None) for n in range(100)]
     got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(spark.createDataFrame(rows, DOCS).repartition(6)).where("guest = 0").collect()}
     assert got == {n * n: rows[n - 1][1] if n else rows[99][1] for n in range(100)}
 
 
+def slow_sketch(text, k):
+    """The k smallest chained hashes of five-word shingles, as Spark's functions make them."""
+    w = [spark_hash(x) for x in re.findall(r"[^ \t\n\x0B\f\r]+", text)]
+    if len(w) >= 5:
+        out = {spark_hash(*map(np.int64, w[n : n + 5])) for n in range(len(w) - 4)}
+    else:
+        h = 42
+        for x in w:
+            h = spark_hash(np.int64(h), np.int64(x))
+        out = {h} if w else set()
+    return sorted(out)[:k]
+
+
+def slow_resemblance(a, b, k):
+    u = sorted({*a, *b})[:k]
+    return 1.0 if not a and not b else len({*a} & {*b} & {*u}) / len(u)
+
+
+def test_likeness_like_brute_force(spark):
+    rng, texts = random.Random(14), {}
+    for n in range(40):
+        texts[n] = prose(rng.choice([0, 1, 3, 5, 40, 400, 900]), rng) if n % 3 or not n else texts[n - 1] + " " + prose(rng.randrange(60), rng)
+    rows = {r["doc_id"]: r for r in queries.digest_of_sketches(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    k = fingerprints.K
+    for n, t in texts.items():
+        nxt = texts[n - 1 if n else 39]
+        half = len(t) // 2
+        a, e, b = (slow_sketch(x, k) for x in (t, t[: len(t) - half] + nxt[:half], nxt))
+        told = "".join(f"{x % (1 << 64):016x}" for x in a)
+        assert rows[n]["fingerprint"] == told
+        assert abs(rows[n]["near_edited"] - slow_resemblance(a, e, k)) < 1e-12 and abs(rows[n]["near_next"] - slow_resemblance(a, b, k)) < 1e-12
+
+
 def test_estimates_and_merging(spark):
     words = [f"w{n}" for n in range(6000)]
     a, b = " ".join(words[:4000]), " ".join(words[2000:])
@@ -422,6 +475,32 @@ def test_forward_backward_like_enumeration():
     assert np.allclose(good, want) and np.allclose(joint, pairs)
 
 
+def test_scores_like_plain_forward_backward(spark, docs):
+    labels = spark.createDataFrame([(d, int(d % 2), 0) for d, *_ in awkward() if d], "doc_id long, quality int, toxic int")
+    m = quality.train(docs, labels)
+    for _, t, *_ in awkward():
+        x, w = quality.features(t or "")
+        emit = x.astype(float) @ m.weights
+        alpha = [np.array([0.0, emit[0]])]
+        for e in emit[1:]:
+            alpha.append(np.array([np.logaddexp(alpha[-1][0] + m.move[0, y], alpha[-1][1] + m.move[1, y]) + e * y for y in (0, 1)]))
+        beta = [np.zeros(2)]
+        for e in emit[:0:-1]:
+            beta.append(np.array([np.logaddexp(m.move[y, 0] + beta[-1][0], m.move[y, 1] + e + beta[-1][1]) for y in (0, 1)]))
+        good = [np.exp(a + b - np.logaddexp(*(a + b)))[1] for a, b in zip(alpha, beta[::-1], strict=True)]
+        assert abs(m.score([t or ""])[0] - np.average(good, weights=w)) < 1e-6
+
+
+def test_quality_sample_is_bounded_in_lines(spark, monkeypatch):
+    rows = [(n, "good line here\n" * (n % 40) + "x", None, None, None) for n in range(1, 200)] + [(3, "another text", None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(n, n % 2, 0) for n in range(1, 200)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, counts, labels: seen.append((len(x), len(counts))))
+    quality.train(df, labels, sample=100, sample_lines=300)
+    assert 0 < seen[0][0] <= 300 and 0 < seen[0][1] <= 100
+
+
 # --- sharding
 
 
@@ -436,7 +515,40 @@ def test_shards_are_even_and_gapless(spark):
         load[r["shard"]] += r["size"]
         places[r["shard"]].append(r["slot"])
     assert set(load) == set(range(40)) and all(sorted(p) == list(range(len(p))) for p in places.values()) and len(rows) == len(texts)
-    assert max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 40
+    assert max(load.values()) - min(load.values()) <= 0.01 * sum(load.values()) / 40
+
+
+@pytest.mark.parametrize("key", ["case when id % 2 = 0 then 7 else id end", "cast(null as long)", "case when id % 3 = 0 then null else id end"])
+def test_shards_are_even_with_hot_keys(spark, monkeypatch, key):
+    df = spark.range(4000).selectExpr(f"{key} as doc_id", "repeat('ab', cast(id % 97 as int)) as text")
+    for rank_rows in (100_000, 3):  # slots ranked whole, and in parts
+        monkeypatch.setattr(sharding, "RANK_ROWS", rank_rows)
+        rows = sharding.placed(*(lambda r: (r, sharding.rebalance(sharding.even_map(spark), sharding.slot_sizes(r), 40)))(spread(df)), rank_rows).collect()
+        load, places = Counter(), defaultdict(list)
+        for r in rows:
+            load[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert len(rows) == 4000 and all(sorted(p) == list(range(len(p))) for p in places.values())
+        assert set(load) == set(range(40)) and max(load.values()) - min(load.values()) <= 0.03 * sum(load.values()) / 40
+
+
+def spread(df):
+    from tallyspark.llm.common import written
+
+    first = written(sharding.records(df), "records")
+    return written(sharding.spread_hot(first, sharding.slot_sizes(first)), "records")
+
+
+def test_shard_stores_a_version_edits_it_and_reads_it_back(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/map"
+    rows = sharding.shard(docs, 4, 64, path).collect()
+    one, two = (dict(sharding.load_map(spark, path, v).select("vslot", "shard").collect()) for v in (1, 2))
+    assert one == {s: s % 4 for s in range(64)} and set(two) == set(one) and two != one
+    assert all(two[r["vslot"]] == r["shard"] for r in rows)
+    load = Counter()
+    for d, t, *_ in awkward():
+        load[d] += len((t or "").encode()) + 16
+    assert sum(r["size"] for r in rows) == sum(load.values())
 
 
 def test_map_versions_and_rebalancing(spark, docs, none, tmp_path):
@@ -468,7 +580,7 @@ def pages():
     evil = "x" * 900 + "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\nfoo" + "y" * 500
     big = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" * 30000
     rows = [(n, f"http://e/{n}", prose(40 * n)) for n in range(40)] + [(100 + n, "u", evil) for n in range(3)]
-    return [*rows, (200, None, None), (201, "u\r\nWARC-Type: x", "WARC/1.1\r\n" * 3), (202, "v", big), (203, "v", "é" * 600), (204, "v", "é" * 600), (205, "v", "é" * 499), (206, "v", "é" * 499), (None, "w", "z" * 2000), (207, "", "")]
+    return [*rows, (200, None, None), (201, "u\r\nWARC-Type: x", "WARC/1.1\r\n" * 3), (202, "v", big), (203, "v", "é" * 600), (204, "v", "é" * 600), (210, "http://e/" + "q" * 100_000, "z" * 90), (211, "http://e/WARC/1.1", "long head before"), (212, "http://e/a\u2028b c\x85d", "odd"), (205, "v", "é" * 499), (206, "v", "é" * 499), (None, "w", "z" * 2000), (207, "", "")]
 
 
 @pytest.mark.parametrize("split", ["128m", "64k"])
@@ -490,6 +602,42 @@ def test_warc_round_trip(spark, split):
     assert {p: r["refers_to"] for p, r in got.items() if r["record_type"] == "revisit"} == {100: 102, 101: 102, 203: 204}
 
 
+def test_warc_repeated_ids_and_urls(spark):
+    rows = [(1, "a", "x" * 1500), (1, "a", "x" * 1500), (1, "b", "other"), (2, "c", "y" * 1500), (3, "http://e/" + "q" * 70_000, "y" * 1500), (4, "u WARC/1.1", "w"), (5, "l\u2028\x85m", "v")]
+    got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect())
+    want = [(1, "a", "response", None, 1500)] * 2 + [(1, "b", "response", None, 5), (2, "c", "revisit", 3, 1500), (3, rows[4][1], "response", None, 1500), (4, "u%20WARC/1.%31", "response", None, 1), (5, "l%E2%80%A8%C2%85m", "response", None, 1)]
+    assert got == Counter(want)
+
+
+def foreign(n, url, payload):
+    data = payload.encode()
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{n}>\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(data)}\r\n\r\n".encode() + data + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", ["128m", "64k", "3000"])
+def test_warc_of_others_with_magic_in_headers(spark, tmp_path, monkeypatch, split):
+    """Magic lines among the headers, also where a block ends in the midst of them; both ways to join pieces and blocks."""
+    rng, pages = random.Random(3), []
+    for n in range(60):
+        url = rng.choice(["http://e/", "http://e/" + "q" * 2500, "WARC/1.1", "x" * 1400 + "WARC/1.1"])
+        pages.append((n, url, rng.choice(["", "WARC/1.1\r\n" * 40, "\r\n\r\nWARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n", "z" * rng.randrange(4000)])))
+    (tmp_path / "a.warc").write_bytes(b"".join(foreign(*p) for p in pages[:45]))
+    (tmp_path / "b.warc").write_bytes(b"".join(foreign(*p) for p in pages[45:]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        for blocks in (100_000, 0):
+            monkeypatch.setattr(warc, "BROADCAST_BLOCKS", blocks)
+            got = sorted((r["page_id"], r["url"], bytes(r["payload"]).decode()) for r in warc.read(spark, f"file://{tmp_path}").collect())
+            assert got == pages
+        (tmp_path / "c.warc").write_bytes(foreign(99, "u", "cut off")[:-9])
+        with pytest.raises(ValueError, match="c.warc"):
+            warc.read(spark, f"file://{tmp_path}")
+        assert warc.read(spark, f"file://{tmp_path}", strict=False).count() == len(pages)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -503,26 +651,84 @@ def test_warc_same_as_sql(spark, sf):
 # --- language model
 
 
-def test_pseudo_likelihood_is_normalised(docs):
-    ids, counts = lmscore.vocabulary(docs, 12)
-    m = lmscore.Model(ids, counts)
-    base = m.tokens(prose(6))
-    total = 0.0
-    for token in range(1, m.size):
-        changed = base.copy()
-        changed[3] = token
-        padded, starts = lmscore._padded([changed])
-        total += np.exp(m.log_likelihood(padded, np.array([starts[0] + 3]))[0])
-    assert abs(total - 1) < 1e-4
+def small_model(spark, words, others=255):
+    df = spark.createDataFrame([(n, " ".join(words[n * 50 : n * 50 + 50])) for n in range(len(words) // 50)], "doc_id long, text string")
+    counted = lmscore.word_counts(df)
+    return df, counted, lmscore.train(df, counted)
 
 
 def test_probabilities_of_words_sum_to_one(spark):
-    words = [f"w{n}é" for n in range(6000)]
-    df = spark.createDataFrame([(n, " ".join(words[n * 100 : n * 100 + 100])) for n in range(60)], "doc_id long, text string")
-    m = lmscore.train(df)
-    padded, at = np.zeros(5 * len(words) + 4, dtype=np.int64), np.arange(len(words)) * 5 + 2
-    padded[at] = m.tokens(" ".join(words))  # each alone, with the same neighbours
-    assert abs(np.exp(m.log_likelihood(padded, at)).sum() - 1) < 1e-3
+    """Over all words of the corpus, those that share tokens too, each between the same neighbours."""
+    rng = random.Random(5)
+    words = [f"w{n}é" for n in range(6000)] + [f"w{rng.randrange(3000, 6000)}é" for _ in range(4000)]
+    _, counted, m = small_model(spark, words)
+    n = {r["word"]: r["n"] for r in counted.collect()}
+    near = m.tokens("w5900é w1é w2é w5901é")[0]
+    every = sorted(n)
+    padded, at = np.zeros(5 * len(every), dtype=np.int64), np.arange(len(every)) * 5 + 2
+    for k, step in enumerate(lmscore.WINDOW):
+        padded[at + step] = near[k]
+    padded[at] = [m.tokens(w)[0][0] for w in every]
+    logs = m.log_likelihood(padded, at)
+    p = [np.exp(x) * (1 if w.encode() in m.ids else n[w]) for x, w in zip(logs, every, strict=True)]
+    assert abs(sum(p) - 1) < 1e-3
+
+
+def slow_log_likelihood(m, tokens, k):
+    h = np.zeros(lmscore.HIDDEN)
+    for j, step in enumerate(lmscore.WINDOW):
+        h += m.near[j][tokens[k + step] if 0 <= k + step < len(tokens) else lmscore.PAD]
+    h = np.tanh(h)
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    c, w = divmod(int(m.place[tokens[k]]), lmscore.WIDE)
+    return soft(h @ m.out.astype(float) + m.bias)[c] + soft(m.word[c].astype(float) @ h + m.word_bias[c])[w] - m.shared[tokens[k]]
+
+
+def test_scores_like_brute_force(spark, docs):
+    counted = lmscore.word_counts(docs)
+    m = lmscore.train(docs, counted)
+    n = {r["word"].encode(): r["n"] for r in counted.collect()}
+    more = spark.createDataFrame([(900, "the of unseen words über reed"), (901, "x\x1fy z ΟΔΟΣ ΟΔΟΣ.")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lmscore.score(clashing(docs).where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(more), m, counted).collect()}
+    texts = {d: t or "" for d, t, *_ in awkward() if d is not None} | dict(more.collect())
+    assert set(got) == set(texts)
+    for d, t in texts.items():
+        tokens, words = m.tokens(t)[0], t.lower().encode().split()
+        assert got[d]["n_tokens"] == len(words)
+        if len(words) > 1000:
+            continue
+        want = sum(slow_log_likelihood(m, tokens, k) + (0 if w in m.ids else np.log(n.get(w, 1))) for k, w in enumerate(words))
+        assert abs(got[d]["sum_logprob"] - want) < 1e-3 * max(1, abs(want))
+
+
+def test_step_follows_the_gradient():
+    """The change of a parameter has the sign and share of the numeric gradient."""
+    ids = {f"w{n}".encode(): n + 1 for n in range(lmscore.WORDS)}
+    counts = np.r_[0, np.arange(1 + lmscore.WORDS + lmscore.OTHERS - 1, 0, -1.0)]
+    m = lmscore.Model(ids, counts, np.r_[False, np.ones(len(counts) - 1, dtype=bool)])
+    padded, _ = lmscore._padded([np.array([5, 900, 7, 900, 4000, 5, 7])])
+    at = np.flatnonzero(padded)
+    loss = lambda: -m.log_likelihood(padded, at).sum()
+    seen = {}
+    for name, index in (("near", (1, 900)), ("word", divmod(int(m.place[900]), lmscore.WIDE)), ("out", (slice(None), 0)), ("word_bias", divmod(int(m.place[5]), lmscore.WIDE))):
+        part, flat = getattr(m, name), []
+        target = np.atleast_1d(part[index]).shape
+        for k in np.ndindex(*target):
+            spot = index if np.ndim(part[index]) == 0 else (*index, *k) if name != "out" else (k[0], 0)
+            kept = part[spot]
+            part[spot] = kept + 5e-2
+            up = loss()
+            part[spot] = kept - 5e-2
+            flat.append((up - loss()) / 1e-1)
+            part[spot] = kept
+        seen[name] = (index, np.array(flat), part[index].copy())
+    m.start()
+    m.step(padded, at)
+    for name, (index, grad, before) in seen.items():
+        change = np.atleast_1d(before - getattr(m, name)[index])
+        assert (np.sign(change) == np.sign(grad))[np.abs(grad) > 0.05].all(), name
+        if name in ("near", "word"):
+            assert np.corrcoef(change, grad)[0, 1] > 0.99, name
 
 
 def test_training_lowers_the_loss_and_order_counts(spark):
@@ -530,19 +736,37 @@ def test_training_lowers_the_loss_and_order_counts(spark):
     cycle = ["a", "b", "c", "d", "e", "f"]
     texts = [" ".join(cycle[(s + k) % 6] for k in range(60)) for s in range(6) for _ in range(60)]
     df = spark.createDataFrame([(n, t, None, None, None) for n, t in enumerate(texts)], DOCS).repartition(2)
-    m = lmscore.train(df)
-    fresh = lmscore.Model(*lmscore.vocabulary(df))
+    counted = lmscore.word_counts(df)
+    m, fresh = lmscore.train(df, counted), lmscore.Model(*lmscore.lexicon(counted))
+    # words of one class and of equal counts are told apart by their neighbours
+    assert len({int(m.place[m.ids[w.encode()]]) // lmscore.WIDE for w in cycle}) == 1
     shuffled = texts[0].split()
     rng.shuffle(shuffled)
     test = spark.createDataFrame([(0, texts[0]), (1, " ".join(shuffled)), (2, None), (3, " ")], "doc_id long, text string")
-    good, start = ({r["doc_id"]: r for r in lmscore.score(test, x).collect()} for x in (m, fresh))
+    good, start = ({r["doc_id"]: r for r in lmscore.score(test, x, counted).collect()} for x in (m, fresh))
     assert good[0]["mean_logprob"] > start[0]["mean_logprob"] + 0.3 and good[0]["mean_logprob"] > good[1]["mean_logprob"] + 0.3
     assert good[2]["mean_logprob"] is None and good[3]["sum_logprob"] == 0 and good[0]["n_tokens"] == 60
 
 
+def test_arrays_are_added_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "FAN", 3)
+    rows = [(bytearray(np.full(5, float(n)).tobytes()), n) for n in range(1, 24)]
+    got = lmscore._summed(spark.createDataFrame(rows, "v binary, n long").repartition(7), 5).collect()
+    assert len(got) == 1 and got[0]["n"] == 276 and np.frombuffer(got[0]["v"]).tolist() == [276.0] * 5
+
+
+def test_documents_that_occur_twice_score_higher(spark):
+    """Texts of rare words, some of them twice in the corpus: their words' counts tell."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) if k % 2 else f"r{rng.getrandbits(40):x}" for k in range(80)) for _ in range(300)]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts + texts[:30])], "doc_id long, text string").repartition(3)
+    mean = {r["doc_id"]: r["mean_logprob"] for r in lmscore.pseudo_likelihood(df).collect()}
+    assert min(mean[n] for n in range(30)) > max(mean[n] for n in range(30, 300))
+
+
 def test_lm_awkward_and_empty(docs, none):
     rows = lmscore.pseudo_likelihood(clashing(docs)).collect()
-    assert len(rows) == len(awkward()) and all(r["sum_logprob"] <= 0 for r in rows)
+    assert len(rows) == len(awkward()) and all(r["sum_logprob"] <= 1e-6 for r in rows)
     assert lmscore.pseudo_likelihood(none).count() == 0
 
 
@@ -573,6 +797,69 @@ def test_mix_meets_entropy(spark):
     assert {r["passes"] for r in mixing.weights(counts, None, 5.0).collect()} != {1.0}
 
 
+def test_mix_passes_sources_without_tokens_once(spark):
+    rows = [(n, "a b c", "en", "full", 0) for n in range(40)] + [(100 + n, t, "en", s, 0) for n, (t, s) in enumerate([("", "bare"), (None, "bare"), (" ", "bare"), ("", None), ("\n", "bare")])]
+    rows += [(200, "one", "en", "rare", 0), (201, "", "en", "rare", 0), (202, None, "en", "full", 0)]
+    got = Counter(r["doc_id"] for r in mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3), limit=3.0).collect())
+    assert all(got[n] == 1 for n in [*range(100, 105), 202]) and got[200] == 3 and all(got[n] == 1 for n in range(40))
+    only = spark.createDataFrame([(n, "", "en", "bare", 0) for n in range(5)], DOCS)
+    assert mixing.mix(only).count() == 5
+
+
+def spark_hash(*values):
+    """Spark's chained 64-bit hash of longs, ints and strings."""
+    h = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else v.item().to_bytes(v.nbytes, "little", signed=True)
+        h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def slow_mix(rows, limit, block_rows, seed=mixing.SEED):
+    """{(doc_id, epoch): block} of rows (doc_id, text, source), no source being null."""
+    i, ln = np.int32, np.int64
+    tokens = {d: len(re.findall(r"[^ \t\n\x0B\f\r]+", t)) for d, t, _ in rows}
+    by = defaultdict(list)
+    for d, t, s in rows:
+        by[s].append((spark_hash(ln(d), t), d))
+    share = {s: sum(tokens[d] for _, d in x) for s, x in by.items()}
+    total = sum(share.values())
+    share = {s: n / total for s, n in share.items()}
+    low, high = 0.0, 1.0
+    passes = lambda a: {s: (p / max(share.values())) ** (a - 1) for s, p in share.items()}
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if max(passes(mid).values()) <= limit else (mid, high)
+    out = {}
+    for s, docs in by.items():
+        r = round(passes(0.0 if max(passes(0.0).values()) <= limit else high)[s], 9)
+        blocks, last = -(-len(docs) // block_rows), int(r)
+        budget = round((r - last) * sum(tokens[d] for _, d in docs))
+        of = lambda h: spark_hash(ln(h), i(seed)) % blocks  # noqa: B023, E731
+        for e in range(last):
+            out |= {(d, e): (of(h) + spark_hash(i(e), i(seed))) % blocks for h, d in docs}
+        held = {b: [x for x in docs if of(x[0]) == b] for b in range(blocks)}
+        order = sorted((b for b in held if held[b]), key=lambda b: (spark_hash(i(b), i(last), i(seed)), b))
+        for place, b in enumerate(order):
+            if budget <= 0:
+                break
+            left = budget
+            for h, d in sorted(held[b], key=lambda x: (spark_hash(ln(x[0]), i(seed), i(last)), x[0])):
+                left -= tokens[d]
+                if left < 0:
+                    break
+                out[d, last] = place
+            budget -= sum(tokens[d] for _, d in held[b])
+    return out
+
+
+def test_mix_like_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(n, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["a"] * 20 + ["b"] * 5 + ["c"])) for n in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), limit=2.7, block_rows=16).collect()
+    assert {(r["doc_id"], r["mix_epoch"]): r["mix_block"] for r in got} == slow_mix(rows, 2.7, 16) and len(got) == len({(r["doc_id"], r["mix_epoch"]) for r in got})
+
+
 def test_mix_awkward_and_empty(docs, none):
     rows = mixing.mix(clashing(docs)).collect()
     assert {r["doc_id"] for r in rows} == {d for d, *_ in awkward()} and all(r["fp"] == "x" for r in rows)
@@ -617,6 +904,46 @@ def test_fuzzy_notices_report_spans():
     assert s.scan(prose(3000))["spans"] == []
 
 
+def test_notices_back_to_back_have_a_span_each():
+    s, notice = licenses.Scanner(), "released under the mit license"
+    for gap in (" ", " and ", " " + prose(9) + " "):
+        assert [x["label"] for x in s.scan(gap.join([notice] * 3))["spans"]] == ["mit-notice"] * 3
+    got = s.scan("relxased undor the mit license " + notice)
+    assert [x["edits"] for x in got["spans"]] == [2, 0] and got["score"] > 0.9
+
+
+def least_edits(notice, text):
+    """Fewest edits that turn the notice into some stretch of the text."""
+    row = [0] * (len(text) + 1)
+    for k, a in enumerate(notice, 1):
+        new = [k]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)
+
+
+def test_fuzzy_search_like_brute_force():
+    s, rng = licenses.Scanner(), random.Random(6)
+    for notice, label in list(licenses.NOTICES.items())[::3]:
+        for edits in range(licenses.errors_allowed(notice) + 3):
+            chars = list(notice)
+            for _ in range(edits):
+                k = rng.randrange(len(chars))
+                chars[k : k + 1] = rng.choice([[], [rng.choice("qxz")], [chars[k], rng.choice("qxz")]])
+            joined = " ".join(licenses.words(prose(12) + " " + "".join(chars) + " " + prose(12)))
+            got = [x for x in s.scan(joined)["spans"] if x["label"] == label]
+            least = least_edits(notice, f" {joined} ")
+            assert bool(got) == (least <= licenses.errors_allowed(notice))
+            if got:
+                assert min(x["edits"] for x in got) == least
+
+
+def test_query_returns_spans(spark, sf):
+    rows = queries.op10_licenses(spark, sf).collect()
+    assert any(r["spans"] for r in rows) and all(r["spans"] or r["labels"] == r["base_labels"] for r in rows)
+
+
 def test_licenses_empty(none):
     assert licenses.scan(none).count() == 0
 
@@ -645,5 +972,31 @@ def test_pipeline_stages(spark, sf):
     assert check_pieces(rows, {d: texts[d] for d in left}) < 0.03
 
 
+def test_one_of_each_goes_by_row(spark, none):
+    rng = random.Random(2)
+    a, b, c = (" ".join(f"{rng.choice(WORDS)}{rng.randrange(300)}" for _ in range(120)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, a + " end"), (5, b), (5, a), (None, b), (None, c), (None, c), (8, None), (9, ""), (10, "x" * 50_000)]
+    df = spark.createDataFrame([(d, t, "en", None, 0) for d, t in rows], DOCS).withColumn("kept", F.lit("x")).withColumn("copy", F.lit("y")).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, df, "").collect())
+    assert got == Counter([(1, a), (5, b), (None, c), (8, None), (10, "x" * 50_000)])
+
+
+@pytest.mark.parametrize("stage", ["near_duplicates", "mixture", "packing"])
+def test_stages_on_awkward_rows(spark, docs, none, stage):
+    f = dict(corpus_pipeline.STAGES)[stage]
+    assert f(spark, none, "").count() == 0
+    got = f(spark, clashing(docs), "").collect()
+    texts = {d: t or "" for d, t, *_ in awkward()}
+    if stage == "near_duplicates":
+        assert len(got) == len({(r["doc_id"], r["text"]) for r in got}) and {r["text"] or "" for r in got} <= set(texts.values()) and len(got) >= 18
+    else:
+        assert {r["doc_id"] for r in got} == set(texts)
+
+
+def test_quality_stage_on_awkward_rows(spark, docs, none, sf):
+    f = dict(corpus_pipeline.STAGES)["quality"]
+    assert f(spark, none, sf).count() == 0 and f(spark, clashing(docs), sf).columns == corpus_pipeline.COLUMNS
+
+
 def test_pipeline_runs(spark, sf):
     assert queries.QUERIES["pipeline"](spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
