@@ -23,10 +23,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (five-word shingles, likeness 0.8) the smallest doc_id. Rows without doc_id stay."""
-    classes = simhash.near_copies(docs)
-    gone = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.select(*COLUMNS).join(bounded(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Of each class of near copies (five-word shingles, likeness 0.8) one row: that of the smallest doc_id, ids that are null last.
+
+    Rows go by id and text: of two texts with one doc_id only the copy goes, and of a row that repeats one stays.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(*COLUMNS, F.xxhash64(text).alias("copy"), F.octet_length(text).cast("long").alias("length"))
+    classes = written(simhash.near_copies(docs).groupBy("doc_id", "copy", "length").agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "classes")
+    gone = written(classes.where("not kept").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")), "gone")
+    again = written(classes.where("kept and n > 1").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")), "again")
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("copy") == F.col("_copy"))
+    left = rows.join(bounded(gone.unionByName(again)), on, "left_anti")
+    once = rows.join(bounded(again), on, "left_semi").dropDuplicates(["doc_id", "copy", "length"])
+    return left.unionByName(once).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
