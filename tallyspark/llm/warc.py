@@ -135,8 +135,9 @@ def _survey(batches):
     def rows():
         inside = {s: k for k, s in enumerate(starts)}
         for k in range(len(starts) - 1, -1, -1):
-            if leaves[k] in inside:
-                leaves[k] = leaves[inside[leaves[k]]]
+            beyond = leaves[inside[leaves[k]]] if leaves[k] in inside else None
+            if beyond is not None:
+                leaves[k] = beyond
         n, unended = len(starts), dict(told) | dict.fromkeys(bare)
         columns = [[last[0]] * (n + 1), [last[1]] * (n + 1), [*starts, None], [*leaves, size], [*(k in unended for k in range(n)), False], [*map(unended.get, range(n)), open_length], [None] * n + [open_end]]
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
