@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decisions, flows, ledger, lists, proofs, texts
+from .plans import decisions, flows, ledger, lists, pairing, parties, proofs, texts, worklists
 
 FLAGSHIP = "list_query_page"
-MODULES = (lists, ledger, decisions, texts, flows, proofs)
+MODULES = (lists, ledger, pairing, parties, worklists, decisions, texts, flows, proofs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

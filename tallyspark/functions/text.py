@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-#: Accented letters that are folded, and their base letters (fixed values).
-ACCENTED = "áàâäãåéèêëíìîïóòôöõőúùûüűçñýÿßœæ"
-PLAIN = "aaaaaaeeeeiiiioooooouuuuucnyysoa"
 #: How strongly a letter's accent counts between equal base letters (fixed values).
 ACCENT_RANKS = ("áéíóú", "öü", "őű")
 
 
-def fold(x: Column) -> Column:
-    """For search: lower case without accents, over the letters of ACCENTED."""
-    return F.translate(F.lower(x.cast("string")), ACCENTED, PLAIN)
-
+@functools.cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """What case-folding, compatibility decomposition and dropping of combining marks make of single characters.
+
+    Made from the Unicode data: characters and what each becomes (those that vanish last), and those that become several.
+    Hangul syllables stay whole.
+    """
+    one, gone, several = [], [], {}
+    for code in range(0x20, 0x20000):
+        c = chr(code)
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+            continue
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+        if folded == c:
+            continue
+        if len(folded) == 1:
+            one.append((c, folded))
+        elif folded:
+            several[c] = folded
+        else:
+            gone.append(c)
+    return "".join(c for c, _ in one) + "".join(gone), "".join(f for _, f in one), several
 
-@pandas_udf(T.StringType())
-def fold_any(x):
-    """For search in any script: case-folded, decomposed, without combining marks."""
-    import unicodedata
 
-    def one(s):
-        return None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
+def fold(x: Column) -> Column:
+    """For search: case-folded, decomposed, without combining marks, in any script. Built-in functions only.
 
-    return x.map(one)
+    Plain ASCII text is only lower-cased; the characters that become several (as in ﬁ or ß) are replaced where a text has any.
+    """
+    s = x.cast("string")
+    matching, replacing, several = _folding()
+    table = F.create_map(*[F.lit(v) for pair in several.items() for v in pair])
+    some = "[" + "".join(several) + "]"
+    spelt = F.when(s.rlike(some), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")).otherwise(s)
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(spelt, matching, replacing)).otherwise(F.lower(s))
 
 
 def is_empty(x: Column, kind: str = "string") -> Column:
@@ -79,6 +100,27 @@ def has_words(text: Column, words: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), words, F.lit(" "))) & (words != "")
 
 
+def number_in(number: Column, text: Column, least: int = 4, least_compact: int = 6) -> Column:
+    """Whether a document's number stands in a text: as whole words, or, if it is long enough, with no regard to separators."""
+    n, bare = normalize(number), compact(number)
+    return F.coalesce((F.length(bare) >= least) & (has_words(normalize(text), n) | ((F.length(bare) >= least_compact) & F.contains(compact(text), bare))), F.lit(False))
+
+
+#: Marks of accents as typesetters write them, and the letters they make (fixed values).
+TYPESET = {"\\'a": "á", "\\'e": "é", "\\'i": "í", "\\'o": "ó", "\\'u": "ú", '\\"o': "ö", '\\"u': "ü", "\\H{o}": "ő", "\\H{u}": "ű", '\\"a': "ä", "\\ss": "ß"}
+#: Signs that stand where a font lost a letter, and the letters (fixed values).
+LOST = {"õ": "ő", "û": "ű", "Õ": "Ő", "Û": "Ű", "\ufffd": ""}
+
+
+def repaired(x: Column) -> Column:
+    """Lost letters, typeset accents and dashes as they should be."""
+    for mark, letter in TYPESET.items():
+        x = F.replace(x, F.lit(mark), F.lit(letter))
+    for sign, letter in LOST.items():
+        x = F.replace(x, F.lit(sign), F.lit(letter))
+    return normalize_dashes(x)
+
+
 def name_share(words: Column, others: Column) -> Column:
     """The share of a name's words that another name has."""
     return F.when(F.size(words) > 0, F.size(F.array_intersect(words, others)) / F.size(F.array_distinct(words))).otherwise(F.lit(0.0))

@@ -16,13 +16,22 @@ def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end
 
 
 def covered(wanted: DataFrame, periods: DataFrame, keys: list[str], ident: str, start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, ident, covered): full, partial or none, by merged periods. Keys join by equality; the rest is compared."""
-    p = periods.select(*keys, F.col(start).alias("_ps"), F.col(end).alias("_pe"))
-    both = wanted.join(p, keys, "left")
-    full = (F.col("_ps") <= F.col(start)) & (F.col(end) <= F.col("_pe"))
-    some = (F.col("_ps") <= F.col(end)) & (F.col(start) <= F.col("_pe"))
-    state = F.max(F.when(full, 2).when(some, 1).otherwise(0))
-    return both.groupBy(*keys, ident).agg(state.alias("_s")).select(*keys, ident, F.when(F.col("_s") == 2, "full").when(F.col("_s") == 1, "partial").otherwise("none").alias("covered"))
+    """(keys, ident, covered): full, partial or none, by merged periods (which do not overlap).
+
+    A wanted period is full if the last period that begins on or before its start ends with it or later, and partial if the last one that
+    begins on or before its end ends on or after its start. Both are found by one window over each key's days, so a key's wanted and
+    merged periods do not meet pairwise.
+    """
+    none = F.lit(None).cast("date")
+    rows = wanted.select(*keys, F.col(ident).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"))
+    events = periods.select(*keys, F.col(start).alias("_day"), F.col(end).alias("_pe"), F.lit(None).cast(dict(wanted.dtypes)[ident]).alias("_id"), none.alias("_s"), none.alias("_e"), F.lit(0).alias("_at"))
+    asked = rows.select(*keys, F.explode(F.array(F.struct(F.col("_s").alias("_day"), F.lit(1).alias("_at")), F.struct(F.col("_e").alias("_day"), F.lit(2).alias("_at")))).alias("_x"), "_id", "_s", "_e")
+    events = events.unionByName(asked.select(*keys, "_x._day", none.alias("_pe"), "_id", "_s", "_e", "_x._at"))
+    last = F.last("_pe", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_day", F.col("_at") > 0).rowsBetween(Window.unboundedPreceding, 0))
+    seen = events.withColumn("_last", last).where("_at > 0")
+    full, some = F.max((F.col("_at") == 1) & (F.col("_last") >= F.col("_e"))), F.max((F.col("_at") == 2) & (F.col("_last") >= F.col("_s")))
+    got = seen.groupBy(*keys, F.col("_id").alias(ident)).agg(full.alias("_f"), some.alias("_p"))
+    return got.select(*keys, ident, F.when(F.col("_f"), "full").when(F.col("_p"), "partial").otherwise("none").alias("covered"))
 
 
 def month_range_join(left: DataFrame, right: DataFrame, keys: list[str], day: str, lo: str, hi: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 A pair is a candidate only if something ties it: the line's text names the invoice's number, it goes to the partner's account, or
 (for a person to see) the amounts are equal. So pairs are found by equality joins on these ties, and the window, the side and the
-currency are tested on what they yield; lines and invoices never meet as a product.
+currency are tested on what they yield; lines and invoices never meet as a product. Accounts and amounts tie only within a
+month of the invoice's window, so that neither a partner's long history nor a common amount makes pairs of all its years.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.staging import written
 from .graph import components
 
 
@@ -40,9 +43,10 @@ def candidates(invoices: DataFrame, lines: DataFrame, rules: Rules = Rules()) ->
     lo, hi = window(rules)
     inv = invoices.select("invoice_id", text.normalize(F.col("number")).alias("number"), F.col("partner").cast("string").alias("partner"), (F.col("side") == "outgoing").alias("incoming_money"), "currency", F.col("amount").alias("whole"), "issue_date", lo.alias("lo"), hi.alias("hi"))
     pay = lines.select("line_id", text.normalize(F.col("memo")).alias("memo"), F.col("account").cast("string").alias("account"), (F.col("direction") == "credit").alias("incoming_money"), "currency", F.col("amount").alias("paid"), "booking_date")
-    money = F.concat_ws("|", F.lit("amount"), "currency", F.col("whole").cast("string"))
-    inv_keys = F.array_compact(F.array(F.concat(F.lit("number|"), F.regexp_extract("number", "([^ ]+)$", 1)), F.concat(F.lit("account|"), F.col("partner")), money))
-    pay_keys = F.array_compact(F.array_union(F.transform(F.filter(F.array_distinct(F.split("memo", " ")), lambda w: w.rlike("[0-9]")), lambda w: F.concat(F.lit("number|"), w)), F.array(F.concat(F.lit("account|"), F.col("account")), F.concat_ws("|", F.lit("amount"), "currency", F.col("paid").cast("string")))))
+    months = F.sequence(F.trunc("lo", "MM"), F.trunc("hi", "MM"), F.expr("interval 1 month"))
+    monthly = lambda kind, month, value: F.concat(F.lit(kind), F.date_format(month, "yyyyMM"), F.lit("|"), value.cast("string"))
+    inv_keys = F.array_compact(F.concat(F.array(F.concat(F.lit("number|"), F.regexp_extract("number", "([^ ]+)$", 1))), F.transform(months, lambda m: monthly("account|", m, F.col("partner"))), F.transform(months, lambda m: monthly("amount|", m, F.col("whole")))))
+    pay_keys = F.array_compact(F.array_union(F.transform(F.filter(F.array_distinct(F.split("memo", " ")), lambda w: w.rlike("[0-9]")), lambda w: F.concat(F.lit("number|"), w)), F.array(monthly("account|", F.col("booking_date"), F.col("account")), monthly("amount|", F.col("booking_date"), F.col("paid")))))
     both = inv.withColumn("tie", F.explode(inv_keys)).join(pay.withColumn("tie", F.explode(pay_keys)), ["tie", "incoming_money", "currency"])
     pairs = both.where("booking_date between lo and hi").drop("tie").dropDuplicates(["line_id", "invoice_id"])
     named = text.has_words(F.col("memo"), F.col("number"))
@@ -126,9 +130,14 @@ def credited(invoices: DataFrame, notes: DataFrame, paid: DataFrame) -> DataFram
 
     def fold(pdf):
         taken, out = set(), []
-        inv = pdf[pdf.kind == "i"]
+        inv = list(pdf[pdf.kind == "i"].sort_values(["day", "id"]).itertuples())
         for note in pdf[pdf.kind == "n"].sort_values("id").itertuples():
-            fits = [r for r in inv.itertuples() if r.id not in taken and r.day <= note.day]
+            fits = []
+            for r in inv:  # two that fit are enough to know: at most the taken ones and two more are looked at
+                if r.day > note.day or len(fits) == 2:
+                    break
+                if r.id not in taken:
+                    fits.append(r)
             if len(fits) == 1 and not fits[0].paid:
                 taken.add(fits[0].id)
                 out.append((fits[0].id, note.id))
@@ -139,13 +148,16 @@ def credited(invoices: DataFrame, notes: DataFrame, paid: DataFrame) -> DataFram
     return a.unionByName(b).groupBy(*keys).applyInPandas(fold, "invoice_id long, note_id long")
 
 
-def statuses(invoices: DataFrame, pairs: DataFrame, paid: DataFrame, cancelled: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(invoice_id, status) by a fixed ladder. paid(invoice_id, paid), cancelled(invoice_id), coverage(invoice_id, covered)."""
+def statuses(invoices: DataFrame, pairs: DataFrame, paid: DataFrame, cancelled: DataFrame, coverage: DataFrame, excluded: DataFrame | None = None, no_rate: DataFrame | None = None) -> DataFrame:
+    """(invoice_id, status) by a fixed ladder. paid(invoice_id, paid), cancelled(invoice_id), coverage(invoice_id, covered),
+    excluded(invoice_id), no_rate(invoice_id): a line of another currency could be its payment, but no rate is known."""
     per = pairs.groupBy("invoice_id").agg(F.max("proposed").alias("proposed"), F.max("amount_only").alias("amount_only"), F.lit(True).alias("any"))
-    rows = invoices.select("invoice_id", "amount").join(per, "invoice_id", "left").join(paid, "invoice_id", "left").join(cancelled.select("invoice_id", F.lit(True).alias("cancelled")), "invoice_id", "left").join(coverage, "invoice_id", "left")
+    rows = invoices.select("invoice_id", "amount").join(per, "invoice_id", "left").join(paid, "invoice_id", "left").join(coverage, "invoice_id", "left")
+    for name, df in (("cancelled", cancelled), ("excluded", excluded), ("no_rate", no_rate)):
+        rows = rows.withColumn(name, F.lit(None).cast("boolean")) if df is None else rows.join(df.select("invoice_id", F.lit(True).alias(name)).distinct(), "invoice_id", "left")
     status = (
-        F.when(F.col("paid") >= F.col("amount"), "confirmed").when(F.col("cancelled"), "credited").when(F.col("proposed"), "proposed").when(F.col("amount_only"), "amount_only")
-        .when(F.col("paid") > 0, "partly_paid").when(F.col("any"), "amount_differs").when(F.col("covered") == "full", "no_payment_found").when(F.col("covered") == "partial", "partly_covered").otherwise("not_covered")
+        F.when(F.col("excluded"), "excluded").when(F.col("paid") >= F.col("amount"), "confirmed").when(F.col("cancelled"), "credited").when(F.col("proposed"), "proposed").when(F.col("amount_only"), "amount_only")
+        .when(F.col("paid") > 0, "partly_paid").when(F.col("any"), "amount_differs").when(F.col("no_rate"), "rate_missing").when(F.col("covered") == "full", "no_payment_found").when(F.col("covered") == "partial", "partly_covered").otherwise("not_covered")
     )
     return rows.select("invoice_id", status.alias("status"))
 
@@ -156,32 +168,56 @@ def repeats(pairs: DataFrame) -> DataFrame:
     return full.groupBy("invoice_id").agg(F.sort_array(F.collect_set("line_id")).alias("l")).where(F.size("l") >= 2).select("invoice_id", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("lines"))
 
 
-def preselect(invoices: DataFrame, lines: DataFrame, k: int = 3, share: str = "0.10") -> DataFrame:
-    """(line_id, rank, invoice_id): for each line its partner's invoices by relative gap of amounts, then issue date and id."""
-    both = lines.select("line_id", F.col("account").alias("partner"), F.col("amount").alias("paid")).join(invoices.select("invoice_id", "partner", F.col("amount").alias("whole"), "issue_date"), "partner")
+def preselect(invoices: DataFrame, lines: DataFrame, k: int = 3, share: float = 0.10) -> DataFrame:
+    """(line_id, rank, invoice_id): for each line its partner's invoices by relative gap of amounts, then issue date and id.
+
+    Amounts that lie within the share of each other meet in the same or a neighbouring step of their logarithm, so a partner's lines
+    and invoices do not meet pairwise.
+    """
+    step = lambda c: F.floor(F.ln(F.col(c).cast("double")) / F.lit(-math.log(1 - share) * 1.0001)).cast("long")
+    pay = lines.where("amount > 0").select("line_id", F.col("account").alias("partner"), F.col("amount").alias("paid"), step("amount").alias("_at"))
+    inv = invoices.where("amount > 0").select("invoice_id", "partner", F.col("amount").alias("whole"), "issue_date", step("amount").alias("_step"))
+    inv = inv.withColumn("_at", F.explode(F.array(*[F.col("_step") + d for d in (-1, 0, 1)]))).drop("_step")
+    both = pay.join(inv, ["partner", "_at"])
     gap = F.abs(F.col("paid") - F.col("whole"))
-    near = both.where(gap <= F.col("whole") * F.lit(share).cast("decimal(4,2)")).withColumn("gap", F.round(gap / F.col("whole"), 6))
+    near = both.where(gap <= F.col("whole") * F.lit(str(share)).cast("decimal(4,2)")).withColumn("gap", F.round(gap / F.col("whole"), 6))
     rank = F.row_number().over(Window.partitionBy("line_id").orderBy("gap", "issue_date", "invoice_id"))
     return near.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("line_id", "rank", "invoice_id")
 
 
 def overview(pairs: DataFrame, invoices: DataFrame, lines: DataFrame) -> DataFrame:
-    """(component, lines, invoices, kind, late): what belongs together through proposed pairs."""
+    """(component, lines, invoices, kind, late): what belongs together through proposed pairs, named by its smallest invoice.
+
+    Nodes are numbers: an invoice its id doubled, a line its id doubled and one. A pair whose line and invoice are in no other pair is
+    a component at once; only the rest is contracted.
+    """
     p = pairs.where("proposed").select("line_id", "invoice_id")
-    node = lambda prefix, c: F.concat(F.lit(prefix), F.lpad(F.col(c).cast("string"), 12, "0"))
-    roots = components(p.select(node("i", "invoice_id").alias("a"), node("l", "line_id").alias("b")))
-    dated = p.join(invoices.select("invoice_id", "due_date"), "invoice_id").join(lines.select("line_id", "booking_date"), "line_id")
-    late = dated.select(node("i", "invoice_id").alias("node"), (F.col("booking_date") > F.col("due_date")).alias("late"), "line_id", "invoice_id").join(roots, "node")
-    g = late.groupBy(F.col("root").alias("component")).agg(F.countDistinct("line_id").alias("lines"), F.countDistinct("invoice_id").alias("invoices"), F.max("late").alias("late"))
+    alone = (F.count("*").over(Window.partitionBy("line_id")) == 1) & (F.count("*").over(Window.partitionBy("invoice_id")) == 1)
+    marked = written(p.withColumn("alone", alone), "pairs")
+    node = F.col("invoice_id") * 2
+    roots = components(marked.where("not alone").select(node.alias("a"), (F.col("line_id") * 2 + 1).alias("b")))
+    several = marked.where("not alone").withColumn("node", node).join(roots, "node").select("line_id", "invoice_id", "root")
+    rooted = marked.where("alone").select("line_id", "invoice_id", node.alias("root")).unionByName(several)
+    dated = rooted.join(invoices.select("invoice_id", "due_date"), "invoice_id").join(lines.select("line_id", "booking_date"), "line_id")
+    g = dated.groupBy("root").agg(F.min("invoice_id").alias("component"), F.countDistinct("line_id").alias("lines"), F.countDistinct("invoice_id").alias("invoices"), F.max(F.col("booking_date") > F.col("due_date")).alias("late"))
     kind = F.when((F.col("lines") == 1) & (F.col("invoices") == 1), "single").when(F.col("lines") == 1, "combined").when(F.col("invoices") == 1, "split").otherwise("mixed")
     return g.select("component", "lines", "invoices", kind.alias("kind"), "late")
 
 
 def nearest_anchor(lines: DataFrame, invoices: DataFrame, on: list[str]) -> DataFrame:
-    """(line_id, invoice_id): each line with the invoice of its key whose due (else issue) day is nearest; ties to the smaller id."""
-    both = lines.join(invoices, on)
-    far = F.abs(F.datediff("booking_date", F.coalesce("due_date", "issue_date")))
-    return both.groupBy("line_id").agg(F.min_by("invoice_id", F.struct(far, "invoice_id")).alias("invoice_id"))
+    """(line_id, invoice_id): each line with the invoice of its key whose due (else issue) day is nearest; ties to the smaller id.
+
+    Of a day's invoices only the smallest id can win; the last day before and the first day after a line are found by windows over days, so
+    lines and invoices of a key do not meet pairwise.
+    """
+    day = F.coalesce("due_date", "issue_date")
+    anchors = invoices.groupBy(*on, day.alias("day")).agg(F.min("invoice_id").alias("id")).where("day is not null")
+    none = F.lit(None).cast("long")
+    events = anchors.select(*on, "day", F.struct("day", "id").alias("anchor"), none.alias("line_id")).unionByName(lines.where("booking_date is not null").select(*on, F.col("booking_date").alias("day"), F.lit(None).cast(anchors.select(F.struct("day", "id")).schema[0].dataType).alias("anchor"), F.col("line_id").cast("long").alias("line_id")))
+    last = lambda order: F.last("anchor", ignorenulls=True).over(Window.partitionBy(*on).orderBy(order, F.col("line_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    rows = events.withColumn("before", last(F.col("day"))).withColumn("after", last(F.desc("day"))).where("line_id is not null")
+    far = lambda side: F.when(F.col(side).isNotNull(), F.struct(F.abs(F.datediff("day", F.col(f"{side}.day"))).alias("far"), F.col(f"{side}.id").alias("id")))
+    return rows.select("line_id", F.least(far("before"), far("after"))["id"].alias("invoice_id")).where("invoice_id is not null")
 
 
 def learned_names(confirmed: DataFrame, least: int = 2) -> DataFrame:

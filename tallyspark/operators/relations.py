@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in the order given (end it with a unique column)."""
@@ -74,3 +76,30 @@ def semi(df: DataFrame, other: DataFrame, on) -> DataFrame:
 
 def anti(df: DataFrame, other: DataFrame, on) -> DataFrame:
     return df.join(other, on, "left_anti")
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, word: str, least: int = 5, prefix_share: float = 0.6, ratio: float = 0.85) -> DataFrame:
+    """(a, b): all pairs of different words that text.fuzzy_word accepts, without comparing all with all.
+
+    Where one word begins the other, they meet on the beginning: the shorter one whole, the longer one's beginnings of every length.
+    Words of a ratio of 0.85 or more and lengths that differ by 2 at most share a run of letters: two if one has up to 7 letters (7 and 7
+    with 6 in common leave at most three blocks, and so on), three beyond. They meet on such runs; an edit distance that the ratio
+    allows is asked for before the ratio itself.
+    """
+    a, b = (df.select(F.col(word).alias(c)).where(F.length(c) >= 1).distinct() for df, c in ((left, "a"), (right, "b")))
+    begins = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.left(c, n)))
+    # a begins b
+    found = a.withColumn("k", F.col("a")).join(b.withColumn("k", begins(F.col("b"))), "k").select("a", "b")
+    # b begins a and holds enough of it
+    shorter = b.where(F.length("b") >= least).withColumn("k", F.col("b")).join(a.withColumn("k", begins(F.col("a"))), "k")
+    found = found.unionByName(shorter.where(F.length("b") >= prefix_share * F.length("a")).select("a", "b"))
+
+    def runs(c):
+        of = lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
+        none = F.array().cast("array<string>")
+        return F.explode(F.array_distinct(F.concat(F.when(F.length(c) <= 9, of(2)).otherwise(none), F.when(F.length(c) >= 8, of(3)).otherwise(none))))
+
+    near = a.where(F.length("a") >= least).withColumn("k", runs(F.col("a"))).join(b.where(F.length("b") >= least).withColumn("k", runs(F.col("b"))), "k")
+    near = near.where(F.abs(F.length("a") - F.length("b")) <= 2).where(F.levenshtein("a", "b") <= (1 - ratio) * (F.length("a") + F.length("b")) + 1e-9).select("a", "b").distinct()
+    near = near.where(text.likeness(F.col("a"), F.col("b")) >= ratio)
+    return found.unionByName(near).where("a <> b").distinct()

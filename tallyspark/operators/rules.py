@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import written
 
 def holds(op: str, have: Column, want: Any, is_list: bool = False) -> Column:
     """One comparison; a list of codes is compared as a set. Null where the fact is missing, but for present and absent."""
@@ -94,9 +95,9 @@ def choice_band(confidence: Column, probabilities: Column | None = None, human:
 
 
 def longest_prefix(df: DataFrame, site: str, bands: DataFrame, prefix: str) -> DataFrame:
-    """df with the band whose prefix is the longest that begins the site's name (bands: a small table of settings)."""
+    """df with the band whose prefix is the longest that begins the site's name ."""
     sites = df.select(site).distinct()
-    hit = sites.join(F.broadcast(bands), F.col(site).startswith(F.col(prefix)))
+    hit = sites.select(site, F.explode(F.transform(F.sequence(F.lit(0), F.length(site)), lambda n: F.left(site, n))).alias("_begins")).join(bands.withColumn("_begins", F.col(prefix)), "_begins").drop("_begins")
     best = hit.groupBy(site).agg(F.max_by(prefix, F.length(prefix)).alias(prefix))
     return df.join(best, site, "left")
 
@@ -167,23 +168,30 @@ class Tariff:
         return sums.select("policy", F.when(open_, F.col("subtotal").cast("decimal(18,2)")).alias("subtotal"), F.when(open_, total).alias("total"), (open_ & (round_to(F.col("subtotal"), self.total_unit) < F.lit(Decimal(self.minimum)))).alias("minimum_applied"), "blocked")
 
 
-def inherited(units: DataFrame, facts: DataFrame, depth: int = 3) -> DataFrame:
-    """(unit_id, name, value): what each unit sees: its own facts over its ancestors'. depth: the levels of the tree."""
-    up = units.select(F.col("unit_id").alias("unit"), F.col("unit_id").alias("at"), F.lit(0).alias("depth"))
-    every, parents = up, units.select(F.col("unit_id").alias("at"), "parent_id")
-    for n in range(1, depth):
-        up = up.join(parents, "at").where("parent_id is not null").select("unit", F.col("parent_id").alias("at"), F.lit(n).alias("depth"))
+def inherited(units: DataFrame, facts: DataFrame) -> DataFrame:
+    """(unit_id, name, value): what each unit sees: its own facts over its ancestors', however deep the tree. A unit that is its own
+    ancestor (a tree with a cycle) is refused."""
+    parents = written(units.select(F.col("unit_id").alias("at"), "parent_id"), "units")
+    up = parents.select(F.col("at").alias("unit"), "at", F.lit(0).alias("depth"))
+    every, depth, most = up, 0, parents.count()
+    while True:
+        depth += 1
+        up = written(up.join(parents, "at").where("parent_id is not null").select("unit", F.col("parent_id").alias("at"), F.lit(depth).alias("depth")), "ancestors")
+        if up.isEmpty():
+            break
+        if depth > most:
+            raise ValueError("units contain a cycle")
         every = every.unionByName(up)
     seen = every.join(facts.withColumnRenamed("unit_id", "at"), "at")
     return seen.groupBy(F.col("unit").alias("unit_id"), "name").agg(F.min_by("value", "depth").alias("value"))
 
 
 def tier_percent(lines: DataFrame, tiers: DataFrame, category: str, quantity: str) -> DataFrame:
-    """lines with percent: the largest of the category's tiers whose quantity is reached, 0 without one (tiers: a price list's few rows)."""
+    """lines with percent: the largest of the category's tiers whose quantity is reached, 0 without one (tiers: a price list)."""
     steps = tiers.groupBy(category).agg(F.collect_list(F.struct("min_quantity", "percent")).alias("_tiers"))  # a row a category
     reached = F.filter("_tiers", lambda t: F.col(quantity) >= t["min_quantity"])
     percent = F.coalesce(F.array_max(F.transform(reached, lambda t: t["percent"])), F.lit(0).cast("decimal(5,2)"))
-    return lines.join(F.broadcast(steps), category, "left").withColumn("percent", percent).drop("_tiers")
+    return lines.join(steps, category, "left").withColumn("percent", percent).drop("_tiers")
 
 
 def price(lines: DataFrame, key: str, vat: str = "27", unit: str = "0.01") -> DataFrame:
@@ -204,7 +212,7 @@ def first_group(rules: list[tuple[str, Column]], otherwise: str = "rest") -> Col
     return out
 
 
-def word_options(wanted: DataFrame, items: DataFrame, key: str, text: str, item: str, name: str, k: int = 5, common: int = 10_000) -> DataFrame:
+def word_options(wanted: DataFrame, items: DataFrame, key: str, text: str, item: str, name: str, k: int = 5) -> DataFrame:
     """(key, rank, item, shared): items by the number of words they share with a text, then by item. Joined on words, each pair counted."""
     words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), r"[^\p{L}0-9]+")))
     a = wanted.select(key, words(F.col(text)).alias("w")).where("w <> ''")

@@ -163,9 +163,11 @@ def price_quote(spark, sf):
 
 
 def word_options(spark, sf):
-    wanted = table(spark, sf, "part").where("p_partkey % 50 = 0").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    items = table(spark, sf, "part").where("p_partkey % 7 = 1").select(F.col("p_partkey").alias("sku"), "p_name")
-    return rules.word_options(wanted, items, "p_partkey", "text", "sku", "p_name", 3)
+    """All parts against the price list, which has one item for each type of parts."""
+    p = table(spark, sf, "part")
+    wanted = p.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    items = p.groupBy("p_type").agg(F.min("p_partkey").alias("sku"))
+    return rules.word_options(wanted, items, "p_partkey", "text", "sku", "p_type", 3)
 
 
 def confidence_band(spark, sf):
@@ -328,7 +330,7 @@ ORACLES = {
     "inherited_facts": "SELECT 'c' || c_custkey AS unit_id, CASE WHEN c_custkey % 10 = 7 THEN 'c' || c_custkey WHEN n_nationkey % 10 = 1 THEN 'n' || n_nationkey ELSE 'r' || n_regionkey END AS value FROM customer JOIN nation ON c_nationkey = n_nationkey",
     "tier_discount": f"WITH {_Q} SELECT l_orderkey, l_linenumber, percent FROM q",
     "price_quote": f"WITH {_Q}, n AS (SELECT l_orderkey, CAST(sum(round(unit_price * quantity * (100 - percent) * 0.01, 2)) AS DECIMAL(18,2)) AS net FROM q GROUP BY 1) SELECT l_orderkey, net, CAST(round(net * 0.27, 2) AS DECIMAL(18,2)) AS vat, CAST(net + round(net * 0.27, 2) AS DECIMAL(18,2)) AS gross FROM n",
-    "word_options": "WITH a AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part WHERE p_partkey % 50 = 0), b AS (SELECT DISTINCT p_partkey AS sku, unnest(string_split(lower(p_name), ' ')) AS w FROM part WHERE p_partkey % 7 = 1), c AS (SELECT p_partkey, sku, count(*) AS shared FROM a JOIN b USING (w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, sku) AS rank FROM c) SELECT p_partkey, rank, sku, shared FROM r WHERE rank <= 3",
+    "word_options": "WITH a AS (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS w FROM part), b AS (SELECT min(p_partkey) AS sku, unnest(string_split(lower(p_type), ' ')) AS w FROM part GROUP BY p_type), c AS (SELECT p_partkey, sku, count(*) AS shared FROM a JOIN (SELECT DISTINCT * FROM b) b USING (w) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, sku) AS rank FROM c) SELECT p_partkey, rank, sku, shared FROM r WHERE rank <= 3",
     "confidence_band": f"WITH {_J} SELECT CASE WHEN p < 0.3 THEN 'no' WHEN p > 0.7 THEN 'yes' ELSE 'uncertain' END AS noul, CASE WHEN confidence < 0.6 THEN 'human' WHEN abs(p - round(1 - p, 3)) < 0.2 THEN 'uncertain' WHEN confidence < 0.85 THEN 'uncertain' ELSE 'auto' END AS choice, count(*) AS n FROM j GROUP BY 1, 2",
     "band_by_prefix": "SELECT c_mktsegment, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'MACHINERY' WHEN c_mktsegment LIKE 'AUTO%' THEN 'AUTO' WHEN c_mktsegment LIKE 'A%' THEN 'A' ELSE '' END AS prefix, count(*) AS n FROM customer GROUP BY 1, 2",
     "review_route": f"WITH {_J}, x AS (SELECT concat_ws(',', CASE WHEN confidence < 0.6 THEN 'low_confidence' END, CASE WHEN NOT correct THEN 'check_failed' END, CASE WHEN flagged THEN 'flagged' END, CASE WHEN p < 0.1 AND confidence >= 0.6 THEN 'low_confidence' END) AS reasons FROM j) SELECT reasons, CASE WHEN reasons = '' THEN 'auto' ELSE 'human' END AS route, count(*) AS n FROM x GROUP BY 1",

@@ -63,14 +63,15 @@ def reconcile_status(spark, sf):
     cancelled = inv.where("invoice_id % 50 = 7").select("invoice_id")
     state = F.when(F.col("invoice_id") % 3 == 0, "full").when(F.col("invoice_id") % 3 == 1, "partial").otherwise("none")
     left = reconcile.multiplicity(reconcile.named_first(pairs(spark, sf)))
-    return reconcile.statuses(inv, left, paid, cancelled, inv.select("invoice_id", state.alias("covered")))
+    excluded, no_rate = inv.where("invoice_id % 97 = 0").select("invoice_id"), inv.where("invoice_id % 4 = 0 and invoice_id % 3 = 2").select("invoice_id")
+    return reconcile.statuses(inv, left, paid, cancelled, inv.select("invoice_id", state.alias("covered")), excluded, no_rate)
 
 
 def range_join_months(spark, sf):
-    """The same window join without ties: bucketed by month, for currencies and sides alike."""
-    inv = invoices(spark, sf).where("invoice_id % 10 = 1").select("invoice_id", "currency", F.date_sub("issue_date", 3).alias("lo"), F.date_add("due_date", 10).alias("hi"))
-    pay = lines(spark, sf).where("line_id % 100 = 1").select("line_id", "currency", "booking_date")
-    return intervals.month_range_join(pay, inv, ["currency"], "booking_date", "lo", "hi").select("line_id", "invoice_id")
+    """Lines to a partner's account and its invoices by the window alone, bucketed by month."""
+    inv = invoices(spark, sf).select("invoice_id", "currency", F.col("partner").alias("account"), F.date_sub("issue_date", 3).alias("lo"), F.date_add("due_date", 10).alias("hi"))
+    pay = lines(spark, sf).select("line_id", "currency", "account", "booking_date")
+    return intervals.month_range_join(pay, inv, ["currency", "account"], "booking_date", "lo", "hi").select("line_id", "invoice_id")
 
 
 def preselect_topk(spark, sf):
@@ -218,8 +219,8 @@ def duplicate_clusters(spark, sf):
 
 def routing_proposal(spark, sf):
     """Documents to packages: same partner, the day within the package's period; only if there is exactly one."""
-    packages = _periods(spark, sf).where("statement % 2 = 0").select(F.col("account").alias("partner"), F.col("statement").alias("package"), "start", "end")
-    docs = invoices(spark, sf).where("invoice_id % 2 = 1").select("invoice_id", "partner", "issue_date")
+    packages = _periods(spark, sf).select(F.col("account").alias("partner"), F.col("statement").alias("package"), "start", "end")
+    docs = invoices(spark, sf).select("invoice_id", "partner", "issue_date")
     hit = docs.join(packages, "partner").where("issue_date between start and end")
     return hit.groupBy("invoice_id").agg(F.when(F.count("*") == 1, F.min("package")).alias("package"), F.count("*").alias("n"))
 
@@ -252,15 +253,17 @@ _DUP = f"""WITH {_REG}, d AS (SELECT a.invoice_id AS a, b.invoice_id AS b, CAST(
     ON upper(regexp_replace(a.number, '[^0-9A-Za-z]', '', 'g')) = upper(regexp_replace(b.number, '[^0-9A-Za-z]', '', 'g')) AND a.partner = b.partner AND a.invoice_id < b.invoice_id)
     SELECT a, b, CASE WHEN g OR i OR c THEN 'variant' WHEN c IS NULL THEN 'undecidable' ELSE 'copy' END AS kind, concat_ws(',', CASE WHEN g THEN 'gross_total' END, CASE WHEN i THEN 'issue_date' END, CASE WHEN c THEN 'currency' END) AS differing, CASE WHEN c IS NULL THEN 'currency' ELSE '' END AS missing FROM d"""
 ORACLES = {
+    "settled_rests": f"WITH inv AS ({_I}), p AS (SELECT invoice_id, CAST(amount * 100 AS BIGINT) AS c, (CAST(amount * 100 AS BIGINT) + 1) // 2 AS part FROM inv), x AS (SELECT *, invoice_id * 2 AS seq, 1 AS n FROM p UNION ALL SELECT *, invoice_id * 2 + 1, 2 FROM p WHERE invoice_id % 3 = 0 UNION ALL SELECT *, invoice_id * 2 + 10000000, 3 FROM p WHERE invoice_id % 6 = 0) SELECT seq, invoice_id, CASE n WHEN 1 THEN part <= c WHEN 2 THEN 2 * part <= c ELSE (CASE WHEN 2 * part <= c THEN 3 ELSE 2 END) * part <= c END AS counts FROM x",
+    "credit_note_cancel": f"WITH RECURSIVE i0 AS ({_I}), i AS (SELECT *, round(CAST(amount AS DOUBLE) / 10000) AS a FROM i0), k AS (SELECT partner, currency, a, list((invoice_id, issue_date + 400) ORDER BY invoice_id) FILTER (WHERE invoice_id % 13 = 0) AS notes, list((invoice_id, issue_date) ORDER BY invoice_id) FILTER (WHERE invoice_id % 13 <> 0) AS invs FROM i GROUP BY ALL HAVING count(*) FILTER (WHERE invoice_id % 13 = 0) > 0 AND count(*) FILTER (WHERE invoice_id % 13 <> 0) > 0), r AS (SELECT notes, invs, 0 AS step, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS by_note FROM k UNION ALL SELECT notes, invs, step + 1, CASE WHEN len(f) = 1 AND f[1] % 6 <> 1 THEN list_append(taken, f[1]) ELSE taken END, CASE WHEN len(f) = 1 AND f[1] % 6 <> 1 THEN list_append(by_note, n) ELSE by_note END FROM (SELECT *, notes[step + 1][1] AS n, list_transform(list_filter(invs, lambda v: v[2] <= notes[step + 1][2] AND NOT list_contains(taken, v[1])), lambda v: v[1]) AS f FROM r WHERE step < len(notes))), z AS (SELECT taken, by_note FROM r WHERE step = len(notes)) SELECT unnest(taken) AS invoice_id, unnest(by_note) AS note_id FROM z",
     "reconcile_candidates": f"WITH {_CAND} SELECT * FROM cand",
     "reconcile_named_first": f"WITH {_CAND} SELECT line_id, invoice_id FROM nf WHERE proposed",
     "reconcile_multiplicity": f"WITH {_CAND} SELECT line_id, invoice_id, proposed, amount_only, (proposed AND (count(*) FILTER (WHERE proposed) OVER (PARTITION BY line_id) > 1 OR count(*) FILTER (WHERE proposed) OVER (PARTITION BY invoice_id) > 1)) OR (amount_only AND (count(*) FILTER (WHERE proposed OR amount_only) OVER (PARTITION BY line_id) > 1 OR count(*) FILTER (WHERE proposed OR amount_only) OVER (PARTITION BY invoice_id) > 1)) AS multiple_candidates FROM lf",
     "combined_payment": f"WITH {_CAND}, g AS (SELECT line_id, sum(inv.amount) AS total, count(*) AS n, string_agg(CAST(invoice_id AS VARCHAR), ',' ORDER BY issue_date, invoice_id) AS invoice_ids FROM nf JOIN inv USING (invoice_id) WHERE named AND NOT equal AND line_id NOT IN (SELECT line_id FROM nf WHERE proposed) GROUP BY line_id) SELECT line_id, invoice_ids FROM g JOIN pay USING (line_id) WHERE n BETWEEN 2 AND 6 AND total = pay.amount",
     "repeated_payments": f"WITH {_CAND} SELECT invoice_id, string_agg(DISTINCT CAST(line_id AS VARCHAR), ',' ORDER BY CAST(line_id AS VARCHAR)) AS lines FROM cand WHERE equal AND NOT amount_only GROUP BY 1 HAVING count(DISTINCT line_id) >= 2",
-    "reconcile_status": f"WITH {_CAND}, per AS (SELECT invoice_id, bool_or(proposed) AS proposed, bool_or(amount_only) AS amount_only FROM lf GROUP BY 1), z AS (SELECT inv.invoice_id, inv.amount, per.*, CASE WHEN inv.invoice_id % 10 = 3 THEN CASE WHEN inv.invoice_id % 20 = 3 THEN inv.amount ELSE 1 END END AS paid FROM inv LEFT JOIN per ON inv.invoice_id = per.invoice_id) SELECT invoice_id, CASE WHEN paid >= amount THEN 'confirmed' WHEN invoice_id % 50 = 7 THEN 'credited' WHEN proposed THEN 'proposed' WHEN amount_only THEN 'amount_only' WHEN paid > 0 THEN 'partly_paid' WHEN proposed IS NOT NULL THEN 'amount_differs' WHEN invoice_id % 3 = 0 THEN 'no_payment_found' WHEN invoice_id % 3 = 1 THEN 'partly_covered' ELSE 'not_covered' END AS status FROM z",
-    "range_join_months": f"WITH inv AS ({_I}), pay AS ({_L}) SELECT line_id, invoice_id FROM inv JOIN pay ON inv.currency = pay.currency AND booking_date BETWEEN issue_date - 3 AND due_date + 10 WHERE invoice_id % 10 = 1 AND line_id % 100 = 1",
+    "reconcile_status": f"WITH {_CAND}, per AS (SELECT invoice_id, bool_or(proposed) AS proposed, bool_or(amount_only) AS amount_only FROM lf GROUP BY 1), z AS (SELECT inv.invoice_id, inv.amount, per.*, CASE WHEN inv.invoice_id % 10 = 3 THEN CASE WHEN inv.invoice_id % 20 = 3 THEN inv.amount ELSE 1 END END AS paid FROM inv LEFT JOIN per ON inv.invoice_id = per.invoice_id) SELECT invoice_id, CASE WHEN invoice_id % 97 = 0 THEN 'excluded' WHEN paid >= amount THEN 'confirmed' WHEN invoice_id % 50 = 7 THEN 'credited' WHEN proposed THEN 'proposed' WHEN amount_only THEN 'amount_only' WHEN paid > 0 THEN 'partly_paid' WHEN proposed IS NOT NULL THEN 'amount_differs' WHEN invoice_id % 4 = 0 AND invoice_id % 3 = 2 THEN 'rate_missing' WHEN invoice_id % 3 = 0 THEN 'no_payment_found' WHEN invoice_id % 3 = 1 THEN 'partly_covered' ELSE 'not_covered' END AS status FROM z",
+    "range_join_months": f"WITH inv AS ({_I}), pay AS ({_L}) SELECT line_id, invoice_id FROM inv JOIN pay ON inv.currency = pay.currency AND account = partner AND booking_date BETWEEN issue_date - 3 AND due_date + 10",
     "preselect_topk": f"WITH inv AS ({_I}), pay AS ({_L}), x AS (SELECT line_id, invoice_id, row_number() OVER (PARTITION BY line_id ORDER BY round(CAST(abs(pay.amount - inv.amount) AS DOUBLE) / CAST(inv.amount AS DOUBLE), 6), issue_date, invoice_id) AS rank FROM pay JOIN inv ON account = partner WHERE abs(pay.amount - inv.amount) <= inv.amount * 0.10) SELECT line_id, rank, invoice_id FROM x WHERE rank <= 3",
-    "overview_components": f"WITH RECURSIVE {_CAND}, e AS (SELECT 'i' || lpad(CAST(invoice_id AS VARCHAR), 12, '0') AS a, 'l' || lpad(CAST(line_id AS VARCHAR), 12, '0') AS b, line_id, invoice_id FROM nf WHERE proposed), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS n, a AS m FROM ed UNION SELECT reach.n, ed.b FROM reach JOIN ed ON reach.m = ed.a), root AS (SELECT n, min(m) AS root FROM reach GROUP BY n), z AS (SELECT root AS component, count(DISTINCT e.line_id) AS lines, count(DISTINCT e.invoice_id) AS invoices, bool_or(booking_date > due_date) AS late FROM e JOIN root ON e.a = root.n JOIN inv USING (invoice_id) JOIN pay USING (line_id) GROUP BY 1) SELECT component, lines, invoices, CASE WHEN lines = 1 AND invoices = 1 THEN 'single' WHEN lines = 1 THEN 'combined' WHEN invoices = 1 THEN 'split' ELSE 'mixed' END AS kind, late FROM z",
+    "overview_components": f"WITH RECURSIVE {_CAND}, e AS (SELECT 'i' || lpad(CAST(invoice_id AS VARCHAR), 12, '0') AS a, 'l' || lpad(CAST(line_id AS VARCHAR), 12, '0') AS b, line_id, invoice_id FROM nf WHERE proposed), ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach AS (SELECT a AS n, a AS m FROM ed UNION SELECT reach.n, ed.b FROM reach JOIN ed ON reach.m = ed.a), root AS (SELECT n, min(m) AS root FROM reach GROUP BY n), z AS (SELECT CAST(substr(root, 2) AS BIGINT) AS component, count(DISTINCT e.line_id) AS lines, count(DISTINCT e.invoice_id) AS invoices, bool_or(booking_date > due_date) AS late FROM e JOIN root ON e.a = root.n JOIN inv USING (invoice_id) JOIN pay USING (line_id) GROUP BY 1) SELECT component, lines, invoices, CASE WHEN lines = 1 AND invoices = 1 THEN 'single' WHEN lines = 1 THEN 'combined' WHEN invoices = 1 THEN 'split' ELSE 'mixed' END AS kind, late FROM z",
     "nearest_anchor": f"WITH inv AS ({_I}), pay AS ({_L}) SELECT line_id, arg_min(invoice_id, (abs(booking_date - due_date), invoice_id)) AS invoice_id FROM pay JOIN inv ON account = partner GROUP BY line_id",
     "learned_names": "WITH n AS (SELECT lower(p_type) AS name_key, p_brand AS partner FROM part) SELECT trim(regexp_replace(name_key, '[^a-z]+', ' ', 'g')) AS name_key, partner, count(*) AS n FROM n GROUP BY 1, 2 HAVING count(*) >= 3",
     "common_words": "WITH k AS (SELECT DISTINCT list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 4 AND NOT regexp_matches(w, '[0-9]'))) AS k FROM part), w AS (SELECT unnest(k) AS word FROM k) SELECT word, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 3",
@@ -280,5 +283,5 @@ ORACLES = {
     "duplicate_pairs": _DUP,
     "duplicate_kinds": f"SELECT kind, count(*) AS n FROM ({_DUP}) GROUP BY 1",
     "duplicate_clusters": f"WITH {_REG}, k AS (SELECT *, upper(regexp_replace(number, '[^0-9A-Za-z]', '', 'g')) AS nk FROM reg), g AS (SELECT min(invoice_id) OVER (PARTITION BY nk, partner) AS cluster, count(*) OVER (PARTITION BY nk, partner) AS n, invoice_id FROM k) SELECT invoice_id, cluster FROM g WHERE n > 1",
-    "routing_proposal": f"WITH {_P}, inv AS ({_I}) SELECT invoice_id, CASE WHEN count(*) = 1 THEN min(statement) END AS package, count(*) AS n FROM inv JOIN p ON partner = account WHERE invoice_id % 2 = 1 AND statement % 2 = 0 AND issue_date BETWEEN s AND e GROUP BY 1",
+    "routing_proposal": f"WITH {_P}, inv AS ({_I}) SELECT invoice_id, CASE WHEN count(*) = 1 THEN min(statement) END AS package, count(*) AS n FROM inv JOIN p ON partner = account WHERE issue_date BETWEEN s AND e GROUP BY 1",
 }

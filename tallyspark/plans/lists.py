@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import listquery, relations
+from ..operators import datasets, listquery, relations
 from ..operators.listquery import Column, Filter, ListQuery, Query, Sort
 from .staging import table
 
@@ -76,8 +76,9 @@ def list_search_folded(spark, sf):
 
 
 def hu_sort_key(spark, sf):
-    word = F.lower(F.regexp_extract("text", r"^(\p{L}+)", 1))
-    return table(spark, sf, "documents").where(F.col("lang").isin("de", "fr", "es")).select("doc_id", text.hu_base(word).alias("base"), text.hu_accents(word).alias("accents"))
+    """Of every word of the documents."""
+    words = table(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}+)")))).alias("word")).distinct()
+    return words.select("word", text.hu_base(F.col("word")).alias("base"), text.hu_accents(F.col("word")).alias("accents"))
 
 
 def list_export_csv(spark, sf):
@@ -88,14 +89,14 @@ def list_export_csv(spark, sf):
 
 def formula_guard(spark, sf):
     docs = table(spark, sf, "documents")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where("line_no < 3 or line like '%|%'")
-    cell = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), F.left("line", F.lit(20)))).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("-"), F.col("line_no").cast("string"))).otherwise(F.left("line", F.lit(20)))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    cell = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit(" ="), "line")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("-"), F.col("line_no").cast("string"))).otherwise(F.col("line"))
     return lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), text.guarded(cell).alias("cell"))
 
 
 def scan_change_mark(spark, sf):
     o = table(spark, sf, "orders")
-    return o.agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"), F.sum(F.crc32(F.col("o_orderkey").cast("string").cast("binary"))).alias("mark"))
+    return o.agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"), F.sum(F.conv(F.left(F.md5(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")), F.lit(8)), 16, 10).cast("long")).alias("mark"))
 
 
 def key_prefix_range(spark, sf):
@@ -108,12 +109,36 @@ def unique_prefix(spark, sf):
     return listquery.unique_prefix(c, "digest", wanted, "prefix")
 
 
+def _registry():
+    found = datasets.Registry()
+    found.add(datasets.Dataset("orders", orders, required=("o_orderstatus",), optional=("o_orderpriority", "urgent")))
+    found.add(datasets.Dataset("customers", lambda spark, sf: table(spark, sf, "customer"), one_of=("c_nationkey", "c_mktsegment")))
+    found.add(datasets.Dataset("events", lambda spark, sf: table(spark, sf, "events"), optional=("event_type",)))
+    return found
+
+
+REGISTRY = _registry()
+
+
 def scope_filter(spark, sf):
-    scope = {"o_orderstatus": "O", "o_orderpriority": "2-HIGH"}
-    rows = orders(spark, sf)
-    for name, value in scope.items():
-        rows = rows.where(F.col(name) == value)
-    return rows.select("o_orderkey", "c_name")
+    return REGISTRY.rows(spark, sf, "orders", o_orderstatus="O", o_orderpriority="2-HIGH").select("o_orderkey", "c_name")
+
+
+def registered_datasets(spark, sf):
+    """How many rows each registered dataset has in a scope."""
+    out = None
+    for name, scope in (("orders", {"o_orderstatus": "F", "urgent": True}), ("customers", {"c_mktsegment": ["BUILDING", "MACHINERY"]}), ("events", {})):
+        one = REGISTRY.rows(spark, sf, name, **scope).agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def dataset_kept(spark, sf):
+    """Rows read from what is kept while the change mark stands still, and made anew when it moves."""
+    mark = str(scan_change_mark(spark, sf).first().asDict())
+    kept = [REGISTRY.current(spark, sf, "customers", m, c_nationkey=3) for m in (mark, mark, mark + "+")]
+    flags = ",".join("kept" if was else "made" for _, was in kept[1:])
+    return kept[1][0].groupBy("c_mktsegment").agg(F.count("*").alias("n")).withColumn("how", F.lit(flags))
 
 
 def naming_unique(spark, sf):
@@ -130,11 +155,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         list_query_page, list_counts, list_filter_ops, list_keys, list_group_counts, list_group_page, list_facets, list_labels, list_search_folded, hu_sort_key,
-        list_export_csv, formula_guard, scan_change_mark, key_prefix_range, unique_prefix, scope_filter, naming_unique, stratified_sample_sizes,
+        list_export_csv, formula_guard, scan_change_mark, key_prefix_range, unique_prefix, scope_filter, registered_datasets, dataset_kept, naming_unique, stratified_sample_sizes,
     )
 }
 
-_FOLD = "translate(lower({}), 'áàâäãåéèêëíìîïóòôöõőúùûüűçñýÿ', 'aaaaaaeeeeiiiioooooouuuuucnyy')"
+#: Without this library's table: DuckDB's own accents.
+_FOLD = "replace(strip_accents(lower({})), 'ß', 'ss')"
 ORACLES = {
     "list_query_page": f"WITH {_ORDERS_SQL} SELECT o_orderkey, o_orderpriority, o_totalprice, c_name FROM o WHERE lower(concat_ws(' ', CAST(o_orderkey AS VARCHAR), CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE 'Partial' END, o_orderdate, o_orderpriority, c_name)) LIKE '%customer%' AND o_totalprice >= 50000 AND o_orderstatus <> 'P' ORDER BY o_orderpriority IS NULL, o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 20",
     "list_counts": f"WITH {_ORDERS_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderdate >= '1995-01-01') AS matched FROM o",
@@ -145,12 +171,15 @@ ORACLES = {
     "list_facets": f"WITH {_ORDERS_SQL} SELECT DISTINCT 'o_orderstatus' AS column, o_orderstatus AS value FROM o UNION ALL SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM o WHERE o_orderpriority IS NOT NULL UNION ALL SELECT DISTINCT 'urgent', CASE WHEN urgent THEN 'true' ELSE 'false' END FROM o",
     "list_labels": "SELECT CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' WHEN 'P' THEN 'Partial' ELSE o_orderstatus END AS status, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "list_search_folded": "SELECT doc_id, lang FROM documents WHERE contains(" + _FOLD.format("text") + ", 'ereau')",
-    "hu_sort_key": "WITH w AS (SELECT doc_id, lower(regexp_extract(text, '^(\\pL+)', 1)) AS w FROM documents WHERE lang IN ('de', 'fr', 'es')) SELECT doc_id, " + _FOLD.format("regexp_replace(regexp_replace(w, '[öő]', 'o￿', 'g'), '[üű]', 'u￿', 'g')").replace("ÿ', ", "ÿß', ").replace("cnyy')", "cnyys')") + " AS base, regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '[áéíóú]', '1', 'g'), '[öü]', '2', 'g'), '[őű]', '3', 'g'), '[^123]', '0', 'g') AS accents FROM w",
+    "scan_change_mark": "SELECT count(*) AS n, max(o_orderkey) AS last, CAST(sum(CAST('0x' || left(md5(o_orderkey || '|' || o_orderstatus), 8) AS BIGINT)) AS BIGINT) AS mark FROM orders",
+    "hu_sort_key": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\pL+')) AS word FROM documents), l AS (SELECT word, lower(word) AS w FROM w) SELECT word, " + _FOLD.format("regexp_replace(regexp_replace(w, '[öő]', 'o￿', 'g'), '[üű]', 'u￿', 'g')") + " AS base, regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '[áéíóú]', '1', 'g'), '[öü]', '2', 'g'), '[őű]', '3', 'g'), '[^123]', '0', 'g') AS accents FROM l",
     "list_export_csv": f"WITH {_ORDERS_SQL} SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, 'Partial' AS o_orderstatus, replace(CAST(o_totalprice AS VARCHAR), '.', ',') AS o_totalprice, c_name FROM o WHERE o_orderstatus = 'P'",
-    "formula_guard": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM l), c AS (SELECT doc_id, line_no, CASE WHEN doc_id % 5 = 0 THEN ' =' || left(line, 20) WHEN doc_id % 5 = 1 THEN '-' || CAST(line_no AS VARCHAR) ELSE left(line, 20) END AS cell FROM x WHERE line_no < 3 OR line LIKE '%|%') SELECT doc_id, line_no, CASE WHEN regexp_matches(ltrim(cell, ' '), '^[=+@\\t-]') AND NOT regexp_matches(cell, '^\\s*-?[0-9]+([.,][0-9]+)?\\s*$') THEN '''' || cell ELSE cell END AS cell FROM c",
+    "formula_guard": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM l), c AS (SELECT doc_id, line_no, CASE WHEN doc_id % 5 = 0 THEN ' =' || line WHEN doc_id % 5 = 1 THEN '-' || CAST(line_no AS VARCHAR) ELSE line END AS cell FROM x) SELECT doc_id, line_no, CASE WHEN regexp_matches(ltrim(cell, ' '), '^[=+@\\t-]') AND NOT regexp_matches(cell, '^\\s*-?[0-9]+([.,][0-9]+)?\\s*$') THEN '''' || cell ELSE cell END AS cell FROM c",
     "key_prefix_range": "SELECT c_custkey, c_name FROM customer WHERE c_name >= 'Customer#00000001' AND c_name < 'Customer#00000002'",
     "unique_prefix": "WITH c AS (SELECT md5(CAST(c_custkey AS VARCHAR)) AS digest FROM customer), g AS (SELECT left(digest, 3) AS prefix, CASE WHEN count(*) = 1 THEN max(digest) END AS key FROM c GROUP BY 1) SELECT prefix, key FROM g UNION ALL SELECT 'zzz', NULL",
     "scope_filter": f"WITH {_ORDERS_SQL} SELECT o_orderkey, c_name FROM o WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'",
+    "registered_datasets": "SELECT 'orders' AS dataset, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1-%' UNION ALL SELECT 'customers', count(*) FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') UNION ALL SELECT 'events', count(*) FROM events",
+    "dataset_kept": "SELECT c_mktsegment, count(*) AS n, 'kept,made' AS how FROM customer WHERE c_nationkey = 3 GROUP BY 1",
     "naming_unique": "WITH p AS (SELECT p_partkey, trim(left(p_type, 20)) || '.pdf' AS name FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) AS n FROM p) SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.pdf$', '') || '__' || n || '.pdf' END AS unique_name FROM n",
     "stratified_sample_sizes": "SELECT lang, least(count(*), greatest(2, CAST(round(100 * count(*) / (SELECT count(*) FROM documents)) AS BIGINT))) AS n FROM documents GROUP BY lang",
 }

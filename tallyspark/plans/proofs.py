@@ -87,8 +87,9 @@ def versions_active(spark, sf):
 
 def quotes_on_pages(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 11, 30)).when(F.col("doc_id") % 3 == 1, F.regexp_replace(F.substring("text", 11, 30), " ", "- ")).otherwise(F.lit("nowhere to be found 12345"))
-    return d.where("length(text) > 60").select("doc_id", finders.quote_on_page(quote, F.col("text")).alias("found"))
+    part = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(40))  # from the middle of the page
+    quote = F.when(F.col("doc_id") % 3 == 0, part).when(F.col("doc_id") % 3 == 1, F.regexp_replace(part, " ", "- ")).otherwise(F.lit("nowhere to be found 12345"))
+    return d.select("doc_id", finders.quote_on_page(quote, F.col("text")).alias("found"))
 
 
 def local_day_bounds(spark, sf):
@@ -126,12 +127,12 @@ ORACLES = {
     "placeholder_values": "SELECT p_partkey, p_partkey % 4 < 2 AS placeholder, CASE p_partkey % 3 WHEN 0 THEN p_partkey % 2 <> 0 WHEN 1 THEN p_partkey % 2 = 0 END AS wrong_unit FROM part",
     "whole_tokens": "SELECT o_orderkey, o_orderkey % 2 = 0 AS whole FROM orders",
     "field_equality": "SELECT kind, equal, count(*) AS n FROM (SELECT ['money', 'date', 'name', 'id', 'text'][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 5 < 4 THEN true ELSE lower(o_orderpriority) = o_orderpriority END AS equal FROM orders) GROUP BY 1, 2",
-    "value_locations": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, list_filter(regexp_split_to_array(unnest(ls), '\\s+'), lambda w: w <> '') AS w FROM l), r AS (SELECT doc_id, line_no, i, n, lower(regexp_replace(array_to_string(w[i + 1 : i + n], ''), '[^\\pL\\pN]', '', 'g')) AS k FROM x, range(0, 30000) t(i), range(1, 3) u(n) WHERE i + n <= len(w)), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), v AS (SELECT DISTINCT doc_id, v AS value, lower(regexp_replace(v, '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, unnest([w[3], concat_ws(' ', w[6], w[7])]) AS v FROM d) WHERE v IS NOT NULL), h AS (SELECT r.*, value, min(n) OVER (PARTITION BY r.doc_id, value, line_no, i + n) AS m FROM r JOIN v ON r.doc_id = v.doc_id AND r.k = v.k AND v.k <> '') SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM h WHERE n = m GROUP BY 1",
+    "value_locations": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, list_filter(regexp_split_to_array(unnest(ls), '\\s+'), lambda w: w <> '') AS w FROM l), r AS (SELECT doc_id, line_no, i, n, lower(regexp_replace(array_to_string(w[i + 1 : i + n], ''), '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, line_no, w, unnest(range(len(w))) AS i FROM x), range(1, 3) u(n) WHERE i + n <= len(w)), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), v AS (SELECT DISTINCT doc_id, v AS value, lower(regexp_replace(v, '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, unnest([w[3], concat_ws(' ', w[6], w[7])]) AS v FROM d) WHERE v IS NOT NULL), h AS (SELECT r.*, value, min(n) OVER (PARTITION BY r.doc_id, value, line_no, i + n) AS m FROM r JOIN v ON r.doc_id = v.doc_id AND r.k = v.k AND v.k <> '') SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM h WHERE n = m GROUP BY 1",
     "task_gate": "SELECT conv_id * 1000 + turn AS task_id, NOT (turn % 5 = 4 OR turn % 3 = 0) AS accepted, CASE WHEN turn % 5 = 4 THEN 'bad_pointer' WHEN turn % 3 = 0 THEN 'quote_absent' ELSE '' END AS reasons FROM conversations",
     "decision_replay": "WITH e AS (SELECT CASE WHEN value < 20 THEN 'no' WHEN value > 60 THEN 'yes' ELSE 'uncertain' END AS outcome, CASE WHEN value < 25 THEN 'no' WHEN value > 60 THEN 'yes' ELSE 'uncertain' END AS now FROM events) SELECT CASE WHEN outcome = now THEN 'same' ELSE 'changed' END AS change, outcome, now, count(*) AS n FROM e GROUP BY ALL",
     "decision_journal": "SELECT user_id, event_type, max(event_id) AS revision, CAST(arg_max(round(value), event_id) AS BIGINT) AS value FROM events GROUP BY 1, 2",
     "versions_active": "SELECT user_id, max(event_id) AS latest, max(event_id) FILTER (WHERE event_id % 4 = 1) AS active FROM events GROUP BY 1",
-    "quotes_on_pages": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'printed' WHEN 1 THEN CASE WHEN contains(text, replace(substr(text, 11, 30), ' ', '- ')) THEN 'printed' ELSE 'joined' END ELSE 'absent' END AS found FROM documents WHERE length(text) > 60",
+    "quotes_on_pages": "WITH d AS (SELECT doc_id, text, substr(text, length(text) // 2 + 1, 40) AS part FROM documents) SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'printed' WHEN 1 THEN CASE WHEN contains(text, replace(part, ' ', '- ')) THEN 'printed' WHEN regexp_matches(part, '[\\pL\\pN]') THEN 'joined' ELSE 'absent' END ELSE 'absent' END AS found FROM d",
     "local_day_bounds": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, strftime(CAST(o_orderdate AS DATE) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS start, strftime(CAST(o_orderdate AS DATE) + INTERVAL 15 HOUR, '%Y-%m-%d %H:%M') AS \"end\" FROM orders",
     "predicate_operators": "WITH c AS (SELECT CASE WHEN c_custkey % 6 > 0 THEN c_nationkey END AS n, c_mktsegment = 'BUILDING' AS b FROM customer), x AS (SELECT unnest([{'op': 'eq', 'h': n = 5}, {'op': 'ne', 'h': n <> 5}, {'op': 'in', 'h': n IN (1, 2)}, {'op': 'not_in', 'h': n NOT IN (1, 2)}, {'op': 'lt', 'h': n < 5}, {'op': 'lte', 'h': n <= 5}, {'op': 'gt', 'h': n > 5}, {'op': 'gte', 'h': n >= 5}, {'op': 'between', 'h': n BETWEEN 3 AND 9}, {'op': 'present', 'h': n IS NOT NULL}, {'op': 'absent', 'h': n IS NULL}, {'op': 'set_in', 'h': b}, {'op': 'set_not_in', 'h': NOT b}]) AS s FROM c) SELECT s.op AS op, count(*) FILTER (WHERE s.h) AS n FROM x GROUP BY 1",
     "combined_fx_split": "WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n, CAST(l_extendedprice AS DECIMAL(18,2)) AS w FROM lineitem), s AS (SELECT *, round_even(100.0 * CAST(w AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY l_orderkey) AS DOUBLE), 2) AS sh, n = max(n) OVER (PARTITION BY l_orderkey) AS last FROM l), t AS (SELECT l_orderkey, CASE WHEN last THEN 100 - coalesce(sum(CASE WHEN NOT last THEN sh END) OVER (PARTITION BY l_orderkey), 0) ELSE sh END AS share FROM s) SELECT l_orderkey, CAST(100 AS DECIMAL(18,2)) AS total, CAST(round(min(share), 2) AS DECIMAL(18,2)) AS least FROM t GROUP BY 1",

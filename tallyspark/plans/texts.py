@@ -89,7 +89,7 @@ def content_digest(spark, sf):
 
 
 def text_keys(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(120)).alias("t"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     return d.select("doc_id", text.normalize(F.col("t")).alias("normalized"), text.compact(F.col("t")).alias("compacted"))
 
 
@@ -109,10 +109,10 @@ def name_shares(spark, sf):
 
 
 def fuzzy_words(spark, sf):
-    w = table(spark, sf, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower(F.regexp_replace("text", r"[^\p{L} ]", "")), " ")).alias("w")).where("length(w) >= 6").distinct()
-    a = w.where(F.col("w").startswith("th")).select(F.col("w").alias("a"), F.left("w", F.lit(6)).alias("k"))
-    b = w.select(F.col("w").alias("b"), F.left("w", F.lit(6)).alias("k"))
-    return a.join(b, "k").where("a <> b").where(text.fuzzy_word(F.col("a"), F.col("b"))).select("a", "b")
+    """Names of parts and suppliers against all words of the documents."""
+    words = lambda df, c: df.select(F.explode(F.array_distinct(F.split(text.normalize(F.col(c)), " "))).alias("w")).where("w rlike '^[a-z]{5,}$'").distinct()
+    names = words(table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("n")), "n")
+    return relations.fuzzy_pairs(names, words(table(spark, sf, "documents"), "text"), "w")
 
 
 def benchmark_words_in_documents(spark, sf):
@@ -133,7 +133,7 @@ def email_clean_body(spark, sf):
 
 
 def dashes_and_doubles(spark, sf):
-    return table(spark, sf, "nation").select("n_nationkey", text.normalize_dashes(F.concat(F.lit("a–b—"), "n_name")).alias("dashed"), text.undoubled(F.regexp_replace("n_name", "(.)", "$1$1")).alias("single"))
+    return table(spark, sf, "nation").select("n_nationkey", text.repaired(F.concat(F.lit("a–b— k\\'ar \\H{o}r f\u00fbt\u00f5 "), "n_name")).alias("dashed"), text.undoubled(F.regexp_replace("n_name", "(.)", "$1$1")).alias("single"))
 
 
 def safe_names(spark, sf):
@@ -157,6 +157,48 @@ def candidate_finders(spark, sf):
     return finders.candidates(lines, "doc_id", "line_no", "line").groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
 
 
+_FORMS = ("{d} {en} {y}", "{y}-{m}-{d}", "{d}.{m}.{y}", "{en} {d}, {y}", "{y}. {hu} {d}.", "{d} de {es} de {y}", "{d}. {de} {y}", "{d} {fr} {y}", "{d} {it} {y}")
+#: Names of the months in six languages (fixed values).
+_MONTH_NAMES = {
+    "en": "January February March April May June July August September October November December", "hu": "január február március április május június július augusztus szeptember október november december",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre", "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre", "it": "gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre",
+}
+
+
+def dates_in_text(spark, sf):
+    """The order's day as written in six languages and three numeric ways, in a sentence; each order is a document."""
+    o = table(spark, sf, "orders")
+    day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
+    parts = {"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")}
+    parts |= {lang: F.element_at(F.array(*[F.lit(x) for x in names.split()]), F.month(day)) for lang, names in _MONTH_NAMES.items()}
+    shapes = []
+    for form in _FORMS:
+        text_ = F.lit(form)
+        for name, value in parts.items():
+            text_ = F.replace(text_, F.lit("{" + name + "}"), value)
+        shapes.append(text_)
+    said = F.concat(F.lit("Ref 123456, due "), F.element_at(F.array(*shapes), (k % 9 + 1).cast("int")), F.lit(" at 10 percent"))
+    return finders.date_candidates(o.select("o_orderkey", F.lit(0).alias("line_no"), said.alias("line")), "o_orderkey", "line_no", "line").select("o_orderkey", "value", "ambiguous")
+
+
+def parties_in_text(spark, sf):
+    """Names with a legal form, addresses, currencies, payment lines, labelled fields and titles planted on lines of a page for each customer."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    town = F.element_at(F.array(F.lit("Budapest"), F.lit("Wien"), F.lit("Lyon")), (k % 3 + 1).cast("int"))
+    page = F.array(
+        F.lit("INVOICE"), F.concat(F.lit("Supplier: Alma "), F.initcap("c_mktsegment"), F.lit(" Kft. "), (k + 1000).cast("string"), F.lit(" "), town, F.lit(", Fo utca "), (k % 90).cast("string")),
+        F.when(k % 2 == 0, "Payment method: bank transfer").otherwise("nothing here"), F.lit("Tariff"), F.concat(F.lit("  day "), (k % 5).cast("string")), F.when(k % 4 == 0, "in EUR").when(k % 4 == 1, "12 Ft").otherwise("none"),
+    )
+    lines = c.select("c_custkey", F.posexplode(page).alias("line_no", "line"))
+    of = lambda df: df.select("c_custkey", "kind", "label")
+    out = of(finders.names_and_addresses(lines, "c_custkey", "line_no", "line")).unionByName(of(finders.labelled_text(lines, "c_custkey", "line_no", "line", {"tariff": r"tariff", "payment": r"payment method"})))
+    out = out.unionByName(of(finders.line_text(lines, "c_custkey", "line_no", "line", {"title": r"^\s*(?:invoice|receipt)\s*$"})))
+    out = out.unionByName(finders.currencies(lines, "c_custkey", "line").select("c_custkey", F.lit("currency").alias("kind"), F.col("currency").alias("label")))
+    return out.unionByName(finders.payment_lines(lines, "c_custkey", "line_no", "line").select("c_custkey", F.lit("payment_line").alias("kind"), F.col("line_no").cast("string").alias("label")))
+
+
 def field_proposals(spark, sf):
     """Names that recur in many documents, most common spelling first."""
     d = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]+"))).alias("w")).where("length(w) between 4 and 12")
@@ -236,15 +278,6 @@ def computed_key_join(spark, sf):
     return e.withColumn("run_id", F.substring_index("flow_id", ":", 1)).join(c, "run_id").select("event_id", "c_name")
 
 
-def priority_join(spark, sf):
-    """Parties to partners: by number, else by name if that is unique."""
-    s = table(spark, sf, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("number"), (F.col("s_nationkey") % 5).alias("name"))
-    n = table(spark, sf, "nation")
-    by_number = n.select(F.col("n_nationkey").alias("number"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("p1"))
-    by_name = n.where("n_nationkey < 7").groupBy((F.col("n_nationkey") % 5).alias("name")).agg(F.when(F.count("*") == 1, F.concat(F.lit("M"), F.max("n_nationkey"))).alias("p2"))
-    return s.join(by_number, "number", "left").join(by_name, "name", "left").select("s_suppkey", F.coalesce("p1", "p2").alias("partner"))
-
-
 def union_streams(spark, sf):
     a = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.lit("order").alias("what"), F.to_date("o_orderdate").alias("day"))
     b = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lit("event").alias("what"), F.to_date("ts").alias("day"), F.col("user_id"))
@@ -257,35 +290,6 @@ def seen_set(spark, sf):
     return late.distinct().join(early.distinct(), ["user_id", "event_type"], "left_anti")
 
 
-def open_reasons(spark, sf):
-    """One open item a subject, with its reasons."""
-    e = table(spark, sf, "events").where("event_type in ('error', 'signup')")
-    return e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("event_id") % 3 > 0, F.concat("event_type", F.lit(":"), (F.col("event_id") % 4).cast("string"))))), ",").alias("reasons"))
-
-
-def party_orientation(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("alike"), F.count_if(F.col("o_orderstatus") != "F").alias("other")).select("o_custkey", F.when(F.col("alike") > F.col("other"), "alike").when(F.col("other") > F.col("alike"), "other").alias("orientation"))
-
-
-def own_party_suggestion(spark, sf):
-    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
-    seen = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    return seen.groupBy("c_nationkey").agg(F.max_by("c_mktsegment", F.struct("n", "c_mktsegment")).alias("label"), F.sum("n").alias("seen"))
-
-
-def direction_evidence(spark, sf):
-    c = table(spark, sf, "customer")
-    net = F.when(F.col("c_nationkey") % 3 == 0, 2).otherwise(0) + F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0) - F.when(F.col("c_custkey") % 5 == 0, 2).otherwise(0) - F.when(F.col("c_acctbal") < 0, 1).otherwise(0)
-    return c.select("c_custkey", F.when(net > 0, "incoming").when(net < 0, "outgoing").alias("direction"))
-
-
-def marks_by_partner(spark, sf):
-    o = table(spark, sf, "orders")
-    per = o.groupBy("o_custkey", "o_orderpriority").agg(F.countDistinct("o_orderkey").alias("n"))
-    return o.join(per, ["o_custkey", "o_orderpriority"]).select("o_orderkey", (F.col("n") - 1).alias("earlier"))
-
-
 def ordinal_score(spark, sf):
     e = table(spark, sf, "events").select("event_id", *[((F.col("event_id") * k) % 11 + 1).alias(f"w{k}") for k in (3, 5, 7)])
     total = F.col("w3") + F.col("w5") + F.col("w7")
@@ -294,26 +298,6 @@ def ordinal_score(spark, sf):
     return e.select("event_id", level.alias("level"), expected.alias("expected"))
 
 
-def email_route(spark, sf):
-    c = table(spark, sf, "conversations")
-    signal = F.when(F.col("turn") % 7 == 6, "security")
-    intent = F.when((F.col("role") == "user") & (F.length("text") > 400), "order")
-    attach = F.when(F.col("conv_id") % 3 == 0, "documents")
-    return c.groupBy(F.coalesce(signal, intent, attach, F.lit("none")).alias("route")).agg(F.count("*").alias("n"))
-
-
-def perturbed_records(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
-    variants = F.explode(F.array(F.struct(F.lit("same").alias("variant"), F.col("total").alias("v")), F.struct(F.lit("scaled").alias("variant"), (F.col("total") * 10).cast("decimal(18,2)").alias("v")), F.struct(F.lit("missing").alias("variant"), F.lit(None).cast("decimal(18,2)").alias("v"))))
-    x = o.select("o_orderkey", "total", variants.alias("p")).select("total", "p.*")
-    return x.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col("v") != F.col("total"), F.lit(True))).alias("flagged"))
-
-
-def release_marks(spark, sf):
-    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.col("o_orderkey").cast("string"), "o_orderstatus"))), ";").alias("content"))
-    return o.select("o_custkey", F.sha2("content", 256).alias("mark"))
-
-
 def ocr_confidence(spark, sf):
     e = table(spark, sf, "events").select("user_id", F.col("value").alias("conf"))
     return e.groupBy("user_id").agg(F.round(F.avg("conf") / 100, 4).alias("mean_conf"), F.round(F.avg((F.col("conf") < 10).cast("int")), 4).alias("low_ratio")).withColumn("escalate", (F.col("mean_conf") < 0.2) | (F.col("low_ratio") > 0.45))
@@ -321,8 +305,11 @@ def ocr_confidence(spark, sf):
 
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}
 
-_ACC = "translate(lower({}), 'áàâäãåéèêëíìîïóòôöõőúùûüűçñýÿßœæ', 'aaaaaaeeeeiiiioooooouuuuucnyysoa')"
+_ACC = "replace(strip_accents(lower({})), 'ß', 'ss')"
 _NORM = "trim(regexp_replace(" + _ACC + ", '[^a-z0-9]+', ' ', 'g'))"
+_DATE_OF = "CASE WHEN o_orderkey % 9 = 2 THEN extract(day FROM o_orderdate) <= 12 AND extract(day FROM o_orderdate) <> extract(month FROM o_orderdate) ELSE false END"
+_chain = ", ".join(f"w{n} AS (SELECT *, regexp_replace(v{n}, '{p}', ' ', 'g') AS v{n + 1}, regexp_extract_all(v{n}, '{p}') AS h{n} FROM w{n - 1})" for n, p in enumerate(finders.PATTERNS.values())).replace("FROM w-1", "FROM l")
+_kinds = " UNION ALL ".join(f"SELECT doc_id, line_no, {n} * 100000 + generate_subscripts(h{n}, 1) AS pos, '{k}' AS kind, unnest(h{n}) AS raw FROM w{len(finders.PATTERNS) - 1}" for n, k in enumerate(finders.PATTERNS))
 _sql = lambda x: "NULL" if x is None else x
 _truth_rows = ", ".join(f"({n}, CAST({_sql(m[0])} AS DOUBLE), {bool(m[1])}, CAST({_sql(q[0])} AS DOUBLE), {bool(q[1])}, CAST({_sql(t)} AS DOUBLE))" for n, (m, q, t) in enumerate(zip(_MONEY, _QUANTITY, _TYPED, strict=True)))
 _date_rows = ", ".join(f"({n}, {'NULL' if d is None else repr(d)}, {bool(a)})" for n, (d, a) in enumerate(_DATES))
@@ -339,18 +326,21 @@ ORACLES = {
     "luhn": "WITH c AS (SELECT c_custkey, '4' || lpad(CAST(c_custkey * 15485863 AS VARCHAR), 15, '0') AS n FROM customer), d AS (SELECT c_custkey, i, CAST(substr(n, 17 - i, 1) AS INT) AS d FROM c, range(1, 17) t(i)), s AS (SELECT c_custkey, sum(CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END) AS s FROM d GROUP BY 1) SELECT c_custkey, s % 10 = 0 AS is_card FROM s",
     "card_mask": "WITH c AS (SELECT c_custkey, '4' || lpad(CAST(c_custkey * 15485863 AS VARCHAR), 15, '0') AS n FROM customer), d AS (SELECT c_custkey, n, i, CAST(substr(n, 17 - i, 1) AS INT) AS d FROM c, range(1, 17) t(i)), s AS (SELECT c_custkey, n, sum(CASE WHEN i % 2 = 1 THEN d WHEN d > 4 THEN 2 * d - 9 ELSE 2 * d END) AS s FROM d GROUP BY 1, 2) SELECT c_custkey, 'card ' || CASE WHEN s % 10 = 0 THEN left(n, 6) || 'xxxxxx' || right(n, 4) ELSE n END || ' end' AS masked FROM s",
     "content_digest": "SELECT doc_id, sha256(text) AS digest FROM documents",
-    "text_keys": f"WITH d AS (SELECT doc_id, {_NORM.format('left(text, 120)')} AS n FROM documents) SELECT doc_id, n AS normalized, replace(n, ' ', '') AS compacted FROM d",
+    "text_keys": f"WITH d AS (SELECT doc_id, {_NORM.format('text')} AS n FROM documents) SELECT doc_id, n AS normalized, replace(n, ' ', '') AS compacted FROM d",
     "name_and_number_keys": "SELECT p_partkey, concat_ws(' ', lower(p_name), 'brand') AS name_key, 'NO' || p_partkey || 'A' AS number_key, CAST(NULL AS VARCHAR) AS no_number FROM part",
     "value_shapes": "SELECT regexp_replace(regexp_replace(p_brand || ' ' || p_type, '\\pL', 'a', 'g'), '[0-9]', 'd', 'g') AS shape, count(*) AS n FROM part GROUP BY 1",
     "name_shares": "WITH p AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS a, string_split(lower(p_type) || ' red small widget', ' ') AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) / len(a), 4) AS share FROM p",
     "benchmark_words_in_documents": f"WITH d AS (SELECT doc_id, ' ' || {_NORM.format('text')} || ' ' AS t FROM documents), b AS (SELECT item_id, ' ' || {_NORM.format('text')} || ' ' AS n FROM benchmark) SELECT item_id, doc_id FROM b JOIN d ON contains(t, n)",
     "email_clean_body": "WITH b AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN text ELSE text || chr(10) || chr(10) || 'end' END AS t FROM conversations) SELECT conv_id, turn, left(trim(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' '), 500) AS body FROM b",
-    "dashes_and_doubles": "SELECT n_nationkey, 'a-b-' || n_name AS dashed, n_name AS single FROM nation",
+    "dashes_and_doubles": "SELECT n_nationkey, 'a-b- kár őr fűtő ' || n_name AS dashed, n_name AS single FROM nation",
     "safe_names": "SELECT p_partkey, left(p_name || ' .. a b c', 30) AS name FROM part",
     "usable_text": "SELECT lang, count(*) FILTER (WHERE length(text) >= 40 AND length(regexp_replace(text, '[^\\pL\\pN]', '', 'g')) >= 0.5 * length(regexp_replace(text, '\\s', '', 'g'))) AS usable, count(*) AS n FROM documents GROUP BY 1",
     "datapoints_eav": "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events",
     "json_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events",
     "documents_wide": "SELECT user_id, " + ", ".join(f"nullif(count(*) FILTER (WHERE event_type = '{t}'), 0) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "dates_in_text": f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS value, {_DATE_OF} AS ambiguous FROM orders",
+    "parties_in_text": "WITH c AS (SELECT c_custkey AS k, upper(c_mktsegment[1]) || lower(substr(c_mktsegment, 2)) AS seg, ['Budapest', 'Wien', 'Lyon'][c_custkey % 3 + 1] AS town FROM customer) SELECT k AS c_custkey, 'name' AS kind, 'Alma ' || seg || ' Kft.' AS label FROM c UNION ALL SELECT k, 'address', (k + 1000) || ' ' || town || ', Fo utca ' || k % 90 FROM c UNION ALL SELECT k, 'tariff', 'day ' || k % 5 FROM c UNION ALL SELECT k, 'payment', 'bank transfer' FROM c WHERE k % 2 = 0 UNION ALL SELECT k, 'title', 'INVOICE' FROM c UNION ALL SELECT k, 'currency', CASE k % 4 WHEN 0 THEN 'EUR' ELSE 'HUF' END FROM c WHERE k % 4 < 2 UNION ALL SELECT k, 'payment_line', '2' FROM c WHERE k % 2 = 0",
+    "candidate_finders": f"WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS v0 FROM d), {_chain}, a AS ({_kinds}), b AS (SELECT *, lower(regexp_replace(raw, '\\s+', '', 'g')) AS label FROM a), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, kind, label ORDER BY line_no, pos) = 1), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY line_no, pos) <= {finders.CAP}) SELECT kind, count(*) AS n, count(DISTINCT label) AS labels FROM c GROUP BY 1",
     "field_proposals": "WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents), s AS (SELECT lower(w) AS name, w, count(*) AS n FROM d WHERE length(w) BETWEEN 4 AND 12 GROUP BY 1, 2), g AS (SELECT name, CAST(sum(n) AS BIGINT) AS documents, arg_max(w, (n, w)) AS spelling FROM s GROUP BY 1) SELECT * FROM g WHERE documents >= 40",
     "snapshot_diff": "WITH o AS (SELECT o_orderkey AS k FROM orders), x AS (SELECT CASE WHEN k % 17 = 0 THEN 'removed' WHEN k % 5 = 0 THEN 'changed' END AS change, CASE WHEN k % 17 = 0 THEN '' WHEN k % 15 = 0 THEN 'o_orderstatus,o_orderpriority' ELSE 'o_orderstatus' END AS fields FROM o UNION ALL SELECT 'added', '' FROM o WHERE k % 100 = 1) SELECT change, fields, count(*) AS n FROM x WHERE change IS NOT NULL GROUP BY 1, 2",
     "latest_correction_overlay": "WITH e AS (SELECT user_id, CAST(value AS DECIMAL(18,2)) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type = 'purchase') SELECT c_custkey, coalesce(v, CAST(c_acctbal AS DECIMAL(18,2))) AS c_acctbal FROM customer LEFT JOIN e ON user_id = c_custkey AND n = 1",
@@ -361,17 +351,8 @@ ORACLES = {
     "anti_undecided": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "left_join_counts": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
     "computed_key_join": "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey",
-    "priority_join": "WITH m AS (SELECT n_nationkey % 5 AS name, CASE WHEN count(*) = 1 THEN 'M' || max(n_nationkey) END AS p2 FROM nation WHERE n_nationkey < 7 GROUP BY 1) SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'N' || s_nationkey ELSE p2 END AS partner FROM supplier LEFT JOIN m ON m.name = s_nationkey % 5",
     "union_streams": "SELECT 'order' AS what, strftime(o_orderdate, '%Y') AS year, count(*) AS n, 0 AS users FROM orders GROUP BY 2 UNION ALL SELECT 'event', strftime(ts, '%Y'), count(*), count(user_id) FROM events GROUP BY 2".replace("0 AS users", "CAST(0 AS BIGINT) AS users"),
     "seen_set": "SELECT DISTINCT user_id, event_type FROM events WHERE event_id >= 500 EXCEPT SELECT user_id, event_type FROM events WHERE event_id < 500",
-    "open_reasons": "SELECT user_id, coalesce(string_agg(DISTINCT r, ',' ORDER BY r), '') AS reasons FROM (SELECT user_id, CASE WHEN event_id % 3 > 0 THEN event_type || ':' || event_id % 4 END AS r FROM events WHERE event_type IN ('error', 'signup')) GROUP BY 1",
-    "party_orientation": "WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS a, count(*) FILTER (WHERE o_orderstatus <> 'F') AS b FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN a > b THEN 'alike' WHEN b > a THEN 'other' END AS orientation FROM o",
-    "own_party_suggestion": "WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT c_nationkey, arg_max(c_mktsegment, (n, c_mktsegment)) AS label, CAST(sum(n) AS BIGINT) AS seen FROM s GROUP BY 1",
-    "direction_evidence": "WITH c AS (SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END - CASE WHEN c_custkey % 5 = 0 THEN 2 ELSE 0 END - CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS n FROM customer) SELECT c_custkey, CASE WHEN n > 0 THEN 'incoming' WHEN n < 0 THEN 'outgoing' END AS direction FROM c",
-    "marks_by_partner": "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) - 1 AS earlier FROM orders",
     "ordinal_score": "WITH e AS (SELECT event_id, (event_id * 3) % 11 + 1 AS a, (event_id * 5) % 11 + 1 AS b, (event_id * 7) % 11 + 1 AS c FROM events) SELECT event_id, CAST(CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS INT) AS level, round((a + 2 * b + 3 * c) / (a + b + c), 4) AS expected FROM e",
-    "email_route": "SELECT CASE WHEN turn % 7 = 6 THEN 'security' WHEN role = 'user' AND length(text) > 400 THEN 'order' WHEN conv_id % 3 = 0 THEN 'documents' ELSE 'none' END AS route, count(*) AS n FROM conversations GROUP BY 1",
-    "perturbed_records": "SELECT v AS variant, count(*) AS n, CASE WHEN v = 'same' THEN 0 ELSE count(*) END AS flagged FROM orders, (SELECT unnest(['same', 'scaled', 'missing']) AS v) GROUP BY 1",
-    "release_marks": "SELECT o_custkey, sha256(string_agg(o_orderkey || '=' || o_orderstatus, ';' ORDER BY CAST(o_orderkey AS VARCHAR) || '=' || o_orderstatus)) AS mark FROM orders GROUP BY 1",
     "ocr_confidence": "WITH e AS (SELECT user_id, round(avg(value) / 100, 4) AS mean_conf, round(avg(CASE WHEN value < 10 THEN 1 ELSE 0 END), 4) AS low_ratio FROM events GROUP BY 1) SELECT *, mean_conf < 0.2 OR low_ratio > 0.45 AS escalate FROM e",
 }

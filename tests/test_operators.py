@@ -1,7 +1,11 @@
 """Operators on literal rows: known answers and invariants."""
 
-from datetime import date
+import random
+import unicodedata
+from collections import defaultdict
+from datetime import date, timedelta
 from decimal import Decimal as D
+from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyspark.functions import ids, numbers, text
-from tallyspark.operators import dedupe, evals, finders, graph, intervals, listquery, reconcile, relations, rules
+from tallyspark.functions import dates
+from tallyspark.operators import datasets, dedupe, evals, evidence, finders, graph, intervals, listquery, pairing, parties, reconcile, relations, rules, worklists
 from tallyspark.operators.listquery import Column, Filter, ListQuery, Query, RequestError, Sort
 
 ROWS = [("a", "Öz Kft", "1000.50", "open", "2026-01-02"), ("b", "oz bt", None, "closed", None), ("c", "Zebra", "-5", "open", "2026-01-01"), ("d", "", "1 153", "", "2026-02-01"), ("e", "Óbuda", "abc", "open", "2026-01-03")]
@@ -181,8 +186,10 @@ def test_masks_and_guards(spark):
 
 
 def test_fold_and_fuzzy(spark):
-    df = spark.createDataFrame([("ÁRVÍZTŰRŐ", "árvízturo")], "a string, b string")
-    assert df.select(text.fold(F.col("a")) == text.fold(F.col("b")), text.fold_any("a") == text.fold_any("b")).first() == (True, True)
+    words = ["ÁRVÍZTŰRŐ", "Čapek", "ΆΛΦΑ", "ﬁn", "Straße", "İstanbul", "ŀlull", "A\u0301b", "Ǆ", "①½", "ШЙ", "plain ASCII", "", "𝐀b", None]
+    plain = lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s.casefold()) if not unicodedata.combining(c))
+    got = [r[0] for r in spark.createDataFrame([(n, w) for n, w in enumerate(words)], "n int, w string").orderBy("n").select(text.fold(F.col("w"))).collect()]
+    assert got == [plain(w) for w in words] and got[1:5] == ["capek", "αλφα", "fin", "strasse"]
     pairs = [("example", "exampletel", True), ("example", "exampel", True), ("example", "examined", False), ("exampletel", "examp", False), ("abc", "abd", False)]
     got = [r[0] for r in spark.createDataFrame([(n, a, b) for n, (a, b, _) in enumerate(pairs)], "n int, a string, b string").orderBy("n").select(text.fuzzy_word(F.col("a"), F.col("b"))).collect()]
     assert got == [c for *_, c in pairs]
@@ -224,3 +231,196 @@ def test_unique_prefix(spark):
 def test_number_reader_never_raises(spark, raws):
     df = spark.createDataFrame([(r,) for r in raws], "r string")
     assert df.select(numbers.read_number(F.col("r")), numbers.read_input(F.col("r"))).count() == len(raws)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(max_size=12), min_size=1, max_size=30))
+def test_fold_like_unicode_data(spark, raws):
+    raws = [r.encode("utf-8", "ignore").decode() for r in raws]
+    hangul = lambda s: any(0xAC00 <= ord(c) <= 0xD7A3 or ord(c) >= 0x20000 or ord(c) < 0x20 for c in s)  # noqa: E731 - stay whole
+    raws = [r for r in raws if not hangul(r)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(raws)), "n int, w string").orderBy("n").select(text.fold(F.col("w"))).collect()]
+    assert got == ["".join(c for c in unicodedata.normalize("NFKD", r.casefold()) if not unicodedata.combining(c)) for r in raws]
+
+
+def fuzzy(word, other):
+    if other.startswith(word) or (len(other) >= max(5, 0.6 * len(word)) and word.startswith(other)):
+        return True
+    return min(len(word), len(other)) >= 5 and abs(len(word) - len(other)) <= 2 and SequenceMatcher(None, word, other).ratio() >= 0.85
+
+
+def test_fuzzy_pairs_lose_nothing(spark):
+    rng, words = random.Random(5), ["abcdef", "abxcdyef", "abxcdef", "abcdyef"]
+    for _ in range(60):
+        w = "".join(rng.choice("abcdefg") for _ in range(rng.randint(4, 16)))
+        words.append(w)
+        for _ in range(5):
+            x = list(w)
+            for _ in range(rng.randint(1, 3)):
+                k = rng.randrange(len(x))
+                x[k : k + 1] = rng.choice([[], [rng.choice("abcdefg")], [x[k], rng.choice("abcdefg")]]) if len(x) > 3 else [x[k]]
+            words += ["".join(x), w[: rng.randint(3, len(w))] if len(w) > 3 else w]
+    words = sorted(set(words))
+    df = spark.createDataFrame([(w,) for w in words], "w string").repartition(4)
+    got = {tuple(r) for r in relations.fuzzy_pairs(df, df, "w").collect()}
+    assert got == {(a, b) for a in words for b in words if a != b and fuzzy(a, b)}
+
+
+def test_signals_like_brute_force(spark):
+    from tallyspark.plans import pairing as plan
+
+    sf = "/root/testdata/sf0.001"
+    rates, common = plan._rates(spark), reconcile.common_words(spark.read.parquet(f"{sf}/part.parquet"), "p_type", 3)
+    rows = pairing.relations(plan.signal_rows(spark, sf), rates)
+    learned = reconcile.learned_names(rows.where("invoice_id % 6 = 2").select(F.col("counterparty_name").alias("name"), "partner"), 1)
+    got = {r["line_id"]: (set(r["signals"]), r["strength"]) for r in pairing.signals(rows, ["the", "and"], common, learned).collect()}
+    stop, known = {r["word"] for r in common.collect()}, {(r["name_key"], r["partner"]) for r in learned.collect()}
+    norm = lambda x: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (x or "").lower()).split())
+    key = lambda x: " ".join(w for w in norm(x).split() if len(w) > 1 and not any(c.isdigit() for c in w))
+    stands = lambda n, t: len(norm(n).replace(" ", "")) >= 4 and (f" {norm(n)} " in f" {norm(t)} " or (len(norm(n).replace(" ", "")) >= 6 and norm(n).replace(" ", "") in norm(t).replace(" ", "")))
+    weights = dict(pairing.Signals().weights)
+    seen = set()
+    for r in rows.collect():
+        told, want = f"{r['memo']} {r['description']}", set()
+        words = [w for w in dict.fromkeys(norm(r["supplier_name"]).split()) if w not in ("the", "and")]
+        theirs = norm(r["counterparty_name"] if r["counterparty_name"] is not None else r["description"]).split()
+        long = lambda x: [w for w in x if len(w) >= 5 and not any(c.isdigit() for c in w)]
+        if stands(r["number"], told):
+            want.add("invoice_number")
+        if any(stands(x, told) for x in r["references"] or []):
+            want.add("reference")
+        if words and len(set(words) & set(theirs)) / len(words) >= 0.75:
+            want.add("supplier_name")
+        elif any((x != y and fuzzy(x, y)) or (x == y and x == (long(words) or [None])[0]) for x in long(words) if x not in stop for y in long(theirs) if y not in stop):
+            want.add("supplier_name_fuzzy")
+        if "card" in norm(r["payment_method"]) and "applepay" in norm(f"{r['counterparty_name']} {r['description']} {r['memo']}"):
+            want.add("payment_channel")
+        if (key(r["counterparty_name"]), r["partner"]) in known:
+            want.add("learned_name")
+        strength = min(100, sum(weights[s] for s in want) + (10 if r["relation"] in ("equal", "fx_within") else 0))
+        assert got[r["line_id"]] == (want, strength), r
+        seen |= want
+    assert seen == {"invoice_number", "reference", "supplier_name", "supplier_name_fuzzy", "payment_channel", "learned_name"}
+
+
+def test_components_of_stars_and_paths(spark):
+    rng, edges = random.Random(3), []
+    edges += [(n, 1000) for n in range(50)]  # a star whose middle is the greatest
+    path = rng.sample(range(300), 300)
+    edges += [(2000 + a, 2000 + b) for a, b in zip(path, path[1:], strict=False)]
+    edges += [(5000 + rng.randrange(80), 5000 + rng.randrange(80)) for _ in range(70)] + [(7, 7), (9001, 9000)]
+    parent = {}
+
+    def root(k):
+        while parent.setdefault(k, k) != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {k: root(k) for k in parent}
+
+
+def test_covered_nearest_and_preselect_like_brute_force(spark):
+    rng, d0 = random.Random(4), date(2024, 1, 1)
+    day = lambda n: d0 + timedelta(n)
+    periods, wanted = [], []
+    for k in range(4):
+        at = 0
+        for _ in range(6):
+            at += rng.randint(2, 9)
+            periods.append((k, day(at), day(at := at + rng.randint(0, 9))))
+        wanted += [(k, k * 100 + n, day(s := rng.randint(-5, 80)), day(s + rng.randint(0, 12))) for n in range(40)]
+    wanted.append((9, 900, day(1), day(2)))
+    got = {r["i"]: r["covered"] for r in intervals.covered(spark.createDataFrame(wanted, "k int, i int, start date, end date"), spark.createDataFrame(periods, "k int, start date, end date"), ["k"], "i").collect()}
+    for k, i, s, e in wanted:
+        mine = [(a, b) for kk, a, b in periods if kk == k]
+        assert got[i] == ("full" if any(a <= s and e <= b for a, b in mine) else "partial" if any(a <= e and s <= b for a, b in mine) else "none")
+    lines = [(n, rng.randrange(5), day(rng.randrange(60)), D(rng.randrange(0, 400))) for n in range(80)]
+    inv = [(n, rng.randrange(4), day(rng.randrange(60)), day(rng.randrange(60)) if n % 3 else None, D(rng.randrange(0, 400))) for n in range(80)]
+    a = spark.createDataFrame(lines, "line_id long, p int, booking_date date, amount decimal(18,2)")
+    b = spark.createDataFrame(inv, "invoice_id long, p int, issue_date date, due_date date, amount decimal(18,2)")
+    got = {r["line_id"]: r["invoice_id"] for r in reconcile.nearest_anchor(a, b, ["p"]).collect()}
+    want = {n: min(((abs((d - (due or iss)).days), i) for i, q, iss, due, _ in inv if q == p), default=(0, None))[1] for n, p, d, _ in lines}
+    assert got == {n: i for n, i in want.items() if i is not None}
+    got = {(r["line_id"], r["rank"]): r["invoice_id"] for r in reconcile.preselect(b.withColumnRenamed("p", "partner"), a.withColumnRenamed("p", "account")).collect()}
+    want = {}
+    for n, p, _, x in lines:
+        near = sorted((round(abs(x - w) / w, 6), iss, i) for i, q, iss, _, w in inv if q == p and w > 0 and x > 0 and abs(x - w) <= w * D("0.10"))
+        want |= {(n, k + 1): i for k, (*_, i) in enumerate(near[:3])}
+    assert got == want
+
+
+def test_inheritance_of_any_depth(spark):
+    units = spark.createDataFrame([(n, n - 1 if n else None) for n in range(9)], "unit_id int, parent_id int")
+    facts = spark.createDataFrame([(0, "a", "top"), (5, "a", "own"), (2, "b", "x")], "unit_id int, name string, value string")
+    got = {(r["unit_id"], r["name"]): r["value"] for r in rules.inherited(units, facts).collect()}
+    assert got == {(n, "a"): "own" if n >= 5 else "top" for n in range(9)} | {(n, "b"): "x" for n in range(2, 9)}
+    with pytest.raises(ValueError, match="cycle"):
+        rules.inherited(spark.createDataFrame([(1, 2), (2, 1)], "unit_id int, parent_id int"), facts)
+
+
+def test_registry_refuses_incomplete_scopes(spark):
+    found = datasets.Registry()
+    found.add(datasets.Dataset("t", lambda spark, _: spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string"), required=("a",), optional=("b",)))
+    found.add(datasets.Dataset("u", lambda spark, _: spark.range(3), one_of=("id", "other")))
+    assert found.rows(spark, "", "t", a=1).count() == 1 and found.rows(spark, "", "t", a=[1, 2], b="y").count() == 1 and found.rows(spark, "", "u", id=2).count() == 1
+    for name, scope in (("v", {}), ("t", {}), ("t", {"a": 1, "c": 2}), ("u", {}), ("u", {"id": 1, "other": 2})):
+        with pytest.raises(ValueError):
+            found.rows(spark, "", name, **scope)
+    with pytest.raises(ValueError, match="already"):
+        found.add(found.datasets["t"])
+
+
+def test_dates_in_text_by_order_and_language(spark):
+    lines = [("a", 0, "from 13/02/2024 to 03/04/2024"), ("b", 0, "02/25/2024 and 03/04/2024"), ("c", 0, "03/04/2024"), ("d", 0, "13/02/2024, 02/25/2024, 03/04/2024"), ("e", 0, "26.06.24 and 2024. május 3. and 5 de marzo de 2024, March 7th, 2024; 1er août 2023 and 99.99.2024")]
+    df = spark.createDataFrame(lines, "doc string, n int, line string")
+    got = defaultdict(list)
+    for r in finders.date_candidates(df, "doc", "n", "line").orderBy("doc", "at").collect():
+        got[r["doc"]].append((r["value"].isoformat(), r["ambiguous"]))
+    assert got["a"] == [("2024-02-13", False), ("2024-04-03", False)] and got["b"] == [("2024-02-25", False), ("2024-03-04", False)]
+    assert got["c"] == [("2024-04-03", True)] and got["d"][2] == ("2024-04-03", True)
+    assert [v for v, _ in got["e"]] == ["2024-06-26", "2024-05-03", "2024-03-05", "2024-03-07", "2023-08-01"]
+
+
+def test_quotations(spark):
+    page = "The quick brown fox jumps over the lazy dog, and then it sleeps under a large oak tree."
+    quotes = {"quick brown": "printed", "quick bro- wn fox": "joined", "quick brown ... lazy dog": "omitted", "lazy dog ... quick brown": "absent", "The qu1ck brovvn fox jumps ovcr the lazv dog": "rough", "nothing of this kind is there": "absent"}
+    df = spark.createDataFrame([("p", q) for q in quotes], "k string, quote string")
+    got = {r["quote"]: r["found"] for r in finders.rough_quotes(df, spark.createDataFrame([("p", page)], "k string, page string"), ["k"]).collect()}
+    assert got == quotes
+
+
+def test_marks_and_versions(spark):
+    lines = spark.createDataFrame([(1, "p", "rent"), (2, "p", "rent"), (3, "p", "tax"), (4, "p", None), (5, "q", "tax")], "line_id long, key string, category string")
+    assert dict(map(tuple, parties.marks(lines).collect())) == {1: "rent:1,tax:1", 2: "rent:1,tax:1", 3: "rent:2", 4: "rent:2,tax:1", 5: ""}
+    files = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, "x")], "path string, at int, content string")
+    assert [(r["version"], r["since"]) for r in worklists.versions(files).orderBy("version").collect()] == [(1, 1), (2, 3), (3, 4)]
+
+
+def test_tasks_merge_like_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(m, m * 100 + n, rng.choice("xy"), "d", rng.choice("pq"), f" T{rng.randrange(4)}", f"q{rng.randrange(6)}") for m in range(12) for n in range(15)]
+    got = {(r["mail_id"], r["task_id"]): (r["merged"], r["quotes"]) for r in evidence.merged_tasks(spark.createDataFrame(rows, "mail_id int, task_id int, action string, deadline string, assignee string, title string, quote string")).collect()}
+    want = {}
+    for m in range(12):
+        kept = []
+        for _, i, a, d, p, t, q in sorted(r for r in rows if r[0] == m):
+            for k in kept:
+                if k["key"] == (a, d, p) and (t.strip().casefold() in k["t"] or q in k["q"]):
+                    k["t"].add(t.strip().casefold())
+                    k["q"].add(q)
+                    k["n"] += 1
+                    break
+            else:
+                kept.append({"id": i, "key": (a, d, p), "t": {t.strip().casefold()}, "q": {q}, "n": 1})
+        want |= {(m, k["id"]): (k["n"], len(k["q"])) for k in kept}
+    assert got == want
+
+
+def test_short_dates_and_dates_by_name(spark):
+    got = spark.sql("select '5. März 2024' as a, 'juin 3, 2024' as b, '12/12/24' as c, '5 foo 2024' as d").select(*[dates.read_date(F.col(c))["value"].alias(c) for c in "abcd"]).first()
+    assert tuple(got) == (date(2024, 3, 5), date(2024, 6, 3), date(2024, 12, 12), None)
