@@ -19,6 +19,8 @@ KINDS = ("text", "number", "money", "date", "datetime", "enum", "bool", "id")
 OPS = ("contains", "eq", "neq", "in", "gte", "lte", "empty", "notempty")
 MAX_FACET, MAX_FILTERS, MAX_SORTS, MAX_KEYS, MAX_LIMIT, MAX_FIELDS = 250, 50, 5, 10_000, 1000, 30
 NUMERIC = ("number", "money")
+#: What no text holds and no column is named with.
+_APART = "\x01"
 
 
 class RequestError(ValueError):
@@ -131,38 +133,47 @@ class ListQuery:
             got = {"eq": a == b, "neq": a != b, "gte": a >= b, "lte": a <= b}[f.op]
         return ~empty & F.coalesce(got, F.lit(False))
 
+    def found(self, q: str) -> SparkColumn:
+        """Whether what is searched stands in any displayed column: their texts are put side by side and folded once."""
+        shown = F.concat_ws(_APART, *[self.shown(c) for c in self.columns])
+        return F.contains(text.fold(shown), text.fold(F.lit(q.strip().replace(_APART, ""))))
+
     def matched(self, rows: DataFrame, q: Query) -> DataFrame:
         """The rows that fit, in no order."""
         self.check(q)
         if q.keys is not None:
             rows = rows.where(F.col(self.key).cast("string").isin([str(k) for k in q.keys]))
         if q.q and q.q.strip():
-            needle = text.fold(F.lit(q.q.strip()))
-            rows = rows.where(F.greatest(*[F.coalesce(F.contains(text.fold(self.shown(c)), needle), F.lit(False)) for c in self.columns], F.lit(False)))
+            rows = rows.where(self.found(q.q))
         for f in q.filters:
             rows = rows.where(self.condition(f))
         return rows
 
-    def order(self, name: str, desc: bool = False) -> list[SparkColumn]:
-        """Empties last in either direction; numbers before text; text in Hungarian order."""
+    def order(self, name: str, desc: bool = False) -> list[tuple[SparkColumn, bool]]:
+        """Sort keys, each with whether it falls: empties last in either direction; numbers before text; text in Hungarian order."""
         kind, value = self.column(name).kind, self.shown(name)
-        way = (lambda c: c.desc_nulls_last()) if desc else (lambda c: c.asc_nulls_last())
         if kind == "bool":
-            return [self.empty(name).asc(), way(F.col(name).cast("boolean"))]
+            return [(self.empty(name), False), (F.col(name).cast("boolean"), desc)]
         plain = F.trim(value).rlike(r"^-?[0-9]+(?:[.,][0-9]+)?$")
         n = self.number(name) if kind in NUMERIC else F.when(plain, F.replace(F.trim(value), F.lit(","), F.lit(".")).try_cast("decimal(38,6)")) if kind == "text" else F.lit(None).cast("decimal(38,6)")
-        return [self.empty(name).asc(), n.isNull().asc(), way(n), way(text.hu_base(value)), way(text.hu_accents(value))]
-
-    def ordering(self, q: Query) -> list[SparkColumn]:
-        out = self.order(q.group) if q.group else []
+        number = [(n.isNull(), False), (n, desc)]
+        if kind in NUMERIC:
+            return [(self.empty(name), False), *number]
+        return [(self.empty(name), False), *(number if kind == "text" else []), (text.hu_base(value), desc), (text.hu_accents(value), desc)]
+
+    def ordered(self, rows: DataFrame, q: Query) -> DataFrame:
+        """rows in the order asked for. Keys are made once a row, as columns, not again in each comparison."""
+        keys = self.order(q.group) if q.group else []
         for s in q.sort:
-            out += self.order(s.col, s.desc)
-        return [*out, F.col(self.key).asc()]
+            keys += self.order(s.col, s.desc)
+        made = rows.withColumns({f"{_APART}{n}": c for n, (c, _) in enumerate(keys)})
+        way = [F.col(f"{_APART}{n}").desc_nulls_last() if desc else F.col(f"{_APART}{n}").asc_nulls_last() for n, (_, desc) in enumerate(keys)]
+        return made.orderBy(*way, F.col(self.key).asc())
 
     def page(self, rows: DataFrame, q: Query) -> DataFrame:
         """One page with only the fields asked for (and those that begin with an underscore). Top rows only are kept and sorted."""
         kept = [c for c in rows.columns if q.fields is None or c in q.fields or c.startswith("_")]
-        return self.matched(rows, q).orderBy(*self.ordering(q)).offset(q.offset).limit(q.limit).select(*kept)
+        return self.ordered(self.matched(rows, q), q).offset(q.offset).limit(q.limit).select(*kept)
 
     def counts(self, rows: DataFrame, q: Query) -> DataFrame:
         """(total, matched) in one pass over the rows."""
@@ -171,8 +182,7 @@ class ListQuery:
         if q.keys is not None:
             fits = fits & F.col(self.key).cast("string").isin([str(k) for k in q.keys])
         if q.q and q.q.strip():
-            needle = text.fold(F.lit(q.q.strip()))
-            fits = fits & F.greatest(*[F.coalesce(F.contains(text.fold(self.shown(c)), needle), F.lit(False)) for c in self.columns], F.lit(False))
+            fits = fits & self.found(q.q)
         for f in q.filters:
             fits = fits & self.condition(f)
         return rows.agg(F.count("*").alias("total"), F.count_if(F.coalesce(fits, F.lit(False))).alias("matched"))

@@ -61,6 +61,19 @@ def judgements_round_trip(spark, sf):
     return j.groupBy("question", "label").agg(F.count("*").alias("n"), F.round(F.sum("p"), 3).alias("p"), F.round(F.sum("second"), 3).alias("second"), F.count_if("flagged").alias("flagged"))
 
 
+def verdicts_round_trip(spark, sf):
+    """Verdict files: flags with probabilities by question, flags of the whole document, claims that nothing supports."""
+    e = table(spark, sf, "events")
+    p = (F.col("event_id") * 37 % 1001) / 1000
+    flags = F.create_map(F.col("event_type"), F.create_map(F.lit("wrong"), p, F.lit("right"), F.round(1 - p, 3)))
+    verdicts = F.struct(flags.alias("flags"))
+    rows = e.select(F.col("event_id").cast("string").alias("case_id"), F.lit("G").alias("arm"), F.lit(1).alias("run_no"), F.lit("m1").alias("model"), verdicts.alias("verdicts"), F.when(F.col("event_id") % 5 == 0, F.array(F.lit("scan"))).otherwise(F.array().cast("array<string>")).alias("doc_flags"), F.when(F.col("event_id") % 7 == 0, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("unsupported"))
+    path = fresh_path(spark, "verdicts")
+    rows.write.json(path)
+    j = documents.read_verdicts(spark, path)
+    return j.groupBy("question", "label").agg(F.count("*").alias("n"), F.round(F.sum("p"), 3).alias("p"), F.count_if("unsupported").alias("unsupported"), F.sum("doc_flags").alias("doc_flags"))
+
+
 def rates_from_xml(spark, sf):
     days = spark.range(0, 300).select(F.concat(F.lit('<R><Day date="'), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("string"), F.lit('"><Rate curr="EUR" unit="1">'), F.concat_ws(",", (F.lit(380) + F.col("id") % 20).cast("string"), F.lit("25")), F.lit('</Rate><Rate curr="JPY" unit="100">'), (F.lit(250) + F.col("id") % 7).cast("string"), F.lit("</Rate></Day></R>")).alias("x"))
     return documents.rates_from_xml(days, "x").groupBy("currency").agg(F.count("*").alias("n"), F.round(F.avg(F.col("rate").cast("double")), 6).alias("rate"), F.max("day").alias("last"))
@@ -157,6 +170,17 @@ def stream_outbox(spark, sf):
     return spark.read.parquet(out).groupBy("user_id").agg(F.sum("n").alias("n"))
 
 
+def stream_worker(spark, sf):
+    """Events as jobs of a queue, worked off in batches by their kind; repeated keys count once."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parq*")
+    queue = stream.select(F.col("event_id").alias("job_id"), F.col("event_type").alias("kind"), F.concat_ws(":", "event_type", (F.col("event_id") % 300).cast("string")).alias("dedup_key"), "value")
+    stages = {"click": lambda j: j.select("job_id", (F.col("job_id") % 7).alias("result")), "purchase": lambda j: j.where("job_id % 5 > 0").select("job_id", F.lit("paid").alias("result")), "view": lambda j: j.select("job_id", F.lit("seen").alias("result"))}
+    out = fresh_path(spark, "worker")
+    jobs.run_batches(queue, fresh_path(spark, "worker-checkpoint"), jobs.worker(stages, out)).awaitTermination()
+    return spark.read.parquet(out).groupBy("kind", "state", "result").agg(F.count("*").alias("n"))
+
+
 def stream_dedup(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parq*").withColumn("at", F.col("ts").cast("timestamp")).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
@@ -191,6 +215,7 @@ ORACLES = {
     "camt_round_trip": "SELECT 'S' || o_custkey AS statement, CASE WHEN o_orderkey % 2 = 0 THEN 'debit' ELSE 'credit' END AS direction, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount, min(CAST(o_orderdate AS DATE)) AS first, max('order ' || o_orderkey) AS memo FROM orders GROUP BY 1, 2",
     "ocr_round_trip": "SELECT event_type AS text, count(*) AS n, round(avg(round(value, 2)) / 100, 4) AS conf FROM events GROUP BY 1",
     "judgements_round_trip": "WITH e AS (SELECT *, (event_id * 37 % 1001) / 1000 AS p FROM events) SELECT event_type AS question, 'L' || event_id % 4 AS label, count(*) AS n, round(sum(greatest(p, round(1 - p, 3))), 3) AS p, round(sum(least(p, round(1 - p, 3))), 3) AS second, count(*) FILTER (WHERE event_id % 5 = 0) AS flagged FROM e GROUP BY 1, 2",
+    "verdicts_round_trip": "WITH e AS (SELECT *, (event_id * 37 % 1001) / 1000 AS p FROM events) SELECT event_type AS question, CASE WHEN p >= round(1 - p, 3) THEN 'wrong' ELSE 'right' END AS label, count(*) AS n, round(sum(greatest(p, round(1 - p, 3))), 3) AS p, count(*) FILTER (WHERE event_id % 7 = 0) AS unsupported, count(*) FILTER (WHERE event_id % 5 = 0) AS doc_flags FROM e GROUP BY 1, 2",
     "rates_from_xml": "SELECT 'EUR' AS currency, count(*) AS n, round(avg(380 + i % 20 + 0.25), 6) AS rate, DATE '2024-01-01' + 299 AS last FROM range(300) t(i) UNION ALL SELECT 'JPY', count(*), round(avg((250 + i % 7) / 100), 6), DATE '2024-01-01' + 299 FROM range(300) t(i)",
     "fetch_coverage": "WITH f AS (SELECT CASE WHEN o_orderkey % 2 = 1 THEN ['EUR', 'USD'] ELSE ['EUR'] END AS c, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 <> 0), x AS (SELECT DISTINCT currency, CAST(d + CAST(i AS INT) AS DATE) AS day FROM (SELECT unnest(c) AS currency, d FROM f), range(3) t(i)) SELECT currency, count(*) AS days, min(day) AS first FROM x GROUP BY 1",
     "statement_blocks": "SELECT CAST(l_orderkey % 50 AS VARCHAR) AS path, count(DISTINCT l_orderkey) AS blocks, count(*) AS rows, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1",
@@ -204,6 +229,7 @@ ORACLES = {
     "queue_claims": f"WITH {_LOGSQL} SELECT job_id, attempts FROM q WHERE status = 'queued' ORDER BY attempts, job_id LIMIT 20",
     "stream_calls_per_minute": "WITH w AS (SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type, n FROM w WHERE s + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     "stream_outbox": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
+    "stream_worker": "WITH j AS (SELECT event_type AS kind, min(event_id) AS id FROM events GROUP BY event_type, event_id % 300), r AS (SELECT kind, CASE kind WHEN 'click' THEN CAST(id % 7 AS VARCHAR) WHEN 'purchase' THEN CASE WHEN id % 5 > 0 THEN 'paid' END WHEN 'view' THEN 'seen' END AS result FROM j) SELECT kind, CASE WHEN kind NOT IN ('click', 'purchase', 'view') THEN 'refused' WHEN result IS NULL THEN 'failed' ELSE 'done' END AS state, result, count(*) AS n FROM r GROUP BY 1, 2, 3",
     "stream_dedup": "SELECT DISTINCT user_id || ':' || event_type AS key FROM events",
     "decisions_carried": "SELECT o_orderkey AS decision_id, o_orderkey * 10 AS line_id, o_orderkey * 10 + CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE 0 END AS now_on, CASE WHEN o_orderkey % 3 = 0 THEN 'moved' WHEN o_orderkey % 7 = 0 THEN 'left_over' ELSE 'stays' END AS state FROM orders",
     "event_sessions": "WITH e AS (SELECT user_id, CASE WHEN floor(epoch(ts)) - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) <= 86400 THEN 0 ELSE 1 END AS f FROM events) SELECT user_id, CAST(sum(f) AS BIGINT) AS sessions FROM e GROUP BY 1",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -18,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of our own.
 
-    The fallback is machine-local only in local mode (one machine, as in tests); on a cluster it is the warehouse.
+    The fallback is a temporary folder in local mode (one machine, as in tests). A cluster that names no folder is refused: a
+    path that every machine has for itself would lose data without an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        found = "file://" + tempfile.mkdtemp(prefix="tally-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_tally"
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tally-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,16 +40,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _forget() -> None:
     for spark, path in _made:
         try:
-            jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session is gone already; the shared folder's owner clears it
             return
 
 
+@contextlib.contextmanager
+def intermediates():
+    """What is written within it is deleted when it ends: for work whose result has been written by then."""
+    before = len(_made)
+    yield
+    for spark, path in _made[before:]:
+        _delete(spark, path)
+    del _made[before:]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back. Survives lost executors."""
     spark = df.sparkSession

@@ -124,6 +124,17 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("case_id", F.col("arm").alias("flow"), "run_no", "question", F.col("pick.label").alias("label"), F.col("pick.confidence").alias("confidence"), F.get(top, F.lit(0)).alias("p"), F.get(top, F.lit(1)).alias("second"), flagged.alias("flagged"))
 
 
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded verdicts, one a line, one row for each question: its likeliest label (the later of equals in the alphabet), the
+    probability, whether the question's claim is unsupported, and how many flags the document has."""
+    schema = "case_id string, arm string, run_no int, model string, verdicts struct<flags: map<string, map<string, double>>>, doc_flags array<string>, unsupported array<string>"
+    rows = spark.read.schema(schema).json(path)
+    rows = rows.select("case_id", "arm", "run_no", "model", "doc_flags", "unsupported", F.explode("verdicts.flags").alias("question", "odds"))
+    best = F.array_max(F.transform(F.map_entries("odds"), lambda e: F.struct(e["value"].alias("p"), e["key"].alias("label"))))
+    none = F.array().cast("array<string>")
+    return rows.select("case_id", F.col("arm").alias("flow"), "run_no", "model", "question", best["label"].alias("label"), best["p"].alias("p"), F.array_contains(F.coalesce("unsupported", none), F.col("question")).alias("unsupported"), F.size(F.coalesce("doc_flags", none)).alias("doc_flags"))
+
+
 def first_profile(*attempts: DataFrame, key: str) -> DataFrame:
     """Of several readings of one file the first profile's that read it."""
     out, done = None, None

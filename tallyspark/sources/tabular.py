@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,13 +25,14 @@ class TooLarge(ValueError):
 
 
 def csv_rows(data: bytes) -> Iterator[tuple[str, list[str]]]:
-    """UTF-8 (with or without mark), else the Central European code page; the separator that the first line has more of."""
+    """UTF-8 (with or without mark), else the Central European code page, else the file is refused; the separator that the first line
+    has more of, a comma if it has as many."""
     try:
         text = data.decode("utf-8-sig")
     except UnicodeDecodeError:
-        text = data.decode("cp1250", "replace")
+        text = data.decode("cp1250")
     head = text.split("\n", 1)[0]
-    yield from (("", row) for row in csv.reader(io.StringIO(text), delimiter=";" if head.count(";") >= head.count(",") else ","))
+    yield from (("", row) for row in csv.reader(io.StringIO(text), delimiter=";" if head.count(";") > head.count(",") else ","))
 
 
 def _column(ref: str) -> int:
@@ -46,14 +48,45 @@ def _safe_xml(data: bytes) -> ElementTree.Element:
     return ElementTree.fromstring(data)
 
 
+#: Number formats that are built in and show a day (fixed values).
+_DAY_FORMATS = {14, 15, 16, 17, 22, 27, 28, 29, 30, 31, 36, 50, 51, 52, 53, 54, 55, 56, 57, 58}
+
+
+def _day_styles(xml: bytes) -> set[int]:
+    """The cell styles of a workbook whose number format shows a day."""
+    tag = lambda e: e.tag.rpartition("}")[2]
+    root, custom, out = _safe_xml(xml), {}, set()
+    for e in root.iter():
+        if tag(e) == "numFmt":
+            bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", e.get("formatCode", "")).lower()
+            custom[int(e.get("numFmtId", "0"))] = "y" in bare or "d" in bare
+    for styles in (e for e in root.iter() if tag(e) == "cellXfs"):
+        for n, e in enumerate(x for x in styles if tag(x) == "xf"):
+            number = int(e.get("numFmtId", "0"))
+            if custom.get(number, number in _DAY_FORMATS):
+                out.add(n)
+    return out
+
+
+def _shown_day(value: str) -> str:
+    """A workbook's day number as an ISO day, with the time if there is any; what is no such number stays."""
+    try:
+        days = float(value)
+        moment = datetime(1899, 12, 30) + timedelta(days=int(days), seconds=round(days % 1 * 86400))
+    except (ValueError, OverflowError):
+        return value
+    return moment.date().isoformat() if days == int(days) else moment.isoformat(sep=" ")
+
+
 def xlsx_rows(data: bytes) -> Iterator[tuple[str, list[str]]]:
-    """Rows of all sheets as text. Formulas give their stored value."""
+    """Rows of all sheets as text. Formulas give their stored value; numbers whose format shows a day give the day."""
     tag = lambda e: e.tag.rpartition("}")[2]
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         if sum(i.file_size for i in z.infolist()) > MAX_BYTES:
             raise TooLarge("the workbook unpacks to too many bytes")
         names = set(z.namelist())
         shared = ["".join(t.text or "" for t in si.iter() if tag(t) == "t") for si in _safe_xml(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        days = _day_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else set()
         for name in sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[0])):
             for row in (e for e in _safe_xml(z.read(name)).iter() if tag(e) == "row"):
                 cells: list[str] = []
@@ -64,6 +97,10 @@ def xlsx_rows(data: bytes) -> Iterator[tuple[str, list[str]]]:
                         value = shared[int(value)]
                     elif kind == "inlineStr":
                         value = "".join(t.text or "" for t in c.iter() if tag(t) == "t")
+                    elif kind in (None, "n") and value is not None and int(c.get("s", "0")) in days:
+                        value = _shown_day(value)
+                    elif kind == "d" and value is not None:
+                        value = value[:10] if value[10:] in ("", "T00:00:00", "T00:00:00Z") else value.replace("T", " ")
                     cells += [""] * (at - len(cells)) + [value or ""]
                 yield name.rpartition("/")[2], cells
 
@@ -77,7 +114,8 @@ def spreadsheetml_rows(data: bytes) -> Iterator[tuple[str, list[str]]]:
             for c in (e for e in row if tag(e) == "Cell"):
                 if index := attr(c, "Index"):
                     cells += [""] * (int(index) - 1 - len(cells))
-                cells.append("".join("".join(d.itertext()) for d in c if tag(d) == "Data"))
+                texts = [("".join(d.itertext()), attr(d, "Type")) for d in c if tag(d) == "Data"]
+                cells.append("".join(t[:10] if kind == "DateTime" and re.fullmatch(r"\d{4}-\d\d-\d\d(T00:00:00(\.0*)?)?", t) else t for t, kind in texts))
             yield attr(sheet, "Name") or "", cells
 
 

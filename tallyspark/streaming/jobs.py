@@ -57,6 +57,29 @@ def outbox(work: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataF
     return run
 
 
+def worker(stages: dict[str, Callable[[DataFrame], DataFrame]], path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that works jobs off: jobs(job_id, kind, dedup_key, payload) of a batch, one for each dedup_key (the smallest job_id) and
+    none that an earlier batch did; every kind by its stage, which gives (job_id, result); a record for each: done, or refused if no
+    stage knows the kind. Records are written once a batch, so that a batch that is run again (its worker was lost) counts once.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.groupBy("dedup_key").agg(F.min("job_id").alias("job_id"))
+        jobs = batch.join(first.select("job_id"), "job_id", "left_semi")
+        if number:
+            done = spark.read.option("mergeSchema", "false").parquet(path).where(F.col("batch") < number)
+            jobs = jobs.join(done.select("dedup_key"), "dedup_key", "left_anti")
+        out = jobs.where(~F.col("kind").isin(*stages)).select("job_id", "kind", "dedup_key", F.lit("refused").alias("state"), F.lit(None).cast("string").alias("result"))
+        for kind, stage in stages.items():
+            mine = jobs.where(F.col("kind") == kind)
+            made = stage(mine).select("job_id", F.col("result").cast("string").alias("result"))
+            out = out.unionByName(mine.join(made, "job_id", "left").select("job_id", "kind", "dedup_key", F.when(F.col("result").isNull(), "failed").otherwise("done").alias("state"), "result"))
+        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return run
+
+
 def due_timers(timers: DataFrame, cancelled: DataFrame, now) -> DataFrame:
     return timers.where(F.col("due_at") <= now).join(cancelled, "timer_id", "left_anti")
 

@@ -1,5 +1,7 @@
 """Readers and writers on small files, hostile ones included; queues and streams."""
 
+import io
+import zipfile
 from datetime import datetime
 from email.message import EmailMessage
 
@@ -26,6 +28,44 @@ def test_tables_by_content(spark, tmp_path):
     assert len(problems) == 2
 
 
+def test_workbook_days(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    styles = f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="yyyy\\.mm\\.dd"/><numFmt numFmtId="171" formatCode="0.00 &quot;day&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="170"/><xf numFmtId="171"/><xf numFmtId="22"/></cellXfs></styleSheet>'
+    sheet = f'<worksheet {ns}><sheetData><row><c s="1"><v>45300</v></c><c s="2"><v>45301</v></c><c s="3"><v>45300</v></c><c s="4"><v>45300.5</v></c><c><v>45300</v></c><c t="d"><v>2024-01-09T00:00:00</v></c><c s="1" t="str"><v>text</v></c></row></sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/styles.xml", styles)
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    put(spark, f"file://{tmp_path}/in/a.xlsx", out.getvalue())
+    put(spark, f"file://{tmp_path}/in/b.csv", b"a;b,c;d,e\n")
+    put(spark, f"file://{tmp_path}/in/c.csv", b"\x81\x83;x\n")
+    put(spark, f"file://{tmp_path}/in/d.xml", b'<Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet" xmlns:ss="urn:schemas-microsoft-com:office:spreadsheet"><Worksheet><Table><Row><Cell><Data ss:Type="DateTime">2024-01-09T00:00:00.000</Data></Cell></Row></Table></Worksheet></Workbook>')
+    got = {r["path"][-5:]: r for r in tabular.read_tables(spark, f"file://{tmp_path}/in").collect()}
+    assert got[".xlsx"[:5]]["cells"] == ["2024-01-09", "2024-01-10", "45300", "2024-01-09 12:00:00", "45300", "2024-01-09", "text"]
+    assert got["b.csv"]["cells"] == ["a;b", "c;d", "e"] and "UnicodeDecodeError" in got["c.csv"]["problem"] and got["d.xml"]["cells"] == ["2024-01-09"]
+
+
+def test_worker_counts_each_key_once(spark, tmp_path):
+    run = jobs.worker({"a": lambda j: j.select("job_id", F.lit("ok").alias("result"))}, f"file://{tmp_path}/out")
+    first = spark.createDataFrame([(1, "a", "k1"), (2, "a", "k1"), (3, "b", "k2")], "job_id long, kind string, dedup_key string")
+    later = spark.createDataFrame([(4, "a", "k1"), (5, "a", "k3")], "job_id long, kind string, dedup_key string")
+    for number, batch in ((0, first), (1, later), (1, later)):
+        run(batch, number)
+    assert sorted((r["job_id"], r["state"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [(1, "done"), (3, "refused"), (5, "done")]
+
+
+def test_intermediates_are_deleted(spark):
+    from tallyspark.plans import staging
+
+    with staging.intermediates():
+        df = staging.written(spark.range(5), "x")
+        assert df.count() == 5
+        path = df.inputFiles()[0]
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_rejoined_and_unmangled(spark):
     rows = spark.createDataFrame([(["a;b;c", ""],), (["a", "b"],)], "cells array<string>")
     assert [r[0] for r in tabular.rejoined(rows).select("cells").collect()] == [["a", "b", "c"], ["a", "b"]]
