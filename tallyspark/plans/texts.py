@@ -338,6 +338,7 @@ ORACLES = {
     "datapoints_eav": "SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS value FROM events",
     "json_extract": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events",
     "documents_wide": "SELECT user_id, " + ", ".join(f"nullif(count(*) FILTER (WHERE event_type = '{t}'), 0) AS {t}" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "html_strip_blocks": "WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<!--.*?-->', ' ', 'g') AS x FROM pages), b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)<(?:br|/p|/h[1-6]|/li|/div|/tr)\\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM a), c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS x FROM b), d AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g'), ' ') AS x FROM c) SELECT page_id, length(x) AS length, md5(x) AS digest FROM d",
     "dates_in_text": f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS value, {_DATE_OF} AS ambiguous FROM orders",
     "parties_in_text": "WITH c AS (SELECT c_custkey AS k, upper(c_mktsegment[1]) || lower(substr(c_mktsegment, 2)) AS seg, ['Budapest', 'Wien', 'Lyon'][c_custkey % 3 + 1] AS town FROM customer) SELECT k AS c_custkey, 'name' AS kind, 'Alma ' || seg || ' Kft.' AS label FROM c UNION ALL SELECT k, 'address', (k + 1000) || ' ' || town || ', Fo utca ' || k % 90 FROM c UNION ALL SELECT k, 'tariff', 'day ' || k % 5 FROM c UNION ALL SELECT k, 'payment', 'bank transfer' FROM c WHERE k % 2 = 0 UNION ALL SELECT k, 'title', 'INVOICE' FROM c UNION ALL SELECT k, 'currency', CASE k % 4 WHEN 0 THEN 'EUR' ELSE 'HUF' END FROM c WHERE k % 4 < 2 UNION ALL SELECT k, 'payment_line', '2' FROM c WHERE k % 2 = 0",
     "candidate_finders": f"WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS v0 FROM d), {_chain}, a AS ({_kinds}), b AS (SELECT *, lower(regexp_replace(raw, '\\s+', '', 'g')) AS label FROM a), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, kind, label ORDER BY line_no, pos) = 1), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY line_no, pos) <= {finders.CAP}) SELECT kind, count(*) AS n, count(DISTINCT label) AS labels FROM c GROUP BY 1",

@@ -100,6 +100,44 @@ def read_mails(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, MAIL)
 
 
+def soap_result(answer, tag: str):
+    """The XML that an envelope's element holds as text, unescaped; an answer without the element gives null."""
+    x = F.nullif(F.regexp_extract(answer, rf"(?s)<(?:[A-Za-z0-9]+:)?{tag}\b[^>]*>(.*?)</(?:[A-Za-z0-9]+:)?{tag}>", 1), F.lit(""))
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(entity), F.lit(char))
+    return x
+
+
+def read_word(spark: SparkSession, path: str) -> DataFrame:
+    """(path, paragraph, text, problem) of .docx files: their paragraphs in order, those of tables too."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def run(pdfs):
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        from .tabular import MAX_BYTES, TooLarge, _safe_xml
+
+        tag = lambda e: e.tag.rpartition("}")[2]
+        shown = {"t": lambda e: e.text or "", "tab": lambda e: "\t", "br": lambda e: "\n"}
+        for pdf in pdfs:
+            for name, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        if sum(i.file_size for i in z.infolist()) > MAX_BYTES:
+                            raise TooLarge("the document unpacks to too many bytes")
+                        body = _safe_xml(z.read("word/document.xml"))
+                    texts = ["".join(shown[tag(e)](e) for e in p.iter() if tag(e) in shown) for p in body.iter() if tag(p) == "p"]
+                    out = [(name, n, t, None) for n, t in enumerate(texts)]
+                except Exception as problem:  # noqa: BLE001 - a file's own fault is data
+                    out = [(name, None, None, f"{type(problem).__name__}: {problem}"[:200])]
+                yield pd.DataFrame(out, columns=["path", "paragraph", "text", "problem"])
+
+    return files.mapInPandas(run, "path string, paragraph int, text string, problem string")
+
+
 def rates_from_xml(answers: DataFrame, column: str) -> DataFrame:
     """(currency, day, rate) from rate services' answers: days with rates, each for a number of units, decimal commas."""
     schema = "Day array<struct<_date: string, Rate: array<struct<_curr: string, _unit: int, _VALUE: string>>>>"

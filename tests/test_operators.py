@@ -424,3 +424,13 @@ def test_tasks_merge_like_brute_force(spark):
 def test_short_dates_and_dates_by_name(spark):
     got = spark.sql("select '5. März 2024' as a, 'juin 3, 2024' as b, '12/12/24' as c, '5 foo 2024' as d").select(*[dates.read_date(F.col(c))["value"].alias(c) for c in "abcd"]).first()
     assert tuple(got) == (date(2024, 3, 5), date(2024, 6, 3), date(2024, 12, 12), None)
+
+
+def test_sample_is_of_the_right_sizes_and_the_same_each_time(spark):
+    from tallyspark.plans import records as plan
+
+    sf = "/root/testdata/sf0.01"
+    a, b = ({(r["doc_id"], r["lang"]) for r in plan.stratified_sample(spark, sf).collect()} for _ in range(2))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").groupBy("lang").count().collect()
+    total = sum(r["count"] for r in docs)
+    assert a == b and {r["lang"]: sum(x[1] == r["lang"] for x in a) for r in docs} == {r["lang"]: min(r["count"], max(2, round(100 * r["count"] / total))) for r in docs}

@@ -45,6 +45,17 @@ def test_workbook_days(spark, tmp_path):
     assert got["b.csv"]["cells"] == ["a;b", "c;d", "e"] and "UnicodeDecodeError" in got["c.csv"]["problem"] and got["d.xml"]["cells"] == ["2024-01-09"]
 
 
+def test_word_paragraphs(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Árvíz </w:t></w:r><w:r><w:t>tűrő</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t><w:tab/><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
+    put(spark, f"file://{tmp_path}/in/a.docx", out.getvalue())
+    put(spark, f"file://{tmp_path}/in/b.docx", b"PK broken")
+    rows = documents.read_word(spark, f"file://{tmp_path}/in").collect()
+    assert sorted((r["paragraph"], r["text"]) for r in rows if r["problem"] is None) == [(0, "Árvíz tűrő"), (1, "a\tb")] and sum(r["problem"] is not None for r in rows) == 1
+
+
 def test_worker_counts_each_key_once(spark, tmp_path):
     run = jobs.worker({"a": lambda j: j.select("job_id", F.lit("ok").alias("result"))}, f"file://{tmp_path}/out")
     first = spark.createDataFrame([(1, "a", "k1"), (2, "a", "k1"), (3, "b", "k2")], "job_id long, kind string, dedup_key string")
