@@ -43,11 +43,12 @@ def fold(x: Column) -> Column:
 
     Plain ASCII text is only lower-cased; the characters that become several (as in ﬁ or ß) are replaced where a text has any.
     """
-    s = x.cast("string")
+    s = F.replace(x.cast("string"), F.lit("ß"), F.lit("ss"))  # the one of these that is common
     matching, replacing, several = _folding()
-    table = F.create_map(*[F.lit(v) for pair in several.items() for v in pair])
-    some = "[" + "".join(several) + "]"
-    spelt = F.when(s.rlike(some), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")).otherwise(s)
+    letters, spellings = F.lit("".join(several)), F.split(F.lit("\x01".join(several.values())), "\x01")  # two literals, whatever their length
+    spell = lambda c: F.coalesce(F.get(spellings, F.nullif(F.instr(letters, c), F.lit(0)) - 1), c)
+    none = F.translate(s, "".join(several), "") == s  # a look-up a character; a class of so many characters would be tried one by one
+    spelt = F.when(none, s).otherwise(F.array_join(F.transform(F.split(s, ""), lambda c: F.when(c < "\x80", c).otherwise(spell(c))), ""))
     return F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(spelt, matching, replacing)).otherwise(F.lower(s))
 
 
@@ -80,7 +81,12 @@ def normalize(x: Column) -> Column:
 
 
 def compact(x: Column) -> Column:
-    return F.replace(normalize(x), F.lit(" "), F.lit(""))
+    return squeezed(normalize(x))
+
+
+def squeezed(normalized: Column) -> Column:
+    """A normalised text without its blanks."""
+    return F.replace(normalized, F.lit(" "), F.lit(""))
 
 
 def name_key(x: Column) -> Column:

@@ -90,7 +90,7 @@ def content_digest(spark, sf):
 
 def text_keys(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
-    return d.select("doc_id", text.normalize(F.col("t")).alias("normalized"), text.compact(F.col("t")).alias("compacted"))
+    return d.select("doc_id", text.normalize(F.col("t")).alias("normalized")).select("doc_id", "normalized", text.squeezed(F.col("normalized")).alias("compacted"))
 
 
 def name_and_number_keys(spark, sf):
