@@ -264,65 +264,89 @@ def family(text: str | None, size: int = FAMILY) -> np.ndarray:
     return np.packbits(2 * ones > len(base), bitorder="little").view("<u8").view(np.int64)
 
 
-def _apart(fp: np.ndarray, node: np.ndarray, root: np.ndarray) -> tuple[list, list]:
-    """All pairs of rows of one cell that are near and of different classes. Rows of the largest class only meet the others."""
-    roots, at, counts = np.unique(root, return_inverse=True, return_counts=True)
-    a, b = [], []
-    if len(roots) < 2:
-        return a, b
-    order = np.argsort(at == counts.argmax(), kind="stable")  # the largest class last: its rows begin no pair
-    fp, node, root = fp[order], node[order], root[order]
-    code = embed(fp)
-    for i in range(len(fp) - counts.max()):
-        hit = i + 1 + np.flatnonzero(_near(code, fp, i, slice(i + 1, None)) & (root[i + 1 :] != root[i]))
-        a.append(np.full(len(hit), node[i]))
-        b.append(node[hit])
+#: Texts of a family that one task compares with as many others, and shingles that they may have together.
+FAMILY_BLOCK = 256
+FAMILY_SHINGLES = 1 << 20
+_OFTEN = 24
+_FEW_COLUMNS = 2048
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of these sets have in common (arrays without repeats)."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(flat := np.concatenate([np.zeros(0, dtype=np.int64), *sets]), kind="stable")
+    owner, flat = owner[order], flat[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.r_[first, len(flat)])
+    out = np.zeros(n * n, dtype=np.int64)
+    for d in np.unique(times[(times > 1) & (times <= _OFTEN)]).tolist():  # elements of few sets: their pairs are counted
+        at = first[times == d]
+        for k in range(0, len(at), 1 << 14):
+            who = owner[at[k : k + (1 << 14), None] + np.arange(d)]
+            out += np.bincount((who[:, :, None] * n + who[:, None, :]).ravel(), minlength=n * n)
+    out = out.reshape(n, n).astype(np.float64)
+    many = np.flatnonzero(times > _OFTEN)
+    for k in range(0, len(many), _FEW_COLUMNS):  # elements of many: products of matrices of zeros and ones
+        some = many[k : k + _FEW_COLUMNS]
+        has = np.zeros((n, len(some)), dtype=np.float32)
+        for column, (s, d) in enumerate(zip(first[some].tolist(), times[some].tolist(), strict=True)):
+            has[owner[s : s + d], column] = 1
+        out += has @ has.T
+    return out
+
+
+def _between_roots(root: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list, list]:
+    """Edges between roots that span those linked by some pair of their texts."""
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    shared = _shared(sets)
+    hit = (shared >= similarity * (size[:, None] + size[None, :] - shared) - 1e-9) & (size[:, None] + size[None, :] > 0)
+    names, at = np.unique(root, return_inverse=True)
+    near = np.zeros((len(names), len(names)), dtype=bool)
+    i, j = np.nonzero(hit)
+    near[at[i], at[j]] = True
+    a, b, todo = [], [], list(range(len(names)))
+    while todo:
+        queue = [todo.pop(0)]
+        while queue and todo:
+            k = queue.pop()
+            found = [x for x in todo if near[k, x]]
+            a += [int(names[k])] * len(found)
+            b += names[found].tolist()
+            queue += found
+            todo = [x for x in todo if not near[k, x]]
     return a, b
 
 
-def _apart_cells(batches):
-    """Over rows (cell, fp, node, root) sorted by cell: pairs as of _apart. One cell (or pair of blocks) is held at once."""
+def family_links(members: DataFrame, similarity: float, block: int = FAMILY_BLOCK, shingles: int = FAMILY_SHINGLES) -> DataFrame:
+    """(a, b): edges between roots of members(family, root, s: distinct shingles) that some pair of one family's texts links, spanning them.
 
-    def settle(rows):
-        cell, fp, node, root = rows
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, dtype=np.int64)
-        several = np.zeros(len(first), dtype=bool)
-        if len(first):
-            several = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-        upto = np.r_[first[1:], len(cell)]
-        for s, e in zip(first[several].tolist(), upto[several].tolist(), strict=True):
-            a, b = _apart(fp[s:e].view(np.uint64), node[s:e], root[s:e])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    held = [np.zeros(0, dtype=np.int64) for _ in range(4)]
-    for batch in batches:
-        rows = [np.concatenate([h, batch.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
-        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
-        held = [x[last:] for x in rows]
-        yield from settle([x[:last] for x in rows])
-    yield from settle(held)
+    All pairs of a family are compared, but inside tasks: a family is dealt into blocks, each pair of blocks is one task's work at a time,
+    and what comes out of it is at most one edge for each root that it holds. A block has a bounded number of texts and of shingles.
+    """
+    held = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("s")).alias("m"))
+    parts = written(held.select("family", F.ceil(F.greatest(F.col("n") / block, F.col("m") / shingles, F.lit(1))).cast("int").alias("parts")), "families")
+    own = members.join(bounded(parts), "family").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    spread = own.select("family", "root", "s", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    rows = spread.select(F.xxhash64("family", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "root", "s")
 
+    def run(batches):
+        def settle(cell, held):
+            if len({r for r, _ in held}) > 1:
+                a, b = _between_roots(np.array([r for r, _ in held]), [x for _, x in held], similarity)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-def pairs_apart(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: all pairs of nodes(which, fp, node, root) of different root with fingerprints of one family at 3 bits or fewer.
+        last, held = None, []
+        for batch in batches:
+            for cell, root, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if cell != last:
+                    yield from settle(last, held)
+                    last, held = cell, []
+                held.append((root, s.values.to_numpy(zero_copy_only=False)))
+        yield from settle(last, held)
 
-    Cells of a single class, nearly all, are left out before their rows move; those of more than `block` rows are split as for links.
-    """
-    alone = nodes.select("which", "fp", F.struct("node", "root").alias("node"))
-    spread = cells(alone).select("cell", "fp", F.col("node.node").alias("node"), F.col("node.root").alias("root"))
-    several = spread.groupBy("cell").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("n"))
-    several = written(several.where("least <> most").select("cell", "n"), "several")
-    light, heavy = several.where(F.col("n") <= block).select("cell"), several.where(F.col("n") > block).select("cell")
-    found = _by_cell(spread.join(bounded(light), "cell", "left_semi")).mapInArrow(_apart_cells, "a long, b long")
-    if not heavy.isEmpty():
-        finer = written(_quarters(spread.join(bounded(heavy), "cell", "left_semi")), "quarters")
-        still = _heavy(finer, block, "heavy")
-        found = found.unionByName(_by_cell(finer.join(bounded(still), "cell", "left_anti")).mapInArrow(_apart_cells, "a long, b long"))
-        if not still.isEmpty():
-            found = found.unionByName(_by_cell(_in_blocks(finer, still)).mapInArrow(_apart_cells, "a long, b long"))
-    return found.distinct()
+    return _by_cell(rows).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size: int = FAMILY) -> DataFrame:
@@ -330,8 +354,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
 
     One fingerprint within 3 bits finds few texts of likeness 0.8. So each text has a family of independent ones; a link needs one
     of them within the radius (found in the same grid), and every link is then verified exactly on the whole texts' shingles.
-    First links that span the classes of fingerprints are verified; then all near pairs between the classes that are left, so that
-    no refused link takes others with it.
+    First links that span the families of near fingerprints are verified, those to the text of the smallest doc_id above all; then,
+    in the families that these don't hold together, all pairs of different classes are compared inside tasks (family_links), so
+    that no refused link takes others with it.
     Equal texts are one node from the start; nodes are texts, known by a 64-bit hash and their length in bytes (copy, length).
     component_id is the smallest doc_id of the class, null if it has none. kept marks the rows of the smallest doc_id (nulls last) and,
     among several texts of that id, of one text: repeats of that row are all marked.
@@ -349,28 +374,26 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, size:
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy"), F.octet_length(text).cast("long").alias("length"))
     made = written(plain.mapInArrow(run, "doc_id long, copy long, length long, fps array<bigint>"), "family")
     nodes = written(made.groupBy("copy", "length").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps")).withColumnRenamed("copy", "node"), "texts")
-    each = nodes.select("node", F.posexplode("fps").alias("which", "fp"))
-    shared = written(each.groupBy("which", "fp").agg(F.min("node").alias("node")), "fps")
+    each = nodes.select("node", "least", F.posexplode("fps").alias("which", "fp"))
+    shared = written(each.groupBy("which", "fp").agg(F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("node")), "fps")
     named = each.select("which", "fp", F.col("node").alias("b")).join(shared.select("which", "fp", F.col("node").alias("a")), ["which", "fp"])
     pairs = links(shared).unionByName(named.select("a", "b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = written(pairs, "pairs")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct(), "ends")
-        shingles = plain.join(bounded(ends), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
-        shingles = written(shingles.select("copy", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
-        left, right = (shingles.select(F.col("copy").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
-        return written(both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("a", "b"), name)
-
-    linked = verified(pairs, "linked")
-    # pairs that only a refused link would have held together: all near pairs whose ends are still in different classes
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct(), "ends")
+    shingles = plain.join(bounded(ends), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+    shingles = written(shingles.select("copy", F.array_distinct(shingle_hashes(F.col("text"), words)).alias("s")), "shingles")
+    left, right = (shingles.select(F.col("copy").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").withColumn("n", F.size(F.array_intersect("sa", "sb")))
+    linked = written(both.where(F.col("n") >= similarity * (F.size("sa") + F.size("sb") - F.col("n")) - 1e-9).select("a", "b"), "linked")
     roots = written(components(linked), "roots")
-    rooted = written(nodes.select("node", "fps").join(roots, "node", "left").select("node", "fps", F.coalesce("root", "node").alias("root")), "rooted")
-    apart = pairs_apart(rooted.select("node", "root", F.posexplode("fps").alias("which", "fp")))
-    apart = written(apart.join(pairs, ["a", "b"], "left_anti"), "apart")
+    # families of near fingerprints that the verified links don't hold together: what a refused link would have brought along
+    families = written(components(pairs).join(roots.withColumnRenamed("root", "own"), "node", "left").select("node", F.col("root").alias("family"), F.coalesce("own", "node").alias("root")), "families")
+    apart = families.groupBy("family").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("family")
+    apart = written(families.join(apart, "family", "left_semi"), "apart")
     if not apart.isEmpty():
-        roots = written(components(linked.unionByName(verified(apart, "linked"))), "roots")
+        more = family_links(apart.join(shingles.withColumnRenamed("copy", "node"), "node"), similarity)
+        roots = written(components(linked.unionByName(written(more, "more"))), "roots")
     # of each class the name, and the row that stands for it
     rows = written(made.select("doc_id", "copy", "length").join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("doc_id", "copy", "length", F.coalesce("root", "copy").alias("root")), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "copy", "length"))

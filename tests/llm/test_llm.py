@@ -205,12 +205,41 @@ def test_near_copies_do_not_hang_on_a_refused_link(spark):
     check_near_copies(got, dict(rows), 1.0)
 
 
-def test_pairs_apart_are_all(spark):
-    rng = random.Random(12)
-    rows = [(rng.randrange(2), 5 ^ (1 << rng.randrange(40)) ^ (1 << rng.randrange(40)), n, rng.choice([0, 0, 0, n])) for n in range(60)]
-    got = [tuple(r) for r in simhash.pairs_apart(spark.createDataFrame(rows, "which int, fp long, node long, root long"), block=16).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == {(a[2], b[2]) for a in rows for b in rows if a[2] < b[2] and a[0] == b[0] and a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= 3}
+@pytest.mark.parametrize("block", [3, 256])
+def test_family_links_like_brute_force(spark, block):
+    rng, rows = random.Random(12), []
+    for family in range(4):
+        base = [rng.randrange(10**12) for _ in range(60)]
+        for n in range(40 if family else 1):
+            own = set(rng.sample(base, rng.randint(45, 60))) | {rng.randrange(10**12) for _ in range(rng.choice([0, 0, 3, 20]))}
+            rows.append((family, 1000 * family + n, 1000 * family + rng.choice([0, 0, n, n]), sorted(own)))
+    rows += [(9, 9000, 9000, []), (9, 9001, 9001, []), (9, 9002, 9002, [5])]
+    parent = {r[2]: r[2] for r in rows}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for n, a in enumerate(rows):
+        for b in rows[:n]:
+            same = len({*a[3]} & {*b[3]})
+            if a[0] == b[0] and (a[3] or b[3]) and same >= 0.8 * (len(a[3]) + len(b[3]) - same):
+                x, y = root(a[2]), root(b[2])
+                parent[max(x, y)] = min(x, y)
+    want = {r[2]: root(r[2]) for r in rows}
+    edges = simhash.family_links(spark.createDataFrame(rows, "family long, node long, root long, s array<bigint>").repartition(3), 0.8, block).collect()
+    parent = {r[2]: r[2] for r in rows}
+    for e in edges:
+        x, y = root(e["a"]), root(e["b"])
+        parent[max(x, y)] = min(x, y)
+    assert {r[2]: root(r[2]) for r in rows} == want and len(edges) < len(rows) * (1 if block > 40 else 14)
+
+
+def test_shared_counts():
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(90), rng.randint(0, 60))), dtype=np.int64) for _ in range(70)]
+    assert (simhash._shared(sets) == [[len({*a.tolist()} & {*b.tolist()}) for b in sets] for a in sets]).all()
 
 
 def check_pieces(rows, texts, capacity=2048):
@@ -348,6 +377,38 @@ def test_search_rescans_queries_whose_limit_is_too_close(spark, monkeypatch):
     assert {q: [i for i, _ in g] for q, g in got.items()} == {q: [i for i, _ in w] for q, w in want.items()}
 
 
+def test_repeated_query_rows_are_one_query(spark):
+    x = np.random.default_rng(9).standard_normal((200, 12))
+    rows = [(n, [float(v) for v in a]) for n, a in enumerate(x)] + [(20, [float(v) for v in x[20]]), (40, [float(v) for v in x[41]]), (7, [float(v) for v in x[7]])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, share=1.0).collect()
+    per = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        per[r["query_id"]].append((r["vec_id"], r["score"]))
+    asks = {q: min(v for i, v in rows if i == q) for q in range(0, 200, 20)}
+    for q, v in asks.items():
+        want = sorted(((-float((np.array(u) * np.array(v)).sum()), i) for i, u in rows if i != q))[:20]
+        assert [i for i, _ in per[q]] == [i for _, i in want]
+
+
+def test_lists_beyond_the_limit_are_left_out(spark, monkeypatch):
+    """Tight clusters: the same neighbours with far fewer pairs of query and list, though every list may be probed."""
+    rng = np.random.default_rng(10)
+    centres = rng.standard_normal((40, 16)) * 5
+    x = np.repeat(centres, 60, axis=0) + rng.standard_normal((2400, 16)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(n, [float(v) for v in a]) for n, a in enumerate(x)]
+    seen, keep = {}, ann.written
+
+    def written(df, name):
+        seen[name] = keep(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(ann, "written", written)
+    got, want = found(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 20 == 0, share=1.0)), exact(rows)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.99 * 20 * len(want)
+    assert seen["queries"].count() < 0.6 * 120 * seen["lists"].select("list").distinct().count()
+
+
 def test_recall_on_the_table(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     got, want = found(queries.op3_ann(spark, sf)), exact(rows)
