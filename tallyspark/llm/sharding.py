@@ -41,8 +41,8 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 def spread_hot(recs: DataFrame, sizes: DataFrame, slots: int = SLOTS, hot: int = HOT) -> DataFrame:
     """The records, those of hot slots dealt over all slots."""
-    total = sizes.agg(F.sum("bytes")).first()[0]
-    heavy = sizes.where((F.col("rows") > 1) & (F.col("bytes") * slots > F.lit(total) * hot)).select("vslot", F.lit(True).alias("hot"))
+    most = F.lit(sizes.agg(F.sum("bytes")).first()[0] * hot / slots)
+    heavy = sizes.where((F.col("rows") > 1) & (F.col("bytes") > most)).select("vslot", F.lit(True).alias("hot"))
     again = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")
     marked = recs.join(F.broadcast(heavy), "vslot", "left")  # fewer rows than slots
     return marked.select("doc_id", "size", "text_crc32", "row", F.when(F.col("hot"), again).otherwise(F.col("vslot")).alias("vslot"))
