@@ -23,7 +23,7 @@ from .common import text_of, written
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 6000
 #: Lines of all of them together, at most.
-SAMPLE_LINES = 400_000
+SAMPLE_LINES = 200_000
 #: Lines whose features are made at once.
 _CHUNK = 4096
 THRESHOLD = 0.3
