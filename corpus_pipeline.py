@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import mixing, packing, quality, simhash
 from tallyspark.llm.common import bounded, fresh_path, written
 from tallyspark.llm.queries import tokenizer_path
+from tallyspark.plans.staging import intermediates
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,6 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with intermediates():  # what a stage writes on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

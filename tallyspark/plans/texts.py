@@ -28,6 +28,14 @@ def number_reader(spark, sf):
     return r.select("n", F.col("m.value").cast("double").alias("money"), F.col("m.ambiguous").alias("money_ambiguous"), F.col("q.value").cast("double").alias("quantity"), F.col("q.ambiguous").alias("quantity_ambiguous"), F.col("t").cast("double").alias("typed"))
 
 
+def printed_numbers(spark, sf):
+    """Orders' totals printed in four notations, read back."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("t"))
+    english = F.format_number("t", 2)
+    printed = F.element_at(F.array(F.translate(english, ",.", " ,"), F.translate(english, ",.", ".,"), english, F.concat(F.translate(english, ",", ""), F.lit(" EUR"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", numbers.read_number(printed)["value"].cast("double").alias("value"))
+
+
 def date_reader(spark, sf):
     r = _truth(spark, DATES).select("n", dates.read_date(F.col("raw")).alias("d"))
     return r.select("n", F.col("d.value").alias("day"), F.col("d.ambiguous").alias("ambiguous"))
@@ -316,6 +324,7 @@ _date_rows = ", ".join(f"({n}, {'NULL' if d is None else repr(d)}, {bool(a)})" f
 _W7 = " + ".join(f"CAST(substr(stem, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate(ids.TAX_WEIGHTS))
 ORACLES = {
     "number_reader": f"SELECT CAST(n AS INT) AS n, money, money_ambiguous, quantity, quantity_ambiguous, typed FROM (VALUES {_truth_rows}) AS t(n, money, money_ambiguous, quantity, quantity_ambiguous, typed)",
+    "printed_numbers": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders",
     "date_reader": f"SELECT CAST(n AS INT) AS n, CAST(day AS DATE) AS day, ambiguous FROM (VALUES {_date_rows}) AS t(n, day, ambiguous)",
     "canonical_numbers": "WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders) SELECT o_orderkey, regexp_replace(CAST(t AS VARCHAR), '\\.?0+$', '') AS text, CAST(t * 100 AS BIGINT) AS minor FROM o",
     "rounding_modes": "WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders) SELECT o_orderkey, CAST(round(t / 5) * 5 AS DECIMAL(18,2)) AS up, CAST(round_even(CAST((t - 100000) * 2 AS DOUBLE), 0) / 2 AS DECIMAL(18,2)) AS even, CAST(trunc((t - 100000) / 10) * 10 AS DECIMAL(18,2)) AS down FROM o",
