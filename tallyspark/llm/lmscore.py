@@ -34,14 +34,17 @@ CLASSES = 64
 WIDE = 64
 HIDDEN = 32
 WINDOW = (-2, -1, 1, 2)
-BATCH = 8192
+BATCH = 16384
 RATE = 0.15
 #: Tokens of several documents that are worked off at once.
 STRETCH = 1 << 16
 #: Arrays of parameters that one task adds up.
-FAN = 64
+FAN = 8
 SEED = 42
+#: The greatest score of a class or token: its exp is far from the limit.
+MOST = np.float32(60)
 _REACH = 2
+_ONES = np.ones(CLASSES, dtype=np.float32)  # as many as WIDE
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -78,6 +81,7 @@ class Model:
         order = np.argsort(-counts[1:], kind="stable") + 1
         self.place = np.zeros(self.size, dtype=np.int64)
         self.place[order] = np.arange(len(order))
+        self.kind = (self.place // WIDE).astype(np.uint8)
         mass = np.zeros(places)
         mass[self.place[1:]] = np.where(used[1:], counts[1:] + 1, 0)
         mass = mass.reshape(CLASSES, WIDE)
@@ -120,30 +124,33 @@ class Model:
 
     @staticmethod
     def _odds(scores):
-        """exp of scores less their greatest, which is left in scores, and its sums."""
-        scores -= scores.max(axis=1, keepdims=True)
+        """exp of scores, and its sums. Scores stay far below the limit of single precision; beyond MOST they are cut."""
+        np.minimum(scores, MOST, out=scores)
         odds = np.exp(scores)
-        return odds, odds.sum(axis=1)
+        return odds, odds @ _ONES
 
-    def _classes(self, place):
-        """(class, rows) of the rows whose token is in it."""
-        kind = place // WIDE
-        order = np.argsort(kind.astype(np.uint8), kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        return kind, [(c, order[a:b]) for c, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+    def _by_class(self, padded, at):
+        """The places in the order of their tokens' classes: (places, tokens, classes, (class, from, to) of each class)."""
+        kind = self.kind[padded[at]]
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
+        at = at[order]
+        return order, at, kind[order], [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
 
     def log_likelihood(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(word | both sides) at these places of the padded tokens, less the log of the word's count if it shares a token."""
-        hidden, target = self._hidden(padded, at), padded[at]
-        place = self.place[target]
-        kind, groups = self._classes(place)
+        order, at, kind, groups = self._by_class(padded, at)
+        hidden, target, rows = self._hidden(padded, at), padded[at], np.arange(len(at))
+        within = self.place[target] % WIDE
         scores = hidden @ self.out + self.bias
         _, total = self._odds(scores)
-        out = scores[np.arange(len(at)), kind].astype(np.float64) - np.log(total) - self.shared[target]
-        for c, rows in groups:
-            scores = hidden[rows] @ self.word[c].T + self.word_bias[c]
+        found = scores[rows, kind].astype(np.float64) - np.log(total) - self.shared[target]
+        for c, a, b in groups:
+            scores = hidden[a:b] @ self.word[c].T + self.word_bias[c]
             _, total = self._odds(scores)
-            out[rows] += scores[np.arange(len(rows)), place[rows] % WIDE] - np.log(total)
+            found[a:b] += scores[rows[: b - a], within[a:b]] - np.log(total)
+        out = np.empty(len(at))
+        out[order] = found
         return out
 
     def start(self) -> None:
@@ -153,18 +160,18 @@ class Model:
 
     def step(self, padded: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
         """One step by the summed gradient of these places' log-likelihood."""
-        hidden, place = self._hidden(padded, at), self.place[padded[at]]
-        kind, groups = self._classes(place)
-        odds, total = self._odds(hidden @ self.out + self.bias)
-        error = odds / total[:, None]
-        error[np.arange(len(at)), kind] -= 1
+        _, at, kind, groups = self._by_class(padded, at)
+        hidden, within, rows = self._hidden(padded, at), self.place[padded[at]] % WIDE, np.arange(len(at))
+        error, total = self._odds(hidden @ self.out + self.bias)
+        error *= (1 / total)[:, None]
+        error[rows, kind] -= 1
         back = error @ self.out.T
-        for c, rows in groups:
-            mine = hidden[rows]
+        for c, a, b in groups:
+            mine = hidden[a:b]
             odds, total = self._odds(mine @ self.word[c].T + self.word_bias[c])
-            odds /= total[:, None]
-            odds[np.arange(len(rows)), place[rows] % WIDE] -= 1
-            back[rows] += odds @ self.word[c]
+            odds *= (1 / total)[:, None]
+            odds[rows[: b - a], within[a:b]] -= 1
+            back[a:b] += odds @ self.word[c]
             grad = odds.T @ mine
             seen = self.seen["word"][c]
             seen += np.einsum("wh,wh->w", grad, grad) / HIDDEN
