@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, text
@@ -117,10 +119,9 @@ def name_shares(spark, sf):
 
 
 def fuzzy_words(spark, sf):
-    """Names of parts and suppliers against all words of the documents."""
+    """Words of the benchmark's items against all words of the documents."""
     words = lambda df, c: df.select(F.explode(F.array_distinct(F.split(text.normalize(F.col(c)), " "))).alias("w")).where("w rlike '^[a-z]{5,}$'").distinct()
-    names = words(table(spark, sf, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("n")), "n")
-    return relations.fuzzy_pairs(names, words(table(spark, sf, "documents"), "text"), "w")
+    return relations.fuzzy_pairs(words(table(spark, sf, "benchmark"), "text"), words(table(spark, sf, "documents"), "text"), "w")
 
 
 def benchmark_words_in_documents(spark, sf):
@@ -180,13 +181,10 @@ def dates_in_text(spark, sf):
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey")
     parts = {"y": F.date_format(day, "yyyy"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "dd")}
     parts |= {lang: F.element_at(F.array(*[F.lit(x) for x in names.split()]), F.month(day)) for lang, names in _MONTH_NAMES.items()}
-    shapes = []
-    for form in _FORMS:
-        text_ = F.lit(form)
-        for name, value in parts.items():
-            text_ = F.replace(text_, F.lit("{" + name + "}"), value)
-        shapes.append(text_)
-    said = F.concat(F.lit("Ref 123456, due "), F.element_at(F.array(*shapes), (k % 9 + 1).cast("int")), F.lit(" at 10 percent"))
+    fields = [re.findall(r"{(\w+)}", form) for form in _FORMS]
+    shapes = [F.format_string(re.sub(r"{\w+}", "%s", form), *[parts[name] for name in names]) for form, names in zip(_FORMS, fields, strict=True)]
+    shape = F.coalesce(*[F.when(k % 9 == n, one) for n, one in enumerate(shapes)])
+    said = F.concat(F.lit("Ref 123456, due "), shape, F.lit(" at 10 percent"))
     return finders.date_candidates(o.select("o_orderkey", F.lit(0).alias("line_no"), said.alias("line")), "o_orderkey", "line_no", "line").select("o_orderkey", "value", "ambiguous")
 
 
