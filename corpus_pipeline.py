@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's docs.
 All stages but the last return the columns of documents.
+
+Defined results of every stage. Null and empty texts: documents like others (one empty line to the classifier, all of them copies of
+each other, no tokens to the mixture, one sequence position each in the packing). Very long texts: whole, as one row until the packing
+cuts them. Rows with equal doc_id: told apart by their texts. Repeated rows: scored alike; one of them is left by near_duplicates.
+Ties: to the smaller doc_id, nulls last. Null doc_id, source, lang: allowed. Empty table: no rows. Extra columns, whatever their
+names: left out.
 """
 
 from __future__ import annotations
