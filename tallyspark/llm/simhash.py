@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 #: Fingerprints of each text for near_copies, and the letters of a word that counts there.
-FAMILY = 6
+FAMILY = 10
 LONG = 5
 
 
