@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, licenses, lmscore, mixing, packing, quality, sharding, simhash, warc
+from . import alignment, ann, fim, fingerprints, licenses, lmscore, mixing, packing, pieces, quality, sharding, simhash, warc
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -79,8 +79,22 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+    sha = lambda c: F.sha2(F.col(c), 256)
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), sha("output").alias("output_sha256"), sha("restored").alias("restored_sha256"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_packing, op3_ann, op4_bottom_k, op5_quality, op6_slots, op7_warc, op8_pseudo_likelihood, op9_mixing, op10_licenses)
+    f.__name__: f for f in (op1_simhash, op2_packing, op3_ann, op4_bottom_k, op5_quality, op6_slots, op7_warc, op8_pseudo_likelihood, op9_mixing, op10_licenses, op11_fill_in_middle, op12_pieces, op13_alignment)
 }
 
 #: What archives hold can be told from the pages themselves: the SQL says it without archives.
@@ -91,6 +105,16 @@ ORACLES: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN kept <> page_id THEN kept END AS refers_to
         FROM m""",
+    "op11_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS varchar), '')) AS x FROM documents),
+        h AS (SELECT *, ('0x' || x[1:8])::ubigint AS h1, ('0x' || x[9:16])::ubigint AS h2, ('0x' || x[17:24])::ubigint AS h3, ('0x' || x[25:32])::ubigint AS h4 FROM d),
+        c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+                     least(h1 % (n + 1), h2 % (n + 1))::bigint AS a, greatest(h1 % (n + 1), h2 % (n + 1))::bigint AS b FROM h),
+        p AS (SELECT *, left(t, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
 
 
