@@ -71,7 +71,7 @@ class ByteLevel:
         self._model = tiktoken.Encoding("merges", pat_str=PATTERN, mergeable_ranks={b: n for n, b in enumerate(self.bytes) if b}, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self._model.encode_ordinary(text), np.int64)
+        return self._model.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
 
 
 class Pair:
@@ -81,15 +81,21 @@ class Pair:
         self.a, self.b = ByteLevel(path_a), pieces.encoder(path_b)
         self.lengths_a = np.fromiter(map(len, self.a.bytes), np.int64, len(self.a.bytes))
         self.lengths_b = np.fromiter(map(len, self.b.bytes), np.int64, len(self.b.bytes))
+        # how ids are written within a group and at the end of a group's side
+        self.n_a, self.n_b = len(self.a.bytes), len(self.b.bytes)
+        self.signs = [f"{n}{mark}" for count, marks in ((self.n_a, ",|"), (self.n_b, ",;")) for mark in marks for n in range(count)]
 
     def tokens(self, parts: list[tuple[str, bool]]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """The ids of both for each stretch (first ones without the blank that both put in front); None where their bytes don't agree."""
+        """The ids of both for each stretch (first ones without the blank that both put in front); None where their bytes don't agree.
+
+        Either side's bytes are the text's, but for U+2581, which pieces hold as a blank: so the numbers of bytes tell.
+        """
         spaced = [" " + t if first else t for t, first in parts]
         out: list = []
         for text, packed in zip(spaced, self.b.encode_spaced(spaced), strict=True):
             a, b = self.a.encode(text), np.frombuffer(packed, "<u4").astype(np.int64)
-            want = text.encode()
-            same = pieces.BLANK not in text and b"".join(map(self.a.bytes.__getitem__, a.tolist())) == want == b"".join(map(self.b.bytes.__getitem__, b.tolist()))
+            n = len(text.encode())
+            same = pieces.BLANK not in text and self.lengths_a[a].sum() == n == self.lengths_b[b].sum()
             out.append((a, b) if same else None)
         return out
 
@@ -160,14 +166,10 @@ class Aligned:
         self.n_a = self.n_b = self.n_groups = 0
         self.agrees, self._digest, self._keys, self._times = True, hashlib.sha256(), [], []
 
-    def add(self, a: list[str], b: list[str], last_a: np.ndarray, last_b: np.ndarray, keys: np.ndarray) -> None:
-        """The next stretch: its ids, the last tokens of its groups, its links as a * 2^32 + b."""
-        sides = []
-        for text, last in ((a, last_a), (b, last_b)):
-            first = np.append(0, last[:-1] + 1).tolist()
-            sides.append([text[x] if x == y else ",".join(text[x : y + 1]) for x, y in zip(first, last.tolist(), strict=True)])
-        self._digest.update((";" * (self.n_a > 0) + ";".join(map("|".join, zip(*sides, strict=True)))).encode())
-        self.n_a, self.n_b, self.n_groups = self.n_a + len(a), self.n_b + len(b), self.n_groups + len(last_a)
+    def add(self, n_a: int, n_b: int, groups: str, keys: np.ndarray) -> None:
+        """The next stretch: its numbers of tokens, its groups as text, its links as a * 2^32 + b."""
+        self._digest.update((";" * (self.n_a > 0) + groups).encode())
+        self.n_a, self.n_b, self.n_groups = self.n_a + n_a, self.n_b + n_b, self.n_groups + len(keys)
         found, times = np.unique(keys, return_counts=True)
         self._keys.append(found)
         self._times.append(times)
@@ -192,13 +194,18 @@ def _align_parts(parts: list[tuple[Aligned, str, bool]], pair: Pair) -> None:
     a, b = (np.concatenate([x[side] for _, x in found]) for side in (0, 1))
     last_a, last_b = align(pair.lengths_a[a], pair.lengths_b[b])
     keys = (a[last_a] << 32) | b[last_b]
-    text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    ends_a, ends_b = (np.cumsum([len(x[side]) for _, x in found]) for side in (0, 1))
-    cuts = np.searchsorted(last_a, ends_a).tolist()
-    at_a = at_b = at = 0
-    for (of, _), end_a, end_b, cut in zip(found, ends_a.tolist(), ends_b.tolist(), cuts, strict=True):
-        of.add(text_a[at_a:end_a], text_b[at_b:end_b], last_a[at:cut] - at_a, last_b[at:cut] - at_b, keys[at:cut])
-        at_a, at_b, at = end_a, end_b, cut
+    # all tokens in the order in which groups list them: a group's on the one side, then on the other
+    ends = [np.zeros(len(x), np.int64) for x in (a, b)]
+    ends[0][last_a] = ends[1][last_b] = 1
+    group_a, group_b = (np.cumsum(e) - e for e in ends)
+    listed = np.empty(len(a) + len(b), np.int64)
+    listed[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = a + pair.n_a * ends[0]
+    listed[np.arange(len(b)) + (last_a + 1)[group_b]] = b + pair.n_b * ends[1] + 2 * pair.n_a
+    at = done = 0
+    for (of, x), cut in zip(found, np.searchsorted(last_a, np.cumsum([len(x[0]) for _, x in found])).tolist(), strict=True):
+        upto = done + len(x[0]) + len(x[1])
+        of.add(len(x[0]), len(x[1]), "".join(map(pair.signs.__getitem__, listed[done:upto].tolist()))[:-1], keys[at:cut])
+        at, done = cut, upto
 
 
 def aligned(texts: Iterable[str], pair: Pair) -> Iterator[tuple]:
@@ -224,6 +231,12 @@ _ROW = [("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_gr
 _ROW_DDL = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<long>, times array<long>"
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *(len(r[5]) for r in rows)]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]))) for k in (5, 6)]
+    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_ROW[:5])), *lists], names=[n for n, _ in _ROW])
+
+
 def documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups_sha256, pairs, times): each text's alignment with its distinct links."""
 
@@ -235,9 +248,9 @@ def documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 rows.append((doc, *found))
                 held += len(found[4])
                 if held >= 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_ROW)], names=[n for n, _ in _ROW])
+                    yield _batch(rows)
                     rows, held = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_ROW)], names=[n for n, _ in _ROW])
+            yield _batch(rows)
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, _ROW_DDL)
 
