@@ -189,6 +189,28 @@ def mask_cards(x):
     return x.map(lambda s: None if s is None else run.sub(one, s))
 
 
+#: A long hexadecimal digest, or fifteen or sixteen digits with single separators.
+_RUN = r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])|(?<![0-9])[0-9](?:[ .-]?[0-9]){14,15}(?![0-9])"
+
+
+def masked(x: Column) -> Column:
+    """The same as mask_cards in built-in functions, so that it can stand inside transform()."""
+
+    def card(run: Column) -> Column:
+        d = F.regexp_replace(run, "[ .-]", "")
+        n = F.length(d)
+        # from the right every second digit counts twice, its digits added up
+        digit = lambda k: F.substring(d, n - k + 1, F.lit(1)).cast("int")
+        points = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, k: a + F.when(k % 2 == 1, digit(k)).otherwise(F.when(digit(k) > 4, 2 * digit(k) - 9).otherwise(2 * digit(k))))
+        kind = (n == 16) & d.rlike("^[2-6]") | (n == 15) & d.rlike("^3[47]")
+        fits = d.rlike("^[0-9]{15,16}$") & kind & F.when(d.rlike("^[0-9]{15,16}$"), points % 10 == 0).otherwise(False)
+        return F.when(fits, F.concat(F.left(d, F.lit(6)), F.repeat(F.lit("x"), n - 10), F.right(d, F.lit(4)))).otherwise(run)
+
+    between, runs = F.split(x, _RUN, -1), F.regexp_extract_all(x, F.lit(_RUN), F.lit(0))
+    pieces = F.zip_with(between, F.transform(runs, card), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(x.rlike("[0-9]{2}|[0-9][ .-][0-9]"), F.array_join(pieces, "")).otherwise(x)
+
+
 @pandas_udf(T.DoubleType())
 def likeness(a, b):
     """Matching-blocks ratio of two texts."""

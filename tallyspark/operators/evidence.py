@@ -41,20 +41,25 @@ def field_equal(kind: Column, got: Column, want: Column) -> Column:
     return F.coalesce(same, got.isNull() & want.isNull())
 
 
-def value_locations(lines: DataFrame, values: DataFrame, doc: str, line_no: str, line: str, longest: int = 4) -> DataFrame:
-    """(doc, value, line_no, first_word, words): where a value stands on a document's lines, as runs of whole words.
+def value_locations(lines: DataFrame, values: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
+    """(doc, value, line_no, first_word, words): where a value of any length stands on a document's lines, as runs of whole words.
 
-    Runs of up to `longest` words and values meet by equality of their letters and digits; of nested runs the shortest stays.
+    Runs and values meet by equality of their letters and digits. A line gives out a run only where it has as many letters and digits
+    as a value of its document: from each word on, the running lengths tell where such a run ends. Of nested runs the shortest stays.
     """
     bare = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
-    words = lines.select(doc, line_no, F.filter(F.split(line, r"\s+"), lambda w: w != "").alias("w")).where("size(w) > 0")
-    starts = words.select(doc, line_no, "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("first_word"))
-    runs = starts.select(doc, line_no, "first_word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("first_word")))).alias("words"), "w")
-    runs = runs.select(doc, line_no, "first_word", "words", bare(F.array_join(F.slice("w", F.col("first_word") + 1, F.col("words")), "")).alias("k"))
     wanted = values.select(doc, "value", bare(F.col("value")).alias("k")).where("k <> ''").distinct()
+    asked = wanted.groupBy(doc).agg(F.array_sort(F.collect_set(F.length("k"))).alias("sizes"))
+    words = lines.select(doc, line_no, F.transform(F.filter(F.split(line, r"\s+"), lambda w: w != ""), bare).alias("w")).where("size(w) > 0").join(asked, doc)
+    # where each word ends in the line's letters and digits
+    ends = F.aggregate("w", F.array(F.lit(0)), lambda a, w: F.array_append(a, F.element_at(a, -1) + F.length(w)))
+    words = words.select(doc, line_no, F.array_join("w", "").alias("joined"), ends.alias("ends"), "sizes")
+    starts = words.select(doc, line_no, "joined", "ends", F.explode("sizes").alias("size")).select("*", F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("first_word", "at"))
+    last = F.array_position("ends", F.col("at") + F.col("size")) - 1  # the first word that ends there; words without letters don't move it
+    runs = starts.withColumn("last", F.when(F.size("ends") > 0, last)).where(F.col("last") > F.col("first_word"))
+    runs = runs.select(doc, line_no, "first_word", (F.col("last") - F.col("first_word")).cast("int").alias("words"), F.substring("joined", F.col("at") + 1, F.col("size")).alias("k"))
     hits = runs.join(wanted, [doc, "k"])
-    end = F.col("first_word") + F.col("words")
-    shortest = F.min("words").over(Window.partitionBy(doc, "value", line_no, end))
+    shortest = F.min("words").over(Window.partitionBy(doc, "value", line_no, F.col("first_word") + F.col("words")))
     return hits.withColumn("m", shortest).where("words = m").select(doc, "value", line_no, "first_word", "words")
 
 

@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions import text
-from . import intervals
+from ..plans.staging import written
+from . import evidence, intervals
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_text(kind.valueType)
+    return any(_holds_text(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else isinstance(kind, T.StringType)
+
+
+def _masked(x: Column, kind: T.DataType) -> Column:
+    if not _holds_text(kind):
+        return x
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _masked(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: _masked(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(x.isNotNull(), F.struct(*[_masked(x.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return text.masked(x)
 
 
 def mask_nested(df: DataFrame, column: str) -> DataFrame:
-    """df with the card numbers in all texts of a nested column masked, however deep (through its JSON, of which only texts are touched)."""
-    kind = df.schema[column].dataType
-    return df.withColumn(column, F.from_json(text.mask_cards(F.to_json(column)), kind))
+    """df with the card numbers in all texts of a nested column masked, however deep. Numbers, other kinds and the keys of maps stay."""
+    return df.withColumn(column, _masked(F.col(column), df.schema[column].dataType))
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
@@ -52,27 +75,106 @@ def journal(entries: DataFrame) -> DataFrame:
     return rows.select("subject", F.explode(F.aggregate("e", start, step)["out"]).alias("x")).select("subject", "x.revision", "x.accepted")
 
 
-def replaced(statements: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((statement, stands), (a, b)): which statement stands for each, and overlapping pairs that nothing decides.
+@dataclass(frozen=True)
+class Resolution:
+    """replaced: (statement, stands, how): by which live statement, and whether a person, a reading again or the rule took the first
+    step. conflicts: (a, b): live statements that book the same days, undecided. line_map: (old_id, new_id, statement): a replaced
+    statement's lines on the one that stands. orphans: (line_id, statement): those without such a line."""
+
+    replaced: DataFrame
+    conflicts: DataFrame
+    line_map: DataFrame
+    orphans: DataFrame
+
+
+def _line_keys(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(statement, _k, _n): how often each kind of line stands on a statement; a null is a value like others."""
+    return lines.groupBy("statement", F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("_k")).agg(F.count("*").alias("_n"))
+
+
+def _losing(pairs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(old, new) of those pairs in which a line of the old statement has no line on the new one."""
+    old, new = kinds.toDF("old", "_k", "_n"), kinds.toDF("new", "_k", "_m")
+    return pairs.join(old, "old").join(new, ["new", "_k"], "left").where("_n > coalesce(_m, 0)").select("old", "new").distinct()
+
+
+def resolved(statements: DataFrame, choices: DataFrame, lines: DataFrame, keys: list[str], keep_every_line: bool = True, reread: bool = True) -> Resolution:
+    """Which of the statements that book the same days of an account stand.
+
+    Of two that overlap, a person's latest choice counts first. Then, if both have one rank, one period and the same lines, the later
+    reading (by seq, then id) stands, or the earlier one if the later came from a suspicious source and the earlier did not. Then the
+    better rank (the smaller number) stands if it covers the other's days, is not suspicious, and has all of its lines or is trusted. All
+    else is undecided. A beaten statement has an ordered list of winners (a person's first, then by rank, then by id); it is replaced by
+    where the first of them leads that leads to a live statement without passing one twice. So circles that persons make have
+    their ways out; a statement without one is not replaced.
 
-    Of two overlapping statements of an account a person's choice counts first (choices: old, new), then the higher rank, then the later
-    reading. What a statement is replaced by may be replaced in turn: the chain's end stands; statements in a circle stand for themselves.
-    statements: statement, account, start, end, rank, read_at.
+    The walk is an iterated frontier: every beaten statement carries its path and, for each step of it, how many winners have been tried;
+    a round is one join on the path's end, written to the shared folder. statements: statement, account, currency, start, end, rank, seq,
+    suspicious, trusted. choices: a, b, kept, seq. lines: statement, id, text and the keys that make two lines the same.
     """
-    pairs = intervals.overlapping(statements, ["account"], "statement")
-    side = lambda c: statements.select(F.col("statement").alias(c), F.col("rank").alias(f"{c}_rank"), F.col("read_at").alias(f"{c}_read"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    chosen = choices.select(F.least("old", "new").alias("a"), F.greatest("old", "new").alias("b"), F.col("new").alias("_chosen")).dropDuplicates(["a", "b"])
-    rows = rows.join(chosen, ["a", "b"], "left")
-    by_rank = F.when(F.col("a_rank") > F.col("b_rank"), F.col("a")).when(F.col("b_rank") > F.col("a_rank"), F.col("b"))
-    by_reading = F.when(F.col("a_read") > F.col("b_read"), F.col("a")).when(F.col("b_read") > F.col("a_read"), F.col("b"))
-    rows = rows.withColumn("winner", F.coalesce("_chosen", by_rank, by_reading))
-    strength = F.struct(F.col("_chosen").isNotNull(), F.when(F.col("winner") == F.col("a"), F.col("a_rank")).otherwise(F.col("b_rank")), F.when(F.col("winner") == F.col("a"), F.col("a_read")).otherwise(F.col("b_read")), "winner")
-    loser = F.when(F.col("winner") == F.col("a"), F.col("b")).otherwise(F.col("a"))
-    edges = rows.where("winner is not null").groupBy(loser.alias("node")).agg(F.max_by("winner", strength).alias("next"))
-    ends = intervals.chain_ends(edges)
-    stands = statements.select("statement").join(ends.select(F.col("node").alias("statement"), "end"), "statement", "left").select("statement", F.coalesce("end", "statement").alias("stands"))
-    return stands, rows.where("winner is null").select("a", "b")
+    pairs = intervals.overlapping(statements, ["account", "currency"], "statement").select("a", "b")
+    facts = F.struct("start", "end", "rank", "seq", F.coalesce("suspicious", F.lit(False)).alias("suspicious"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    side = lambda c: statements.select(F.col("statement").alias(c), facts.alias(f"_{c}"))
+    lo, hi = F.least("a", "b"), F.greatest("a", "b")
+    chosen = choices.where("kept = a or kept = b").groupBy(lo.alias("a"), hi.alias("b")).agg(F.max_by("kept", F.struct("seq", "kept")).alias("_kept"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").join(chosen, ["a", "b"], "left")
+    better = F.when(F.col("_a.rank") < F.col("_b.rank"), F.col("a")).when(F.col("_b.rank") < F.col("_a.rank"), F.col("b"))
+    of = lambda who, f: F.when(who == F.col("a"), F.col(f"_a.{f}")).otherwise(F.col(f"_b.{f}"))
+    other = lambda who: F.when(who == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    covers = (of(better, "start") <= of(other(better), "start")) & (of(better, "end") >= of(other(better), "end"))
+    twice = (F.col("_a.rank") == F.col("_b.rank")) & (F.col("_a.start") == F.col("_b.start")) & (F.col("_a.end") == F.col("_b.end")) & F.lit(reread)
+    later = F.when(F.struct(F.col("_a.seq"), F.col("a")) > F.struct(F.col("_b.seq"), F.col("b")), F.col("a")).otherwise(F.col("b"))
+    later = F.when(of(later, "suspicious"), other(later)).otherwise(later)
+    rows = rows.withColumn("_better", F.when(covers & ~of(better, "suspicious"), better)).withColumn("_later", F.when(twice & ~of(later, "suspicious"), later))
+    rows = written(rows.withColumn("_trusted", F.coalesce(of(F.col("_better"), "trusted"), F.lit(False))), "overlaps")
+    # whose lines the other has: asked for pairs that a rank or a reading could decide
+    kinds = written(_line_keys(lines, keys), "line-kinds")
+    open_pairs = rows.where("_kept is null")
+    asked = open_pairs.where("_better is not null").select(other(F.col("_better")).alias("old"), F.col("_better").alias("new"))
+    asked = asked.unionByName(open_pairs.where("_later is not null").select(F.col("a").alias("old"), F.col("b").alias("new"))).unionByName(open_pairs.where("_later is not null").select(F.col("b").alias("old"), F.col("a").alias("new")))
+    lost = _losing(asked.distinct(), kinds).select(F.least("old", "new").alias("a"), F.greatest("old", "new").alias("b"), "old").groupBy("a", "b").agg(F.collect_set("old").alias("_losers"))
+    rows = rows.join(lost, ["a", "b"], "left").withColumn("_losers", F.coalesce("_losers", F.array().cast(f"array<{dict(statements.dtypes)['statement']}>")))
+    keeps = ~F.array_contains("_losers", other(F.col("_better"))) | F.col("_trusted") | F.lit(not keep_every_line)
+    again = F.when(F.size("_losers") == 0, F.col("_later"))
+    winner = F.coalesce("_kept", again, F.when(keeps, F.col("_better")))
+    how = F.when(F.col("_kept").isNotNull(), "person").when(again.isNotNull(), "reread").otherwise("rule")
+    rows = written(rows.select("a", "b", winner.alias("winner"), how.alias("how"), of(winner, "rank").alias("rank")), "decided")
+    beaten = rows.where("winner is not null").select(other(F.col("winner")).alias("node"), "winner", "how", "rank")
+    losers = beaten.select(F.col("node").alias("winner"), F.lit(True).alias("beaten")).distinct()
+    order = F.array_sort(F.collect_list(F.struct((F.col("how") != "person").alias("p"), "rank", "winner", "how", F.coalesce("beaten", F.lit(False)).alias("beaten"))))
+    lists = beaten.join(losers, "winner", "left").groupBy("node").agg(F.transform(order, lambda x, k: F.struct(k.alias("k"), x["winner"].alias("winner"), x["how"].alias("how"), x["beaten"].alias("beaten"))).alias("winners"))
+    lists = written(lists, "winners")
+    ends = _walked(lists)
+    gone = ends.select("statement")
+    left = rows.where("winner is null").select("a", "b")
+    conflicts = left.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti")
+    old = lines.join(ends.select("statement"), "statement")
+    new = lines.join(ends.select(F.col("statement").alias("_old"), F.col("stands").alias("statement")), "statement").drop("statement").withColumnRenamed("_old", "statement")
+    line_map = evidence.match_lines(old, new.select(*old.columns), keys).select("old_id", "new_id", "statement")
+    orphans = old.join(line_map.select(F.col("old_id").alias("id"), "statement"), ["id", "statement"], "left_anti").select(F.col("id").alias("line_id"), "statement")
+    return Resolution(ends, conflicts.select("a", "b"), line_map, orphans)
+
+
+def _walked(lists: DataFrame) -> DataFrame:
+    """(statement, stands, how): see resolved(); lists: node, winners in order (k, winner, how, beaten)."""
+    start = lists.select(F.col("node").alias("statement"), F.array("node").alias("path"), F.array(F.lit(0)).alias("tried"), F.lit(None).cast("string").alias("how"), F.lit(None).cast(dict(lists.dtypes)["node"]).alias("stands"))
+    at, done = start, []
+    while True:
+        here = at.withColumn("node", F.element_at("path", -1)).join(lists, "node")
+        fits = F.filter("winners", lambda w: (w["k"] >= F.element_at("tried", -1)) & ~F.array_contains("path", w["winner"]))
+        here = here.withColumn("next", F.get(fits, F.lit(0)))
+        up = F.col("next").isNull()  # none is left here: one step back
+        ahead = F.slice("tried", F.lit(1), F.size("tried") - 1)
+        on = F.array_append(F.array_append(ahead, F.col("next.k") + 1), F.lit(0))
+        moved = here.select(
+            "statement", F.when(up, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.array_append("path", F.col("next.winner"))).alias("path"), F.when(up, ahead).otherwise(on).alias("tried"),
+            F.when(~up & (F.size("path") == 1), F.col("next.how")).otherwise(F.col("how")).alias("how"), F.when(~up & ~F.col("next.beaten"), F.col("next.winner")).alias("stands"),
+        )
+        moved = written(moved, "walk")
+        done.append(moved.where("stands is not null").select("statement", "stands", "how"))
+        at = moved.where("stands is null and size(path) > 0")
+        if at.isEmpty():
+            return reduce(DataFrame.unionByName, done)
 
 
 def rendered(pattern: str, values: dict[str, Column], limit: int = 80) -> Column:
@@ -109,15 +211,23 @@ def recovered(state: DataFrame, log: DataFrame, now: Column, lease_s: int) -> Da
     return state.join(since, "job_id", "left").withColumn("status", F.when(lost, "queued").otherwise(F.col("status"))).drop("_claimed")
 
 
-def wrapped_locations(lines: DataFrame, values: DataFrame, doc: str, line_no: str, line: str, longest: int = 4) -> DataFrame:
+def wrapped_locations(lines: DataFrame, values: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
     """(doc, value, line_no, before, after): values that begin on a line's last words and end on the next line's first ones.
 
-    As for whole values on a line, runs of up to `longest` words and values meet by equality of their letters and digits."""
+    A value of any length: a document's lines end and begin with runs of as many characters as its values have; such runs and values
+    meet by equality of their letters and digits, as for whole values on a line."""
     bare = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
+    wanted = values.select(doc, "value", bare(F.col("value")).alias("k")).where("k <> ''").distinct()
+    asked = wanted.groupBy(doc).agg(F.collect_set(F.length("k")).alias("sizes"))
     words = lines.select(doc, line_no, F.filter(F.split(line, r"\s+"), lambda w: w != "").alias("w"))
-    rows = words.withColumn("next", F.lead("w").over(Window.partitionBy(doc).orderBy(line_no))).where("size(w) > 0 and size(next) > 0")
-    runs = rows.select(doc, line_no, "w", "next", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest - 1), F.size("w")))).alias("before"))
-    runs = runs.select(doc, line_no, "w", "next", "before", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest - 1), F.size("next")))).alias("after")).where(F.col("before") + F.col("after") <= longest)
+    rows = words.withColumn("next", F.lead("w").over(Window.partitionBy(doc).orderBy(line_no))).where("size(w) > 0 and size(next) > 0").join(asked, doc)
+    reach = F.array_max("sizes")
+    sizes = lambda c: F.transform(c, lambda w: F.length(bare(w)))
+    upto = lambda c, n: F.aggregate(F.slice(c, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    # how many characters each number of words has at the line's end, and at the next one's beginning
+    rows = rows.withColumn("ends", F.reverse(sizes("w"))).withColumn("begins", sizes("next"))
+    rows = rows.withColumn("before", F.explode(F.sequence(F.lit(1), F.size("w")))).withColumn("n1", upto("ends", F.col("before"))).where(F.col("n1") < reach)
+    rows = rows.withColumn("after", F.explode(F.sequence(F.lit(1), F.size("next")))).withColumn("n", F.col("n1") + upto("begins", F.col("after"))).where(F.array_contains("sizes", F.col("n")))
     cut = F.concat(F.slice("w", F.size("w") - F.col("before") + 1, F.col("before")), F.slice("next", F.lit(1), F.col("after")))
-    runs = runs.select(doc, line_no, "before", "after", bare(F.array_join(cut, "")).alias("k"))
-    return runs.join(values.select(doc, "value", bare(F.col("value")).alias("k")).where("k <> ''").distinct(), [doc, "k"]).select(doc, "value", line_no, "before", "after")
+    runs = rows.select(doc, line_no, "before", "after", bare(F.array_join(cut, "")).alias("k"))
+    return runs.join(wanted, [doc, "k"]).select(doc, "value", line_no, "before", "after")

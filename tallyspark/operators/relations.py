@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..plans.staging import written
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -55,19 +56,65 @@ def differences(before: DataFrame, after: DataFrame, keys: list[str], columns: l
     return both.select(*keys, change.alias("change"), F.when(change == "changed", F.array_join(fields, ",")).otherwise("").alias("fields")).where("change is not null")
 
 
-def stratified_sample(df: DataFrame, by: str, key: str, n: int, total: int, seed: int = 7, least: int = 2) -> DataFrame:
-    """About n rows in proportion to the groups, `least` of each at any rate, in a repeatable order. The size is the feature."""
-    counts = df.groupBy(by).agg(F.count("*").alias("_c"))
-    share = F.greatest(F.lit(least), F.round(F.lit(n) * F.col("_c") / total)).cast("int")
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return df.withColumn("_n", rank).join(counts, by).where(F.col("_n") <= share).drop("_n", "_c")
+def stratified_sample(df: DataFrame, by: str, key: str, n: int, seed: int = 7, least: int = 2) -> DataFrame:
+    """At most n rows in proportion to the groups (a half goes to the even number), of each group `least` if it has them; a group's
+    rows in the order of a digest of seed and key. Groups take part in the order of their smallest keys while there is room.
+
+    The size is the feature. Every group takes a row at least, so only the first n groups matter: the sums run over n rows.
+    """
+    counts = df.groupBy(by).agg(F.count("*").alias("_c"), F.min(key).alias("_first"))
+    total = F.lit(df.count())
+    first = counts.orderBy(F.asc_nulls_last("_first"), by).limit(n)
+    share = F.least(F.greatest(F.lit(least), F.bround(F.lit(n) * F.col("_c") / total)).cast("long"), F.col("_c"))
+    ahead = F.coalesce(F.sum("_k").over(Window.orderBy(F.asc_nulls_last("_first"), by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = first.withColumn("_k", share).withColumn("_k", F.least(F.col("_k"), F.lit(n) - ahead)).where("_k > 0").select(F.col(by).alias("_by"), "_k")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
+    return df.withColumn("_n", rank).join(F.broadcast(room), F.col(by).eqNullSafe(F.col("_by"))).where("_n <= _k").drop("_n", "_k", "_by")
 
 
 def unique_names(df: DataFrame, folder: str, name: str, key: str) -> DataFrame:
-    """File names made unique within a folder, ignoring case: __2, __3 before the extension."""
-    n = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(key))
-    stem, ext = F.regexp_replace(name, r"(\.[^.]*)$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("__"), n.cast("string"), ext)))
+    """File names made unique within a folder, ignoring case: each row, in the order of key (unique), takes its name, or the first
+    free one of stem__2.ext, stem__3.ext and so on.
+
+    A numbered name can only be taken by a row of that very name (the first of them asks for it), never by one numbered from
+    another stem. So rows start with their number among equal names, which is the least that they can get, and only rows of a name that
+    others hold numbered have to move: whoever asks for a name with the smallest key holds it, the others take a later number,
+    and those behind them in their name move on with them. A name once asked for is never free again, so this ends where a pass
+    through the rows one by one would. Stretches of numbers that are taken for certain are jumped over at once. Everything
+    is windows and joins on names; a folder or a name with a third of all rows is only a sort key.
+    """
+    low = lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    cut = r"^(\.*[^.].*)(\.[^.]*)$"
+    has = F.col("_name").rlike(cut)
+    rows = df.select(F.col(folder).alias("_folder"), F.col(name).alias("_name"), F.col(key).alias("_key"))
+    rows = rows.withColumn("_stem", F.when(has, F.regexp_extract("_name", cut, 1)).otherwise(F.col("_name"))).withColumn("_ext", F.when(has, F.regexp_extract("_name", cut, 2)).otherwise(F.lit("")))
+    rows = rows.withColumn("_low", low(F.col("_name"))).withColumn("_at", low(F.concat("_folder", F.lit("/"), "_stem", F.lit("|"), "_ext")))
+    same = Window.partitionBy("_folder", "_low").orderBy("_key")
+    rows = rows.withColumn("_j", F.row_number().over(same).cast("long")).withColumn("_no", F.col("_j"))
+    # names that look numbered: (family, number) and the smallest key that asks for each; stretches of following numbers
+    looks = r"^(.+)__([1-9][0-9]{0,8})$"
+    literal = rows.where(F.col("_j") == 1).where(F.col("_stem").rlike(looks)).where(F.regexp_extract("_stem", looks, 2).cast("long") >= 2)
+    literal = literal.select(low(F.concat("_folder", F.lit("/"), F.regexp_extract("_stem", looks, 1), F.lit("|"), "_ext")).alias("_at"), F.regexp_extract("_stem", looks, 2).cast("long").alias("_n"), F.col("_key").alias("_holder"))
+    literal = literal.groupBy("_at", "_n").agg(F.min("_holder").alias("_holder"))
+    island = F.col("_n") - F.row_number().over(Window.partitionBy("_at").orderBy("_n"))
+    behind = Window.partitionBy("_at", "_island").orderBy("_n").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    taken = written(literal.withColumn("_island", island).withColumn("_last", F.max("_n").over(behind)).withColumn("_most", F.max("_holder").over(behind)).drop("_island"), "taken")
+    state = written(rows, "names")
+    if not taken.isEmpty():
+        shown = F.when(F.col("_no") == 1, F.col("_low")).otherwise(low(F.concat("_stem", F.lit("__"), F.col("_no").cast("string"), "_ext")))
+        while True:
+            asked = state.withColumn("_asked", shown).withColumn("_lost", F.col("_key") != F.min("_key").over(Window.partitionBy("_folder", "_asked"))).drop("_asked")
+            asked = written(asked, "names")
+            if asked.where("_lost").isEmpty():
+                break
+            over = taken.select(F.col("_at").alias("_a"), F.col("_n").alias("_b"), "_last", "_most")
+            jump = F.when(F.col("_lost"), F.when(F.col("_most") < F.col("_key"), F.col("_last") + 1).otherwise(F.col("_no") + 1)).otherwise(F.col("_no"))
+            moved = asked.join(over, (F.col("_at") == F.col("_a")) & (F.col("_no") == F.col("_b")), "left").withColumn("_to", F.coalesce(jump, F.col("_no") + 1))
+            upto = Window.partitionBy("_folder", "_low").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            state = moved.withColumn("_no", F.col("_j") + F.max(F.col("_to") - F.col("_j")).over(upto)).drop("_a", "_b", "_last", "_most", "_to", "_lost")
+            state = written(state, "names")
+    final = F.when(F.col("_no") == 1, F.col("_name")).otherwise(F.concat("_stem", F.lit("__"), F.col("_no").cast("string"), "_ext"))
+    return df.join(state.select("_key", final.alias("unique_name")), F.col(key) == F.col("_key")).drop("_key")
 
 
 def semi(df: DataFrame, other: DataFrame, on) -> DataFrame:

@@ -195,7 +195,7 @@ def months_between(spark, sf):
 
 def _register(spark, sf):
     """Invoices as several readings of them: a copy, a variant in its total, one without a currency, another spelling of the number."""
-    base = invoices(spark, sf).where("invoice_id % 4 < 3").select("invoice_id", "number", "partner", F.col("amount").cast("string").alias("gross_total"), F.col("issue_date").cast("string").alias("issue_date"), F.lower("currency").alias("currency"))
+    base = invoices(spark, sf).select("invoice_id", "number", "partner", F.col("amount").cast("string").alias("gross_total"), F.col("issue_date").cast("string").alias("issue_date"), F.lower("currency").alias("currency"))
     k = F.col("invoice_id") % 4
     again = base.select(
         (F.col("invoice_id") + 1_000_000_000).alias("invoice_id"), F.replace("number", F.lit("-"), F.lit(" /")).alias("number"), "partner",
@@ -247,7 +247,7 @@ _DAYS = "days AS (SELECT CAST(DATE '1992-01-01' + CAST(i AS INT) AS DATE) AS day
 _P = "p AS (SELECT o_custkey AS account, o_orderkey AS statement, CAST(o_orderdate AS DATE) AS s, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS e FROM orders)"
 _OVER = "ov AS (SELECT x.account, x.statement AS a, y.statement AS b FROM p x JOIN p y ON x.account = y.account AND x.statement < y.statement AND x.s <= y.e AND y.s <= x.e WHERE NOT ((y.s = x.e AND x.s < y.s AND y.e > x.e) OR (x.s = y.e AND y.s < x.s AND x.e > y.e)))"
 _MERGE = "r AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY account ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM {src}), g AS (SELECT *, sum(n) OVER (PARTITION BY account ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM r), merged AS (SELECT account, min(s) AS s, max(e) AS e FROM g GROUP BY account, i)"
-_REG = f"""inv AS ({_I}), base AS (SELECT invoice_id, number, partner, CAST(amount AS VARCHAR) AS gross_total, CAST(issue_date AS VARCHAR) AS issue_date, lower(currency) AS currency FROM inv WHERE invoice_id % 4 < 3),
+_REG = f"""inv AS ({_I}), base AS (SELECT invoice_id, number, partner, CAST(amount AS VARCHAR) AS gross_total, CAST(issue_date AS VARCHAR) AS issue_date, lower(currency) AS currency FROM inv),
     reg AS (SELECT * FROM base UNION ALL SELECT invoice_id + 1000000000, replace(number, '-', ' /'), partner, CASE invoice_id % 4 WHEN 1 THEN gross_total || '9' WHEN 0 THEN gross_total || '0' ELSE gross_total END, issue_date, CASE WHEN invoice_id % 4 = 2 THEN NULL ELSE upper(currency) END FROM base)"""
 _DUP = f"""WITH {_REG}, d AS (SELECT a.invoice_id AS a, b.invoice_id AS b, CAST(a.gross_total AS DECIMAL(30,6)) <> CAST(b.gross_total AS DECIMAL(30,6)) AS g, a.issue_date <> b.issue_date AS i, lower(a.currency) <> lower(b.currency) AS c FROM reg a JOIN reg b
     ON upper(regexp_replace(a.number, '[^0-9A-Za-z]', '', 'g')) = upper(regexp_replace(b.number, '[^0-9A-Za-z]', '', 'g')) AND a.partner = b.partner AND a.invoice_id < b.invoice_id)

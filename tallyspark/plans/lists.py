@@ -142,13 +142,15 @@ def dataset_kept(spark, sf):
 
 
 def naming_unique(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", F.lit("export").alias("folder"), F.concat(text.safe_part(F.col("p_type"), 20), F.lit(".pdf")).alias("name"))
+    """Names of several folders, of which some look as if they were numbered already."""
+    k = F.col("p_partkey")
+    stem = F.concat(text.safe_part(F.get(F.split("p_type", " "), F.lit(0)), 20), F.when(k % 3 == 0, F.concat(F.lit("__"), (k % 9).cast("string"))).otherwise(""), F.when(k % 15 == 0, F.lit("__2")).otherwise(""))
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("export"), F.col("p_size").cast("string")).alias("folder"), F.concat(F.when(k % 2 == 0, F.lower(stem)).otherwise(stem), F.lit(".pdf")).alias("name"))
     return relations.unique_names(p, "folder", "name", "p_partkey").select("p_partkey", "unique_name")
 
 
 def stratified_sample_sizes(spark, sf):
-    docs = table(spark, sf, "documents")
-    return relations.stratified_sample(docs, "lang", "doc_id", 100, docs.count()).groupBy("lang").agg(F.count("*").alias("n"))
+    return relations.stratified_sample(table(spark, sf, "documents"), "lang", "doc_id", 100).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 QUERIES = {
@@ -180,6 +182,10 @@ ORACLES = {
     "scope_filter": f"WITH {_ORDERS_SQL} SELECT o_orderkey, c_name FROM o WHERE o_orderstatus = 'O' AND o_orderpriority = '2-HIGH'",
     "registered_datasets": "SELECT 'orders' AS dataset, count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1-%' UNION ALL SELECT 'customers', count(*) FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') UNION ALL SELECT 'events', count(*) FROM events",
     "dataset_kept": "SELECT c_mktsegment, count(*) AS n, 'kept,made' AS how FROM customer WHERE c_nationkey = 3 GROUP BY 1",
-    "naming_unique": "WITH p AS (SELECT p_partkey, trim(left(p_type, 20)) || '.pdf' AS name FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY p_partkey) AS n FROM p) SELECT p_partkey, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.pdf$', '') || '__' || n || '.pdf' END AS unique_name FROM n",
-    "stratified_sample_sizes": "SELECT lang, least(count(*), greatest(2, CAST(round(100 * count(*) / (SELECT count(*) FROM documents)) AS BIGINT))) AS n FROM documents GROUP BY lang",
+    "naming_unique": """WITH RECURSIVE p AS (SELECT p_partkey, p_size, split_part(p_type, ' ', 1) || CASE WHEN p_partkey % 3 = 0 THEN '__' || (p_partkey % 9) ELSE '' END || CASE WHEN p_partkey % 15 = 0 THEN '__2' ELSE '' END AS s, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS i FROM part),
+        q AS (SELECT p_partkey, p_size, i, CASE WHEN p_partkey % 2 = 0 THEN lower(s) ELSE s END AS s FROM p),
+        r AS (SELECT p_size, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS p_partkey, '' AS name, CAST([] AS VARCHAR[]) AS used FROM (SELECT DISTINCT p_size FROM part)
+            UNION ALL SELECT p_size, i, p_partkey, name, list_append(used, lower(name)) FROM (SELECT q.p_size, q.i, q.p_partkey, used, list_filter(list_transform(range(1, len(used) + 3), lambda n: CASE n WHEN 1 THEN s || '.pdf' ELSE s || '__' || n || '.pdf' END), lambda c: NOT list_contains(used, lower(c)))[1] AS name FROM r JOIN q ON q.p_size = r.p_size AND q.i = r.i + 1))
+        SELECT p_partkey, name AS unique_name FROM r WHERE i > 0""",
+    "stratified_sample_sizes": "WITH c AS (SELECT lang, count(*) AS c, min(doc_id) AS f FROM documents GROUP BY 1), k AS (SELECT *, least(c, greatest(2, CAST(round_even(100.0 * c / (SELECT count(*) FROM documents), 0) AS BIGINT))) AS k FROM c) SELECT lang, CAST(least(k, 100 - coalesce(sum(k) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS n FROM k QUALIFY n > 0",
 }

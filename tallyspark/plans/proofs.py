@@ -41,8 +41,8 @@ def value_locations(spark, sf):
     d = table(spark, sf, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    values = d.select("doc_id", F.explode(F.array(F.get(words, F.lit(2)), F.concat_ws(" ", F.get(words, F.lit(5)), F.get(words, F.lit(6))))).alias("value"))
-    return evidence.value_locations(lines, values, "doc_id", "line_no", "line", 2).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_no").cast("long").alias("first_line"))
+    values = d.select("doc_id", F.explode(F.array(F.get(words, F.lit(2)), F.concat_ws(" ", F.get(words, F.lit(5)), F.get(words, F.lit(6))), F.array_join(F.slice(words, 10, 6), " "))).alias("value"))
+    return evidence.value_locations(lines, values, "doc_id", "line_no", "line").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_no").cast("long").alias("first_line"))
 
 
 def labelled_locations(spark, sf):
@@ -50,7 +50,7 @@ def labelled_locations(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 3 + 10).cast("string").alias("net"), (F.col("c_custkey") * 3 + 11).cast("string").alias("gross"))
     lines = c.select("c_custkey", F.lit(0).alias("line_no"), F.concat_ws(" ", F.lit("for you net"), "net", F.lit("and so gross"), "gross").alias("line"))
     values = c.select("c_custkey", F.explode(F.array("net", "gross")).alias("value"))
-    found = evidence.value_locations(lines, values, "c_custkey", "line_no", "line", 2)
+    found = evidence.value_locations(lines, values, "c_custkey", "line_no", "line")
     labels = c.select("c_custkey", F.lit(0).alias("line_no"), F.explode(F.array(F.struct(F.lit(2).alias("at"), F.lit("net").alias("label")), F.struct(F.lit(6).alias("at"), F.lit("gross").alias("label")))).alias("x")).select("c_custkey", "line_no", "x.at", "x.label")
     return evidence.nearest_label(found, labels, "c_custkey").select("c_custkey", "value", "label")
 
@@ -137,7 +137,7 @@ ORACLES = {
     "placeholder_values": "SELECT p_partkey, p_partkey % 4 < 2 AS placeholder, CASE p_partkey % 3 WHEN 0 THEN p_partkey % 2 <> 0 WHEN 1 THEN p_partkey % 2 = 0 END AS wrong_unit FROM part",
     "whole_tokens": "SELECT o_orderkey, o_orderkey % 2 = 0 AS whole FROM orders",
     "field_equality": "SELECT kind, equal, count(*) AS n FROM (SELECT ['money', 'date', 'name', 'id', 'text'][o_orderkey % 5 + 1] AS kind, CASE WHEN o_orderkey % 5 < 4 THEN true ELSE lower(o_orderpriority) = o_orderpriority END AS equal FROM orders) GROUP BY 1, 2",
-    "value_locations": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, list_filter(regexp_split_to_array(unnest(ls), '\\s+'), lambda w: w <> '') AS w FROM l), r AS (SELECT doc_id, line_no, i, n, lower(regexp_replace(array_to_string(w[i + 1 : i + n], ''), '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, line_no, w, unnest(range(len(w))) AS i FROM x), range(1, 3) u(n) WHERE i + n <= len(w)), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), v AS (SELECT DISTINCT doc_id, v AS value, lower(regexp_replace(v, '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, unnest([w[3], concat_ws(' ', w[6], w[7])]) AS v FROM d) WHERE v IS NOT NULL), h AS (SELECT r.*, value, min(n) OVER (PARTITION BY r.doc_id, value, line_no, i + n) AS m FROM r JOIN v ON r.doc_id = v.doc_id AND r.k = v.k AND v.k <> '') SELECT doc_id, count(*) AS n, min(line_no) AS first_line FROM h WHERE n = m GROUP BY 1",
+    "value_locations": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), x AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, list_transform(list_filter(regexp_split_to_array(unnest(ls), '\\s+'), lambda w: w <> ''), lambda w: lower(regexp_replace(w, '[^\\pL\\pN]', '', 'g'))) AS w FROM l), r AS (SELECT doc_id, line_no, i, n, array_to_string(w[i + 1 : i + n], '') AS k FROM (SELECT doc_id, line_no, w, unnest(range(len(w))) AS i FROM x), range(1, 13) u(n) WHERE i + n <= len(w) AND w[i + 1] <> '' AND w[i + n] <> ''), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM documents), v AS (SELECT DISTINCT doc_id, v AS value, lower(regexp_replace(v, '[^\\pL\\pN]', '', 'g')) AS k FROM (SELECT doc_id, unnest([w[3], concat_ws(' ', w[6], w[7]), array_to_string(w[10:15], ' ')]) AS v FROM d) WHERE v IS NOT NULL) SELECT r.doc_id, count(*) AS n, min(line_no) AS first_line FROM r JOIN v ON r.doc_id = v.doc_id AND r.k = v.k AND v.k <> '' GROUP BY 1",
     "labelled_locations": "SELECT c_custkey, CAST(c_custkey * 3 + 10 AS VARCHAR) AS value, 'net' AS label FROM customer UNION ALL SELECT c_custkey, CAST(c_custkey * 3 + 11 AS VARCHAR), 'gross' FROM customer",
     "task_gate": "SELECT conv_id * 1000 + turn AS task_id, NOT (turn % 5 = 4 OR turn % 3 = 0) AS accepted, CASE WHEN turn % 5 = 4 THEN 'bad_pointer' WHEN turn % 3 = 0 THEN 'quote_absent' ELSE '' END AS reasons FROM conversations",
     "decision_replay": "WITH e AS (SELECT CASE WHEN value < 20 THEN 'no' WHEN value > 60 THEN 'yes' ELSE 'uncertain' END AS outcome, CASE WHEN value < 25 THEN 'no' WHEN value > 60 THEN 'yes' ELSE 'uncertain' END AS now FROM events) SELECT CASE WHEN outcome = now THEN 'same' ELSE 'changed' END AS change, outcome, now, count(*) AS n FROM e GROUP BY ALL",

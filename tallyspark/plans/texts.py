@@ -120,7 +120,7 @@ def name_shares(spark, sf):
 
 def fuzzy_words(spark, sf):
     """Words of the benchmark's items against all words of the documents."""
-    words = lambda df, c: df.select(F.explode(F.array_distinct(F.split(text.normalize(F.col(c)), " "))).alias("w")).where("w rlike '^[a-z]{5,}$'").distinct()
+    words = lambda df, c: df.select(F.explode(F.array_distinct(F.split(text.normalize(F.col(c)), " "))).alias("w")).where("w <> ''").distinct()
     return relations.fuzzy_pairs(words(table(spark, sf, "benchmark"), "text"), words(table(spark, sf, "documents"), "text"), "w")
 
 
