@@ -273,7 +273,9 @@ def test_signals_like_brute_force(spark):
     rates, common = plan._rates(spark), reconcile.common_words(spark.read.parquet(f"{sf}/part.parquet"), "p_type", 3)
     rows = pairing.relations(plan.signal_rows(spark, sf), rates)
     learned = reconcile.learned_names(rows.where("invoice_id % 6 = 2").select(F.col("counterparty_name").alias("name"), "partner"), 1)
-    got = {r["line_id"]: (set(r["signals"]), r["strength"]) for r in pairing.signals(rows, ["the", "and"], common, learned).collect()}
+    rules = pairing.Signals(prefix_share=0.6)
+    ties = pairing.name_ties(rows, rows.select(pairing.line_name().alias("line_name")), ["the", "and"], common, rules)
+    got = {r["line_id"]: (set(r["signals"]), r["strength"]) for r in pairing.signals(rows, ties, learned, rules).collect()}
     stop, known = {r["word"] for r in common.collect()}, {(r["name_key"], r["partner"]) for r in learned.collect()}
     norm = lambda x: " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in (x or "").lower()).split())
     key = lambda x: " ".join(w for w in norm(x).split() if len(w) > 1 and not any(c.isdigit() for c in w))
@@ -284,20 +286,21 @@ def test_signals_like_brute_force(spark):
         told, want = f"{r['memo']} {r['description']}", set()
         words = [w for w in dict.fromkeys(norm(r["supplier_name"]).split()) if w not in ("the", "and")]
         theirs = norm(r["counterparty_name"] if r["counterparty_name"] is not None else r["description"]).split()
-        long = lambda x: [w for w in x if len(w) >= 5 and not any(c.isdigit() for c in w)]
+        long = lambda x, least=5: [w for w in x if len(w) >= least and not any(c.isdigit() for c in w)]
         if stands(r["number"], told):
             want.add("invoice_number")
         if any(stands(x, told) for x in r["references"] or []):
             want.add("reference")
         if words and len(set(words) & set(theirs)) / len(words) >= 0.75:
             want.add("supplier_name")
-        elif any((x != y and fuzzy(x, y)) or (x == y and x == (long(words) or [None])[0]) for x in long(words) if x not in stop for y in long(theirs) if y not in stop):
+        elif any((x != y and fuzzy(x, y)) or (x == y and x == (long(words) or [None])[0]) for x in long(words) if x not in stop for y in long(theirs, 4) if y not in stop):
             want.add("supplier_name_fuzzy")
         if "card" in norm(r["payment_method"]) and "applepay" in norm(f"{r['counterparty_name']} {r['description']} {r['memo']}"):
             want.add("payment_channel")
         if (key(r["counterparty_name"]), r["partner"]) in known:
             want.add("learned_name")
-        strength = min(100, sum(weights[s] for s in want) + (10 if r["relation"] in ("equal", "fx_within") else 0))
+        in_time = r["issue_date"] <= r["booking_date"] <= max(r["due_date"], r["issue_date"]) + timedelta(7)
+        strength = min(100, sum(weights[s] for s in want) + {"equal": 35, "fx_within": 25, "different": 0}.get(r["relation"], 5) + (15 if in_time else 5))
         assert got[r["line_id"]] == (want, strength), r
         seen |= want
     assert seen == {"invoice_number", "reference", "supplier_name", "supplier_name_fuzzy", "payment_channel", "learned_name"}
@@ -434,3 +437,20 @@ def test_sample_is_of_the_right_sizes_and_the_same_each_time(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").groupBy("lang").count().collect()
     total = sum(r["count"] for r in docs)
     assert a == b and {r["lang"]: sum(x[1] == r["lang"] for x in a) for r in docs} == {r["lang"]: min(r["count"], max(2, round(100 * r["count"] / total))) for r in docs}
+
+
+def test_proposals_leave_out_what_is_rejected_or_paid_in_part(spark):
+    day = date(2024, 5, 1)
+    invoice = "invoice_id long, number string, references array<string>, partner long, supplier_name string, side string, invoice_currency string, invoice_amount decimal(18,2), issue_date date, due_date date, fulfillment_date date, payment_method string, touched boolean"
+    line = "line_id long, memo string, description string, counterparty_name string, account long, direction string, currency string, amount decimal(18,2), statement_type string, original_currency string, original_amount decimal(18,2), booking_date date, touched boolean"
+    inv = lambda n, cur, amount, touched=False, name="Alma Kft": (n, f"N/{n:06}", None, n, name, "incoming", cur, D(amount), day, day, None, None, touched)
+    pay = lambda n, memo, amount, kind="card", name=None, at=2: (n, memo, "bank", name, None, "debit", "HUF", D(amount), kind, None, None, day + timedelta(at), False)
+    invoices = spark.createDataFrame([inv(1, "HUF", 100), inv(2, "EUR", 10), inv(3, "EUR", 10, True), inv(4, "HUF", 55, name=None)], invoice)
+    lines = spark.createDataFrame([pay(11, "n000001", 70), pay(12, "N 000002 and N/000003", 4000), pay(13, "x", 55), pay(14, "x", 100, name="alma"), pay(15, "N/000001", 100, at=-25), pay(16, "x", 100, at=-5), pay(17, "N/000001", 100)], line)
+    rates, learned = spark.createDataFrame([("EUR", day, 400.0)], "currency string, day date, rate double"), spark.createDataFrame([], "name_key string, partner long")
+    rejected = spark.createDataFrame([(17, 1)], "line_id long, invoice_id long")
+    got = {(r["line_id"], r["invoice_id"]): (r["relation"], ",".join(r["signals"]), r["proposed"], r["amount_only"]) for r in pairing.proposed(invoices, lines, learned, rates, ["kft"], rejected, rule=reconcile.Rules(days_before_issue=31)).collect()}
+    assert got == {
+        (11, 1): ("different", "invoice_number", False, False), (12, 2): ("fx_within", "invoice_number", True, False), (13, 4): ("equal", "", False, True), (14, 1): ("equal", "supplier_name", True, False),
+        (15, 1): ("equal", "invoice_number", True, False), (16, 1): ("equal", "", False, True), (14, 2): ("fx_outside", "supplier_name", False, False),
+    }
