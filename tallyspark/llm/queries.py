@@ -102,8 +102,8 @@ ORACLES: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM p)
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN kept <> page_id THEN kept END AS refers_to
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
         FROM m""",
     "op11_fill_in_middle": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS varchar), '')) AS x FROM documents),

@@ -13,8 +13,10 @@ magic line inside a payload begins none, even if well-formed headers follow it,
 Headers may be of any length, and a magic line may stand among them (as in a url of a foreign archive): they are read up to their
 blank line, into the next block if need be. Headers that go on over a whole block of the file begin no record.
 
-Defined results. Null html: an empty payload. Null url: no target. Null page_id: a record without an id, never a
-revisit's target (one of null id is not deduplicated). Rows with equal page_id and payload: all of them response or revisit alike.
+Defined results. Null html: an empty payload. Null url: no target. Null page_id: a record without an id; if one
+of equal payload has an id it revisits that, else it is stored, as it can't be named. Rows with equal page_id and payload: all of them
+response or revisit alike. Very long html: one record, in pieces of a block's size when it is read. Extra columns, whatever
+their names: left out.
 Blanks, control characters and line separators in a url are percent-encoded, and the last byte of one that ends in the magic.
 Empty table: no records. A file whose chain of records ends before the file does (cut off, or not an archive) is an error, so
 that nothing is lost in silence; with strict=False what the chain reaches is read.
@@ -46,12 +48,12 @@ def with_revisits(pages: DataFrame, least: int = REVISIT_FROM) -> DataFrame:
     html = F.coalesce(pages["html"].cast("string"), F.lit(""))
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.col("html").cast("binary")))
-    large = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
+    large = rows.where(F.col("payload_bytes") >= least)
     # only payloads that occur more than once: a few narrow rows
-    kept = large.groupBy("payload_digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "target")
+    kept = large.groupBy("payload_digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1 and target is not null").select("payload_digest", "target")
     kept = written(kept, "revisits")
     out = rows.join(kept, "payload_digest", "left")
-    revisit = (F.col("payload_bytes") >= least) & (F.col("page_id") < F.col("target"))
+    revisit = (F.col("payload_bytes") >= least) & F.col("target").isNotNull() & F.coalesce(F.col("page_id") < F.col("target"), F.lit(True))
     return out.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, F.col("target")).alias("refers_to"))
 
 

@@ -665,8 +665,10 @@ def test_warc_round_trip(spark, split):
 
 def test_warc_repeated_ids_and_urls(spark):
     rows = [(1, "a", "x" * 1500), (1, "a", "x" * 1500), (1, "b", "other"), (2, "c", "y" * 1500), (3, "http://e/" + "q" * 70_000, "y" * 1500), (4, "u WARC/1.1", "w"), (5, "l\u2028\x85m", "v")]
+    rows += [(None, "n", "o" * 2000), (8, "n", "o" * 2000), (7, "n", "o" * 2000), (None, "p", "p" * 2000), (None, "p", "p" * 2000), (None, "q", "small")]
     got = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect())
     want = [(1, "a", "response", None, 1500)] * 2 + [(1, "b", "response", None, 5), (2, "c", "revisit", 3, 1500), (3, rows[4][1], "response", None, 1500), (4, "u%20WARC/1.%31", "response", None, 1), (5, "l%E2%80%A8%C2%85m", "response", None, 1)]
+    want += [(None, "n", "revisit", 8, 2000), (8, "n", "response", None, 2000), (7, "n", "revisit", 8, 2000), *[(None, "p", "response", None, 2000)] * 2, (None, "q", "response", None, 5)]
     assert got == Counter(want)
 
 
