@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
 from ..functions import text
 from ..plans.staging import written
@@ -40,26 +39,46 @@ def mask_nested(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, _masked(F.col(column), df.schema[column].dataType))
 
 
-@pandas_udf(T.ArrayType(T.StringType()))
-def _paths_apart(old, new):
-    import json
+def nodes(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, path, parent, kind, value): every node of a Variant column. kind: object, array, or a scalar's; value: a scalar as text.
 
-    def walk(a, b, path):
-        if isinstance(a, dict) and isinstance(b, dict):
-            for k in sorted(a.keys() | b.keys()):
-                yield from walk(a.get(k), b.get(k), f"{path}.{k}")
-        elif isinstance(a, list) and isinstance(b, list):
-            for k in range(max(len(a), len(b))):
-                yield from walk(a[k] if k < len(a) else None, b[k] if k < len(b) else None, f"{path}[{k}]")
-        elif a != b or type(a) is not type(b):
-            yield path
-
-    return old.combine(new, lambda a, b: list(walk(json.loads(a or "null"), json.loads(b or "null"), "$")))
-
-
-def deep_diff(old: Column, new: Column) -> Column:
-    """The JSON paths at which two JSON texts differ ("$.a[2].b"), keys in order; a missing value is null."""
-    return _paths_apart(old, new)
+    One level of nesting a round, by variant_explode; a level is a job, so rounds are as many as the deepest value has levels.
+    """
+    scalar = lambda k: F.when(k.rlike("^(OBJECT|ARRAY)"), F.lower(F.regexp_extract(k, "^([A-Z]+)", 1))).when(k.rlike("^(DECIMAL.*[^0][)]|DOUBLE|FLOAT)$"), "fraction").when(k.rlike("^(BIGINT|DECIMAL)"), "integer").otherwise(F.lower(k))
+    level = df.select(*keys, F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.coalesce(F.col(column), F.parse_json(F.lit("null"))).alias("v"))
+    out = []
+    while True:
+        level = written(level.withColumn("kind", scalar(F.schema_of_variant("v"))), "nodes")
+        text_of = F.when(F.col("kind") == "fraction", F.try_variant_get("v", "$", "double").cast("string")).when(~F.col("kind").isin("object", "array"), F.to_json("v"))
+        out.append(level.select(*keys, "path", "parent", "kind", text_of.alias("value")))
+        inner = level.where("kind in ('object', 'array')")
+        if inner.isEmpty():
+            return reduce(DataFrame.unionByName, out)
+        below = inner.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        step = F.when(F.col("_key").isNull(), F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), "_key"))
+        level = below.select(*keys, F.concat("path", step).alias("path"), F.col("path").alias("parent"), F.col("_value").alias("v"))
+
+
+def deep_diff(df: DataFrame, keys: list[str], old: str, new: str, limit: int | None = None) -> DataFrame:
+    """(keys, path, before, after): the paths ("$.a[2].b") at which two JSON texts of a row differ; a missing value is null.
+
+    Both texts as Variants, their nodes joined by path: a node differs in kind or value, and counts if what holds it is an object, or
+    an array, on both sides. limit: so many paths of a row, the first in order. keys: unique.
+    """
+    sides = [nodes(df.select(*keys, F.try_parse_json(F.coalesce(F.col(c), F.lit("null"))).alias("v")), keys, "v").withColumnsRenamed({"parent": f"parent_{n}", "kind": f"kind_{n}", "value": f"value_{n}"}) for n, c in (("a", old), ("b", new))]
+    both = sides[0].join(sides[1], [*keys, "path"], "full")
+    for n in "ab":
+        both = both.withColumn(f"value_{n}", F.when(F.col(f"kind_{n}").isNull(), "null").otherwise(F.col(f"value_{n}"))).withColumn(f"kind_{n}", F.coalesce(f"kind_{n}", F.lit("void")))
+    both = both.withColumn("parent", F.coalesce("parent_a", "parent_b"))
+    differs = (F.col("kind_a") != F.col("kind_b")) | ~F.col("value_a").eqNullSafe(F.col("value_b"))
+    holds = both.where("kind_a = kind_b and kind_a in ('object', 'array')").select(*keys, F.col("path").alias("parent"))
+    apart = both.where(differs)
+    got = apart.where("parent is not null").join(holds, [*keys, "parent"], "left_semi").unionByName(apart.where("parent is null").select("parent", *[c for c in apart.columns if c != "parent"]))
+    shown = lambda n: F.coalesce(f"value_{n}", F.concat(F.lit("<"), f"kind_{n}", F.lit(">")))
+    got = got.select(*keys, "path", shown("a").alias("before"), shown("b").alias("after"))
+    if limit is None:
+        return got
+    return got.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("path"))).where(F.col("_n") <= limit).drop("_n")
 
 
 def journal(entries: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import documents, tabular
-from ..streaming import jobs
+from ..streaming import jobs, timers
 from .staging import fresh_path, put, table
 
 
@@ -181,6 +181,27 @@ def stream_worker(spark, sf):
     return spark.read.parquet(out).groupBy("kind", "state", "result").agg(F.count("*").alias("n"))
 
 
+def _case_events(df):
+    """A view or a click arms its user's timer (or moves it), a purchase cancels it."""
+    what = F.when(F.col("event_type").isin("view", "click"), "arm").when(F.col("event_type") == "purchase", "cancel").otherwise("none")
+    return df.select(F.col("user_id").alias("case"), F.col("ts").cast("timestamp").alias("at"), what.alias("what"), (F.lit(3600) * (1 + F.col("event_id") % 12)).alias("delay_s"), F.col("event_id").alias("n"))
+
+
+def stream_timers(spark, sf):
+    """The timers that fire in a stream of the events, up to its last watermark; the state lives in the RocksDB store."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parq*")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    timers.rocks(spark)
+    try:
+        fired = timers.fired_timers(_case_events(stream))
+        out = fresh_path(spark, "timers")
+        fired.writeStream.option("checkpointLocation", fresh_path(spark, "timers-checkpoint")).trigger(availableNow=True).outputMode("append").format("parquet").option("path", out).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(fired.schema).parquet(out).select("case", F.unix_micros("armed_at").alias("armed_us"), F.unix_micros("due_at").alias("due_us"))
+
+
 def stream_dedup(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parq*").withColumn("at", F.col("ts").cast("timestamp")).withColumn("key", F.concat_ws(":", "user_id", "event_type"))
@@ -210,6 +231,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and get
 
 _LOGSQL = "l AS (SELECT event_id AS seq, event_id // 13 AS job_id, ['enqueued', 'claimed', 'failed', 'claimed', 'completed', 'cancelled'][event_id % 6 + 1] AS event FROM events), s AS (SELECT job_id, arg_max(event, seq) AS event, count(*) FILTER (WHERE event = 'claimed') AS attempts FROM l GROUP BY 1), q AS (SELECT CAST(job_id AS BIGINT) AS job_id, CASE event WHEN 'enqueued' THEN 'queued' WHEN 'failed' THEN CASE WHEN attempts >= 3 THEN 'dead' ELSE 'queued' END WHEN 'completed' THEN 'done' ELSE event END AS status, attempts FROM s)"
 ORACLES = {
+    "stream_timers": "WITH u AS (SELECT epoch_ms(max(ts)) * 1000 - 600000000 AS w FROM events), o AS (SELECT user_id, epoch_us(ts) AS t, event_id, event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events, u WHERE event_type IN ('view', 'click', 'purchase') AND epoch_us(ts) <= w), d AS (SELECT *, t + 3600000000 * (1 + event_id % 12) AS due FROM o WHERE event_type <> 'purchase') SELECT CAST(user_id AS VARCHAR) AS \"case\", t AS armed_us, due AS due_us FROM d, u WHERE due <= w AND (nxt IS NULL OR nxt >= due)",
     "csv_round_trip": "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total, '''=' || o_orderpriority AS priority FROM orders",
     "xlsx_round_trip": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "camt_round_trip": "SELECT 'S' || o_custkey AS statement, CASE WHEN o_orderkey % 2 = 0 THEN 'debit' ELSE 'credit' END AS direction, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount, min(CAST(o_orderdate AS DATE)) AS first, max('order ' || o_orderkey) AS memo FROM orders GROUP BY 1, 2",

@@ -20,11 +20,15 @@ def mask_nested(spark, sf):
 
 
 def deep_diff(spark, sf):
-    e = table(spark, sf, "events")
-    k = F.col("event_id")
-    old = F.to_json(F.struct(k.alias("id"), F.array(F.struct((k % 3).alias("v")), F.struct((k % 5).alias("v"))).alias("rows")))
-    new = F.to_json(F.struct(k.alias("id"), F.array(F.struct((k % 3).alias("v")), F.struct((k % 4).alias("v"))).alias("rows"), F.when(k % 7 == 0, "x").alias("more")))
-    return e.select("event_id", F.array_join(records.deep_diff(old, new), ",").alias("paths"))
+    """Two versions of each document's record, nested and of other kinds here and there: the paths at which they differ."""
+    d = table(spark, sf, "documents")
+    k = F.col("doc_id")
+    row = lambda n, x: F.struct(x.alias("v"), F.struct(F.array(F.lit(n), k % 2).alias("q")).alias("in"))
+    head = [k.alias("id"), "lang", F.length("text").alias("n")]
+    old = F.to_json(F.struct(*head, F.array(row(0, k % 3), row(1, k % 5)).alias("rows"), F.when(k % 11 == 0, F.lit(1)).alias("more")))
+    new = F.to_json(F.struct(*head, F.array(row(0, k % 3), row(1, k % 4), F.when(k % 13 == 0, row(2, k))).alias("rows"), F.when(k % 7 == 0, F.struct(F.lit(1).alias("x"))).alias("more")))
+    rows = d.select("doc_id", old.alias("old"), new.alias("new"))
+    return records.deep_diff(rows, ["doc_id"], "old", "new")
 
 
 def journal_conflicts(spark, sf):
@@ -125,7 +129,7 @@ _VERSION = "SELECT user_id % 50 AS path, arg_max('rule ' || event_type, event_id
 ORACLES = {
     "mask_nested": f"WITH {_CARD} SELECT c_custkey, 'pays by ' || m || ' or ' || m AS note, m AS card, CAST('4' || lpad(CAST(c_custkey * 15485863 AS VARCHAR), 15, '0') AS BIGINT) AS number FROM m",
     "stratified_sample": "WITH c AS (SELECT lang, count(*) AS c, min(doc_id) AS f FROM documents GROUP BY 1), k AS (SELECT *, least(c, greatest(2, CAST(round_even(100.0 * c / (SELECT count(*) FROM documents), 0) AS BIGINT))) AS k FROM c), z AS (SELECT lang, least(k, 100 - coalesce(sum(k) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS k FROM k), r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS n FROM documents) SELECT doc_id, lang FROM r JOIN z USING (lang) WHERE n <= k",
-    "deep_diff": "SELECT event_id, concat_ws(',', CASE WHEN event_id % 7 = 0 THEN '$.more' END, CASE WHEN event_id % 5 <> event_id % 4 THEN '$.rows[1].v' END) AS paths FROM events",
+    "deep_diff": "WITH d AS (SELECT doc_id, doc_id % 5 AS a, doc_id % 4 AS b FROM documents) SELECT doc_id, '$.rows[1].v' AS path, CAST(a AS VARCHAR) AS before, CAST(b AS VARCHAR) AS after FROM d WHERE a <> b UNION ALL SELECT doc_id, '$.rows[2]', 'null', '<object>' FROM d WHERE doc_id % 13 = 0 UNION ALL SELECT doc_id, '$.more', CASE WHEN doc_id % 11 = 0 THEN '1' ELSE 'null' END, CASE WHEN doc_id % 7 = 0 THEN '<object>' ELSE 'null' END FROM d WHERE doc_id % 7 = 0 OR doc_id % 11 = 0",
     "journal_conflicts": "WITH e AS (SELECT user_id AS subject, event_id AS revision, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT subject, revision, n % 3 > 0 AS accepted FROM e",
     "replacement_resolve": f"""WITH RECURSIVE p AS ({_STATEMENTS.format(orders="orders").replace("`", '"')}),
         ln AS (SELECT statement, statement * 100000 + (day - DATE '1970-01-01') AS id, day FROM (SELECT statement, account, CAST(unnest(generate_series(start, "end", INTERVAL 1 DAY)) AS DATE) AS day FROM p)

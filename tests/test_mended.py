@@ -178,3 +178,57 @@ def test_values_on_lines_by_plain_search(spark):
             want |= {(d, value, n, i, j - i) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if d == e and bare(value) and w[i] and w[j - 1] and "".join(w[i:j]) == bare(value)}
     got = evidence.value_locations(spark.createDataFrame(lines, "doc int, line_no int, line string"), spark.createDataFrame(values, "doc int, value string"), "doc", "line_no", "line")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def walked(a, b, path="$"):
+    if isinstance(a, dict) and isinstance(b, dict):
+        for k in a.keys() | b.keys():
+            yield from walked(a.get(k), b.get(k), f"{path}.{k}")
+    elif isinstance(a, list) and isinstance(b, list):
+        for k in range(max(len(a), len(b))):
+            yield from walked(a[k] if k < len(a) else None, b[k] if k < len(b) else None, f"{path}[{k}]")
+    elif a != b or type(a) is not type(b):
+        yield path
+
+
+def test_paths_at_which_values_differ(spark):
+    import json
+
+    rng = random.Random(4)
+
+    def value(depth=3):
+        kinds = [lambda: rng.randrange(3), lambda: rng.choice("ab"), lambda: rng.choice([True, None, 1.5, 2.0, "1", 1])]
+        if depth:
+            kinds += [lambda: {k: value(depth - 1) for k in rng.sample("xyz", rng.randint(0, 3))}, lambda: [value(depth - 1) for _ in range(rng.randint(0, 3))]]
+        return rng.choice(kinds)()
+
+    pairs = [(a, b if rng.random() < 0.3 else json.loads(json.dumps(a).replace("1", rng.choice(["2", "1"])))) for a, b in ((value(), value()) for _ in range(250))] + [(None, {"a": 1}), ({}, []), ({}, {}), ([], [None])]
+    df = spark.createDataFrame([(n, json.dumps(a), json.dumps(b)) for n, (a, b) in enumerate(pairs)] + [(9000, None, None), (9001, None, '{"a": 1}')], "id int, old string, new string")
+    got = {(r["id"], r["path"]) for r in records.deep_diff(df, ["id"], "old", "new").collect()}
+    want = {(n, p) for n, (a, b) in enumerate(pairs) for p in walked(a, b)} | {(9001, "$")}
+    assert got == want
+    assert max(Counter(r["id"] for r in records.deep_diff(df, ["id"], "old", "new", 2).collect()).values()) == 2
+
+
+def test_timers_fire_once_also_after_a_restart(spark, tmp_path):
+    from tallyspark.streaming import timers
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(9), 1_700_000_000 + rng.randrange(40_000), rng.choice(["arm", "arm", "cancel", "none"]), rng.randrange(60, 6000), n) for n in range(600)]
+    schema = "case int, at timestamp, what string, delay_s int, n long"
+    df = spark.createDataFrame(rows, "case int, at_s long, what string, delay_s int, n long").select("case", F.timestamp_seconds("at_s").alias("at"), "what", "delay_s", "n")
+    src, out, seen = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "seen")
+    edges = [1_700_000_000, 1_700_013_000, 1_700_027_000, 1_700_050_000]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    timers.rocks(spark)
+    try:
+        for lo, hi in zip(edges, edges[1:], strict=False):  # each part comes later, and meets the state of a query that has ended
+            df.where(F.unix_seconds("at").between(lo, hi - 1)).repartition(2).write.mode("append").parquet(src)
+            fired = timers.fired_timers(spark.readStream.schema(schema).parquet(src), "1 minute")
+            fired.writeStream.option("checkpointLocation", seen).trigger(availableNow=True).outputMode("append").format("parquet").option("path", out).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = Counter(tuple(r) for r in spark.read.parquet(out).collect())
+    last = df.agg(F.max("at") - F.expr("interval 1 minute")).first()[0]
+    want = Counter(tuple(r) for r in timers.fired_of_table(df, F.lit(last)).collect())
+    assert (got - want, want - got) == (Counter(), Counter()) and len(got) > 30
