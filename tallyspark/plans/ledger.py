@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import dedupe, intervals, reconcile, relations
+from ..operators import dedupe, intervals, overview, reconcile, relations
 from .staging import table
 
 #: Derived tables; the same text serves both engines.
@@ -82,6 +82,39 @@ def overview_components(spark, sf):
     return reconcile.overview(reconcile.named_first(pairs(spark, sf)), invoices(spark, sf), lines(spark, sf))
 
 
+#: Lines and invoices with their states, and what ties them; the same text serves both engines.
+_O_LINES = """SELECT line_id, CASE line_id % 7 WHEN 0 THEN 'marked' WHEN 1 THEN 'excluded' WHEN 2 THEN 'partly_allocated' WHEN 3 THEN 'open' WHEN 4 THEN 'proposed' ELSE 'allocated' END AS state, booking_date, line_id % 17 > 0 AS statement_verified FROM ({lines}) l"""
+_O_INV = """SELECT invoice_id, CASE invoice_id % 9 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'credited' WHEN 2 THEN 'partly_paid' WHEN 3 THEN 'amount_differs' WHEN 4 THEN 'excluded' ELSE 'open' END AS state, issue_date, CASE WHEN invoice_id % 8 > 0 THEN due_date END AS due_date,
+    amount - (invoice_id % 3) * amount / 2 AS rest, issue_date + CAST(invoice_id % 70 AS INT) AS checked_until, invoice_id % 12 > 0 AS own FROM ({invoices}) i"""
+_O_ALLOC = "SELECT line_id, CAST(floor(line_id / 10) AS BIGINT) AS invoice_id FROM ({lines}) l WHERE line_id < 1000000000 AND floor(line_id / 10) % 10 = 3"
+_O_CAND = """SELECT line_id, CAST(floor(line_id / 10) AS BIGINT) AS invoice_id, floor(line_id / 10) % 4 > 0 AS proposed, floor(line_id / 10) % 14 = 0 AS multiple_candidates FROM ({lines}) l WHERE line_id < 1000000000 AND floor(line_id / 10) % 5 > 1
+    UNION ALL SELECT line_id, CAST(floor(line_id / 10) AS BIGINT) + 1, true, true FROM ({lines}) l WHERE line_id < 1000000000 AND floor(line_id / 10) % 14 = 0
+    UNION ALL SELECT line_id, CAST(floor((line_id - 1000000000) * 20 + 11) AS BIGINT), true, false FROM ({lines}) l WHERE line_id >= 1000000000"""
+_O_REPEAT = "SELECT CAST(floor(line_id / 10) AS BIGINT) + d AS invoice_id, line_id, line_id % 10 = 1 AS paid FROM ({lines}) l CROSS JOIN (SELECT 0 AS d UNION ALL SELECT 2) z WHERE line_id < 1000000000 AND floor(line_id / 10) % 26 = 0"
+
+
+def _overview(spark, sf):
+    spark_sql = lambda t: spark.sql(t.replace("{lines}", _lines("interval 1200 days")).replace("{invoices}", INVOICES), orders=table(spark, sf, "orders"))
+    inv = spark_sql(_O_INV)
+    known = inv.select("invoice_id")
+    real = lambda t: spark_sql(t).join(known, "invoice_id", "left_semi")
+    return overview.build(spark_sql(_O_LINES), inv, real(_O_ALLOC), real(_O_CAND), real(_O_REPEAT))
+
+
+def overview_groups(spark, sf):
+    """All groups of lines and invoices, those in no pair too, with their kinds, flags and lists."""
+    return _overview(spark, sf).groups.select("group", "kind", "day", "lines", "invoices", "pairs", F.array_join("flags", ",").alias("flags"), F.array_join("lists", ",").alias("lists"))
+
+
+def overview_lists(spark, sf):
+    return overview.list_counts(_overview(spark, sf).groups)
+
+
+def invoice_timing(spark, sf):
+    """When each invoice was paid, how late, for how long it is overdue, and whether it may have been paid twice."""
+    return _overview(spark, sf).invoices
+
+
 def nearest_anchor(spark, sf):
     pay = lines(spark, sf).where("account is not null").select("line_id", F.col("account").alias("partner"), "booking_date")
     return reconcile.nearest_anchor(pay, invoices(spark, sf).select("invoice_id", "partner", "issue_date", "due_date"), ["partner"])
@@ -221,14 +254,14 @@ def routing_proposal(spark, sf):
     """Documents to packages: same partner, the day within the package's period; only if there is exactly one."""
     packages = _periods(spark, sf).select(F.col("account").alias("partner"), F.col("statement").alias("package"), "start", "end")
     docs = invoices(spark, sf).select("invoice_id", "partner", "issue_date")
-    hit = docs.join(packages, "partner").where("issue_date between start and end")
+    hit = intervals.month_range_join(docs, packages, ["partner"], "issue_date", "start", "end")
     return hit.groupBy("invoice_id").agg(F.when(F.count("*") == 1, F.min("package")).alias("package"), F.count("*").alias("n"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        reconcile_candidates, reconcile_named_first, reconcile_multiplicity, combined_payment, repeated_payments, reconcile_status, range_join_months, preselect_topk, overview_components, nearest_anchor,
+        reconcile_candidates, reconcile_named_first, reconcile_multiplicity, combined_payment, repeated_payments, reconcile_status, range_join_months, preselect_topk, overview_components, overview_groups, overview_lists, invoice_timing, nearest_anchor,
         credit_note_cancel, settled_rests, learned_names, common_words, line_match_nth, line_occurrence, fx_asof_rate, fx_convert_band, missing_spans, coverage_merge, coverage_contains, statement_overlap_pairs,
         replacement_chain, monthly_allocation, account_month_grid, balance_breaks, months_between, duplicate_pairs, duplicate_kinds, duplicate_clusters, routing_proposal,
     )
@@ -252,7 +285,28 @@ _REG = f"""inv AS ({_I}), base AS (SELECT invoice_id, number, partner, CAST(amou
 _DUP = f"""WITH {_REG}, d AS (SELECT a.invoice_id AS a, b.invoice_id AS b, CAST(a.gross_total AS DECIMAL(30,6)) <> CAST(b.gross_total AS DECIMAL(30,6)) AS g, a.issue_date <> b.issue_date AS i, lower(a.currency) <> lower(b.currency) AS c FROM reg a JOIN reg b
     ON upper(regexp_replace(a.number, '[^0-9A-Za-z]', '', 'g')) = upper(regexp_replace(b.number, '[^0-9A-Za-z]', '', 'g')) AND a.partner = b.partner AND a.invoice_id < b.invoice_id)
     SELECT a, b, CASE WHEN g OR i OR c THEN 'variant' WHEN c IS NULL THEN 'undecidable' ELSE 'copy' END AS kind, concat_ws(',', CASE WHEN g THEN 'gross_total' END, CASE WHEN i THEN 'issue_date' END, CASE WHEN c THEN 'currency' END) AS differing, CASE WHEN c IS NULL THEN 'currency' ELSE '' END AS missing FROM d"""
+_duck = lambda t: t.replace("{lines}", _L).replace("{invoices}", _I)
+_OVERVIEW = f"""ln AS ({_duck(_O_LINES)}), iv AS ({_duck(_O_INV)}), al AS (SELECT * FROM ({_duck(_O_ALLOC)}) WHERE invoice_id IN (SELECT invoice_id FROM iv)), cn AS (SELECT * FROM ({_duck(_O_CAND)}) WHERE invoice_id IN (SELECT invoice_id FROM iv)), rp AS (SELECT * FROM ({_duck(_O_REPEAT)}) WHERE invoice_id IN (SELECT invoice_id FROM iv)),
+    nr AS (SELECT line_id, arg_min(invoice_id, (coalesce(abs(booking_date - coalesce(due_date, issue_date)), 1000000), invoice_id)) AS invoice_id FROM rp JOIN ln USING (line_id) JOIN iv USING (invoice_id) WHERE NOT paid GROUP BY 1),
+    pr AS (SELECT line_id, invoice_id, 'allocated' AS state, false AS several FROM al UNION ALL SELECT line_id, invoice_id, 'proposed', multiple_candidates FROM cn WHERE proposed UNION ALL SELECT line_id, invoice_id, 'repeat', false FROM nr),
+    pd AS (SELECT pr.*, booking_date, CASE WHEN pr.state <> 'repeat' THEN booking_date - due_date END AS late FROM pr JOIN ln USING (line_id) JOIN iv USING (invoice_id)),
+    tm AS (SELECT iv.invoice_id, p.paid_on, p.paid_on - due_date AS days_from_due, CASE WHEN own AND state NOT IN ('confirmed', 'credited', 'excluded') AND rest > 0 AND NOT coalesce(p.prop, false) AND due_date < checked_until THEN checked_until - due_date END AS overdue_days, iv.invoice_id IN (SELECT invoice_id FROM rp) AS double_payment
+        FROM iv LEFT JOIN (SELECT invoice_id, max(booking_date) AS paid_on, bool_or(state = 'proposed') AS prop FROM pd WHERE state <> 'repeat' GROUP BY 1) p ON p.invoice_id = iv.invoice_id),
+    ed AS (SELECT invoice_id * 2 AS a, line_id * 2 + 1 AS b FROM pr UNION SELECT line_id * 2 + 1, invoice_id * 2 FROM pr), reach AS (SELECT a AS n, a AS m FROM ed UNION SELECT reach.n, ed.b FROM reach JOIN ed ON reach.m = ed.a), rt AS (SELECT n, min(m) AS root FROM reach GROUP BY n),
+    gl AS (SELECT coalesce(root, line_id * 2 + 1) AS g, ln.* FROM ln LEFT JOIN rt ON n = line_id * 2 + 1), gi AS (SELECT coalesce(root, invoice_id * 2) AS g, iv.*, overdue_days, double_payment FROM iv JOIN tm USING (invoice_id) LEFT JOIN rt ON n = invoice_id * 2 WHERE own OR root IS NOT NULL), gp AS (SELECT root AS g, pd.* FROM pd JOIN rt ON n = invoice_id * 2),
+    sl AS (SELECT g, count(*) AS nl, min(booking_date) AS day, arg_min(state, (booking_date, line_id)) AS first_state, min(line_id) AS line_id, bool_or(NOT statement_verified AND state <> 'excluded') AS unverified, bool_or(state = 'partly_allocated') AS part, bool_or(state IN ('proposed', 'amount_only', 'partly_allocated', 'open')) AS undecided FROM gl GROUP BY 1),
+    si AS (SELECT g, count(*) AS ni, min(coalesce(due_date, issue_date)) AS day, min(invoice_id) AS invoice_id, bool_or(overdue_days IS NOT NULL) AS overdue, bool_or(double_payment) AS twice, bool_or(state = 'amount_differs') AS differs, bool_or(state = 'partly_paid') AS part, bool_or(due_date IS NULL) AS no_due, bool_or(state = 'confirmed') AS conf, bool_and(state = 'credited') AS cred, bool_and(state = 'confirmed') AS all_conf FROM gi GROUP BY 1),
+    sp AS (SELECT g, count(*) AS np, bool_or(state = 'proposed') AS prop, bool_or(state = 'allocated') AS alloc, bool_or(coalesce(late, 0) > 0) AS late, bool_or(several) AS several FROM gp GROUP BY 1),
+    k AS (SELECT coalesce(sl.g, si.g) AS g, CASE WHEN prop THEN 'proposed' WHEN alloc THEN 'paired' WHEN cred THEN 'credited' WHEN all_conf THEN 'paired' WHEN ni > 0 THEN 'invoice_only' WHEN first_state IN ('marked', 'excluded') THEN first_state ELSE 'line_only' END AS kind,
+        coalesce(sl.day, si.day) AS day, coalesce(nl, 0) AS lines, coalesce(ni, 0) AS invoices, coalesce(np, 0) AS pairs, coalesce('i' || invoice_id, 'l' || line_id) AS name, late, overdue, twice, several, differs, unverified, sl.part AS lpart, si.part AS ipart, no_due, conf AND NOT coalesce(alloc, false) AS elsewhere, undecided FROM sl FULL JOIN si ON sl.g = si.g LEFT JOIN sp ON sp.g = coalesce(sl.g, si.g)),
+    fl AS (SELECT *, concat_ws(',', CASE WHEN late THEN 'late' END, CASE WHEN overdue THEN 'overdue' END, CASE WHEN twice THEN 'double_payment' END, CASE WHEN several THEN 'several_candidates' END, CASE WHEN differs THEN 'amount_differs' END, CASE WHEN unverified THEN 'statement_unverified' END,
+        CASE WHEN (kind = 'paired' AND lpart) OR ipart THEN 'rest_left' END, CASE WHEN no_due THEN 'no_due_date' END, CASE WHEN elsewhere THEN 'paid_elsewhere' END) AS flags FROM k),
+    gr AS (SELECT name AS "group", kind, day, lines, invoices, pairs, flags, concat_ws(',', CASE WHEN undecided THEN 'to_decide' END, CASE kind WHEN 'line_only' THEN 'line_without_invoice' WHEN 'invoice_only' THEN 'invoice_without_payment' END, CASE WHEN overdue THEN 'overdue' END, CASE WHEN late THEN 'late' END, CASE WHEN twice THEN 'double_payment' END,
+        CASE WHEN regexp_matches(flags, 'several_candidates|amount_differs|statement_unverified|double_payment|rest_left') THEN 'clarify' END, CASE WHEN kind IN ('paired', 'marked', 'credited', 'excluded') THEN kind END) AS lists FROM fl)"""
 ORACLES = {
+    "overview_groups": f"WITH RECURSIVE {_OVERVIEW} SELECT * FROM gr",
+    "overview_lists": f"WITH RECURSIVE {_OVERVIEW} SELECT list, count(*) AS groups FROM (SELECT unnest(string_split(lists, ',')) AS list FROM gr UNION ALL SELECT 'all' FROM gr) WHERE list <> '' GROUP BY 1",
+    "invoice_timing": f"WITH RECURSIVE {_OVERVIEW} SELECT * FROM tm",
     "settled_rests": f"WITH inv AS ({_I}), p AS (SELECT invoice_id, CAST(amount * 100 AS BIGINT) AS c, (CAST(amount * 100 AS BIGINT) + 1) // 2 AS part FROM inv), x AS (SELECT *, invoice_id * 2 AS seq, 1 AS n FROM p UNION ALL SELECT *, invoice_id * 2 + 1, 2 FROM p WHERE invoice_id % 3 = 0 UNION ALL SELECT *, invoice_id * 2 + 10000000, 3 FROM p WHERE invoice_id % 6 = 0) SELECT seq, invoice_id, CASE n WHEN 1 THEN part <= c WHEN 2 THEN 2 * part <= c ELSE (CASE WHEN 2 * part <= c THEN 3 ELSE 2 END) * part <= c END AS counts FROM x",
     "credit_note_cancel": f"WITH RECURSIVE i0 AS ({_I}), i AS (SELECT *, round(CAST(amount AS DOUBLE) / 10000) AS a FROM i0), k AS (SELECT partner, currency, a, list((invoice_id, issue_date + 400) ORDER BY invoice_id) FILTER (WHERE invoice_id % 13 = 0) AS notes, list((invoice_id, issue_date) ORDER BY invoice_id) FILTER (WHERE invoice_id % 13 <> 0) AS invs FROM i GROUP BY ALL HAVING count(*) FILTER (WHERE invoice_id % 13 = 0) > 0 AND count(*) FILTER (WHERE invoice_id % 13 <> 0) > 0), r AS (SELECT notes, invs, 0 AS step, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS by_note FROM k UNION ALL SELECT notes, invs, step + 1, CASE WHEN len(f) = 1 AND f[1] % 6 <> 1 THEN list_append(taken, f[1]) ELSE taken END, CASE WHEN len(f) = 1 AND f[1] % 6 <> 1 THEN list_append(by_note, n) ELSE by_note END FROM (SELECT *, notes[step + 1][1] AS n, list_transform(list_filter(invs, lambda v: v[2] <= notes[step + 1][2] AND NOT list_contains(taken, v[1])), lambda v: v[1]) AS f FROM r WHERE step < len(notes))), z AS (SELECT taken, by_note FROM r WHERE step = len(notes)) SELECT unnest(taken) AS invoice_id, unnest(by_note) AS note_id FROM z",
     "reconcile_candidates": f"WITH {_CAND} SELECT * FROM cand",
