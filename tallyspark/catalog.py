@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decisions, flows, ledger, lists, pairing, parties, proofs, records, texts, utilities, worklists
+from .plans import decisions, flows, ledger, lists, pairing, parties, proofs, records, statements, texts, utilities, worklists
 
 FLAGSHIP = "list_query_page"
-MODULES = (lists, ledger, pairing, parties, utilities, worklists, records, decisions, texts, flows, proofs)
+MODULES = (lists, ledger, pairing, parties, utilities, statements, worklists, records, decisions, texts, flows, proofs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -75,7 +75,9 @@ def verdicts_round_trip(spark, sf):
 
 
 def rates_from_xml(spark, sf):
-    days = spark.range(0, 300).select(F.concat(F.lit('<R><Day date="'), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("string"), F.lit('"><Rate curr="EUR" unit="1">'), F.concat_ws(",", (F.lit(380) + F.col("id") % 20).cast("string"), F.lit("25")), F.lit('</Rate><Rate curr="JPY" unit="100">'), (F.lit(250) + F.col("id") % 7).cast("string"), F.lit("</Rate></Day></R>")).alias("x"))
+    """An answer for each order's day with rates of two currencies, one of them for a hundred units."""
+    k = F.col("o_orderkey")
+    days = table(spark, sf, "orders").select(F.concat(F.lit('<R><Day date="'), F.to_date("o_orderdate").cast("string"), F.lit('"><Rate curr="EUR" unit="1">'), F.concat_ws(",", (F.lit(380) + k % 20).cast("string"), F.lit("25")), F.lit('</Rate><Rate curr="JPY" unit="100">'), (F.lit(250) + k % 7).cast("string"), F.lit("</Rate></Day></R>")).alias("x"))
     return documents.rates_from_xml(days, "x").groupBy("currency").agg(F.count("*").alias("n"), F.round(F.avg(F.col("rate").cast("double")), 6).alias("rate"), F.max("day").alias("last"))
 
 
@@ -238,7 +240,7 @@ ORACLES = {
     "ocr_round_trip": "SELECT event_type AS text, count(*) AS n, round(avg(round(value, 2)) / 100, 4) AS conf FROM events GROUP BY 1",
     "judgements_round_trip": "WITH e AS (SELECT *, (event_id * 37 % 1001) / 1000 AS p FROM events) SELECT event_type AS question, 'L' || event_id % 4 AS label, count(*) AS n, round(sum(greatest(p, round(1 - p, 3))), 3) AS p, round(sum(least(p, round(1 - p, 3))), 3) AS second, count(*) FILTER (WHERE event_id % 5 = 0) AS flagged FROM e GROUP BY 1, 2",
     "verdicts_round_trip": "WITH e AS (SELECT *, (event_id * 37 % 1001) / 1000 AS p FROM events) SELECT event_type AS question, CASE WHEN p >= round(1 - p, 3) THEN 'wrong' ELSE 'right' END AS label, count(*) AS n, round(sum(greatest(p, round(1 - p, 3))), 3) AS p, count(*) FILTER (WHERE event_id % 7 = 0) AS unsupported, count(*) FILTER (WHERE event_id % 5 = 0) AS doc_flags FROM e GROUP BY 1, 2",
-    "rates_from_xml": "SELECT 'EUR' AS currency, count(*) AS n, round(avg(380 + i % 20 + 0.25), 6) AS rate, DATE '2024-01-01' + 299 AS last FROM range(300) t(i) UNION ALL SELECT 'JPY', count(*), round(avg((250 + i % 7) / 100), 6), DATE '2024-01-01' + 299 FROM range(300) t(i)",
+    "rates_from_xml": "SELECT 'EUR' AS currency, count(*) AS n, round(avg(380 + o_orderkey % 20 + 0.25), 6) AS rate, CAST(max(o_orderdate) AS DATE) AS last FROM orders UNION ALL SELECT 'JPY', count(*), round(avg((250 + o_orderkey % 7) / 100), 6), CAST(max(o_orderdate) AS DATE) FROM orders",
     "fetch_coverage": "WITH f AS (SELECT CASE WHEN o_orderkey % 2 = 1 THEN ['EUR', 'USD'] ELSE ['EUR'] END AS c, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 3 <> 0), x AS (SELECT DISTINCT currency, CAST(d + CAST(i AS INT) AS DATE) AS day FROM (SELECT unnest(c) AS currency, d FROM f), range(3) t(i)) SELECT currency, count(*) AS days, min(day) AS first FROM x GROUP BY 1",
     "statement_blocks": "SELECT CAST(l_orderkey % 50 AS VARCHAR) AS path, count(DISTINCT l_orderkey) AS blocks, count(*) AS rows, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY 1",
     "ledger_export": "SELECT l_suppkey AS account, l_returnflag AS statement, count(*) AS n, min(l_orderkey * 10 + l_linenumber) AS first FROM lineitem GROUP BY 1, 2",

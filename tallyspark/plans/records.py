@@ -113,9 +113,9 @@ def stratified_sample(spark, sf):
 
 def rates_from_soap(spark, sf):
     """Rates in an answer whose XML is a text inside an envelope."""
-    inner = F.concat(F.lit('<R><Day date="'), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).cast("string"), F.lit('"><Rate curr="EUR" unit="1">'), (F.lit(380) + F.col("id") % 20).cast("string"), F.lit(",5</Rate></Day></R>"))
+    inner = F.concat(F.lit('<R><Day date="'), F.to_date("o_orderdate").cast("string"), F.lit('"><Rate curr="EUR" unit="1">'), (F.lit(380) + F.col("o_orderkey") % 20).cast("string"), F.lit(",5</Rate></Day></R>"))
     escaped = F.replace(F.replace(F.replace(inner, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    answers = spark.range(200).select(F.concat(F.lit('<s:Envelope xmlns:s="http://schemas.xmlsoap.org/soap/envelope/"><s:Body><GetRatesResponse><GetRatesResult>'), escaped, F.lit("</GetRatesResult></GetRatesResponse></s:Body></s:Envelope>")).alias("answer"))
+    answers = table(spark, sf, "orders").select(F.concat(F.lit('<s:Envelope xmlns:s="http://schemas.xmlsoap.org/soap/envelope/"><s:Body><GetRatesResponse><GetRatesResult>'), escaped, F.lit("</GetRatesResult></GetRatesResponse></s:Body></s:Envelope>")).alias("answer"))
     return documents.rates_from_xml(answers.select(documents.soap_result(F.col("answer"), "GetRatesResult").alias("x")), "x").groupBy("currency").agg(F.count("*").alias("n"), F.round(F.avg(F.col("rate").cast("double")), 6).alias("rate"))
 
 
@@ -151,5 +151,5 @@ ORACLES = {
     "rule_change_set": f"WITH a AS (SELECT * FROM ({_VERSION.format(most=300)}) WHERE path % 10 > 0), b AS (SELECT * FROM ({_VERSION.format(most=700)}) WHERE path % 10 < 9), f AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' WHEN a.c <> b.c THEN 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path) SELECT * FROM f WHERE change IS NOT NULL",
     "queue_recovered": "WITH l AS (SELECT event_id AS seq, event_id // 3 AS job_id, CASE event_id % 4 WHEN 0 THEN 'enqueued' WHEN 3 THEN 'completed' ELSE 'claimed' END AS event FROM events), s AS (SELECT job_id, arg_max(event, seq) AS event, max(seq) FILTER (WHERE event = 'claimed') AS claimed FROM l GROUP BY 1) SELECT CAST(job_id AS BIGINT) AS job_id, CASE event WHEN 'enqueued' THEN 'queued' WHEN 'completed' THEN 'done' ELSE CASE WHEN (500 - claimed) * 60 > 3600 THEN 'queued' ELSE 'claimed' END END AS status FROM s",
     "wrapped_values": "SELECT c_custkey, CAST(0 AS BIGINT) AS line_no, CAST(2 AS BIGINT) AS before, CAST(1 AS BIGINT) AS after FROM customer WHERE c_custkey % 2 = 0",
-    "rates_from_soap": "SELECT 'EUR' AS currency, count(*) AS n, round(avg(380 + i % 20 + 0.5), 6) AS rate FROM range(200) t(i)",
+    "rates_from_soap": "SELECT 'EUR' AS currency, count(*) AS n, round(avg(380 + o_orderkey % 20 + 0.5), 6) AS rate FROM orders",
 }

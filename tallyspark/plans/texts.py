@@ -21,13 +21,15 @@ DATES = ["2024.01.09.", "2024-1-9", "09.01.2024", "13/02/2024", "02/13/2024", "5
 _DATES = [("2024-01-09", 0), ("2024-01-09", 0), ("2024-01-09", 1), ("2024-02-13", 0), ("2024-02-13", 0), ("2024-03-05", 0), ("2023-12-31", 0), (None, 0), (None, 0), ("2024-12-12", 0)]
 
 
-def _truth(spark, values):
-    return spark.createDataFrame(list(enumerate(values)), "n int, raw string")
+def _printed(spark, sf, values):
+    """Every order with one of these notations."""
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int")).alias("raw"))
 
 
 def number_reader(spark, sf):
-    r = _truth(spark, NUMBERS).select("n", numbers.read_number(F.col("raw")).alias("m"), numbers.read_number(F.col("raw"), "number").alias("q"), numbers.read_input(F.col("raw")).alias("t"))
-    return r.select("n", F.col("m.value").cast("double").alias("money"), F.col("m.ambiguous").alias("money_ambiguous"), F.col("q.value").cast("double").alias("quantity"), F.col("q.ambiguous").alias("quantity_ambiguous"), F.col("t").cast("double").alias("typed"))
+    r = _printed(spark, sf, NUMBERS).select("o_orderkey", numbers.read_number(F.col("raw")).alias("m"), numbers.read_number(F.col("raw"), "number").alias("q"), numbers.read_input(F.col("raw")).alias("t"))
+    return r.select("o_orderkey", F.col("m.value").cast("double").alias("money"), F.col("m.ambiguous").alias("money_ambiguous"), F.col("q.value").cast("double").alias("quantity"), F.col("q.ambiguous").alias("quantity_ambiguous"), F.col("t").cast("double").alias("typed"))
 
 
 def printed_numbers(spark, sf):
@@ -39,8 +41,8 @@ def printed_numbers(spark, sf):
 
 
 def date_reader(spark, sf):
-    r = _truth(spark, DATES).select("n", dates.read_date(F.col("raw")).alias("d"))
-    return r.select("n", F.col("d.value").alias("day"), F.col("d.ambiguous").alias("ambiguous"))
+    r = _printed(spark, sf, DATES).select("o_orderkey", dates.read_date(F.col("raw")).alias("d"))
+    return r.select("o_orderkey", F.col("d.value").alias("day"), F.col("d.ambiguous").alias("ambiguous"))
 
 
 def canonical_numbers(spark, sf):
@@ -321,9 +323,9 @@ _truth_rows = ", ".join(f"({n}, CAST({_sql(m[0])} AS DOUBLE), {bool(m[1])}, CAST
 _date_rows = ", ".join(f"({n}, {'NULL' if d is None else repr(d)}, {bool(a)})" for n, (d, a) in enumerate(_DATES))
 _W7 = " + ".join(f"CAST(substr(stem, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate(ids.TAX_WEIGHTS))
 ORACLES = {
-    "number_reader": f"SELECT CAST(n AS INT) AS n, money, money_ambiguous, quantity, quantity_ambiguous, typed FROM (VALUES {_truth_rows}) AS t(n, money, money_ambiguous, quantity, quantity_ambiguous, typed)",
+    "number_reader": f"SELECT o_orderkey, money, money_ambiguous, quantity, quantity_ambiguous, typed FROM orders JOIN (VALUES {_truth_rows}) AS t(n, money, money_ambiguous, quantity, quantity_ambiguous, typed) ON o_orderkey % {len(NUMBERS)} = n",
     "printed_numbers": "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS value FROM orders",
-    "date_reader": f"SELECT CAST(n AS INT) AS n, CAST(day AS DATE) AS day, ambiguous FROM (VALUES {_date_rows}) AS t(n, day, ambiguous)",
+    "date_reader": f"SELECT o_orderkey, CAST(day AS DATE) AS day, ambiguous FROM orders JOIN (VALUES {_date_rows}) AS t(n, day, ambiguous) ON o_orderkey % {len(DATES)} = n",
     "canonical_numbers": "WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders) SELECT o_orderkey, regexp_replace(CAST(t AS VARCHAR), '\\.?0+$', '') AS text, CAST(t * 100 AS BIGINT) AS minor FROM o",
     "rounding_modes": "WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS t FROM orders) SELECT o_orderkey, CAST(round(t / 5) * 5 AS DECIMAL(18,2)) AS up, CAST(round_even(CAST((t - 100000) * 2 AS DOUBLE), 0) / 2 AS DECIMAL(18,2)) AS even, CAST(trunc((t - 100000) / 10) * 10 AS DECIMAL(18,2)) AS down FROM o",
     "notation_votes": "WITH v AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS c, count(*) FILTER (WHERE o_orderkey % 3 = 1) AS d FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN c > d THEN 'comma' WHEN d > c THEN 'dot' END AS notation FROM v",
