@@ -116,6 +116,39 @@ def month_status(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
     return cells.select(*keys, "month", F.when(F.col("hi") == 0, "missing").when(F.col("hi") > 1, "overlap").when(F.col("lo") == 0, "partial").otherwise("ok").alias("status"))
 
 
+def month_states(accounts: DataFrame, statements: DataFrame, first: Column, last: Column, today: Column) -> DataFrame:
+    """(account, currency, month, state, statements, flags): every account's months from the first to the last, up to yesterday.
+
+    none (before it was opened, after it was closed, or not over yet), missing, partial (a day of the month that has passed, within the account's
+    life, is on no statement), unverified, unapproved, ok. flags: overlap in the months that two following statements both book, break where
+    one opens with another balance than the one before closed with. A month's state needs its own days only: whether its statements cover
+    it is the window of covered(), over an account's months and merged periods.
+    accounts: account, currency, opened, closed (nulls: open ends). statements: statement, account, currency, start, end, verified, approved, opening, closing.
+    """
+    keys, step = ["account", "currency"], F.expr("interval 1 month")
+    dated = statements.where("start <= end")
+    yesterday = F.date_sub(today, 1)
+    cells = accounts.select(*keys, "opened", "closed", F.explode(F.sequence(F.trunc(first, "MM"), F.trunc(last, "MM"), step)).alias("_m"))
+    cells = cells.withColumn("_end", F.last_day("_m")).withColumn("start", F.greatest("_m", "opened")).withColumn("end", F.least("_end", "closed", yesterday)).withColumn("month", F.date_format("_m", "yyyy-MM"))
+    lasting = cells.where("start <= end").select(*keys, "month", "start", "end")
+    held = covered(lasting, merged(dated.select(*keys, "start", "end"), keys), keys, "month").select(*keys, "month", F.col("covered").alias("_covered"))
+    touched = dated.withColumn("month", F.explode(F.transform(F.sequence(F.trunc("start", "MM"), F.trunc("end", "MM"), step), lambda m: F.date_format(m, "yyyy-MM"))))
+    per = touched.groupBy(*keys, "month").agg(F.count("*").alias("_n"), F.min(F.coalesce("verified", F.lit(False))).alias("_verified"), F.min(F.coalesce("approved", F.lit(False))).alias("_approved"))
+    order = Window.partitionBy(*keys).orderBy("start", "end", "statement")
+    before = dated.withColumn("_b", F.lag(F.struct("start", "end", "closing")).over(order)).where("_b is not null")
+    both = (F.col("start") <= F.col("_b.end")) & ~((F.col("start") == F.col("_b.end")) & (F.col("_b.start") < F.col("start")) & (F.col("end") > F.col("_b.end")))
+    over = before.where(both).select(*keys, F.explode(F.transform(F.sequence(F.trunc("start", "MM"), F.trunc(F.least("end", "_b.end"), "MM"), step), lambda m: F.date_format(m, "yyyy-MM"))).alias("month"), F.lit("overlap").alias("flag"))
+    broken = before.where(~both & F.col("start").isin(F.col("_b.end"), F.date_add("_b.end", 1)) & (F.col("opening") != F.col("_b.closing"))).select(*keys, F.date_format("start", "yyyy-MM").alias("month"), F.lit("break").alias("flag"))
+    flags = over.unionByName(broken).groupBy(*keys, "month").agg(F.array_join(F.array_sort(F.collect_set("flag"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)), ",").alias("flags"))
+    rows = cells.join(per, [*keys, "month"], "left").join(held, [*keys, "month"], "left").join(flags, [*keys, "month"], "left")
+    lives = F.col("start") <= F.col("end")
+    state = (
+        F.when(F.col("_n").isNull(), F.when(lives & (F.col("_end") < today), "missing").otherwise("none")).when(lives & (F.col("_covered") != "full"), "partial").when(~F.col("_verified"), "unverified")
+        .when(~F.col("_approved"), "unapproved").otherwise("ok")
+    )
+    return rows.select(*keys, "month", state.alias("state"), F.coalesce("_n", F.lit(0)).alias("statements"), F.coalesce("flags", F.lit("")).alias("flags"))
+
+
 def chain_ends(edges: DataFrame, steps: int = 32) -> DataFrame:
     """(node, end) from edges(node, next): where chains of replacement end, by pointer jumping; nodes that lead into a cycle are left out.
 

@@ -213,6 +213,21 @@ def account_month_grid(spark, sf):
     return intervals.month_status(_periods(spark, sf), ["account"], "start", "end")
 
 
+#: Statements that mostly follow each other: from the middle of one month to the middle of the next, some shifted, missing or left open.
+_MONTHLY = """SELECT o_orderkey AS statement, o_custkey AS account, CASE WHEN o_orderkey % 2 = 0 THEN 'EUR' ELSE 'HUF' END AS currency, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + CAST(o_orderkey * 13 % 200 - 2 AS INT) AS `end`,
+    o_orderkey % 6 > 0 AS verified, o_orderkey % 5 > 0 AS approved, CAST(o_orderkey % 3 AS DECIMAL(18,2)) AS opening, CAST(o_orderkey % 4 AS DECIMAL(18,2)) AS closing FROM {orders}
+    UNION ALL SELECT o_orderkey + 1000000000, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN 'EUR' ELSE 'HUF' END, CAST(o_orderdate AS DATE) + CAST(o_orderkey * 13 % 200 - 1 AS INT), CAST(o_orderdate AS DATE) + CAST(o_orderkey * 13 % 200 + 50 AS INT),
+    true, o_orderkey % 7 > 0, CAST(o_orderkey % 5 AS DECIMAL(18,2)), CAST(1 AS DECIMAL(18,2)) FROM {orders} WHERE o_orderkey % 3 = 0"""
+_ACCOUNTS = """SELECT o_custkey AS account, CASE WHEN o_orderkey % 2 = 0 THEN 'EUR' ELSE 'HUF' END AS currency, CASE WHEN o_custkey % 4 = 0 THEN CAST(min(o_orderdate) AS DATE) + 40 END AS opened, CASE WHEN o_custkey % 5 = 0 THEN CAST(max(o_orderdate) AS DATE) - 20 END AS closed FROM {orders} GROUP BY 1, 2, o_custkey"""
+
+
+def month_states(spark, sf):
+    """The state of every account's months, 1997 to the middle of July 1998."""
+    o = table(spark, sf, "orders")
+    day = lambda d: F.lit(d).cast("date")
+    return intervals.month_states(spark.sql(_ACCOUNTS, orders=o), spark.sql(_MONTHLY, orders=o), day("1997-01-01"), day("1998-09-01"), day("1998-07-15"))
+
+
 def balance_breaks(spark, sf):
     """Where a statement does not open with the balance at which the one before it closed."""
     from pyspark.sql import Window
@@ -263,7 +278,7 @@ QUERIES = {
     for f in (
         reconcile_candidates, reconcile_named_first, reconcile_multiplicity, combined_payment, repeated_payments, reconcile_status, range_join_months, preselect_topk, overview_components, overview_groups, overview_lists, invoice_timing, nearest_anchor,
         credit_note_cancel, settled_rests, learned_names, common_words, line_match_nth, line_occurrence, fx_asof_rate, fx_convert_band, missing_spans, coverage_merge, coverage_contains, statement_overlap_pairs,
-        replacement_chain, monthly_allocation, account_month_grid, balance_breaks, months_between, duplicate_pairs, duplicate_kinds, duplicate_clusters, routing_proposal,
+        replacement_chain, monthly_allocation, account_month_grid, month_states, balance_breaks, months_between, duplicate_pairs, duplicate_kinds, duplicate_clusters, routing_proposal,
     )
 }
 
@@ -303,7 +318,19 @@ _OVERVIEW = f"""ln AS ({_duck(_O_LINES)}), iv AS ({_duck(_O_INV)}), al AS (SELEC
         CASE WHEN (kind = 'paired' AND lpart) OR ipart THEN 'rest_left' END, CASE WHEN no_due THEN 'no_due_date' END, CASE WHEN elsewhere THEN 'paid_elsewhere' END) AS flags FROM k),
     gr AS (SELECT name AS "group", kind, day, lines, invoices, pairs, flags, concat_ws(',', CASE WHEN undecided THEN 'to_decide' END, CASE kind WHEN 'line_only' THEN 'line_without_invoice' WHEN 'invoice_only' THEN 'invoice_without_payment' END, CASE WHEN overdue THEN 'overdue' END, CASE WHEN late THEN 'late' END, CASE WHEN twice THEN 'double_payment' END,
         CASE WHEN regexp_matches(flags, 'several_candidates|amount_differs|statement_unverified|double_payment|rest_left') THEN 'clarify' END, CASE WHEN kind IN ('paired', 'marked', 'credited', 'excluded') THEN kind END) AS lists FROM fl)"""
+_MS = f"""sm AS ({_MONTHLY.replace("{orders}", "orders").replace("`", '"')}), s AS (SELECT * FROM sm WHERE start <= "end"), ac AS ({_ACCOUNTS.replace("{orders}", "orders")}),
+    c AS (SELECT account, currency, opened, closed, CAST(m AS DATE) AS m, CAST(m AS DATE) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS e FROM ac, generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1998-09-01', INTERVAL 1 MONTH) g(m)),
+    d AS (SELECT *, greatest(m, opened) AS lo, least(CAST(e AS DATE), closed, DATE '1998-07-14') AS hi FROM c),
+    days AS (SELECT account, currency, m, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM d WHERE lo <= hi),
+    has AS (SELECT DISTINCT account, currency, CAST(unnest(generate_series(start, "end", INTERVAL 1 DAY)) AS DATE) AS day FROM s),
+    gap AS (SELECT account, currency, m, bool_or(has.day IS NULL) AS gap FROM days LEFT JOIN has USING (account, currency, day) GROUP BY 1, 2, 3),
+    per AS (SELECT account, currency, m, count(*) AS n, bool_and(verified) AS v, bool_and(approved) AS a FROM d JOIN s USING (account, currency) WHERE s.start <= d.e AND s."end" >= m GROUP BY 1, 2, 3),
+    lg AS (SELECT *, lag(start) OVER w AS s1, lag("end") OVER w AS e1, lag(closing) OVER w AS c1 FROM s WINDOW w AS (PARTITION BY account, currency ORDER BY start, "end", statement)),
+    fl AS (SELECT *, start <= e1 AND NOT (start = e1 AND s1 < start AND "end" > e1) AS o FROM lg WHERE e1 IS NOT NULL),
+    fo AS (SELECT DISTINCT account, currency, m, 'overlap' AS flag FROM d JOIN fl USING (account, currency) WHERE o AND date_trunc('month', start) <= m AND m <= least("end", e1) UNION SELECT account, currency, CAST(date_trunc('month', start) AS DATE), 'break' FROM fl WHERE NOT o AND start - e1 IN (0, 1) AND c1 <> opening),
+    fg AS (SELECT account, currency, m, string_agg(flag, ',' ORDER BY flag DESC) AS flags FROM fo GROUP BY 1, 2, 3)"""
 ORACLES = {
+    "month_states": f"WITH {_MS} SELECT account, currency, strftime(m, '%Y-%m') AS month, CASE WHEN n IS NULL THEN CASE WHEN lo <= hi AND e < DATE '1998-07-15' THEN 'missing' ELSE 'none' END WHEN coalesce(gap, false) THEN 'partial' WHEN NOT v THEN 'unverified' WHEN NOT a THEN 'unapproved' ELSE 'ok' END AS state, coalesce(n, 0) AS statements, coalesce(flags, '') AS flags FROM d LEFT JOIN gap USING (account, currency, m) LEFT JOIN per USING (account, currency, m) LEFT JOIN fg USING (account, currency, m)",
     "overview_groups": f"WITH RECURSIVE {_OVERVIEW} SELECT * FROM gr",
     "overview_lists": f"WITH RECURSIVE {_OVERVIEW} SELECT list, count(*) AS groups FROM (SELECT unnest(string_split(lists, ',')) AS list FROM gr UNION ALL SELECT 'all' FROM gr) WHERE list <> '' GROUP BY 1",
     "invoice_timing": f"WITH RECURSIVE {_OVERVIEW} SELECT * FROM tm",
