@@ -8,7 +8,8 @@ bounded by both); scoring covers all documents and whole texts.
 
 Defined results. Null or empty text: one empty line, scored like any line. Rows with equal doc_id: each scored by its text.
 Null doc_id: scored, and not held out. No labelled rows, or labels of one kind only: a constant score (the share of
-good labels with one of each kind added). Labels that are null are ignored. Empty table: no rows.
+good labels with one of each kind added). Labels that are null are ignored. Empty table: no rows. Very long texts: whole; one of more than
+LINES_AT_ONCE lines goes by stretches, forward and backward, to the same score. Extra columns, whatever their names: kept.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SAMPLE_LINES = 200_000
 _CHUNK = 4096
 THRESHOLD = 0.3
 FOLDS = 5
+#: Lines whose features are held at once; a text of more goes by stretches of about so many bytes.
+LINES_AT_ONCE = 50_000
+STRETCH = 1 << 18
 FORM = 24
 WIDTH = 3 * FORM + 3
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -117,6 +121,66 @@ class Model:
     def __init__(self, weights=None, move=None, constant=None):
         self.weights, self.move, self.constant = weights, move, constant
 
+    def _emissions(self, before: bytes | None, lines: list[bytes], after: bytes | None) -> np.ndarray:
+        """The lines' scores of good over bad; a line that repeats is looked at once. before, after: the lines beside them; None at an end."""
+        held = [*([] if before is None else [before]), *lines, *([] if after is None else [after])]
+        number: dict[bytes, int] = {}
+        at = np.array([number.setdefault(x, len(number)) for x in held])
+        looks = np.array([form(x) for x in number], dtype=np.float32)
+        own, last, following = (looks @ self.weights[k * FORM : (k + 1) * FORM] for k in range(3))
+        out = own[at].astype(np.float64) + self.weights[3 * FORM + 2]
+        out[1:] += last[at[:-1]]
+        out[:-1] += following[at[1:]]
+        out[0] += self.weights[3 * FORM] if before is None else 0.0
+        out[-1] += self.weights[3 * FORM + 1] if after is None else 0.0
+        return out[before is not None : len(held) - (after is not None)]
+
+    def score_long(self, text: str, most: int | None = None) -> float:
+        """The score of a text of any number of lines, stretch by stretch of about `most` bytes: forward to the end, keeping the message
+        that enters each stretch, then backward. What is held is a stretch's, whatever the text's length."""
+        if self.constant is not None:
+            return self.constant
+        data, most = text.encode("utf-8", "replace"), most or STRETCH
+        cuts = [0]
+        while (cut := data.find(b"\n", cuts[-1] + most)) >= 0:
+            cuts.append(cut + 1)
+        cuts.append(len(data) + 1)
+        (k00, k01), (k10, k11) = np.exp(self.move - self.move.max()).tolist()
+
+        def stretch(n):
+            a, b = cuts[n], cuts[n + 1]
+            lines = data[a : b - 1].split(b"\n")
+            before = data[data.rfind(b"\n", 0, a - 1) + 1 : a - 1] if a else None
+            end = data.find(b"\n", b)
+            after = data[b : end if end >= 0 else len(data)] if b <= len(data) else None
+            good = _sigmoid(self._emissions(before, lines, after)).tolist()
+            return lines, good
+
+        def ahead(message, good):
+            out = []
+            for p in good:
+                f0, f1 = (1.0, 1.0) if message is None else (message[0] * k00 + message[1] * k10, message[0] * k01 + message[1] * k11)
+                f0, f1 = f0 * (1 - p), f1 * p
+                message = f0 / (f0 + f1), f1 / (f0 + f1)
+                out.append(message)
+            return out
+
+        entering: list = [None]
+        for n in range(len(cuts) - 2):
+            entering.append(ahead(entering[-1], stretch(n)[1])[-1])
+        total = weight = 0.0
+        back = (1.0, 1.0)
+        for n in range(len(cuts) - 2, -1, -1):
+            lines, good = stretch(n)
+            for line, (f0, f1), p in zip(reversed(lines), reversed(ahead(entering[n], good)), reversed(good), strict=True):
+                w = max(1, len(line))
+                total += w * f1 * back[1] / (f0 * back[0] + f1 * back[1])
+                weight += w
+                b0, b1 = back[0] * (1 - p), back[1] * p
+                back = b0 * k00 + b1 * k01, b0 * k10 + b1 * k11
+                back = back[0] / (back[0] + back[1]), back[1] / (back[0] + back[1])
+        return total / weight
+
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
@@ -203,9 +267,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                scores = model.score(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*part.schema.names[:-1], "quality_score"])
+            scores, held, lines = [], [], 0
+            for text in batch.column(batch.num_columns - 1):
+                text = text.as_py()
+                n = text.count("\n") + 1
+                if held and (lines + n > LINES_AT_ONCE or len(held) == 512):
+                    scores += model.score(held).tolist()
+                    held, lines = [], 0
+                if n > LINES_AT_ONCE:
+                    scores.append(model.score_long(text))
+                else:
+                    held.append(text)
+                    lines += n
+            scores += model.score(held).tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "quality_score"])
 
     return rows.mapInArrow(run, schema)

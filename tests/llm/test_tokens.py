@@ -5,6 +5,7 @@ import json
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -269,3 +270,50 @@ def test_alignment_of_nothing(spark, none):
     assert alignment.align_documents(none, BYTE, PIECE).count() == 0
     empty = spark.createDataFrame([(1, ""), (2, None), (3, "a▁b")], "doc_id long, text string")
     assert sorted(map(tuple, alignment.align_documents(empty, BYTE, PIECE).collect())) == [(n, 0, 0, 0, 0, 0, 0, "") for n in (1, 2, 3)]
+
+
+# --- quality: texts of many lines
+
+
+def test_long_texts_score_as_whole_ones(spark, monkeypatch):
+    from tallyspark.llm import quality
+
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.standard_normal(quality.WIDTH), rng.standard_normal((2, 2)))
+    texts = ["\n".join(R.choice(["", "a b c", "The end.", "||| 12 34", "x" * 50, "é ű", " "]) for _ in range(R.randint(1, 60))) for _ in range(60)] + ["", "\n", "\n\n", "one"]
+    for text in texts:
+        whole = float(model.score([text])[0])
+        assert all(abs(whole - model.score_long(text, most)) < 1e-12 for most in (1, 7, 40, 5000))
+    monkeypatch.setattr(quality, "LINES_AT_ONCE", 20)  # in this process only: the same function that tasks run
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    assert all(abs(got[n] - float(model.score([t])[0])) < 1e-12 for n, t in enumerate(texts))
+
+
+def test_memory_of_a_text_of_line_ends():
+    import subprocess
+    import sys
+
+    code = "import resource, numpy as np; from tallyspark.llm import quality as q; m = q.Model(np.ones(q.WIDTH) / 50, np.eye(2)); m.score_long('\\n' * 3_000_000); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    used = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(__file__).parents[2], check=True).stdout
+    assert int(used) < 400_000  # kilobytes, with all libraries
+
+
+def test_recall_with_lists_left_out(spark):
+    """More lists than are probed at the least: the share in force is what holds. Vectors in all directions, and in clusters."""
+    from tallyspark.llm import ann
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 32))
+    for points in (rng.standard_normal((9000, 32)), centres[rng.integers(0, 60, 9000)] + 0.3 * rng.standard_normal((9000, 32))):
+        points = (points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.float32)
+        df = spark.createDataFrame([(n, p.tolist()) for n, p in enumerate(points)], "vec_id long, embedding array<float>").repartition(4)
+        rows = ann.search(df, F.col("vec_id") % 20 == 0).select("query_id", "vec_id").collect()
+        found = defaultdict(set)
+        for r in rows:
+            found[r["query_id"]].add(r["vec_id"])
+        exact = points[::20].astype(np.float64) @ points.T.astype(np.float64)
+        exact[np.arange(450), np.arange(450) * 20] = -np.inf
+        best = np.argsort(-exact, axis=1)[:, :20]
+        hits = sum(len(found[20 * n] & set(b.tolist())) for n, b in enumerate(best))
+        assert round(np.sqrt(9000) / 2) > ann.PROBES and hits >= 0.9 * best.size, hits / best.size
