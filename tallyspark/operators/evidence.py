@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import dates, numbers, text
 
 #: Legal forms after which a name ends (fixed values).
 LEGAL_FORMS = r"(?i)^(.*?\b(?:kft|bt|zrt|nyrt|rt|kkt|gmbh|ag|ltd|llc|inc|s\.?r\.?o|b\.?v|s\.?a)\b\.?)[ ,;-].*$"
@@ -63,6 +63,49 @@ def value_locations(lines: DataFrame, values: DataFrame, doc: str, line_no: str,
     return hits.withColumn("m", shortest).where("words = m").select(doc, "value", line_no, "first_word", "words")
 
 
+#: Amounts as they are printed: thousands by points, commas or blanks, decimals by the other sign; a sign in front or behind.
+_BY_COMMA, _BY_POINT = (rf"^([+-]?)([0-9]{{1,3}}(?:[{t} \u00a0\u202f'][0-9]{{3}})*|[0-9]+)(?:{d}([0-9]+))?(-?)$" for t, d in ((".", ","), (",", "[.]")))
+
+
+def _money(x: Column, pattern: str) -> Column:
+    """A printed amount's canonical text by one notation; null if it isn't one."""
+    whole, part = F.regexp_replace(F.regexp_extract(x, pattern, 2), "[^0-9]", ""), F.regexp_extract(x, pattern, 3)
+    minus = (F.regexp_extract(x, pattern, 1) == "-") | (F.regexp_extract(x, pattern, 4) == "-")
+    value = F.concat(F.when(minus, "-").otherwise(""), whole, F.lit("."), F.when(part == "", "0").otherwise(part)).try_cast("decimal(30,6)")
+    return F.when(x.rlike(pattern), numbers.canonical(value))
+
+
+def readings(lines: DataFrame, doc: str, line_no: str, line: str, longest: int = 4) -> DataFrame:
+    """(doc, line_no, first_word, words, kind, reading): what runs of words of a line read as: money in any notation (as canonical text; "1.234"
+    reads as both), days (as ISO text). A number with its blanks, or a day with its month's name, has at most `longest` words, as a form
+    of printing; brackets, currencies and the signs of sentences beside it are left out."""
+    words = lines.select(doc, line_no, F.filter(F.split(line, r"\s+"), lambda w: w != "").alias("w"))
+    starts = words.select(doc, line_no, "w", F.posexplode("w").alias("first_word", "_")).where(F.col("_").rlike(r"[0-9]") | F.col("_").rlike(r"^\p{L}{3,}\.?$")).drop("_")
+    runs = starts.select(doc, line_no, "first_word", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("first_word")))).alias("words"), "w")
+    runs = runs.select(doc, line_no, "first_word", "words", F.array_join(F.slice("w", F.col("first_word") + 1, F.col("words")), " ").alias("raw")).where(F.col("raw").rlike("[0-9]"))
+    bare = F.regexp_replace(F.regexp_replace("raw", r"^[(\[\u20ac$\u00a3]+", ""), r"[)\],;:!?\u20ac$\u00a3]+$|[.]$", "")
+    day = F.when((F.length("raw") <= 40) & F.col("raw").rlike(r"[0-9]{1,4}.*[^0-9].*[0-9]{1,4}|\p{L}"), dates.read_date(F.col("raw"))["value"].cast("string"))
+    day = F.when(day.isNull() & (F.length("raw") <= 40), dates.read_date(bare)["value"].cast("string")).otherwise(day)
+    found = F.array_compact(F.array(
+        F.when(_money(bare, _BY_COMMA).isNotNull(), F.struct(F.lit("money").alias("kind"), _money(bare, _BY_COMMA).alias("reading"))),
+        F.when(_money(bare, _BY_POINT).isNotNull(), F.struct(F.lit("money").alias("kind"), _money(bare, _BY_POINT).alias("reading"))),
+        F.when(day.isNotNull(), F.struct(F.lit("day").alias("kind"), day.alias("reading"))),
+    ))
+    return runs.select(doc, line_no, "first_word", "words", F.explode(F.array_distinct(found)).alias("x")).select(doc, line_no, "first_word", "words", "x.kind", "x.reading")
+
+
+def read_locations(lines: DataFrame, values: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
+    """(doc, value, line_no, first_word, words): where a value (doc, value, kind: money or day) stands by what it reads as. Runs and values meet by
+    equality of readings; of runs that hold another run of the same reading the inner one stays."""
+    value = F.when(F.col("kind") == "money", numbers.canonical(F.col("value").try_cast("decimal(30,6)"))).when(F.col("kind") == "day", F.col("value").try_cast("date").cast("string"))
+    wanted = values.select(doc, "value", "kind", value.alias("reading")).where("reading is not null").distinct()
+    hits = readings(lines, doc, line_no, line).join(wanted, [doc, "kind", "reading"]).select(doc, "value", line_no, "first_word", "words").distinct()
+    # an inner run starts no earlier and ends no later: from the right, the least end seen so far
+    order = Window.partitionBy(doc, "value", line_no).orderBy(F.desc("first_word"), "words").rowsBetween(Window.unboundedPreceding, -1)
+    inner = F.min(F.col("first_word") + F.col("words")).over(order)
+    return hits.withColumn("_inner", inner).where("_inner is null or _inner > first_word + words").drop("_inner")
+
+
 def nearest_label(locations: DataFrame, labels: DataFrame, doc: str) -> DataFrame:
     """locations with the label word nearest on the same line (before it, else after it): labels(doc, line_no, at, label)."""
     both = locations.join(labels, [doc, "line_no"], "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import evidence, finders, rules
+from ..operators import evidence, finders, quotations, rules
 from .staging import table
 
 
@@ -45,6 +45,19 @@ def value_locations(spark, sf):
     return evidence.value_locations(lines, values, "doc_id", "line_no", "line").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_no").cast("long").alias("first_line"))
 
 
+def read_values(spark, sf):
+    """Orders' totals and days, printed in many notations, found by what they read as."""
+    o = table(spark, sf, "orders")
+    k, t, d = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)"), F.to_date("o_orderdate")
+    english = F.format_number(t, 2)
+    money = F.when(k % 4 == 0, F.translate(english, ",.", " ,")).when(k % 4 == 1, F.translate(english, ",.", ".,")).when(k % 4 == 2, english).otherwise(t.cast("string"))
+    day = F.when(k % 3 == 0, d.cast("string")).when(k % 3 == 1, F.date_format(d, "yyyy.MM.dd.")).otherwise(F.concat(F.dayofmonth(d).cast("string"), F.lit(" March "), F.year(d).cast("string")))
+    lines = o.select("o_orderkey", F.lit(0).alias("line_no"), F.concat_ws(" ", F.lit("please pay"), F.concat(F.lit("("), money, F.lit(");")), F.lit("until"), day, F.lit("ok")).alias("line"))
+    march = F.when(k % 3 == 2, F.make_date(F.year(d), F.lit(3), F.dayofmonth(d))).otherwise(d)
+    values = o.select("o_orderkey", F.explode(F.array(F.struct(t.cast("string").alias("value"), F.lit("money").alias("kind")), F.struct(march.cast("string").alias("value"), F.lit("day").alias("kind")))).alias("x")).select("o_orderkey", "x.value", "x.kind")
+    return evidence.read_locations(lines, values, "o_orderkey", "line_no", "line").select("o_orderkey", "value", F.col("first_word").cast("long").alias("first_word"), F.col("words").cast("long").alias("words"))
+
+
 def labelled_locations(spark, sf):
     """Net and gross amounts on one line, each with the label nearest before it."""
     c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 3 + 10).cast("string").alias("net"), (F.col("c_custkey") * 3 + 11).cast("string").alias("gross"))
@@ -102,6 +115,15 @@ def quotes_on_pages(spark, sf):
     return d.select("doc_id", finders.quote_on_page(quote, F.col("text")).alias("found"))
 
 
+def rough_quotes(spark, sf):
+    """A misread passage of every document, sought on all pages of its source: no SQL, as its edits are counted letter by letter; the tests count them plainly."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
+    part = F.substring("text", F.floor(F.length("text") / 2).cast("int") + 1, F.lit(60))
+    misread = F.replace(F.replace(F.regexp_replace(part, " ", "- "), F.lit("m"), F.lit("rn")), F.lit("l"), F.lit("1"))
+    quotes = d.select(F.col("doc_id").alias("quote_id"), "source", misread.alias("quote"))
+    return quotations.rough_quotes(quotes, d.select(F.col("doc_id").alias("page_id"), "source", F.col("text").alias("page")), "source")
+
+
 def local_day_bounds(spark, sf):
     o = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     b = dates.day_bounds(F.col("day"), "Asia/Tokyo")
@@ -133,6 +155,7 @@ def combined_fx_split(spark, sf):
 QUERIES = {name: f for name, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not name.startswith("_")}
 
 ORACLES = {
+    "read_values": "WITH o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS t, CAST(o_orderdate AS DATE) AS d FROM orders), m AS (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 1 + (length(CAST(CAST(floor(t) AS BIGINT) AS VARCHAR)) - 1) // 3 ELSE 1 END AS n FROM o) SELECT o_orderkey, CAST(t AS VARCHAR) AS value, CAST(2 AS BIGINT) AS first_word, n AS words FROM m UNION ALL SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 2 THEN make_date(year(d), 3, day(d)) ELSE d END AS VARCHAR), 3 + n, CASE WHEN o_orderkey % 3 = 2 THEN 3 ELSE 1 END FROM m",
     "legal_form_trim": "SELECT s_suppkey, s_name || CASE s_suppkey % 3 WHEN 0 THEN ' Kft.' WHEN 1 THEN ' GmbH' ELSE '' END AS name FROM supplier",
     "placeholder_values": "SELECT p_partkey, p_partkey % 4 < 2 AS placeholder, CASE p_partkey % 3 WHEN 0 THEN p_partkey % 2 <> 0 WHEN 1 THEN p_partkey % 2 = 0 END AS wrong_unit FROM part",
     "whole_tokens": "SELECT o_orderkey, o_orderkey % 2 = 0 AS whole FROM orders",

@@ -232,3 +232,56 @@ def test_timers_fire_once_also_after_a_restart(spark, tmp_path):
     last = df.agg(F.max("at") - F.expr("interval 1 minute")).first()[0]
     want = Counter(tuple(r) for r in timers.fired_of_table(df, F.lit(last)).collect())
     assert (got - want, want - got) == (Counter(), Counter()) and len(got) > 30
+
+
+def test_values_are_found_by_what_words_read_as(spark):
+    rows = [(1, 0, "sum 1 234,56 EUR (1.234,56); 1,234.56 and 1234.560"), (1, 1, "12 1 234,56"), (1, 2, "no 11 234,56 nor 1 234,567"), (2, 0, "on 5 March 2024, or 2024.03.05. or 05/03/2024"), (3, 0, "1.234"), (4, 0, ""), (4, 1, "-5 5-")]
+    lines = spark.createDataFrame(rows, "doc int, line_no int, line string")
+    values = spark.createDataFrame([(1, "1234.56", "money"), (2, "2024-03-05", "day"), (3, "1234", "money"), (3, "1.234", "money"), (4, "-5", "money"), (4, None, "money"), (4, "x", "day")], "doc int, value string, kind string")
+    got = {tuple(r) for r in evidence.read_locations(lines, values, "doc", "line_no", "line").collect()}
+    assert got == {
+        (1, "1234.56", 0, 1, 2), (1, "1234.56", 0, 4, 1), (1, "1234.56", 0, 5, 1), (1, "1234.56", 0, 7, 1), (1, "1234.56", 1, 1, 2),
+        (2, "2024-03-05", 0, 1, 3), (2, "2024-03-05", 0, 5, 1), (2, "2024-03-05", 0, 7, 1), (3, "1234", 0, 0, 1), (3, "1.234", 0, 0, 1), (4, "-5", 1, 0, 1), (4, "-5", 1, 1, 1),
+    }
+
+
+def edits_by_rows(quote, page):
+    """The fewest edits of a quotation within a page, row by row."""
+    before = list(range(len(quote) + 1))
+    best = before[-1]
+    for c in page:
+        row = [0]
+        for k, x in enumerate(quote):
+            row.append(min(before[k] + (x != c), before[k + 1] + 1, row[k] + 1))
+        before, best = row, min(best, row[-1])
+    return best
+
+
+def test_rough_quotations_are_all_found(spark):
+    from tallyspark.operators import quotations
+
+    rng = random.Random(7)
+    assert all(quotations.fewest_edits(q, p, 99) == edits_by_rows(q, p) for q, p in (("".join(rng.choice("abc") for _ in range(rng.randint(1, 10))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 25)))) for _ in range(300)))
+    letters = "etaoinshrdlu"
+    pages = [(n, f"g{n % 3}", "".join(rng.choice(letters + " .") for _ in range(rng.randint(30, 200)))) for n in range(45)] + [(100, "g0", None), (101, "g1", ""), (102, "g2", "a" * 80), (103, None, "x" * 50)]
+    quotes = []
+    for n in range(90):
+        _, group, page = pages[rng.randrange(45)]
+        at, size = rng.randrange(len(page)), rng.randint(10, 60)
+        part = list(page[at : at + size])
+        for _ in range(rng.randint(0, max(1, len(part) // 5))):  # some within the share, some beyond
+            k = rng.randrange(len(part) + 1)
+            part[k : k + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters), rng.choice(letters) * 2])
+        quotes.append((n, group if rng.random() < 0.8 else "g1", "".join(part)))
+    quotes += [(200, "g2", "a" * 20 + "b" + "a" * 20), (201, "g0", None), (202, "g0", "short")]
+    bare = lambda x: re.sub(r"[\W_]", "", x or "").lower()
+    for share in (0.85, 0.8):
+        want = {}
+        for n, group, quote in quotes:
+            q = bare(quote)
+            for page, other, body in pages:
+                if len(q) >= quotations.SHORTEST and other == group and (e := edits_by_rows(q, bare(body))) <= int((1 - share + 1e-9) * len(q)):
+                    want[n, page] = e
+        df, over = spark.createDataFrame(quotes, "quote_id int, source string, quote string"), spark.createDataFrame(pages, "page_id int, source string, page string")
+        got = {(r["quote_id"], r["page_id"]): r["edits"] for r in quotations.rough_quotes(df, over, "source", share).collect()}
+        assert got == want and len([e for e in want.values() if e]) > 15
