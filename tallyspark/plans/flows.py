@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import documents, tabular
+from ..sources import documents, tabular, workbooks
 from ..streaming import jobs, timers
-from .staging import fresh_path, put, table
+from .staging import fresh_path, table
 
 
 def csv_round_trip(spark, sf):
@@ -19,35 +19,45 @@ def csv_round_trip(spark, sf):
 
 
 def xlsx_round_trip(spark, sf):
-    rows = table(spark, sf, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name", "n_regionkey").collect()
+    """Nations as workbooks of the tasks, read back by content as any table file."""
     path = fresh_path(spark, "xlsx")
-    put(spark, f"{path}/nations.xlsx", tabular.xlsx_bytes(["n_nationkey", "n_name", "n_regionkey"], [list(r) for r in rows]))
+    workbooks.write(table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey"), path)
     fields = tabular.records(tabular.blocks(tabular.read_tables(spark, path), ["n_nationkey"]))
     return fields.select(*[F.col("fields")[c].cast(t).alias(c) for c, t in (("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int"))])
 
 
+def workbook_round_trip(spark, sf):
+    """All line items out to workbooks and back by the data source: exact amounts, days, flags that look like formulas, missing cells."""
+    li = table(spark, sf, "lineitem")
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    rows = li.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 5 > 0, price).alias("price"), F.to_date("l_shipdate").alias("shipped"), F.concat(F.lit("="), F.col("l_returnflag")).alias("flag"))
+    path = fresh_path(spark, "workbooks")
+    workbooks.write(rows, path, rows_per_file=100_000)
+    back = workbooks.read(spark, path, "l_orderkey long, l_linenumber int, price decimal(18,2), shipped date, flag string")
+    return back.groupBy("flag", F.trunc("shipped", "MM").alias("month")).agg(F.count("*").alias("n"), F.count("price").alias("priced"), F.sum("price").cast("decimal(18,2)").alias("price"), F.sum(F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("keys"))
+
+
 def camt_round_trip(spark, sf):
     """A statement for each customer with its orders as entries, written as XML files and read back."""
     o = table(spark, sf, "orders")
     e = o.select(F.col("o_custkey").alias("c"), F.concat(F.lit('<Ntry><Amt Ccy="EUR">'), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("</Amt><CdtDbtInd>"), F.when(F.col("o_orderkey") % 2 == 0, "DBIT").otherwise("CRDT"), F.lit("</CdtDbtInd><BookgDt><Dt>"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("</Dt></BookgDt><NtryDtls><TxDtls><RmtInf><Ustrd>order "), F.col("o_orderkey").cast("string"), F.lit("</Ustrd></RmtInf></TxDtls></NtryDtls></Ntry>")).alias("x"))
     s = e.groupBy("c").agg(F.concat(F.lit("<Stmt><Id>S"), F.first("c").cast("string"), F.lit("</Id><Acct><Id><Othr><Id>A"), F.first("c").cast("string"), F.lit("</Id></Othr></Id><Ccy>EUR</Ccy></Acct>"), F.array_join(F.collect_list("x"), ""), F.lit("</Stmt>")).alias("value"))
     path = fresh_path(spark, "camt")
-    files = s.groupBy(F.pmod("c", F.lit(8)).alias("f")).agg(F.concat(F.lit("<Document><BkToCstmrStmt>"), F.array_join(F.collect_list("value"), ""), F.lit("</BkToCstmrStmt></Document>")).alias("value"))
+    parts = 8 + o.count() // 50_000  # files of bounded size, however many statements there are
+    files = s.groupBy(F.pmod("c", F.lit(parts)).alias("f")).agg(F.concat(F.lit("<Document><BkToCstmrStmt>"), F.array_join(F.collect_list("value"), ""), F.lit("</BkToCstmrStmt></Document>")).alias("value"))
     files.select("value").write.option("maxRecordsPerFile", 1).text(path)
     _, lines = documents.read_camt(spark, path)
     return lines.groupBy("statement", "direction").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("amount"), F.min("booking_date").alias("first"), F.max("memo").alias("memo"))
 
 
 def ocr_round_trip(spark, sf):
+    """Events as recognised words in tab-separated files, each with its header, written by as many tasks as read the table."""
     e = table(spark, sf, "events")
-    line = F.concat_ws("\t", F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), F.lit("1"), F.col("event_id").cast("string"), F.lit("0"), F.lit("0"), F.lit("9"), F.lit("9"), F.format_string("%.2f", "value"), "event_type")
+    fixed = {"level": "5", "page_num": "1", "block_num": "1", "par_num": "1", "line_num": "1", "word_num": None, "left": "0", "top": "0", "width": "9", "height": "9"}
+    words = e.select(*[F.col("event_id").cast("string").alias(n) if v is None else F.lit(v).alias(n) for n, v in fixed.items()], F.format_string("%.2f", "value").alias("conf"), F.col("event_type").alias("text"))
     path = fresh_path(spark, "ocr")
-    e.select(line.alias("value")).coalesce(1).write.text(path)
-    words = spark.read.text(path)  # a header of its own in front of each file
-    head = "\t".join(["level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text"])
-    with_head = fresh_path(spark, "ocr")
-    spark.createDataFrame([(head,)], "value string").unionByName(words).coalesce(1).write.text(with_head)
-    return documents.read_ocr_tsv(spark, with_head).groupBy("text").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 4).alias("conf"))
+    words.write.option("sep", "\t").option("header", "true").option("quote", "").csv(path)
+    return documents.read_ocr_tsv(spark, path).groupBy("text").agg(F.count("*").alias("n"), F.round(F.avg("conf"), 4).alias("conf"))
 
 
 def judgements_round_trip(spark, sf):
@@ -235,6 +245,7 @@ _LOGSQL = "l AS (SELECT event_id AS seq, event_id // 13 AS job_id, ['enqueued',
 ORACLES = {
     "stream_timers": "WITH u AS (SELECT epoch_ms(max(ts)) * 1000 - 600000000 AS w FROM events), o AS (SELECT user_id, epoch_us(ts) AS t, event_id, event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events, u WHERE event_type IN ('view', 'click', 'purchase') AND epoch_us(ts) <= w), d AS (SELECT *, t + 3600000000 * (1 + event_id % 12) AS due FROM o WHERE event_type <> 'purchase') SELECT CAST(user_id AS VARCHAR) AS \"case\", t AS armed_us, due AS due_us FROM d, u WHERE due <= w AND (nxt IS NULL OR nxt >= due)",
     "csv_round_trip": "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total, '''=' || o_orderpriority AS priority FROM orders",
+    "workbook_round_trip": "SELECT '=' || l_returnflag AS flag, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, count(*) AS n, count(*) FILTER (WHERE l_linenumber % 5 > 0) AS priced, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (WHERE l_linenumber % 5 > 0) AS DECIMAL(18,2)) AS price, CAST(sum(l_orderkey * 7 + l_linenumber) AS BIGINT) AS keys FROM lineitem GROUP BY 1, 2",
     "xlsx_round_trip": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
     "camt_round_trip": "SELECT 'S' || o_custkey AS statement, CASE WHEN o_orderkey % 2 = 0 THEN 'debit' ELSE 'credit' END AS direction, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS amount, min(CAST(o_orderdate AS DATE)) AS first, max('order ' || o_orderkey) AS memo FROM orders GROUP BY 1, 2",
     "ocr_round_trip": "SELECT event_type AS text, count(*) AS n, round(avg(round(value, 2)) / 100, 4) AS conf FROM events GROUP BY 1",
