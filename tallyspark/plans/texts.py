@@ -208,21 +208,21 @@ def parties_in_text(spark, sf):
 
 
 def document_candidates(spark, sf):
-    """An invoice's page for each order, with candidates of all kinds: numbers beside, below and under their label or title, one of them
+    """An invoice's page for each customer, with candidates of all kinds: numbers beside, below and under their label or title, one of them
     printed again as if it were an amount, days that only another day of the page can tell, amounts with and without a currency."""
-    k = F.col("o_orderkey")
+    k = F.col("c_custkey")
     s = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     text_ = lambda c: c.cast("string")
-    total = text_(F.col("o_totalprice").cast("decimal(18,2)"))
+    total = text_(F.abs("c_acctbal").cast("decimal(18,2)"))
     page = F.array(
         F.lit("INVOICE"), F.when(k % 3 == 0, s("Invoice number: 2024/", text_(k))).when(k % 3 == 1, "Invoice number").otherwise(s("AB-", text_(k))), F.when(k % 3 == 1, text_(k + 100000)).otherwise("see below"),
         s("Supplier: Alma Kft. ", text_(k % 9000 + 1000), " Budapest, Fo utca ", text_(k % 90)), s("Account HU42 1177 3016 1111 1018 ", F.lpad(text_(k % 10000), 4, "0"), " 0000"), s("Tax number 1234", F.lpad(text_(k % 10000), 4, "0"), "-2-41"),
         s("Issued 1996-01-", F.lpad(text_(k % 28 + 1), 2, "0"), ", due 03/04/1996", F.when(k % 2 == 0, ", ordered 25/03/1996").otherwise("")), s("Transfer ", text_(k + 100000), " EUR, of it 27 % tax"),
         F.when(k % 4 == 0, s("Total ", total)).otherwise(s("Total ", total, " EUR")), s("Used ", text_(k % 500 + 1), " kWh"), F.lit("Payment method: card"), F.lit("Tariff"), s("  day ", text_(k % 5)),
     )
-    lines = table(spark, sf, "orders").select("o_orderkey", F.posexplode(page).alias("line_no", "line"))
-    got = candidates.document_candidates(lines, "o_orderkey", "line_no", "line", labels={"tariff": "tariff"}, titles={"title": r"^\s*invoice\s*$"})
-    return got.select("o_orderkey", "kind", "label", "line_no", "occurrences", "ambiguous")
+    lines = table(spark, sf, "customer").select("c_custkey", F.posexplode(page).alias("line_no", "line"))
+    got = candidates.document_candidates(lines, "c_custkey", "line_no", "line", labels={"tariff": "tariff"}, titles={"title": r"^\s*invoice\s*$"})
+    return got.select("c_custkey", "kind", "label", "line_no", "occurrences", "ambiguous")
 
 
 def field_proposals(spark, sf):
@@ -369,7 +369,7 @@ ORACLES = {
     "dates_in_text": f"SELECT o_orderkey, CAST(o_orderdate AS DATE) AS value, {_DATE_OF} AS ambiguous FROM orders",
     "parties_in_text": "WITH c AS (SELECT c_custkey AS k, upper(c_mktsegment[1]) || lower(substr(c_mktsegment, 2)) AS seg, ['Budapest', 'Wien', 'Lyon'][c_custkey % 3 + 1] AS town FROM customer) SELECT k AS c_custkey, 'name' AS kind, 'Alma ' || seg || ' Kft.' AS label FROM c UNION ALL SELECT k, 'address', (k + 1000) || ' ' || town || ', Fo utca ' || k % 90 FROM c UNION ALL SELECT k, 'tariff', 'day ' || k % 5 FROM c UNION ALL SELECT k, 'payment', 'bank transfer' FROM c WHERE k % 2 = 0 UNION ALL SELECT k, 'title', 'INVOICE' FROM c UNION ALL SELECT k, 'currency', CASE k % 4 WHEN 0 THEN 'EUR' ELSE 'HUF' END FROM c WHERE k % 4 < 2 UNION ALL SELECT k, 'payment_line', '2' FROM c WHERE k % 2 = 0",
     "document_candidates": """
-        WITH o AS (SELECT o_orderkey AS k, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS total FROM orders),
+        WITH o AS (SELECT c_custkey AS k, CAST(CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS VARCHAR) AS total FROM customer),
         c AS (SELECT k, 'iban' AS kind, 'HU42117730161111' || '1018' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || '0000' AS label, 4 AS line_no, false AS ambiguous FROM o
         UNION ALL SELECT k, 'tax_id', '1234' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || '-2-41', 5, false FROM o
         UNION ALL SELECT k, 'date', '1996-01-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0'), 6, false FROM o
@@ -385,7 +385,7 @@ ORACLES = {
         UNION ALL SELECT k, 'payment_line', '10', 10, false FROM o
         UNION ALL SELECT k, 'text:title', 'INVOICE', 0, false FROM o
         UNION ALL SELECT k, 'text:tariff', 'day ' || k % 5, 11, false FROM o)
-        SELECT k AS o_orderkey, kind, label, CAST(min(line_no) AS BIGINT) AS line_no, count(*) AS occurrences, arg_min(ambiguous, line_no) AS ambiguous FROM c GROUP BY 1, 2, 3""",
+        SELECT k AS c_custkey, kind, label, CAST(min(line_no) AS BIGINT) AS line_no, count(*) AS occurrences, arg_min(ambiguous, line_no) AS ambiguous FROM c GROUP BY 1, 2, 3""",
     "candidate_finders": f"WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS v0 FROM d), {_chain}, a AS ({_kinds}), b AS (SELECT *, lower(regexp_replace(raw, '\\s+', '', 'g')) AS label FROM a), f AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, kind, label ORDER BY line_no, pos) = 1), c AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, kind ORDER BY line_no, pos) <= {finders.CAP}) SELECT kind, count(*) AS n, count(DISTINCT label) AS labels FROM c GROUP BY 1",
     "field_proposals": "WITH d AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents), s AS (SELECT lower(w) AS name, w, count(*) AS n FROM d WHERE length(w) BETWEEN 4 AND 12 GROUP BY 1, 2), g AS (SELECT name, CAST(sum(n) AS BIGINT) AS documents, arg_max(w, (n, w)) AS spelling FROM s GROUP BY 1) SELECT * FROM g WHERE documents >= 40",
     "snapshot_diff": "WITH o AS (SELECT o_orderkey AS k FROM orders), x AS (SELECT CASE WHEN k % 17 = 0 THEN 'removed' WHEN k % 5 = 0 THEN 'changed' END AS change, CASE WHEN k % 17 = 0 THEN '' WHEN k % 15 = 0 THEN 'o_orderstatus,o_orderpriority' ELSE 'o_orderstatus' END AS fields FROM o UNION ALL SELECT 'added', '' FROM o WHERE k % 100 = 1) SELECT change, fields, count(*) AS n FROM x WHERE change IS NOT NULL GROUP BY 1, 2",
