@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def ratio(n: Column, d: Column) -> Column:
     return F.round(F.try_divide(n.cast("double"), d.cast("double")), 4)
@@ -78,6 +80,14 @@ def field_scores(expected: DataFrame, got: DataFrame, keys: list[str], equal: Co
     return both.groupBy("field").agg(F.count("*").alias("n"), F.count("have").alias("found"), F.count_if(hit).alias("right"), ratio(F.count_if(hit), F.count("*")).alias("accuracy"))
 
 
+def lenient_equal(kind: Column, want: Column, have: Column, strict: Column) -> Column:
+    """Equal as the kind says (strict), or, for names, addresses and texts, but for accents, case, punctuation and blanks: what a recognition
+    loses. A missing value is right by neither, unless strict says so."""
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(text.fold(x), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    loose = kind.isin("name", "address", "text") & (bare(want) == bare(have))
+    return F.coalesce(strict, F.lit(False)) | F.coalesce(loose, F.lit(False))
+
+
 _PAID = ("succeeded", "failed", "reserved", "uncertain")
 
 

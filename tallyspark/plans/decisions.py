@@ -238,6 +238,21 @@ def field_scoring(spark, sf):
     return evals.field_scores(want, got, ["o_orderkey"], F.lower("want") == F.lower("have"))
 
 
+def lenient_scoring(spark, sf):
+    """Suppliers' names, addresses and balances as recognised: without accents, in capitals, with other signs, wrong, or missing."""
+    u, k = table(spark, sf, "supplier"), F.col("s_suppkey")
+    shown = F.concat(F.lit("Árvíztűrő "), "s_name", F.lit(", Kft."))
+    misread = F.concat(F.lit("ARVIZTURO "), F.upper("s_name"), F.lit(" KFT"))
+    seen = F.when(k % 4 == 0, misread).when(k % 4 == 1, shown).when(k % 4 == 2, F.concat(F.lit("x"), shown))
+    fields = [F.struct(F.lit(kind).alias("field"), shown.alias("want"), seen.alias("have")) for kind in ("name", "address", "iban")]
+    rows = u.select("s_suppkey", F.explode(F.array(*fields)).alias("f")).select("s_suppkey", "f.*")
+    strict = F.col("want") == F.col("have")
+    want, got = rows.select("s_suppkey", "field", "want"), rows.where("have is not null").select("s_suppkey", "field", "have")
+    exact = evals.field_scores(want, got, ["s_suppkey"], strict).select("field", "n", "found", F.col("right").alias("strict"))
+    loose = evals.field_scores(want, got, ["s_suppkey"], evals.lenient_equal(F.col("field"), F.col("want"), F.col("have"), strict)).select("field", F.col("right").alias("lenient"))
+    return exact.join(loose, "field")
+
+
 def cost_rollup(spark, sf):
     return evals.costs(calls(spark, sf), ["scope", "provider"])
 
@@ -296,7 +311,7 @@ QUERIES = {
     for f in (
         running_balance, closing_balance, direction_totals, direction_from_balance, line_total_check, line_arithmetic, vat_consistency, date_order_check, list_checks, decision_table_first, decision_table_collect, rule_preview,
         tariff_premium, inherited_facts, tier_discount, price_quote, word_options, confidence_band, band_by_prefix, review_route, quick_review_groups, eval_per_question, calibration_bins, calibration_ece, determinism, silent_errors,
-        policy_reeval, confidence_gap, token_confidence, field_scoring, cost_rollup, plan_vs_actual, budget_commitment, calls_per_minute, call_reuse_lookup, budget_replay, group_counts, having_all_removed, distinct_counts,
+        policy_reeval, confidence_gap, token_confidence, field_scoring, lenient_scoring, cost_rollup, plan_vs_actual, budget_commitment, calls_per_minute, call_reuse_lookup, budget_replay, group_counts, having_all_removed, distinct_counts,
         conditional_aggregates, group_concat_ordered, state_counts,
     )
 }
@@ -345,6 +360,7 @@ ORACLES = {
     "policy_reeval": f"WITH {_J}, x AS (SELECT flow, case_id, bool_or(b = 'human') AS h, bool_or(b = 'uncertain') AS u, count(*) FILTER (WHERE b = 'uncertain' AND correct) AS r, count(correct) FILTER (WHERE b = 'uncertain') AS s FROM (SELECT *, {_BANDS} AS b FROM j WHERE run_no = 1) GROUP BY 1, 2) SELECT flow, count(*) AS cases, count(*) FILTER (WHERE h) AS cases_human, count(*) FILTER (WHERE NOT h AND u) AS cases_uncertain_only, round(sum(r) FILTER (WHERE NOT h AND u) / sum(s) FILTER (WHERE NOT h AND u), 4) AS uncertain_only_accuracy FROM x GROUP BY 1",
     "confidence_gap": f"WITH {_J} SELECT flow, count(*) AS n, round(avg(abs(confidence - p)), 4) AS mean_abs_diff, round(max(abs(confidence - p)), 4) AS max_abs_diff, count(*) FILTER (WHERE (confidence < 0.6) <> (p < 0.6)) AS band_differs FROM j WHERE run_no = 1 GROUP BY 1",
     "token_confidence": "SELECT user_id, event_type AS field, round(exp(sum(-value / 1000)), 6) AS joint, round(exp(min(-value / 1000)), 6) AS least, round(exp(arg_min(-value / 1000, event_id)), 6) AS first, count(*) AS n FROM events GROUP BY 1, 2",
+    "lenient_scoring": "SELECT f.field, count(*) AS n, count(*) FILTER (WHERE s_suppkey % 4 < 3) AS found, count(*) FILTER (WHERE s_suppkey % 4 = 1) AS strict, count(*) FILTER (WHERE s_suppkey % 4 = 1 OR (s_suppkey % 4 = 0 AND f.field <> 'iban')) AS lenient FROM supplier, (SELECT unnest(['name', 'address', 'iban']) AS field) f GROUP BY 1",
     "field_scoring": "WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 10 <> 3) AS found, count(*) FILTER (WHERE o_orderkey % 10 <> 3 AND NOT (o_orderkey % 9 = 0 AND o_orderkey % 4 <> 0)) AS hit FROM orders) SELECT f.field, n, found, hit AS \"right\", round(hit / n, 4) AS accuracy FROM n, (SELECT unnest(['o_orderstatus', 'o_orderpriority', 'o_custkey']) AS field) f",
     "cost_rollup": f"WITH {_C} SELECT scope, provider, count(*) AS calls, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status IN ('reserved', 'uncertain')) AS open, CAST(coalesce(sum(cost), 0) AS DECIMAL(18,4)) AS usd, CAST(coalesce(sum(max_cost) FILTER (WHERE cost IS NULL), 0) AS DECIMAL(18,4)) AS held_usd FROM c GROUP BY 1, 2",
     "plan_vs_actual": f"WITH {_C}, p AS (SELECT provider, CAST(sum(max_cost) AS DECIMAL(18,4)) AS planned FROM c WHERE call_id % 2 = 0 AND provider <> 'signup' GROUP BY 1), a AS (SELECT provider, CAST(sum(cost) AS DECIMAL(18,4)) AS actual FROM c WHERE provider <> 'view' GROUP BY 1) SELECT coalesce(p.provider, a.provider) AS provider, planned, actual FROM p FULL JOIN a ON p.provider = a.provider",
