@@ -11,7 +11,7 @@ the documents that have no token of their own.
 
 Training: every task goes once over every position of all its documents by minibatch steps (Adagrad) from one start; the mean of the
 tasks' parameters, weighted by tokens seen, is the model. Spark adds up one array a task, FAN arrays at a time, in as many levels
-as the number of tasks asks for; only the finished model reaches the driver. Tasks are those that the input is read by.
+as the number of tasks asks for; only the finished model reaches the driver. Tasks are those that the written tokens are read by.
 
 Defined results. Null or empty text: no tokens, sum 0, null mean. Rows with equal ids: each by its own text. Very long texts
 are scored whole. A word that the counts don't hold is taken to occur once. Empty table: no rows.
@@ -19,6 +19,8 @@ are scored whole. A word that the counts don't hold is taken to occur once. Empt
 
 from __future__ import annotations
 
+from itertools import compress, repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,18 +40,22 @@ BATCH = 16384
 RATE = 0.15
 #: Tokens of several documents that are worked off at once.
 STRETCH = 1 << 16
+#: Places whose scores are worked off at once: they stay in a core's cache.
+TILE = 1024
 #: Arrays of parameters that one task adds up.
 FAN = 8
 SEED = 42
 #: The greatest score of a class or token: its exp is far from the limit.
 MOST = np.float32(60)
 _REACH = 2
-_ONES = np.ones(CLASSES, dtype=np.float32)  # as many as WIDE
+#: What keeps rows of arrays from lying a power of two apart, where they would share places in a cache.
+_APART = 16
+_ONES = np.ones(CLASSES, dtype=np.float32)  # as many as WIDE: classes and tokens of a class are chosen alike
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, h, n): how often each lower-cased word occurs in all documents, and its hash."""
-    tokens = F.filter(F.split(F.lower(text_of(docs)), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    tokens = F.array_remove(F.split(F.lower(text_of(docs)), "[ \\t\\n\\x0B\\f\\r]+"), "")
     counted = docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return written(counted.select("word", F.xxhash64("word").alias("h"), "n"), "words")
 
@@ -99,10 +105,9 @@ class Model:
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of a text, and the hashes of its words that have none of their own."""
         words = text.lower().encode("utf-8", "replace").split()
-        get, digest = self.ids.get, xxhash.xxh64_intdigest
-        out = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
-        rare = np.flatnonzero(out == 0)
-        hashes = np.fromiter((digest(words[k], SEED) for k in rare.tolist()), dtype=np.uint64, count=len(rare)).view(np.int64)
+        out = np.fromiter(map(self.ids.get, words, repeat(0)), dtype=np.int64, count=len(words))
+        rare = out == 0
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, compress(words, rare.tolist()), repeat(SEED)), dtype=np.uint64).view(np.int64)
         out[rare] = self.size - OTHERS + hashes % OTHERS
         return out, hashes
 
@@ -117,38 +122,57 @@ class Model:
             at += part.size
 
     def _hidden(self, padded, at):
-        total = self.near[0][padded[at + WINDOW[0]]]
+        """The tanh layer at these places; a last column of ones brings the biases into the products."""
+        total = self.near[0].take(padded[at + WINDOW[0]], axis=0)
         for k, step in enumerate(WINDOW[1:], 1):
-            total += self.near[k][padded[at + step]]
-        return np.tanh(total, out=total)
-
-    @staticmethod
-    def _odds(scores):
-        """exp of scores, and its sums. Scores stay far below the limit of single precision; beyond MOST they are cut."""
-        np.minimum(scores, MOST, out=scores)
-        odds = np.exp(scores)
-        return odds, odds @ _ONES
-
-    def _by_class(self, padded, at):
-        """The places in the order of their tokens' classes: (places, tokens, classes, (class, from, to) of each class)."""
+            total += self.near[k].take(padded[at + step], axis=0)
+        hidden = np.ones((len(at), HIDDEN + 1), dtype=np.float32)
+        np.tanh(total, out=hidden[:, :HIDDEN])
+        return hidden
+
+    def _vectors(self):
+        """Vectors and biases of all softmaxes, (softmax, choice, HIDDEN + 1): the classes, then the tokens of each class; whether scores can reach MOST."""
+        vectors = np.empty((1 + CLASSES, WIDE, HIDDEN + 1), dtype=np.float32)
+        vectors[0, :, :HIDDEN], vectors[0, :, HIDDEN] = self.out.T, self.bias
+        vectors[1:, :, :HIDDEN], vectors[1:, :, HIDDEN] = self.word, self.word_bias
+        reach = np.abs(vectors[:, :, :HIDDEN]).sum(axis=2) + vectors[:, :, HIDDEN]  # tanh stays within 1
+        return vectors, not reach.max() <= MOST
+
+    def _sorted(self, padded, at):
+        """The places in the order of their tokens' classes: (order, places, classes, places of the tokens in their classes)."""
         kind = self.kind[padded[at]]
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1)).tolist()
         at = at[order]
-        return order, at, kind[order], [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+        return order, at, kind[order].astype(np.int64), self.place[padded[at]] % WIDE
+
+    @staticmethod
+    def _tiles(kind, within):
+        """(from, to, softmaxes) of TILE places at a time; softmaxes: (vectors' number, from and to in the tile, choices taken)."""
+        for a in range(0, len(kind), TILE):
+            mine, spot = kind[a : a + TILE], within[a : a + TILE]
+            cuts = [0, *(np.flatnonzero(mine[1:] != mine[:-1]) + 1).tolist(), len(mine)]
+            yield a, a + len(mine), [(0, 0, len(mine), mine), *((1 + int(mine[x]), x, y, spot[x:y]) for x, y in zip(cuts, cuts[1:], strict=False))]
+
+    @staticmethod
+    def _odds(scores, high):
+        """exp of scores in their place, and its sums. Scores stay far below the limit of single precision; beyond MOST they are cut."""
+        if high:
+            np.minimum(scores, MOST, out=scores)
+        np.exp(scores, out=scores)
+        return scores, scores @ _ONES
 
     def log_likelihood(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(word | both sides) at these places of the padded tokens, less the log of the word's count if it shares a token."""
-        order, at, kind, groups = self._by_class(padded, at)
-        hidden, target, rows = self._hidden(padded, at), padded[at], np.arange(len(at))
-        within = self.place[target] % WIDE
-        scores = hidden @ self.out + self.bias
-        _, total = self._odds(scores)
-        found = scores[rows, kind].astype(np.float64) - np.log(total) - self.shared[target]
-        for c, a, b in groups:
-            scores = hidden[a:b] @ self.word[c].T + self.word_bias[c]
-            _, total = self._odds(scores)
-            found[a:b] += scores[rows[: b - a], within[a:b]] - np.log(total)
+        order, at, kind, within = self._sorted(padded, at)
+        vectors, high = self._vectors()
+        found, line, held = -self.shared[padded[at]], np.arange(TILE) * WIDE, np.empty((TILE, WIDE), dtype=np.float32)
+        for a, b, softmaxes in self._tiles(kind, within):
+            hidden = self._hidden(padded, at[a:b])
+            for v, x, y, choice in softmaxes:
+                scores = np.matmul(hidden[x:y], vectors[v].T, out=held[: y - x])
+                mine = np.minimum(scores.ravel()[line[: y - x] + choice], MOST)
+                _, total = self._odds(scores, high)
+                found[a + x : a + y] += mine - np.log(total)
         out = np.empty(len(at))
         out[order] = found
         return out
@@ -160,38 +184,33 @@ class Model:
 
     def step(self, padded: np.ndarray, at: np.ndarray, rate: float = RATE) -> None:
         """One step by the summed gradient of these places' log-likelihood."""
-        _, at, kind, groups = self._by_class(padded, at)
-        hidden, within, rows = self._hidden(padded, at), self.place[padded[at]] % WIDE, np.arange(len(at))
-        error, total = self._odds(hidden @ self.out + self.bias)
-        error *= (1 / total)[:, None]
-        error[rows, kind] -= 1
-        back = error @ self.out.T
-        for c, a, b in groups:
-            mine = hidden[a:b]
-            odds, total = self._odds(mine @ self.word[c].T + self.word_bias[c])
-            odds *= (1 / total)[:, None]
-            odds[rows[: b - a], within[a:b]] -= 1
-            back[a:b] += odds @ self.word[c]
-            grad = odds.T @ mine
-            seen = self.seen["word"][c]
-            seen += np.einsum("wh,wh->w", grad, grad) / HIDDEN
-            self.word[c] -= grad * (rate / np.sqrt(seen))[:, None]
-            grad = odds.sum(axis=0)
-            self.seen["word_bias"][c] += grad**2
-            self.word_bias[c] -= rate * grad / np.sqrt(self.seen["word_bias"][c])
-        for name, grad in (("out", hidden.T @ error), ("bias", error.sum(axis=0))):
+        _, at, kind, within = self._sorted(padded, at)
+        vectors, high = self._vectors()
+        grads, line, held = np.zeros_like(vectors), np.arange(TILE) * WIDE, np.empty((TILE, WIDE), dtype=np.float32)
+        parts = np.empty((HIDDEN, len(at) + _APART))[:, : len(at)]
+        for a, b, softmaxes in self._tiles(kind, within):
+            hidden, back = self._hidden(padded, at[a:b]), np.zeros((b - a, HIDDEN), dtype=np.float32)
+            for v, x, y, choice in softmaxes:
+                error, total = self._odds(np.matmul(hidden[x:y], vectors[v].T, out=held[: y - x]), high)
+                error *= (1 / total)[:, None]
+                error.ravel()[line[: y - x] + choice] -= 1
+                back[x:y] += error @ vectors[v, :, :HIDDEN]
+                grads[v] += error.T @ hidden[x:y]
+            back *= 1 - hidden[:, :HIDDEN] ** 2
+            parts[:, a:b] = back.T
+        for name, grad in (("out", grads[0, :, :HIDDEN].T), ("bias", grads[0, :, HIDDEN]), ("word_bias", grads[1:, :, HIDDEN])):
             self.seen[name] += grad**2
             getattr(self, name).__isub__(rate * grad / np.sqrt(self.seen[name]))
-        back *= 1 - hidden**2
+        grad, seen = grads[1:, :, :HIDDEN], self.seen["word"]
+        seen += np.einsum("cwh,cwh->cw", grad, grad) / HIDDEN
+        self.word -= grad * (rate / np.sqrt(seen))[:, :, None]
+        grad = np.empty((HIDDEN, self.size + _APART), dtype=np.float32)[:, : self.size]
         for k, step in enumerate(WINDOW):  # the rows of one neighbour's vectors, summed by token
-            token = padded[at + step]
-            order = np.argsort(token.astype(np.int16), kind="stable")
-            token = token[order]
-            first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            grad, rows = np.add.reduceat(back[order], first, axis=0), token[first]
-            seen = self.seen["near"][k][rows] + np.einsum("wh,wh->w", grad, grad) / HIDDEN
-            self.seen["near"][k][rows] = seen
-            self.near[k][rows] -= grad * (rate / np.sqrt(seen))[:, None]
+            token, seen = padded[at + step], self.seen["near"][k]
+            for h in range(HIDDEN):
+                grad[h] = np.bincount(token, parts[h], self.size)
+            seen += np.einsum("hw,hw->w", grad, grad) / HIDDEN
+            self.near[k] -= (grad * (rate / np.sqrt(seen))).T
 
 
 def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,19 +220,38 @@ def _padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([gap, *[x for p in parts for x in (p, gap)]]), starts
 
 
-def _stretches(model: Model, column):
-    """(first row, tokens of each row, hashes of each row) of rows that come to some STRETCH tokens."""
-    first, parts, hashes, held = 0, [], [], 0
-    for k in range(len(column)):
-        tokens, rare = model.tokens(column[k].as_py())
-        parts.append(tokens)
-        hashes.append(rare)
-        held += len(tokens)
-        if held >= STRETCH:
-            yield first, parts, hashes
-            first, parts, hashes, held = k + 1, [], [], 0
-    if parts:
-        yield first, parts, hashes
+def _stretches(items, size):
+    """(first row, items) of rows that come to some STRETCH tokens, size(item) each."""
+    first, held, n = 0, [], 0
+    for k, item in enumerate(items):
+        held.append(item)
+        n += size(item)
+        if n >= STRETCH:
+            yield first, held
+            first, held, n = k + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _read(value) -> np.ndarray:
+    """A document's tokens as written."""
+    return np.frombuffer(value.as_buffer(), dtype=np.uint16).astype(np.int64)
+
+
+def tokenised(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, tokens, rare), written: every document's tokens, two bytes each, and the hashes of its words that have none of their own."""
+
+    def run(batches):
+        for batch in batches:
+            for first, held in _stretches((model.tokens(text.as_py()) for text in batch.column(2)), lambda x: len(x[0])):
+                ends = np.cumsum([0, *(len(hashes) for _, hashes in held)]).astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([hashes for _, hashes in held])))
+                tokens = pa.array([part.astype(np.uint16).tobytes() for part, _ in held], pa.binary())
+                mine = batch.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), tokens, rare], names=["row", "doc_id", "tokens", "rare"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    return written(rows.mapInArrow(run, "row long, doc_id long, tokens binary, rare array<bigint>"), "tokens")
 
 
 def _summed(arrays: DataFrame, width: int) -> DataFrame:
@@ -234,15 +272,15 @@ def _summed(arrays: DataFrame, width: int) -> DataFrame:
     return arrays
 
 
-def train(docs: DataFrame, counted: DataFrame) -> Model:
-    ids, counts, used = lexicon(counted)
-    model = Model(ids, counts, used)
+def fitted(rows: DataFrame, lexis: tuple[dict[bytes, int], np.ndarray, np.ndarray]) -> Model:
+    """The model of tokenised documents."""
+    model = Model(*lexis)
 
     def run(batches):
-        mine, seen, rng = Model(ids, counts, used), 0, np.random.default_rng(7)
+        mine, seen, rng = Model(*lexis), 0, np.random.default_rng(7)
         mine.start()
         for batch in batches:
-            for _, parts, _ in _stretches(mine, batch.column(0)):
+            for _, parts in _stretches(map(_read, batch.column(0)), len):
                 padded, _ = _padded(parts)
                 places = rng.permutation(np.flatnonzero(padded != PAD))
                 for k in range(0, len(places), BATCH):
@@ -251,19 +289,19 @@ def train(docs: DataFrame, counted: DataFrame) -> Model:
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([(mine.flat().astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["v", "n"])
 
-    arrays = written(docs.select(text_of(docs).alias("text")).mapInArrow(run, "v binary, n long"), "arrays")
+    arrays = written(rows.select("tokens").mapInArrow(run, "v binary, n long"), "arrays")
     found = _summed(arrays, len(model.flat())).first()  # the model: of constant size
     if found is not None:
         model.load(np.frombuffer(found["v"], dtype=np.float64) / found["n"])
     return model
 
 
-def score(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, sum_logprob, mean_logprob) of every document."""
+def scored(rows: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, sum_logprob, mean_logprob) of tokenised documents."""
 
     def run(batches):
         for batch in batches:
-            for first, parts, hashes in _stretches(model, batch.column(2)):
+            for first, parts in _stretches(map(_read, batch.column(2)), len):
                 padded, starts = _padded(parts)
                 logs = np.zeros(len(padded) + 1)
                 real = np.flatnonzero(padded != PAD)
@@ -271,21 +309,31 @@ def score(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
                     logs[real[k : k + BATCH]] = model.log_likelihood(padded, real[k : k + BATCH])
                 sums = np.array([logs[s : s + len(p)].sum() for s, p in zip(starts.tolist(), parts, strict=True)])
                 n = np.array([len(p) for p in parts], dtype=np.int64)
-                ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))
                 part = batch.slice(first, len(parts))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums), rare], names=["row", "doc_id", "n_tokens", "net", "rare"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(sums)], names=["row", "doc_id", "n_tokens", "net"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    rows = written(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, net double, rare array<bigint>"), "scored")
+    sums = rows.select("row", "doc_id", "tokens").mapInArrow(run, "row long, doc_id long, n_tokens long, net double")
     # what rare words' own counts add: nothing for those that occur once
     known = counted.where("n > 1").select("h", F.ln("n").alias("log"))
     added = rows.select("row", F.explode("rare").alias("h")).join(known, "h").groupBy("row").agg(F.sum("log").alias("added"))
     total = F.col("net") + F.coalesce("added", F.lit(0.0))
-    return rows.drop("rare").join(added, "row", "left").select("doc_id", "n_tokens", total.alias("sum_logprob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob"))
+    return sums.join(added, "row", "left").select("doc_id", "n_tokens", total.alias("sum_logprob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_logprob"))
+
+
+def train(docs: DataFrame, counted: DataFrame) -> Model:
+    """The model of these documents."""
+    lexis = lexicon(counted)
+    return fitted(tokenised(docs, Model(*lexis)), lexis)
+
+
+def score(docs: DataFrame, model: Model, counted: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, sum_logprob, mean_logprob) of every document."""
+    return scored(tokenised(docs, model), model, counted)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
-    """Train on all documents, then score all documents."""
+    """Train on all documents, then score all documents. Texts are tokenised once."""
     counted = word_counts(docs)
-    return score(docs, train(docs, counted), counted)
+    lexis = lexicon(counted)
+    rows = tokenised(docs, Model(*lexis))
+    return scored(rows, fitted(rows, lexis), counted)

@@ -794,6 +794,85 @@ def test_step_follows_the_gradient():
             assert np.corrcoef(change, grad)[0, 1] > 0.99, name
 
 
+def plain_step(m, padded, at, rate):
+    """One step over whole arrays in double precision: changes of the parameters from sums of squares of 1e-6."""
+    kind, within = np.divmod(m.place[padded[at]], lmscore.WIDE)
+    near, out, word = m.near.astype(float), m.out.astype(float), m.word.astype(float)
+    hidden = np.tanh(sum(near[k][padded[at + step]] for k, step in enumerate(lmscore.WINDOW)))
+    rows = np.arange(len(at))
+
+    def error(scores, chosen):
+        odds = np.exp(np.minimum(scores, 60))
+        odds /= odds.sum(axis=1, keepdims=True)
+        odds[rows, chosen] -= 1
+        return odds
+
+    outer, inner = error(hidden @ out + m.bias, kind), error(np.einsum("nh,nwh->nw", hidden, word[kind]) + m.word_bias[kind], within)
+    back = (outer @ out.T + np.einsum("nw,nwh->nh", inner, word[kind])) * (1 - hidden**2)
+    grads = {"out": hidden.T @ outer, "bias": outer.sum(axis=0)}
+    grads |= {name: np.zeros(getattr(m, name).shape) for name in ("near", "word", "word_bias")}
+    np.add.at(grads["word"], kind, np.einsum("nw,nh->nwh", inner, hidden))
+    np.add.at(grads["word_bias"], kind, inner)
+    for k, step in enumerate(lmscore.WINDOW):
+        np.add.at(grads["near"][k], padded[at + step], back)
+    square = lambda name, g: (g**2).mean(axis=-1, keepdims=True) if name in ("near", "word") else g**2
+    return {name: rate * g / np.sqrt(1e-6 + square(name, g)) for name, g in grads.items()}
+
+
+@pytest.mark.parametrize("high", [False, True])
+def test_step_and_likelihood_in_tiles_are_those_of_whole_arrays(monkeypatch, high):
+    """Several tiles, classes within and across them, classes without a place; scores that are looked at against the limit and that aren't."""
+    monkeypatch.setattr(lmscore, "TILE", 100)
+    rng = np.random.default_rng(3)
+    counts = np.r_[0, np.arange(lmscore.WORDS + lmscore.OTHERS, 0, -1.0)]
+    m = lmscore.Model({}, counts, np.r_[False, np.ones(len(counts) - 1, dtype=bool)])
+    m.bias[:3] += 0.5
+    vectors, _ = m._vectors()
+    if high:
+        monkeypatch.setattr(lmscore, "MOST", np.float32(0.99 * (np.abs(vectors[:, :, :-1]).sum(axis=2) + vectors[:, :, -1]).max()))
+    assert m._vectors()[1] == high
+    padded, _ = lmscore._padded([1 + (rng.random(n) ** 4 * 2000).astype(np.int64) for n in (1, 0, 333, 2, 500)])
+    at = rng.permutation(np.flatnonzero(padded))
+    want = np.array([slow_log_likelihood(m, padded, k) for k in at])
+    assert np.abs(m.log_likelihood(padded, at) - want).max() < 1e-3
+    before = {name: getattr(m, name).copy() for name in m.PARTS}
+    change = plain_step(m, padded, at, 0.15)
+    m.start()
+    m.step(padded, at, 0.15)
+    for name in m.PARTS:
+        got = before[name] - getattr(m, name)
+        assert np.abs(got - change[name]).max() < 2e-2 * 0.15, name
+        assert (got[change[name] == 0] == 0).all(), name
+
+
+def test_texts_are_read_twice_only(spark):
+    """Once to count words, once to tokenise them: training and scoring share the tokens."""
+    read = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame([(n, f"a b c w{n} w{n % 7}") for n in range(200)], "doc_id long, text string")
+    rows = lmscore.pseudo_likelihood(docs.select("doc_id", F.udf(told, "string")("text").alias("text"))).collect()
+    assert len(rows) == 200 and all(r["n_tokens"] == 5 for r in rows)
+    assert read.value == 400
+
+
+def test_many_stretches_of_a_document_table(spark):
+    """Rows, tokens and rare words stay together when a batch is worked off in many stretches."""
+    text = lambda n: " ".join([f"r{n}"] * (9000 * (n % 5))) if n % 3 else None
+    docs = spark.createDataFrame([(n, text(n)) for n in range(40)], "doc_id long, text string").coalesce(1)
+    counted = lmscore.word_counts(docs)
+    m = lmscore.Model(*lmscore.lexicon(counted, words=5))
+    m.size = 1 + lmscore.WORDS + lmscore.OTHERS  # tokens of hashed words need two bytes
+    rows = {r["doc_id"]: r for r in lmscore.tokenised(docs, m).collect()}
+    assert len(rows) == 40 and sum(len(r["rare"]) for r in rows.values()) > 2 * lmscore.STRETCH
+    for n in range(40):
+        tokens, hashes = m.tokens(text(n) or "")
+        assert np.array_equal(np.frombuffer(rows[n]["tokens"], dtype=np.uint16), tokens) and np.array_equal(rows[n]["rare"], hashes), n
+
+
 def test_training_lowers_the_loss_and_order_counts(spark):
     rng = random.Random(1)
     cycle = ["a", "b", "c", "d", "e", "f"]
