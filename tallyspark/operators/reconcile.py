@@ -92,31 +92,45 @@ def settled(allocations: DataFrame, invoices: DataFrame, lines: DataFrame) -> Da
     """allocations(seq, invoice_id, line_id, part) with whether each counts: they apply in order while both sides have room.
 
     One that would exceed a side consumes nothing. Where the running sums of all never exceed a side they all count; only
-    components that an excess touches are worked off in sequence, each by itself.
+    components that an excess touches are worked off in sequence, each by itself. A line and an invoice that meet nothing else are a component
+    at once; only the rest is contracted. Tasks pass through their components' rows in order and hold the rooms of one component.
     """
-    rows = allocations.join(invoices.select("invoice_id", F.col("amount").alias("invoice_total")), "invoice_id").join(lines.select("line_id", F.col("amount").alias("line_total")), "line_id")
-    over = lambda key, total: F.sum("part").over(Window.partitionBy(key)) > F.col(total)
-    marked = rows.withColumn("tight", over("invoice_id", "invoice_total") | over("line_id", "line_total"))
-    node_a, node_b = F.concat(F.lit("i"), F.col("invoice_id")), F.concat(F.lit("l"), F.col("line_id"))
-    roots = components(marked.select(node_a.alias("a"), node_b.alias("b")))
-    placed = marked.join(roots.select(F.col("node").alias("_n"), "root"), node_a == F.col("_n")).drop("_n")
-    placed = placed.withColumn("touched", F.max("tight").over(Window.partitionBy("root")))
-    easy = placed.where("not touched").select("seq", "invoice_id", "line_id", "part", F.lit(True).alias("counts"))
+    rows = allocations.join(invoices.select("invoice_id", F.col("amount").alias("invoice_total")), "invoice_id")
 
-    def fold(pdf):
-        pdf = pdf.sort_values("seq")
-        room = {}
-        out = []
-        for r in pdf.itertuples():
-            a = room.setdefault(("i", r.invoice_id), r.invoice_total)
-            b = room.setdefault(("l", r.line_id), r.line_total)
-            fits = r.part <= a and r.part <= b
-            if fits:
-                room["i", r.invoice_id], room["l", r.line_id] = a - r.part, b - r.part
-            out.append(fits)
-        return pdf[["seq", "invoice_id", "line_id", "part"]].assign(counts=out)
-
-    hard = placed.where("touched").groupBy("root").applyInPandas(fold, easy.schema)
+    def seen(rows, key, other, total):  # what stands on one side: whether all fit, and whether it meets one of the other side only
+        side = Window.partitionBy(key)
+        return rows.withColumn(f"_over_{key}", F.sum("part").over(side) > F.col(total)).withColumn(f"_one_{key}", F.min(other).over(side) == F.max(other).over(side))
+
+    rows = seen(rows, "invoice_id", "line_id", "invoice_total").join(lines.select("line_id", F.col("amount").alias("line_total")), "line_id")
+    rows = seen(rows, "line_id", "invoice_id", "line_total")
+    kept = ["seq", "invoice_id", "line_id", "part", "invoice_total", "line_total"]
+    marked = rows.select(*kept, (F.col("_over_invoice_id") | F.col("_over_line_id")).alias("tight"), (F.col("_one_invoice_id") & F.col("_one_line_id")).alias("alone"))
+    marked = written(marked, "allocations")
+    node_a, node_b = F.concat(F.lit("i"), F.col("invoice_id")), F.concat(F.lit("l"), F.col("line_id"))
+    met = marked.where("not alone")
+    roots = components(met.select(node_a.alias("a"), node_b.alias("b")))
+    placed = met.join(roots.select(F.col("node").alias("_n"), "root"), node_a == F.col("_n")).drop("_n", "alone")
+    placed = placed.withColumn("tight", F.max("tight").over(Window.partitionBy("root")))
+    placed = placed.unionByName(marked.where("alone").withColumn("root", node_a).drop("alone"))  # all rows of such a pair are tight, or none
+    easy = placed.where("not tight").select("seq", "invoice_id", "line_id", "part", F.lit(True).alias("counts"))
+
+    def fold(batches):
+        import pyarrow as pa
+
+        at, room = None, {}
+        for batch in batches:
+            out = []
+            for root, invoice, line, part, whole, paid in zip(*[batch.column(c).to_pylist() for c in ("root", "invoice_id", "line_id", "part", "invoice_total", "line_total")], strict=True):
+                if root != at:
+                    at, room = root, {}
+                a, b = room.get(("i", invoice), whole), room.get(("l", line), paid)
+                fits = part <= a and part <= b
+                if fits:
+                    room["i", invoice], room["l", line] = a - part, b - part
+                out.append(fits)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("seq", "invoice_id", "line_id", "part")], pa.array(out, pa.bool_())], names=["seq", "invoice_id", "line_id", "part", "counts"])
+
+    hard = placed.where("tight").drop("tight").repartition("root").sortWithinPartitions("root", "seq").mapInArrow(fold, easy.schema)
     return easy.unionByName(hard)
 
 
