@@ -4,6 +4,7 @@ import random
 from decimal import Decimal as D
 
 from tallyspark.operators import reconcile
+from tallyspark.plans import texts
 
 
 def test_settled_contracts_only_what_meets_others(spark, monkeypatch):
@@ -26,3 +27,10 @@ def test_settled_contracts_only_what_meets_others(spark, monkeypatch):
     )
     assert {r["seq"]: r["counts"] for r in got.collect()} == want and len(set(want.values())) == 2
     assert contracted and all(int(r["a"][1:]) >= 100 for r in contracted)
+
+
+def test_orders_that_come_have_keys_of_their_own(spark, tmp_path):
+    keys = [1, 101, 1_000_001, 1_000_101, 5, 34]
+    spark.createDataFrame([(k, "O", 1.5, "1-URGENT") for k in keys], "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["change"], r["fields"]): r["n"] for r in texts.snapshot_diff(spark, str(tmp_path)).collect()}
+    assert got == {("added", ""): 4, ("changed", "o_orderstatus"): 1, ("removed", ""): 1}
