@@ -14,7 +14,7 @@ def csv_round_trip(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"), F.concat(F.lit("="), F.col("o_orderpriority")).alias("priority"))
     path = fresh_path(spark, "csv")
     tabular.write_csv(o, path)
-    fields = tabular.records(tabular.blocks(tabular.read_tables(spark, path).where("problem is null"), ["o_orderkey", "total"])).select("fields")
+    fields = tabular.records(tabular.blocks(tabular.accepted(tabular.read_tables(spark, path)), ["o_orderkey", "total"])).select("fields")
     return fields.select(F.col("fields")["o_orderkey"].cast("long").alias("o_orderkey"), F.replace(F.col("fields")["total"], F.lit(","), F.lit(".")).cast("decimal(18,2)").alias("total"), F.col("fields")["priority"].alias("priority"))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_ROWS, MAX_CELLS, MAX_BYTES = 200_000, 2_000_000, 256 << 20
+#: Rows that a file of ours has at most, so that its readers take it.
+FILE_ROWS = 50_000
 ROWS = "path string, sheet string, row_no int, cells array<string>, problem string"
 
 
@@ -152,6 +154,12 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, ROWS)
 
 
+def accepted(rows: DataFrame) -> DataFrame:
+    """rows (of read_tables), all files of which must have been read: one that was refused is an error, not a gap."""
+    refused = F.raise_error(F.concat_ws(": ", "path", "problem")).cast("boolean")
+    return rows.where(F.when(F.col("problem").isNotNull(), refused).otherwise(F.lit(True)))
+
+
 def rejoined(rows: DataFrame) -> DataFrame:
     """Rows of a CSV that was opened as a workbook (one cell holds a whole line) taken apart again."""
     whole = F.array_join("cells", "")
@@ -199,7 +207,8 @@ def merge_companion(lines: DataFrame, printed: DataFrame, keys: list[str], order
 
 
 def write_csv(df: DataFrame, path: str, decimal_comma: bool = True) -> None:
-    """Semicolons, CR LF, a UTF-8 mark in front of the header, decimal commas; text cells guarded against formulas."""
+    """Semicolons, CR LF, a UTF-8 mark in front of the header, decimal commas; text cells guarded against formulas. As many files as their
+    readers' limits ask for, each with the header."""
     from ..functions.text import guarded
 
     out = []
@@ -211,7 +220,8 @@ def write_csv(df: DataFrame, path: str, decimal_comma: bool = True) -> None:
             out.append((guarded(c) if kind == "string" else c.cast("string")).alias(name))
     named = df.select(*out)
     first = named.columns[0]
-    named.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("sep", ";").option("header", "true").option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    most = max(1, min(FILE_ROWS, MAX_ROWS - 1, MAX_CELLS // len(out) - 1))
+    named.withColumnRenamed(first, "﻿" + first).write.mode("overwrite").option("maxRecordsPerFile", most).option("sep", ";").option("header", "true").option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
 def xlsx_bytes(names: list[str], rows: Iterator[list]) -> bytes:

@@ -3,8 +3,11 @@
 import random
 from decimal import Decimal as D
 
+import pytest
+
 from tallyspark.operators import reconcile
 from tallyspark.plans import texts
+from tallyspark.sources import tabular
 
 
 def test_settled_contracts_only_what_meets_others(spark, monkeypatch):
@@ -34,3 +37,14 @@ def test_orders_that_come_have_keys_of_their_own(spark, tmp_path):
     spark.createDataFrame([(k, "O", 1.5, "1-URGENT") for k in keys], "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got = {(r["change"], r["fields"]): r["n"] for r in texts.snapshot_diff(spark, str(tmp_path)).collect()}
     assert got == {("added", ""): 4, ("changed", "o_orderstatus"): 1, ("removed", ""): 1}
+
+
+def test_csv_of_a_large_task_is_several_files(spark, tmp_path):
+    rows = spark.range(250_000).coalesce(1).selectExpr("id", "concat('=', id) AS t")
+    tabular.write_csv(rows, f"file://{tmp_path}/a")
+    got = tabular.records(tabular.blocks(tabular.accepted(tabular.read_tables(spark, f"file://{tmp_path}/a")), ["id", "t"])).selectExpr("CAST(fields['id'] AS BIGINT) AS id", "fields['t'] AS t")
+    assert got.selectExpr("count(*)", "count(DISTINCT id)", "max(id)", "count_if(t = concat(\"'=\", id))").first()[:] == (250_000, 250_000, 249_999, 250_000)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.xlsx").write_bytes(b"PK broken")
+    with pytest.raises(Exception, match="x.xlsx"):
+        tabular.accepted(tabular.read_tables(spark, f"file://{tmp_path}/b")).collect()
