@@ -5,7 +5,7 @@ from decimal import Decimal as D
 
 import pytest
 
-from tallyspark.operators import reconcile
+from tallyspark.operators import finders, reconcile
 from tallyspark.plans import texts
 from tallyspark.sources import tabular
 
@@ -48,3 +48,9 @@ def test_csv_of_a_large_task_is_several_files(spark, tmp_path):
     (tmp_path / "b" / "x.xlsx").write_bytes(b"PK broken")
     with pytest.raises(Exception, match="x.xlsx"):
         tabular.accepted(tabular.read_tables(spark, f"file://{tmp_path}/b")).collect()
+
+
+def test_addresses_with_postcodes_of_any_length(spark):
+    lines = spark.createDataFrame([(n, 0, f"Supplier: Alma Kft. {n} Wien, Fo utca {n % 90}") for n in (1234, 12345, 100_000, 901_000, 5_401_000)], "doc long, line_no int, line string")
+    got = {r["doc"]: r["label"] for r in finders.names_and_addresses(lines, "doc", "line_no", "line").where("kind = 'address'").collect()}
+    assert got == {n: f"{n} Wien, Fo utca {n % 90}" for n in (1234, 12345, 100_000, 901_000, 5_401_000)}
