@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, ids, numbers, text
 from ..operators import candidates, finders, relations
-from .staging import table
+from .staging import table, written
 
 NUMBERS = ["1 234,56", "1.234,56", "1,234.56", "28.000", "28,000", "0,500", "12.5", "1234", "-5", "5-", "1.2.3", "1.234.567", "12,34,56", "HUF 1 000", "abc", "", "3,3900", "1234.567", "$42.50", "1.5"]
 _VALUES = ", ".join(f"({n}, '{x}')" for n, x in enumerate(NUMBERS))
@@ -127,14 +127,22 @@ def fuzzy_words(spark, sf):
 
 
 def benchmark_words_in_documents(spark, sf):
-    """Benchmark items whose words stand as a whole in a document: candidates by a rare opening of five words, then exactly."""
-    d = table(spark, sf, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
-    b = table(spark, sf, "benchmark").select("item_id", text.normalize(F.col("text")).alias("n"))
-    opening = lambda words, i: F.array_join(F.slice(words, i + 1, 5), " ")
-    words = F.split("t", " ")
-    keys = d.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: opening(words, i)))).alias("k"))
-    items = b.select("item_id", "n", F.array_join(F.slice(F.split("n", " "), 1, 5), " ").alias("k"))
-    return keys.join(items, "k").where(text.has_words(F.col("t"), F.col("n"))).select("item_id", "doc_id").distinct()
+    """Benchmark items whose words stand as a whole in a document: candidates by the item's first words (five, or all it has), then exactly.
+
+    A document gives out numbers of its runs of words only, one for each place; its text meets an item's once they have a run in common.
+    """
+    d = table(spark, sf, "documents")
+    b = table(spark, sf, "benchmark").select("item_id", text.normalize(F.col("text")).alias("n")).where("n <> ''").withColumn("size", F.least(F.lit(5), F.size(F.split("n", " "))))
+    hashed = lambda words, at, n: F.xxhash64(F.lit(n), *[F.get(words, at + k) for k in range(n)])
+    items = written(b.withColumn("w", F.split("n", " ")).withColumn("k", F.coalesce(*[F.when(F.col("size") == n, hashed(F.col("w"), F.lit(0), n)) for n in range(1, 6)])).drop("w"), "items")
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # five at most
+    words = d.select("doc_id", F.split(text.normalize(F.col("text")), " ").alias("w"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: hashed(F.col("w"), i, n)))
+    none = F.array().cast("array<bigint>")
+    keys = words.select("doc_id", F.explode(F.concat(none, *[F.coalesce(runs(n), none) for n in sizes])).alias("k"))
+    met = written(keys.join(items.select("item_id", "k"), "k").select("doc_id", "item_id").distinct(), "met")
+    texts = d.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", text.normalize(F.col("text")).alias("t"))
+    return met.join(items.select("item_id", "n"), "item_id").join(texts, "doc_id").where(text.has_words(F.col("t"), F.col("n"))).select("item_id", "doc_id").distinct()
 
 
 def email_clean_body(spark, sf):

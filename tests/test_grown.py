@@ -54,3 +54,12 @@ def test_addresses_with_postcodes_of_any_length(spark):
     lines = spark.createDataFrame([(n, 0, f"Supplier: Alma Kft. {n} Wien, Fo utca {n % 90}") for n in (1234, 12345, 100_000, 901_000, 5_401_000)], "doc long, line_no int, line string")
     got = {r["doc"]: r["label"] for r in finders.names_and_addresses(lines, "doc", "line_no", "line").where("kind = 'address'").collect()}
     assert got == {n: f"{n} Wien, Fo utca {n % 90}" for n in (1234, 12345, 100_000, 901_000, 5_401_000)}
+
+
+def test_benchmark_items_of_few_words(spark, tmp_path):
+    docs = [(1, "Ein Haus, am See und kein Wald weit und breit"), (2, "am see"), (3, ""), (4, "haus am seeufer"), (5, "x " * 3000 + "haus am see")]
+    items = [(10, "am See"), (11, "haus am see und kein wald"), (12, "Haus"), (13, ""), (14, "kein wald weit und breit")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in texts.benchmark_words_in_documents(spark, str(tmp_path)).select("item_id", "doc_id").collect()}
+    assert got == {(10, 1), (10, 2), (10, 5), (11, 1), (12, 1), (12, 4), (12, 5), (14, 1)}
