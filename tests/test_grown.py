@@ -1,11 +1,14 @@
 """What larger tables showed: each test holds a rule that small ones did not touch."""
 
+import itertools
 import random
+from datetime import date, timedelta
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyspark.operators import finders, reconcile
+from tallyspark.operators import finders, reconcile, relations
 from tallyspark.plans import texts
 from tallyspark.sources import tabular
 
@@ -63,3 +66,26 @@ def test_benchmark_items_of_few_words(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {tuple(r) for r in texts.benchmark_words_in_documents(spark, str(tmp_path)).select("item_id", "doc_id").collect()}
     assert got == {(10, 1), (10, 2), (10, 5), (11, 1), (12, 1), (12, 4), (12, 5), (14, 1)}
+
+
+def test_words_without_one_and_two_letters(spark):
+    words = ["a", "ab", "abcd", "aabbc"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", relations._without_one(F.col("w")).alias("one"), relations._without_two(F.col("w")).alias("two")).collect()
+    less = lambda w, n: sorted("".join(c) for c in itertools.combinations(w, len(w) - n)) if len(w) >= n else []
+    assert {r["w"]: (sorted(r["one"]), sorted(r["two"])) for r in rows} == {w: (less(w, 1), less(w, 2)) for w in words}
+
+
+def test_credit_notes_like_one_by_one(spark):
+    rng, day = random.Random(8), lambda n: date(2026, 1, 1) + timedelta(days=n)
+    inv = [(k, rng.randrange(4), "EUR", D(rng.randrange(1, 4)), rng.choice([None, day(rng.randrange(90)), day(rng.randrange(90)), day(rng.randrange(90))])) for k in range(160)]
+    notes = [(1000 + k, rng.randrange(4), "EUR", D(rng.randrange(1, 4)), rng.choice([None, day(rng.randrange(30)), day(rng.randrange(30)), day(rng.randrange(60))])) for k in range(120)]
+    paid = {k for k in range(160) if k % 9 == 0}
+    want, taken = set(), set()
+    for n in sorted(notes):
+        fits = [i for i in inv if i[1:4] == n[1:4] and i[4] and n[4] and i[4] <= n[4] and i[0] not in taken]
+        if len(fits) == 1 and fits[0][0] not in paid:
+            taken.add(fits[0][0])
+            want.add((fits[0][0], n[0]))
+    kind = "partner long, currency string, amount decimal(18,2), issue_date date"
+    got = reconcile.credited(spark.createDataFrame(inv, f"invoice_id long, {kind}"), spark.createDataFrame(notes, f"note_id long, {kind}"), spark.createDataFrame([(k,) for k in paid], "invoice_id long"))
+    assert {tuple(r) for r in got.collect()} == want and want
