@@ -136,30 +136,32 @@ def settled(allocations: DataFrame, invoices: DataFrame, lines: DataFrame) -> Da
 
 def credited(invoices: DataFrame, notes: DataFrame, paid: DataFrame) -> DataFrame:
     """(invoice_id, note_id): a credit note cancels the one invoice of its partner, currency and exact amount, issued on or before it,
-    that no earlier note took, if nothing is paid on it. In the order of note ids, within each such group."""
+    that no earlier note took, if nothing is paid on it. In the order of note ids, within each such group, of which a task holds one."""
     keys = ["partner", "currency", "amount"]
     a = notes.select(*keys, F.lit("n").alias("kind"), F.col("note_id").alias("id"), F.col("issue_date").alias("day"), F.lit(False).alias("paid"))
     b = invoices.join(paid.select("invoice_id", F.lit(True).alias("paid")).distinct(), "invoice_id", "left").select(*keys, F.lit("i").alias("kind"), F.col("invoice_id").alias("id"), F.col("issue_date").alias("day"), F.coalesce("paid", F.lit(False)).alias("paid"))
-    b = b.join(notes.select(*keys).distinct(), keys, "left_semi")
-
-    def fold(pdf):
-        taken, out = set(), []
-        inv = list(pdf[pdf.kind == "i"].sort_values(["day", "id"]).itertuples())
-        for note in pdf[pdf.kind == "n"].sort_values("id").itertuples():
-            fits = []
-            for r in inv:  # two that fit are enough to know: at most the taken ones and two more are looked at
-                if r.day > note.day or len(fits) == 2:
-                    break
-                if r.id not in taken:
-                    fits.append(r)
-            if len(fits) == 1 and not fits[0].paid:
-                taken.add(fits[0].id)
-                out.append((fits[0].id, note.id))
-        import pandas as pd
-
-        return pd.DataFrame(out, columns=["invoice_id", "note_id"]).astype("int64")
-
-    return a.unionByName(b).groupBy(*keys).applyInPandas(fold, "invoice_id long, note_id long")
+    def fold(batches):
+        import pyarrow as pa
+
+        columns = ["partner", "currency", "amount", "kind", "id", "day", "paid"]
+        at, inv, first = None, [], 0
+        for batch in batches:
+            out = []
+            for *group, kind, ident, day, is_paid in zip(*[batch.column(c).to_pylist() for c in columns], strict=True):
+                if group != at:
+                    at, inv, first = group, [], 0
+                if kind == "i":
+                    inv.append((day, ident, is_paid))
+                    continue
+                fits = [r for r in inv[first : first + 2] if r[0] <= day]  # two that fit are enough to know; one that fits alone is the earliest
+                if len(fits) == 1 and not fits[0][2]:
+                    first += 1
+                    out.append((fits[0][1], ident))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["invoice_id", "note_id"])
+
+    # a task passes through its groups: invoices by day and id, then notes by id
+    rows = a.unionByName(b.join(notes.select(*keys).distinct(), keys, "left_semi")).where("day is not null").repartition(*keys)
+    return rows.sortWithinPartitions(*keys, "kind", F.when(F.col("kind") == "i", F.col("day")), "id").mapInArrow(fold, "invoice_id long, note_id long")
 
 
 def statuses(invoices: DataFrame, pairs: DataFrame, paid: DataFrame, cancelled: DataFrame, coverage: DataFrame, excluded: DataFrame | None = None, no_rate: DataFrame | None = None) -> DataFrame:
