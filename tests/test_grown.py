@@ -4,11 +4,12 @@ import itertools
 import random
 from datetime import date, timedelta
 from decimal import Decimal as D
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import finders, reconcile, relations
+from tallyspark.operators import evidence, finders, reconcile, relations
 from tallyspark.plans import texts
 from tallyspark.sources import tabular
 
@@ -89,3 +90,24 @@ def test_credit_notes_like_one_by_one(spark):
     kind = "partner long, currency string, amount decimal(18,2), issue_date date"
     got = reconcile.credited(spark.createDataFrame(inv, f"invoice_id long, {kind}"), spark.createDataFrame(notes, f"note_id long, {kind}"), spark.createDataFrame([(k,) for k in paid], "invoice_id long"))
     assert {tuple(r) for r in got.collect()} == want and want
+
+
+def test_lines_of_many_groups_match_like_one_by_one(spark):
+    rng, words = random.Random(3), ["part 12 O", "part 13 O", "part 13 F", "rent", "", None, "rent May"]
+    old = [(rng.randrange(20), k, rng.choice("AB"), rng.choice(words)) for k in range(150)]
+    new = [(rng.randrange(20), 1000 + k, rng.choice("AB"), rng.choice(words)) for k in range(150)]
+    want = set()
+    for group in {(s, f) for s, _, f, _ in old}:
+        a, b = ([(i, t or "") for s, i, f, t in sorted(rows, key=lambda r: r[1]) if (s, f) == group] for rows in (old, new))
+        score = {(i, j): 1.0 if x == y else SequenceMatcher(None, x, y).ratio() for i, (_, x) in enumerate(a) for j, (_, y) in enumerate(b)}
+        free_a, free_b = set(range(len(a))), set(range(len(b)))
+        for i, j in sorted(score, key=lambda p: (-score[p], p)):
+            if i in free_a and j in free_b:
+                free_a.remove(i)
+                free_b.remove(j)
+                if (len(a), len(b)) == (1, 1) or not any(b[k][1] != b[j][1] and score[i, k] >= score[i, j] - 0.1 for k in range(len(b)) if k != j):
+                    want.add((group[0], a[i][0], b[j][0]))
+    kind = "statement long, id long, flag string, text string"
+    got = evidence.match_lines(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), ["flag"])
+    assert {tuple(r) for r in got.select("statement", "old_id", "new_id").collect()} == want and want
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
